@@ -27,7 +27,13 @@ PRICE_FILL = ("zero", "carry")
 
 
 def _bounds(tenure: DataFrame) -> tuple[Column, Column]:
-    return tenure.select("start_date").scalar(), tenure.select("end_date").scalar()
+    """Tenure start and end as fields of one scalar subquery.
+
+    One subquery (not one per field) so that every use in a plan is the same
+    subquery, which Spark evaluates once and reuses.
+    """
+    bounds = tenure.select(F.struct("start_date", "end_date")).scalar()
+    return bounds.getField("start_date"), bounds.getField("end_date")
 
 
 def price_history(prices: DataFrame, symbols: DataFrame, tenure: DataFrame,

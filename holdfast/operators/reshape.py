@@ -16,6 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+PIVOT_LIMIT = 10_000  # Spark's default spark.sql.pivotMaxValues
+
+
+def pivot_values(symbols: DataFrame, limit: int = PIVOT_LIMIT) -> list[str]:
+    """The sorted symbol list for a wide table, collected with a size check.
+
+    A wide table has one column per symbol, so its width is bounded by what a
+    reader can use; more than ``limit`` symbols is an error, not a bigger
+    collect. Taking the list from the small ``symbols`` frame also spares the
+    job Spark would otherwise run over the whole pivot input to find it.
+    """
+    rows = symbols.select("symbol").distinct().orderBy("symbol").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} symbols for a wide table; use the long form")
+    return [r["symbol"] for r in rows]
+
+
 def _pivot(long: DataFrame, value: str, symbols: Sequence[str] | None, suffix: str,
            agg=F.max) -> DataFrame:
     grouped = long.groupBy("timestamp")

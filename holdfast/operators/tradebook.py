@@ -73,8 +73,8 @@ def tenure_bounds(net: DataFrame) -> tuple[Column, Column]:
     Spark runs the subquery once and folds its single value into the plan, so
     nothing is cross-joined and nothing passes through Python.
     """
-    t = tenure(net)
-    return t.select("start_date").scalar(), t.select("end_date").scalar()
+    bounds = tenure(net).select(F.struct("start_date", "end_date")).scalar()
+    return bounds.getField("start_date"), bounds.getField("end_date")
 
 
 def earliest_trade_dates(net: DataFrame) -> DataFrame:

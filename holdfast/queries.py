@@ -96,19 +96,23 @@ def holdings_carried(spark, sf_dir):
 
 
 def trades_wide(spark, sf_dir):
-    return reshape.trades_wide(_plan(spark, sf_dir).trades_aligned)
+    plan = _plan(spark, sf_dir)
+    return reshape.trades_wide(plan.trades_aligned, reshape.pivot_values(plan.symbols))
 
 
 def quotes_wide(spark, sf_dir):
-    return reshape.quotes_wide(_plan(spark, sf_dir).price_history)
+    plan = _plan(spark, sf_dir)
+    return reshape.quotes_wide(plan.price_history, reshape.pivot_values(plan.symbols))
 
 
 def holdings_wide(spark, sf_dir):
-    return reshape.holdings_wide(_plan(spark, sf_dir).holdings)
+    plan = _plan(spark, sf_dir)
+    return reshape.holdings_wide(plan.holdings, reshape.pivot_values(plan.symbols))
 
 
 def holdings_melt(spark, sf_dir):
-    return reshape.melt(reshape.holdings_wide(_plan(spark, sf_dir).holdings))
+    plan = _plan(spark, sf_dir)
+    return reshape.melt(reshape.holdings_wide(plan.holdings, reshape.pivot_values(plan.symbols)))
 
 
 def holdings_weekly(spark, sf_dir):

@@ -15,10 +15,44 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
+
+from holdfast.schemas import SECURITIES
+
+
+# Declared schemas of the driver tables the adapters read (only the columns
+# used); a declared schema also spares the footer-reading job of inference.
+TABLE_SCHEMAS = {
+    "lineitem": StructType([
+        StructField("l_orderkey", LongType()),
+        StructField("l_partkey", LongType()),
+        StructField("l_linenumber", IntegerType()),
+        StructField("l_quantity", DoubleType()),
+        StructField("l_extendedprice", DoubleType()),
+        StructField("l_returnflag", StringType()),
+        StructField("l_linestatus", StringType()),
+        StructField("l_shipdate", TimestampNTZType()),
+    ]),
+    "part": StructType([
+        StructField("p_partkey", LongType()),
+        StructField("p_name", StringType()),
+        StructField("p_brand", StringType()),
+        StructField("p_type", StringType()),
+        StructField("p_size", IntegerType()),
+    ]),
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tradebook_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +140,6 @@ def securities_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def securities_full_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The master view widened to every securities column (absent ones null)."""
-    from holdfast.schemas import SECURITIES
-
     base = securities_view(spark, sf_dir)
     cols = [F.col(f.name) if f.name in base.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in SECURITIES.fields]

@@ -1,0 +1,78 @@
+"""Physical-plan checks: the shapes that decide whether this scales."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from conftest import GOLDEN_EVENTS, GOLDEN_PRICES, GOLDEN_TRADES
+
+from holdfast import build_holdings, scratch_dir
+from holdfast.operators import clean_tradebook, net_tradebook
+from holdfast.operators.reporting import latest_allocation
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def parquet_inputs(spark, make_tradebook, make_prices, make_events):
+    root = scratch_dir(spark, "test-plans")
+    make_tradebook(GOLDEN_TRADES).write.parquet(f"{root}/tradebook")
+    make_prices(GOLDEN_PRICES).write.parquet(f"{root}/prices")
+    make_events(GOLDEN_EVENTS).write.parquet(f"{root}/events")
+    return (spark.read.parquet(f"{root}/tradebook"), spark.read.parquet(f"{root}/prices"),
+            spark.read.parquet(f"{root}/events"))
+
+
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas"]
+
+
+def single_partition_inputs(text: str) -> list[str]:
+    """The child line of every exchange into a single partition."""
+    lines = text.splitlines()
+    return [lines[i + 1] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+
+
+def test_holdings_plan_has_no_cross_join_no_python_no_single_partition(parquet_inputs):
+    plan = build_holdings(*parquet_inputs)
+    for df in (plan.holdings, plan.balance, plan.trades_aligned, plan.adjusted, latest_allocation(plan.holdings)):
+        text = executed(df)
+        for bad in FORBIDDEN:
+            assert bad not in text, (bad, text)
+        # only global aggregates (tenure, latest day, totals) meet in one partition,
+        # and only as one partial row per map task
+        for child in single_partition_inputs(text):
+            assert "HashAggregate(keys=[], functions=[partial_" in child, child
+
+
+def test_window_is_partitioned_by_symbol(parquet_inputs):
+    text = executed(build_holdings(*parquet_inputs).holdings)
+    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", text)
+    assert windows and all(w.startswith("symbol#") for w in windows), windows
+
+
+def test_netting_aggregates_map_side_and_shuffles_on_day_and_symbol(parquet_inputs):
+    text = executed(net_tradebook(clean_tradebook(parquet_inputs[0])))
+    assert "partial_sum" in text
+    assert re.search(r"hashpartitioning\(trade_date#\d+, symbol#\d+", text)
+
+
+def test_filters_and_columns_reach_the_tradebook_scan(parquet_inputs):
+    text = executed(net_tradebook(clean_tradebook(parquet_inputs[0])))
+    assert "PushedFilters: [In(series, [A,EQ])]" in text
+    scanned = re.search(r"FileScan parquet \[([^\]]*)\]", text).group(1)
+    cols = {c.split("#")[0] for c in scanned.split(",")}
+    assert cols == {"symbol", "trade_date", "series", "trade_type", "quantity", "price"}
+
+
+def test_event_type_filter_reaches_the_events_scan(parquet_inputs):
+    text = executed(build_holdings(*parquet_inputs).events)
+    assert "In(type, [bonus,split])" in text
+
+
+def test_adjustment_join_is_an_equi_join_with_range_condition(parquet_inputs):
+    text = executed(build_holdings(*parquet_inputs).adjusted)
+    assert re.search(r"(BroadcastHashJoin|SortMergeJoin) \[symbol#\d+\], \[symbol#\d+\], LeftOuter", text), text
