@@ -2,12 +2,14 @@
 
 Every stage is a lazy DataFrame; nothing is collected. The net tradebook
 feeds six branches (symbols, tenure, first trade dates, events, adjustment,
-grid). Within one query Spark reuses its shuffle, but separate actions
-(one per report) would each rescan the raw executions, so ``materialize``
-can write it once to the cluster's checkpoint folder: the raw scan then runs
-exactly once, the branches read a table of (days x symbols) rows, and its
-lineage is cut, so a lost executor recomputes from there and not from the
-raw files.
+grid), and each branch needs different columns of it, so Catalyst prunes
+each copy differently and no exchange can be shared: left lazy, the raw
+executions would be scanned once per branch. With ``materialize`` (the
+default) the net tradebook is written once, as Parquet, to a fresh folder
+under the cluster's checkpoint root and read back: the raw scan runs exactly
+once, the branches read a table of at most (days x symbols) rows with real
+size statistics, and lineage is cut there, so a lost executor recomputes from
+that table and not from the raw files.
 """
 
 from __future__ import annotations
@@ -20,7 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from holdfast.operators import events as ev
 from holdfast.operators import positions as pos
 from holdfast.operators import tradebook as tb
-from holdfast.session import checkpoint_root
+from holdfast.session import scratch_dir
+
+
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a new folder in the shared checkpoint root; return the re-read table."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass
@@ -39,7 +49,7 @@ class HoldingsPlan:
     as_of: str | None = None
     off_calendar: str = "keep"
     price_fill: str = "zero"
-    materialize: bool = False
+    materialize: bool = True
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -48,10 +58,7 @@ class HoldingsPlan:
     @cached_property
     def net(self) -> DataFrame:
         net = tb.net_tradebook(self.clean)
-        if self.materialize:
-            checkpoint_root(net.sparkSession)
-            net = net.checkpoint(eager=True)
-        return net
+        return write_and_read(net, "net-tradebook") if self.materialize else net
 
     @cached_property
     def symbols(self) -> DataFrame:
