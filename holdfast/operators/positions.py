@@ -95,11 +95,16 @@ def trades_aligned(adjusted: DataFrame, market: DataFrame, symbols: DataFrame, t
     days = market.select("timestamp")
     if off_calendar == "keep":
         days = days.union(trades.select("timestamp")).distinct()
-    grid = trading_grid(symbols, days, tenure).withColumn("quantity", F.lit(0.0))
+    grid = trading_grid(symbols, days, tenure).select(
+        "symbol", "timestamp", F.lit(True).alias("on_grid"), F.lit(0.0).alias("quantity"))
+    rows = grid.unionByName(trades.select(
+        "symbol", "timestamp", F.lit(False).alias("on_grid"), F.col("quantity").cast("double").alias("quantity")))
+    # the day's quantity through the per-symbol window: both inputs already
+    # arrive partitioned by symbol, so the grid is not shuffled again
     return (
-        grid.unionByName(trades.withColumn("quantity", F.col("quantity").cast("double")))
-        .groupBy("timestamp", "symbol")
-        .agg(F.sum("quantity").alias("quantity"))
+        rows.select("timestamp", "symbol", "on_grid", F.sum("quantity").over(_today()).alias("quantity"))
+        .filter("on_grid")
+        .drop("on_grid")
     )
 
 

@@ -57,20 +57,25 @@ class HoldingsPlan:
 
     @cached_property
     def net(self) -> DataFrame:
-        net = tb.net_tradebook(self.clean)
-        return write_and_read(net, "net-tradebook") if self.materialize else net
+        """The net daily tradebook, lazy (one scan of the executions)."""
+        return tb.net_tradebook(self.clean)
+
+    @cached_property
+    def _net(self) -> DataFrame:
+        """What the branches read: the net tradebook, written once if ``materialize``."""
+        return write_and_read(self.net, "net-tradebook") if self.materialize else self.net
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return tb.symbols(self.net)
+        return tb.symbols(self._net)
 
     @cached_property
     def tenure(self) -> DataFrame:
-        return tb.tenure(self.net)
+        return tb.tenure(self._net)
 
     @cached_property
     def start_dates(self) -> DataFrame:
-        return tb.earliest_trade_dates(self.net)
+        return tb.earliest_trade_dates(self._net)
 
     @cached_property
     def price_history(self) -> DataFrame:
@@ -82,11 +87,11 @@ class HoldingsPlan:
 
     @cached_property
     def factors(self) -> DataFrame:
-        return ev.adjustment_factor(self.net, self.events)
+        return ev.adjustment_factor(self._net, self.events)
 
     @cached_property
     def adjusted(self) -> DataFrame:
-        return ev.adjust_for_events(self.net, self.events)
+        return ev.adjust_for_events(self._net, self.events)
 
     @cached_property
     def market_days(self) -> DataFrame:

@@ -26,7 +26,20 @@ def refresh_securities(spark: SparkSession, snapshot_path: str, table_path: str)
     return sec.segment_audit(src.read_securities_table(spark, table_path))
 
 
-def write_master(securities: DataFrame, table_path: str) -> None:
-    """One overwrite of the whole table, partitioned by segment, sorted by scrip_id."""
-    (sec.layout_for_table(securities)
-     .write.mode("overwrite").partitionBy("segment").parquet(table_path))
+def write_master(securities: DataFrame, table_path: str, mode: str = "overwrite") -> None:
+    """Write the table partitioned by segment, files sorted by scrip_id."""
+    (sec.layout_for_table(securities).select(*src.MASTER.fieldNames())
+     .write.mode(mode).partitionBy("segment").parquet(table_path))
+
+
+def ingest_securities_csv(spark: SparkSession, csv_path: str, table_path: str) -> DataFrame:
+    """Bulk-load hand-over CSV files into the master table (append), all or nothing.
+
+    The files are read strictly (header names checked, a malformed row fails
+    the load before anything is written); the table is created if missing.
+    Returns the table as read back.
+    """
+    src.ensure_securities_table(spark, table_path)
+    rows = sec.with_security_id(src.read_securities_csv(spark, csv_path))
+    write_master(rows, table_path, mode="append")
+    return src.read_securities_table(spark, table_path)

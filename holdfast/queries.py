@@ -15,7 +15,8 @@ from holdfast.operators import reporting as rep
 from holdfast.operators import reshape
 from holdfast.operators import securities as sec
 from holdfast.plans.holdings import HoldingsPlan, build_holdings
-from holdfast.plans.securities import refresh_securities
+from holdfast.plans.securities import ingest_securities_csv, refresh_securities
+from holdfast.schemas import SECURITIES_COLUMNS
 from holdfast.session import scratch_dir
 from holdfast.sources import adapters
 from holdfast.sources import securities as src
@@ -47,16 +48,18 @@ def net_tradebook(spark, sf_dir):
     return _plan(spark, sf_dir).net
 
 
+# Keys that read one branch of the net tradebook scan the executions once
+# anyway; writing it out first would only add a job.
 def symbols(spark, sf_dir):
-    return _plan(spark, sf_dir).symbols
+    return _plan(spark, sf_dir, materialize=False).symbols
 
 
 def tenure(spark, sf_dir):
-    return _plan(spark, sf_dir).tenure
+    return _plan(spark, sf_dir, materialize=False).tenure
 
 
 def earliest_trade_dates(spark, sf_dir):
-    return _plan(spark, sf_dir).start_dates
+    return _plan(spark, sf_dir, materialize=False).start_dates
 
 
 def price_history(spark, sf_dir):
@@ -64,7 +67,7 @@ def price_history(spark, sf_dir):
 
 
 def corporate_events(spark, sf_dir):
-    return _plan(spark, sf_dir).events
+    return _plan(spark, sf_dir, materialize=False).events
 
 
 def adjustment_factor(spark, sf_dir):
@@ -174,7 +177,8 @@ def securities_refresh(spark, sf_dir):
 def securities_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "securities-csv")
     src.write_securities_csv(adapters.securities_full_view(spark, sf_dir), path)
-    return src.read_securities_csv(spark, path)
+    table = ingest_securities_csv(spark, path, scratch_dir(spark, "securities-table"))
+    return table.select(*SECURITIES_COLUMNS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

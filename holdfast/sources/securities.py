@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from holdfast.schemas import SECURITIES, SECURITIES_COLUMNS, SNAPSHOT_KEYS
 
@@ -71,9 +71,22 @@ def read_securities_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+MASTER = StructType(SECURITIES.fields + [StructField("id", LongType())])
+
+
+def ensure_securities_table(spark: SparkSession, path: str) -> None:
+    """Create the (empty) master table if it does not exist yet."""
+    empty = spark.createDataFrame([], MASTER)
+    empty.write.mode("ignore").partitionBy("segment").parquet(path)
+
+
 def read_securities_table(spark: SparkSession, path: str) -> DataFrame:
-    """The refreshed master table (Parquet, partitioned by segment)."""
-    return spark.read.parquet(path)
+    """The master table (Parquet, partitioned by segment), with its declared types.
+
+    The schema is given, so ``segment`` stays a string whatever the folder
+    names look like, and no job is spent inferring it.
+    """
+    return spark.read.schema(MASTER).parquet(path).select(*MASTER.fieldNames())
 
 
 def read_securities_jdbc(spark: SparkSession, url: str, properties: dict, table: str = "securities") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
@@ -76,3 +77,36 @@ def test_event_type_filter_reaches_the_events_scan(parquet_inputs):
 def test_adjustment_join_is_an_equi_join_with_range_condition(parquet_inputs):
     text = executed(build_holdings(*parquet_inputs).adjusted)
     assert re.search(r"(BroadcastHashJoin|SortMergeJoin) \[symbol#\d+\], \[symbol#\d+\], LeftOuter", text), text
+
+
+def _window_children(text: str) -> list[str]:
+    """The operator under each Window's sort."""
+    lines = text.splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-*()0123456789").startswith("Window [") and i + 2 < len(lines):
+            out.append(lines[i + 2].strip(" :+-*()0123456789"))
+    return out
+
+
+def _one_symbol_shuffle_into_window(text: str) -> bool:
+    """The window reads the union directly or through one exchange on symbol."""
+    children = _window_children(text)
+    return any(c.startswith("Union") or re.match(r"Exchange hashpartitioning\(symbol#\d+, \d+\)", c)
+               for c in children)
+
+
+def test_union_reaches_the_symbol_window_through_at_most_one_shuffle(parquet_inputs):
+    # small sides are broadcast, so the union is shuffled once, by symbol; with
+    # sort-merge joins on symbol (large inputs) it arrives partitioned already
+    plan = build_holdings(*parquet_inputs)
+    for df in (plan.holdings, plan.trades_aligned, plan.balance):
+        assert _one_symbol_shuffle_into_window(executed(df))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="test data not present")
+def test_registered_holdings_queries_keep_one_symbol_shuffle(spark):
+    from holdfast.queries import holdings_daily, trades_aligned
+
+    for q in (holdings_daily, trades_aligned):
+        assert _one_symbol_shuffle_into_window(executed(q(spark, "/root/testdata/sf0.01")))

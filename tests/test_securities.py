@@ -135,3 +135,17 @@ def test_segment_codes_and_slug(spark):
 
 def test_segment_audit(spark, master):
     assert rows(segment_audit(master)) == [("Derivatives", 1), ("Equity T+1", 3)]
+
+
+def test_csv_ingest_appends_into_the_master_table(spark):
+    from holdfast.plans.securities import ingest_securities_csv
+
+    df = spark.createDataFrame(
+        [("Equity T+1", "500001", "Alpha", "Active", None, Decimal("1.0000"), None, None, "ALPHA", None, None, None),
+         ("Derivatives", "800001", "Fut", "Active", None, None, None, None, "FUT", None, None, None)], SECURITIES)
+    csv, table = scratch_dir(spark, "test-ingest-csv"), scratch_dir(spark, "test-ingest-table")
+    write_securities_csv(df, csv)
+    first = ingest_securities_csv(spark, csv, table)
+    assert first.count() == 2 and first.schema["segment"].dataType.simpleString() == "string"
+    again = ingest_securities_csv(spark, csv, table)           # COPY semantics: appends
+    assert rows(segment_audit(again)) == [("Derivatives", 2), ("Equity T+1", 2)]
