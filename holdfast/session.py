@@ -9,11 +9,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings that matter at any scale: adaptive execution re-plans joins and
-# partition counts from real shuffle sizes, splits skewed join partitions, and
-# keeps whole-table sorts out of small reports.
+# partition counts from real shuffle sizes (partitions sized to the advisory
+# size, not to the number of cores) and splits skewed join partitions. On a
+# cluster, start from a generous spark.sql.shuffle.partitions (or
+# ...coalescePartitions.initialPartitionNum) of about input bytes / 128 MB and
+# let adaptive execution merge the small ones.
 CLUSTER_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",

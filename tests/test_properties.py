@@ -98,3 +98,39 @@ def test_splitting_an_execution_changes_nothing(make_tradebook, make_prices, mak
     b = build_holdings(*_inputs(make_tradebook, make_prices, make_events, two, []))
     assert rows(a.net) == rows(b.net)
     assert rows(a.holdings) == rows(b.holdings)
+
+
+def holdings_model(trades, prices, carry=False):
+    """Brute force: every (market day, symbol) valued at the day's (or last) quote."""
+    adjusted = model(trades, [])
+    days = sorted({day for day, _, _ in prices})
+    syms = sorted({s for _, s, *_ in trades})
+    quote = {(day, s): q for day, s, q in prices}
+    out = {}
+    for s in syms:
+        last = None
+        for day in days:
+            bal = sum(q for (d0, s0), q in adjusted.items() if s0 == s and d0 <= day)
+            q = quote.get((day, s))
+            last = q if q is not None else last
+            use = (last if carry else q) or 0.0
+            out[(day, s)] = round(use * bal + 0.0, 2)
+    return out
+
+
+prices_st = st.lists(st.tuples(st.integers(0, 20), st.sampled_from(SYMS), st.integers(100, 9999)),
+                     min_size=1, max_size=30, unique_by=lambda p: (p[0], p[1]))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(trades=trades_st, prices=prices_st, carry=st.booleans())
+def test_holdings_match_brute_force(make_tradebook, make_prices, make_events, trades, prices, carry):
+    tb, _, ev = _inputs(make_tradebook, make_prices, make_events, trades, [])
+    first, last = min(t[0] for t in trades), max(t[0] for t in trades)
+    held = {t[1] for t in trades}
+    # prices outside the tenure or of symbols never traded are not part of the calendar
+    prices = [(day, s, q / 100) for day, s, q in prices if first <= day <= last and s in held]
+    pdf = make_prices([((BASE + dt.timedelta(days=day)).isoformat(), s, q) for day, s, q in prices])
+    plan = build_holdings(tb, pdf, ev, price_fill="carry" if carry else "zero")
+    got = {((r["timestamp"] - BASE).days, r["symbol"]): r["valuation"] for r in plan.holdings.collect()}
+    assert got == holdings_model(trades, prices, carry)
