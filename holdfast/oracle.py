@@ -8,6 +8,7 @@ text is self-contained: the stages it needs are prepended as CTEs.
 
 from __future__ import annotations
 
+from holdfast.sources.adapters import ADAPTER_SQL
 from holdfast.queries import FIXTURE_SEGMENTS, LOOKUP_SEGMENT, LOOKUP_STATUS
 from holdfast.schemas import (
     DEFAULT_SEGMENT_CODE,
@@ -32,43 +33,14 @@ _EVENT_TYPES = _in_list(QUANTITY_EVENT_TYPES)
 _SEGMENT_CODES = ", ".join(f"({_quote(k)}, {_quote(v)})" for k, v in EXCHANGE_SEGMENT_CODES.items())
 _LOOKUP_SEGMENT = LOOKUP_SEGMENT if LOOKUP_SEGMENT in FIXTURE_SEGMENTS else "Equity T+1"
 
+_TABLES = {"lineitem": "lineitem", "part": "part"}
+
 # name -> (dependencies, body)
 STAGES: dict[str, tuple[list[str], str]] = {
-    "v_tradebook": ([], """
-SELECT p_brand AS symbol,
-       CAST(p_partkey AS VARCHAR) AS isin,
-       CAST(l_shipdate AS DATE) AS trade_date,
-       'X' AS exchange,
-       p_type AS segment,
-       CASE WHEN l_linestatus = 'F' THEN 'EQ' ELSE 'BE' END AS series,
-       CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS trade_type,
-       FALSE AS auction,
-       CAST(l_quantity AS BIGINT) AS quantity,
-       CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
-       CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS trade_id,
-       CAST(l_orderkey AS VARCHAR) AS order_id,
-       l_shipdate AS order_execution_time
-FROM lineitem JOIN part ON l_partkey = p_partkey"""),
-    "v_prices": ([], """
-SELECT CAST(l_shipdate AS DATE) AS timestamp, p_brand AS symbol, MAX(l_extendedprice) AS quote
-FROM lineitem JOIN part ON l_partkey = p_partkey
-GROUP BY CAST(l_shipdate AS DATE), p_brand"""),
-    "v_events": ([], """
-WITH b AS (SELECT DISTINCT p_brand AS symbol, CAST(SUBSTR(p_brand, 7) AS INT) AS n FROM part)
-SELECT symbol, CAST(DATE '1997-01-01' + n * 10 AS DATE) AS ex_date, CAST(2.0 AS DOUBLE) AS ratio,
-       'split' AS type, 'split 2 for 1' AS details, CAST(NULL AS DOUBLE) AS amount FROM b
-UNION ALL
-SELECT symbol, CAST(DATE '2000-01-01' + n * 10 AS DATE), CAST(5.0 AS DOUBLE),
-       'bonus', 'bonus 4 to 1', CAST(NULL AS DOUBLE) FROM b WHERE n <= 20
-UNION ALL
-SELECT symbol, CAST(DATE '1999-01-01' + n * 10 AS DATE), CAST(NULL AS DOUBLE),
-       'dividend', 'dividend', CAST(1.5 AS DOUBLE) FROM b"""),
-    "v_securities": ([], """
-SELECT p_type AS segment, CAST(500000 + MIN(p_partkey) AS VARCHAR) AS scrip_code,
-       MIN(p_name) AS security_name,
-       CASE WHEN MIN(p_partkey) % 3 = 0 THEN 'Active' WHEN MIN(p_partkey) % 3 = 1 THEN 'Suspended' ELSE 'Delisted' END AS status,
-       p_brand AS scrip_id, CAST(MIN(p_size) AS DECIMAL(18,4)) AS face_value
-FROM part GROUP BY p_type, p_brand"""),
+    "v_tradebook": ([], ADAPTER_SQL["v_tradebook"].format(**_TABLES)),
+    "v_prices": ([], ADAPTER_SQL["v_prices"].format(**_TABLES)),
+    "v_events": ([], ADAPTER_SQL["v_events"].format(**_TABLES)),
+    "v_securities": ([], ADAPTER_SQL["v_securities"].format(**_TABLES)),
     "v_securities_full": (["v_securities"], """
 SELECT segment, scrip_code, security_name, status, CAST(NULL AS VARCHAR) AS group_name,
        face_value, CAST(NULL AS VARCHAR) AS isin_number, CAST(NULL AS VARCHAR) AS industry,

@@ -55,36 +55,62 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Adapter definitions as SQL text common to Spark SQL and DuckDB; ``{lineitem}``
+# and ``{part}`` name the driver tables. ``holdfast.oracle`` opens every DuckDB
+# query with the same text, so both engines start from the same rows.
+ADAPTER_SQL = {
+    "v_tradebook": """
+SELECT p_brand AS symbol,
+       CAST(p_partkey AS STRING) AS isin,
+       CAST(l_shipdate AS DATE) AS trade_date,
+       'X' AS exchange,
+       p_type AS segment,
+       CASE WHEN l_linestatus = 'F' THEN 'EQ' ELSE 'BE' END AS series,
+       CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS trade_type,
+       FALSE AS auction,
+       CAST(l_quantity AS BIGINT) AS quantity,
+       CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+       CAST(l_orderkey * 10 + l_linenumber AS STRING) AS trade_id,
+       CAST(l_orderkey AS STRING) AS order_id,
+       l_shipdate AS order_execution_time
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    "v_prices": """
+SELECT CAST(l_shipdate AS DATE) AS timestamp, p_brand AS symbol, MAX(l_extendedprice) AS quote
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+GROUP BY CAST(l_shipdate AS DATE), p_brand""",
+    "v_events": """
+WITH b AS (SELECT DISTINCT p_brand AS symbol, CAST(SUBSTR(p_brand, 7) AS INT) AS n FROM {part})
+SELECT symbol, CAST(DATE '1997-01-01' + n * 10 AS DATE) AS ex_date, CAST(2.0 AS DOUBLE) AS ratio,
+       'split' AS type, 'split 2 for 1' AS details, CAST(NULL AS DOUBLE) AS amount FROM b
+UNION ALL
+SELECT symbol, CAST(DATE '2000-01-01' + n * 10 AS DATE), CAST(5.0 AS DOUBLE),
+       'bonus', 'bonus 4 to 1', CAST(NULL AS DOUBLE) FROM b WHERE n <= 20
+UNION ALL
+SELECT symbol, CAST(DATE '1999-01-01' + n * 10 AS DATE), CAST(NULL AS DOUBLE),
+       'dividend', 'dividend', CAST(1.5 AS DOUBLE) FROM b""",
+    "v_securities": """
+SELECT p_type AS segment, CAST(500000 + MIN(p_partkey) AS STRING) AS scrip_code,
+       MIN(p_name) AS security_name,
+       CASE WHEN MIN(p_partkey) % 3 = 0 THEN 'Active' WHEN MIN(p_partkey) % 3 = 1 THEN 'Suspended' ELSE 'Delisted' END AS status,
+       p_brand AS scrip_id, CAST(MIN(p_size) AS DECIMAL(18,4)) AS face_value
+FROM {part} GROUP BY p_type, p_brand""",
+}
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text = ADAPTER_SQL[name]
+    tables = {t: _table(spark, sf_dir, t) for t in TABLE_SCHEMAS if "{" + t + "}" in text}
+    return spark.sql(text, **tables)
+
+
 def tradebook_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical tradebook: one execution per line item."""
-    li = _table(spark, sf_dir, "lineitem")
-    pa = _table(spark, sf_dir, "part")
-    return li.join(pa, li.l_partkey == pa.p_partkey).select(
-        F.col("p_brand").alias("symbol"),
-        F.col("p_partkey").cast("string").alias("isin"),
-        F.col("l_shipdate").cast("date").alias("trade_date"),
-        F.lit("X").alias("exchange"),
-        F.col("p_type").alias("segment"),
-        F.when(F.col("l_linestatus") == "F", "EQ").otherwise("BE").alias("series"),
-        F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("trade_type"),
-        F.lit(False).alias("auction"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("trade_id"),
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.col("l_shipdate").alias("order_execution_time"),
-    )
+    return _view(spark, sf_dir, "v_tradebook")
 
 
 def prices_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily close per symbol: the highest extended price of the day."""
-    li = _table(spark, sf_dir, "lineitem")
-    pa = _table(spark, sf_dir, "part")
-    return (
-        li.join(pa, li.l_partkey == pa.p_partkey)
-        .groupBy(F.col("l_shipdate").cast("date").alias("timestamp"), F.col("p_brand").alias("symbol"))
-        .agg(F.max("l_extendedprice").alias("quote"))
-    )
+    return _view(spark, sf_dir, "v_prices")
 
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,31 +119,7 @@ def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every brand splits 2:1; brands 1-20 also get a 5x bonus; every brand pays
     a dividend (which must not touch quantities).
     """
-    brands = (
-        _table(spark, sf_dir, "part")
-        .select(F.col("p_brand").alias("symbol"))
-        .distinct()
-        .withColumn("n", F.substring("symbol", 7, 10).cast("int"))
-    )
-    split = brands.select(
-        "symbol",
-        F.date_add(F.lit("1997-01-01").cast("date"), F.col("n") * 10).alias("ex_date"),
-        F.lit(2.0).alias("ratio"), F.lit("split").alias("type"),
-        F.lit("split 2 for 1").alias("details"), F.lit(None).cast("double").alias("amount"),
-    )
-    bonus = brands.filter(F.col("n") <= 20).select(
-        "symbol",
-        F.date_add(F.lit("2000-01-01").cast("date"), F.col("n") * 10).alias("ex_date"),
-        F.lit(5.0).alias("ratio"), F.lit("bonus").alias("type"),
-        F.lit("bonus 4 to 1").alias("details"), F.lit(None).cast("double").alias("amount"),
-    )
-    dividend = brands.select(
-        "symbol",
-        F.date_add(F.lit("1999-01-01").cast("date"), F.col("n") * 10).alias("ex_date"),
-        F.lit(None).cast("double").alias("ratio"), F.lit("dividend").alias("type"),
-        F.lit("dividend").alias("details"), F.lit(1.5).alias("amount"),
-    )
-    return split.unionByName(bonus).unionByName(dividend)
+    return _view(spark, sf_dir, "v_events")
 
 
 def events_feed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +129,7 @@ def events_feed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def securities_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Securities master: one security per (segment = p_type, scrip_id = brand)."""
-    pa = _table(spark, sf_dir, "part")
-    first_key = F.min("p_partkey")
-    return pa.groupBy(F.col("p_type").alias("segment"), F.col("p_brand").alias("scrip_id")).agg(
-        (F.lit(500000) + first_key).cast("string").alias("scrip_code"),
-        F.min("p_name").alias("security_name"),
-        F.when(first_key % 3 == 0, "Active").when(first_key % 3 == 1, "Suspended")
-        .otherwise("Delisted").alias("status"),
-        F.min("p_size").cast("decimal(18,4)").alias("face_value"),
-    ).select("segment", "scrip_code", "security_name", "status", "scrip_id", "face_value")
+    return _view(spark, sf_dir, "v_securities")
 
 
 def securities_full_view(spark: SparkSession, sf_dir: str) -> DataFrame:
