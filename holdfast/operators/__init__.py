@@ -15,7 +15,7 @@ from holdfast.operators.positions import (
     trading_grid,
 )
 from holdfast.operators.reporting import latest_allocation, portfolio_valuation, resample
-from holdfast.operators.reshape import holdings_wide, melt, quotes_wide, trades_wide
+from holdfast.operators.reshape import holdings_wide, melt, pivot_values, quotes_wide, trades_wide
 from holdfast.operators.securities import (
     lookup_codes,
     normalise_securities,
@@ -37,7 +37,7 @@ __all__ = [
     "adjust_for_events", "adjustment_factor", "adjustment_intervals", "corporate_events",
     "holdings", "market_days", "position_balance", "price_history", "trades_aligned", "trading_grid",
     "latest_allocation", "portfolio_valuation", "resample",
-    "holdings_wide", "melt", "quotes_wide", "trades_wide",
+    "holdings_wide", "melt", "pivot_values", "quotes_wide", "trades_wide",
     "lookup_codes", "normalise_securities", "segment_audit", "segment_code", "segment_slug",
     "unknown_symbols", "with_security_id",
     "clean_tradebook", "earliest_trade_dates", "net_tradebook", "symbols", "tenure",

@@ -17,25 +17,16 @@ its window task larger.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.tradebook import bounds
 from holdfast.schemas import PRICE_TICKER_SUFFIX
 
 OFF_CALENDAR = ("keep", "drop")
 PRICE_FILL = ("zero", "carry")
 
 
-def _bounds(tenure: DataFrame) -> tuple[Column, Column]:
-    """Tenure start and end as fields of one scalar subquery.
-
-    One subquery (not one per field) so that every use in a plan is the same
-    subquery, which Spark evaluates once and reuses.
-    """
-    bounds = tenure.select(F.struct("start_date", "end_date")).scalar()
-    return bounds.getField("start_date"), bounds.getField("end_date")
-
-
 def price_history(prices: DataFrame, symbols: DataFrame, tenure: DataFrame,
                   suffix: str = PRICE_TICKER_SUFFIX) -> DataFrame:
     """Quotes of the held symbols inside the tenure [start_date, end_date).
@@ -43,7 +34,7 @@ def price_history(prices: DataFrame, symbols: DataFrame, tenure: DataFrame,
     Output: timestamp, symbol, ticker (symbol plus the feed's suffix), quote
     rounded to two decimals.
     """
-    start, end = _bounds(tenure)
+    start, end = bounds(tenure)
     return (
         prices.filter((F.col("timestamp") >= start) & (F.col("timestamp") < end))
         .join(symbols, "symbol", "left_semi")
@@ -68,7 +59,7 @@ def trading_grid(symbols: DataFrame, days: DataFrame, tenure: DataFrame) -> Data
     number of calendar days in the tenure). No cross join: each symbol row
     explodes its own date sequence, and the equi-join keeps the market days.
     """
-    start, end = _bounds(tenure)
+    start, end = bounds(tenure)
     dates = symbols.select(
         "symbol", F.explode(F.sequence(start, F.date_sub(end, 1))).alias("timestamp")
     )

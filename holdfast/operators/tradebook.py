@@ -67,14 +67,20 @@ def tenure(net: DataFrame) -> DataFrame:
     )
 
 
-def tenure_bounds(net: DataFrame) -> tuple[Column, Column]:
-    """The tenure as two scalar-subquery columns, usable in any expression.
+def bounds(tenure_row: DataFrame) -> tuple[Column, Column]:
+    """A one-row tenure as (start_date, end_date) columns, usable in any expression.
 
-    Spark runs the subquery once and folds its single value into the plan, so
-    nothing is cross-joined and nothing passes through Python.
+    Both come from one scalar subquery: Spark runs it once, reuses it at every
+    place it appears, and folds the value into the plan, so nothing is
+    cross-joined and nothing passes through Python.
     """
-    bounds = tenure(net).select(F.struct("start_date", "end_date")).scalar()
-    return bounds.getField("start_date"), bounds.getField("end_date")
+    row = tenure_row.select(F.struct("start_date", "end_date")).scalar()
+    return row.getField("start_date"), row.getField("end_date")
+
+
+def tenure_bounds(net: DataFrame) -> tuple[Column, Column]:
+    """The tenure of a net tradebook as two scalar-subquery columns."""
+    return bounds(tenure(net))
 
 
 def earliest_trade_dates(net: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.schemas import EVENTS_FEED, PRICES
+from holdfast.schemas import EVENTS_FEED
 
 
 def read_prices(spark: SparkSession, path: str, fmt: str = "parquet",
