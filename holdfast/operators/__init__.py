@@ -14,7 +14,7 @@ from holdfast.operators.positions import (
     trades_aligned,
     trading_grid,
 )
-from holdfast.operators.reporting import latest_allocation, portfolio_valuation, resample
+from holdfast.operators.reporting import latest_allocation, melted_holdings, portfolio_valuation, resample
 from holdfast.operators.reshape import holdings_wide, melt, pivot_values, quotes_wide, trades_wide
 from holdfast.operators.securities import (
     lookup_codes,
@@ -36,7 +36,7 @@ from holdfast.operators.tradebook import (
 __all__ = [
     "adjust_for_events", "adjustment_factor", "adjustment_intervals", "corporate_events",
     "holdings", "market_days", "position_balance", "price_history", "trades_aligned", "trading_grid",
-    "latest_allocation", "portfolio_valuation", "resample",
+    "latest_allocation", "melted_holdings", "portfolio_valuation", "resample",
     "holdings_wide", "melt", "pivot_values", "quotes_wide", "trades_wide",
     "lookup_codes", "normalise_securities", "segment_audit", "segment_code", "segment_slug",
     "unknown_symbols", "with_security_id",

@@ -49,3 +49,15 @@ def latest_allocation(holdings: DataFrame) -> DataFrame:
         "valuation",
         F.round(F.try_divide(F.col("valuation"), total) * 100, 2).alias("percentage"),
     )
+
+
+def melted_holdings(holdings: DataFrame, granularity: str | None = None,
+                    symbols: list[str] | None = None) -> DataFrame:
+    """The chart table: resample, one column per symbol, then back to long.
+
+    Output: Date (text), Security, Valuation, one row per period and symbol.
+    ``symbols`` fixes the columns of the wide step (see ``pivot_values``).
+    """
+    from holdfast.operators.reshape import holdings_wide, melt
+
+    return melt(holdings_wide(resample(holdings, granularity), symbols))

@@ -115,7 +115,7 @@ def holdings_wide(spark, sf_dir):
 
 def holdings_melt(spark, sf_dir):
     plan = _plan(spark, sf_dir)
-    return reshape.melt(reshape.holdings_wide(plan.holdings, reshape.pivot_values(plan.symbols)))
+    return rep.melted_holdings(plan.holdings, "day", reshape.pivot_values(plan.symbols))
 
 
 def holdings_weekly(spark, sf_dir):

@@ -123,4 +123,14 @@ def test_trades_aligned(golden):
 
 
 def test_materialized_net_gives_same_holdings(golden):
-    assert rows(golden(materialize=True).holdings) == rows(golden().holdings)
+    assert rows(golden(materialize=True).holdings) == rows(golden(materialize=False).holdings)
+
+
+def test_melted_holdings_by_granularity(golden):
+    from holdfast.operators import melted_holdings
+
+    h = golden().holdings
+    assert rows(melted_holdings(h, "month")) == [
+        ("2024-01-01", "AAA", 4220.0), ("2024-01-01", "BBB", 350.0),
+        ("2024-02-01", "AAA", 4260.0), ("2024-02-01", "BBB", 385.0)]
+    assert len(melted_holdings(h, "day").collect()) == 8
