@@ -39,12 +39,15 @@ class HoldingsPlan:
 
     tradebook: canonical executions; prices: (timestamp, symbol, quote);
     events_feed: (symbol, details, ex_date, ratio, type, amount), ex_date as
-    text or date.
+    text or date. Instead of a tradebook, ``executions`` may give already
+    cleaned rows (trade_date, symbol, signed quantity, price), such as the
+    table the streaming intake appends to.
     """
 
-    tradebook: DataFrame
+    tradebook: DataFrame | None
     prices: DataFrame
     events_feed: DataFrame
+    executions: DataFrame | None = None
     segment: str | None = None
     as_of: str | None = None
     off_calendar: str = "keep"
@@ -53,6 +56,9 @@ class HoldingsPlan:
 
     @cached_property
     def clean(self) -> DataFrame:
+        """Cleaned executions: given (e.g. the streaming intake's table) or from the tradebook."""
+        if self.executions is not None:
+            return self.executions.select("trade_date", "symbol", "quantity", "price")
         return tb.clean_tradebook(self.tradebook, self.segment)
 
     @cached_property
@@ -125,3 +131,9 @@ def holdings_from_files(spark: SparkSession, tradebook_path: str, prices: DataFr
     from holdfast.sources.tradebook import read_tradebook
 
     return build_holdings(read_tradebook(spark, tradebook_path, broker), prices, events_feed, **options)
+
+
+def holdings_from_executions(executions: DataFrame, prices: DataFrame, events_feed: DataFrame,
+                             **options) -> HoldingsPlan:
+    """Same, starting from cleaned executions (see ``streaming.read_executions``)."""
+    return HoldingsPlan(None, prices, events_feed, executions=executions, **options)

@@ -49,7 +49,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     Read from the session; only when nothing is configured (local runs and
     tests) a fresh local folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return root
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="holdfast-ckpt-")

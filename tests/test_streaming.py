@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
-from conftest import GOLDEN_TRADES, rows
+from conftest import GOLDEN_EVENTS, GOLDEN_PRICES, GOLDEN_TRADES, rows
 
-from holdfast import scratch_dir
+from holdfast import build_holdings, scratch_dir
 from holdfast.operators import clean_tradebook, net_tradebook
-from holdfast.schemas import TRADEBOOK
+from holdfast.plans.holdings import holdings_from_executions
+from holdfast.schemas import EVENTS_FEED, PRICES, TRADEBOOK
 from holdfast.streaming.tradebook_stream import read_executions, start_execution_intake
 from holdfast.sources import write_tradebook_csv
 
@@ -34,3 +36,10 @@ def test_intake_matches_batch_and_is_exactly_once(spark, tmp_path):
     assert len(executions.collect()) == 4          # the BE-series row is filtered out
     batch = net_tradebook(clean_tradebook(first.unionByName(second)))
     assert rows(net_tradebook(executions)) == rows(batch)
+
+    # the executions table feeds the holdings pipeline like a tradebook does
+    prices = spark.createDataFrame([(dt.date.fromisoformat(t), s, q) for t, s, q in GOLDEN_PRICES], PRICES)
+    events = spark.createDataFrame(GOLDEN_EVENTS, EVENTS_FEED)
+    streamed = holdings_from_executions(executions, prices, events).holdings
+    batch_plan = build_holdings(first.unionByName(second), prices, events).holdings
+    assert rows(streamed) == rows(batch_plan)
