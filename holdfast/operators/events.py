@@ -59,17 +59,22 @@ def adjustment_intervals(events: DataFrame) -> DataFrame:
     """(symbol, valid_from, valid_to, factor): the factor for trades in [valid_from, valid_to).
 
     ``valid_from`` is null for the interval before a symbol's first event.
-    Events sharing an ex_date are combined first, so intervals never overlap.
+    Events sharing an ex_date make one interval, so intervals never overlap.
     """
-    per_day = events.groupBy("symbol", "ex_date").agg(F.product("ratio").alias("ratio"))
-    by_date = Window.partitionBy("symbol").orderBy("ex_date")
-    still_to_come = by_date.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return per_day.select(
+    # One window per symbol, ordered by day number: RANGE frames treat events
+    # of the same day as one step, so the suffix product includes them all and
+    # the previous ex_date is the previous *distinct* one. The dedupe after it
+    # groups on (symbol, ...) and so reuses the window's partitioning: a single
+    # shuffle in all.
+    day = Window.partitionBy("symbol").orderBy(F.unix_date("ex_date"))
+    still_to_come = day.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    before = day.rangeBetween(Window.unboundedPreceding, -1)
+    return events.select(
         "symbol",
-        F.lag("ex_date").over(by_date).alias("valid_from"),
+        F.max("ex_date").over(before).alias("valid_from"),
         F.col("ex_date").alias("valid_to"),
         F.product("ratio").over(still_to_come).alias("factor"),
-    )
+    ).dropDuplicates(["symbol", "valid_to"])
 
 
 def _with_factor(net: DataFrame, events: DataFrame) -> DataFrame:

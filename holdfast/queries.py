@@ -29,8 +29,20 @@ LOOKUP_SEGMENT = "STANDARD"
 LOOKUP_STATUS = "Active"
 
 
+_INPUTS: dict[tuple[int, str], adapters.Inputs] = {}
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> adapters.Inputs:
+    """The stand-in inputs for one session and folder, built once (they are lazy plans)."""
+    key = (id(spark), sf_dir)
+    cached = _INPUTS.get(key)
+    if cached is None or cached.spark is not spark:
+        cached = _INPUTS[key] = adapters.Inputs(spark, sf_dir)
+    return cached
+
+
 def _plan(spark: SparkSession, sf_dir: str, **options) -> HoldingsPlan:
-    inputs = adapters.Inputs(spark, sf_dir)
+    inputs = _inputs(spark, sf_dir)
     return build_holdings(inputs.tradebook, inputs.prices, inputs.events_feed, **options)
 
 
@@ -143,22 +155,22 @@ def latest_allocation(spark, sf_dir):
 
 
 def securities_lookup(spark, sf_dir):
-    return sec.lookup_codes(_plan(spark, sf_dir).symbols, adapters.securities_view(spark, sf_dir),
+    return sec.lookup_codes(_plan(spark, sf_dir).symbols, _inputs(spark, sf_dir).securities,
                             LOOKUP_SEGMENT, LOOKUP_STATUS, FIXTURE_SEGMENTS)
 
 
 def unknown_symbols(spark, sf_dir):
-    return sec.unknown_symbols(_plan(spark, sf_dir).symbols, adapters.securities_view(spark, sf_dir),
+    return sec.unknown_symbols(_plan(spark, sf_dir).symbols, _inputs(spark, sf_dir).securities,
                                LOOKUP_SEGMENT, LOOKUP_STATUS, FIXTURE_SEGMENTS)
 
 
 def segment_codes(spark, sf_dir):
-    segments = adapters.securities_view(spark, sf_dir).select("segment").distinct()
+    segments = _inputs(spark, sf_dir).securities.select("segment").distinct()
     return segments.select("segment", sec.segment_code("segment").alias("code"))
 
 
 def segment_slug(spark, sf_dir):
-    segments = adapters.securities_view(spark, sf_dir).select("segment").distinct()
+    segments = _inputs(spark, sf_dir).securities.select("segment").distinct()
     return segments.select("segment", sec.segment_slug("segment").alias("slug"))
 
 
