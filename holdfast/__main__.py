@@ -37,9 +37,12 @@ def _holdings(args: argparse.Namespace) -> int:
         broker=args.broker, segment=args.segment, as_of=args.as_of,
         off_calendar=args.off_calendar, price_fill=args.price_fill,
     )
-    daily = plan.holdings
+    # write the daily holdings once, then derive every report from that table:
+    # six lazy writes would otherwise run the whole pipeline six times
+    daily_path = os.path.join(args.out, "holdings_daily")
+    plan.holdings.write.mode("overwrite").parquet(daily_path)
+    daily = spark.read.schema(plan.holdings.schema).parquet(daily_path)
     outputs = {
-        "holdings_daily": daily,
         "holdings_weekly": resample(daily, "week"),
         "holdings_monthly": resample(daily, "month"),
         "holdings_yearly": resample(daily, "year"),
