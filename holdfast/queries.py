@@ -41,9 +41,21 @@ def _inputs(spark: SparkSession, sf_dir: str) -> adapters.Inputs:
     return cached
 
 
+_PLANS: dict[tuple, HoldingsPlan] = {}
+
+
 def _plan(spark: SparkSession, sf_dir: str, **options) -> HoldingsPlan:
-    inputs = _inputs(spark, sf_dir)
-    return build_holdings(inputs.tradebook, inputs.prices, inputs.events_feed, **options)
+    """One holdings plan per session, folder and options, shared by the keys.
+
+    As with one portfolio and many reports: the net tradebook is written once
+    (when a key first needs it) and every later report reads that table.
+    """
+    key = (id(spark), sf_dir, tuple(sorted(options.items())))
+    plan = _PLANS.get(key)
+    if plan is None or plan.prices.sparkSession is not spark:
+        inputs = _inputs(spark, sf_dir)
+        plan = _PLANS[key] = build_holdings(inputs.tradebook, inputs.prices, inputs.events_feed, **options)
+    return plan
 
 
 def tradebook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
