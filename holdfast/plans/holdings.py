@@ -85,7 +85,13 @@ class HoldingsPlan:
 
     @cached_property
     def price_history(self) -> DataFrame:
-        return pos.price_history(self.prices, self.symbols, self.tenure)
+        """Quotes of the held symbols in the tenure; written once if ``materialize``.
+
+        Every report reads them twice (as price rows and as the market-day
+        set), so the price source is scanned once, not once per use.
+        """
+        hist = pos.price_history(self.prices, self.symbols, self.tenure)
+        return write_and_read(hist, "price-history") if self.materialize else hist
 
     @cached_property
     def events(self) -> DataFrame:
