@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.operators import events as ev
 from holdfast.operators import positions as pos
+from holdfast.operators import reshape
 from holdfast.operators import tradebook as tb
 from holdfast.session import scratch_dir
 
@@ -75,6 +76,11 @@ class HoldingsPlan:
     def symbols(self) -> DataFrame:
         return tb.symbols(self._net)
 
+    @cached_property
+    def symbol_list(self) -> list[str]:
+        """The sorted symbols as a Python list, for the columns of wide tables (size-checked)."""
+        return reshape.pivot_values(self.symbols)
+
     @cached_property
     def tenure(self) -> DataFrame:
         return tb.tenure(self._net)

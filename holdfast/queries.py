@@ -124,22 +124,22 @@ def holdings_carried(spark, sf_dir):
 
 def trades_wide(spark, sf_dir):
     plan = _plan(spark, sf_dir)
-    return reshape.trades_wide(plan.trades_aligned, reshape.pivot_values(plan.symbols))
+    return reshape.trades_wide(plan.trades_aligned, plan.symbol_list)
 
 
 def quotes_wide(spark, sf_dir):
     plan = _plan(spark, sf_dir)
-    return reshape.quotes_wide(plan.price_history, reshape.pivot_values(plan.symbols))
+    return reshape.quotes_wide(plan.price_history, plan.symbol_list)
 
 
 def holdings_wide(spark, sf_dir):
     plan = _plan(spark, sf_dir)
-    return reshape.holdings_wide(plan.holdings, reshape.pivot_values(plan.symbols))
+    return reshape.holdings_wide(plan.holdings, plan.symbol_list)
 
 
 def holdings_melt(spark, sf_dir):
     plan = _plan(spark, sf_dir)
-    return rep.melted_holdings(plan.holdings, "day", reshape.pivot_values(plan.symbols))
+    return rep.melted_holdings(plan.holdings, "day", plan.symbol_list)
 
 
 def holdings_weekly(spark, sf_dir):
