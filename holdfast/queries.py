@@ -2,7 +2,8 @@
 
 Each entry takes (spark, sf_dir) and returns a lazy DataFrame. Inputs come
 from :mod:`holdfast.sources.adapters`; queries that exercise a file format
-write their input to a fresh folder under the cluster's checkpoint root first.
+read their input from a folder under the cluster's checkpoint root, written
+once per session.
 """
 
 from __future__ import annotations
@@ -58,9 +59,24 @@ def _plan(spark: SparkSession, sf_dir: str, **options) -> HoldingsPlan:
     return plan
 
 
+_FILES: dict[tuple, str] = {}
+
+
+def _input_files(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Write an input in a file format once per session and folder (a broker
+    export, listing snapshots, a hand-over CSV); the keys time only reading it."""
+    key = (id(spark), sf_dir, name)
+    path = _FILES.get(key)
+    if path is None or _inputs(spark, sf_dir).spark is not spark:
+        path = scratch_dir(spark, name)
+        write(path)
+        _FILES[key] = path
+    return path
+
+
 def tradebook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_dir(spark, "tradebook-csv")
-    write_tradebook_csv(adapters.tradebook_view(spark, sf_dir), path)
+    path = _input_files(spark, sf_dir, "tradebook-csv",
+                        lambda p: write_tradebook_csv(_inputs(spark, sf_dir).tradebook, p))
     return read_tradebook(spark, path, broker="Zerodha")
 
 
@@ -186,21 +202,22 @@ def segment_slug(spark, sf_dir):
     return segments.select("segment", sec.segment_slug("segment").alias("slug"))
 
 
+def _snapshots(spark, sf_dir) -> str:
+    return _input_files(spark, sf_dir, "securities-json",
+                        lambda p: src.write_snapshots(adapters.securities_full_view(spark, sf_dir), p))
+
+
 def securities_normalise(spark, sf_dir):
-    path = scratch_dir(spark, "securities-json")
-    src.write_snapshots(adapters.securities_full_view(spark, sf_dir), path)
-    return sec.normalise_securities(src.read_snapshots(spark, path))
+    return sec.normalise_securities(src.read_snapshots(spark, _snapshots(spark, sf_dir)))
 
 
 def securities_refresh(spark, sf_dir):
-    snapshots = scratch_dir(spark, "securities-json")
-    src.write_snapshots(adapters.securities_full_view(spark, sf_dir), snapshots)
-    return refresh_securities(spark, snapshots, scratch_dir(spark, "securities-table"))
+    return refresh_securities(spark, _snapshots(spark, sf_dir), scratch_dir(spark, "securities-table"))
 
 
 def securities_roundtrip(spark, sf_dir):
-    path = scratch_dir(spark, "securities-csv")
-    src.write_securities_csv(adapters.securities_full_view(spark, sf_dir), path)
+    path = _input_files(spark, sf_dir, "securities-csv",
+                        lambda p: src.write_securities_csv(adapters.securities_full_view(spark, sf_dir), p))
     table = ingest_securities_csv(spark, path, scratch_dir(spark, "securities-table"))
     return table.select(*SECURITIES_COLUMNS)
 
