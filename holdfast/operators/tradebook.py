@@ -59,12 +59,14 @@ def symbols(net: DataFrame) -> DataFrame:
     return net.select("symbol").distinct()
 
 
-def tenure(net: DataFrame) -> DataFrame:
-    """One row: first trade date and the day after the last one (half-open end)."""
-    return net.agg(
-        F.min("trade_date").alias("start_date"),
-        F.date_add(F.max("trade_date"), 1).alias("end_date"),
-    )
+def tenure(net: DataFrame, end: str | None = None) -> DataFrame:
+    """One row: first trade date and the (exclusive) end of the valuation window.
+
+    The end is the day after the last trade, or ``end`` when given (e.g. today,
+    to value holdings up to now).
+    """
+    end_date = F.date_add(F.max("trade_date"), 1) if end is None else F.lit(end).cast("date")
+    return net.agg(F.min("trade_date").alias("start_date"), end_date.alias("end_date"))
 
 
 def bounds(tenure_row: DataFrame) -> tuple[Column, Column]:

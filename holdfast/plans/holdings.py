@@ -9,7 +9,8 @@ default) the net tradebook is written once, as Parquet, to a fresh folder
 under the cluster's checkpoint root and read back: the raw scan runs exactly
 once, the branches read a table of at most (days x symbols) rows with real
 size statistics, and lineage is cut there, so a lost executor recomputes from
-that table and not from the raw files.
+that table and not from the raw files. The held symbols' price history is
+written the same way, as every report reads it twice.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from holdfast.operators import events as ev
 from holdfast.operators import positions as pos
@@ -43,6 +45,12 @@ class HoldingsPlan:
     text or date. Instead of a tradebook, ``executions`` may give already
     cleaned rows (trade_date, symbol, signed quantity, price), such as the
     table the streaming intake appends to.
+
+    Switches: ``off_calendar`` ("keep" | "drop") for trades on days without
+    prices; ``price_fill`` ("zero" | "carry") for days without a quote;
+    ``calendar`` (a frame with a ``timestamp`` column) replaces the market days
+    taken from the price history; ``end`` ends the valuation window (default:
+    the day after the last trade); ``as_of`` bounds the events (default today).
     """
 
     tradebook: DataFrame | None
@@ -54,6 +62,8 @@ class HoldingsPlan:
     off_calendar: str = "keep"
     price_fill: str = "zero"
     materialize: bool = True
+    calendar: DataFrame | None = None
+    end: str | None = None
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -83,7 +93,7 @@ class HoldingsPlan:
 
     @cached_property
     def tenure(self) -> DataFrame:
-        return tb.tenure(self._net)
+        return tb.tenure(self._net, self.end)
 
     @cached_property
     def start_dates(self) -> DataFrame:
@@ -113,7 +123,12 @@ class HoldingsPlan:
 
     @cached_property
     def market_days(self) -> DataFrame:
-        return pos.market_days(self.price_history)
+        """The union of the held symbols' price days, or the given ``calendar`` cut to the tenure."""
+        if self.calendar is None:
+            return pos.market_days(self.price_history)
+        start, end = tb.bounds(self.tenure)
+        days = self.calendar.select(F.col("timestamp").cast("date").alias("timestamp")).distinct()
+        return days.filter((F.col("timestamp") >= start) & (F.col("timestamp") < end))
 
     @cached_property
     def trades_aligned(self) -> DataFrame:

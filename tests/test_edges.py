@@ -119,3 +119,22 @@ def test_events_outside_the_window_are_ignored(make_tradebook, make_prices, make
     plan = _plan(make_tradebook, make_prices, make_events, [trade("2024-01-02", "AAA", "buy", 1, 10)], events)
     assert rows(plan.events, "ex_date") == [(d("2024-01-03"),)]
     assert rows(plan.adjusted, "quantity") == [(3.0,)]
+
+
+def test_given_calendar_replaces_the_price_days(spark, make_tradebook, make_prices, make_events):
+    cal = spark.createDataFrame([(d("2024-01-02"),), (d("2024-01-03"),), (d("2024-01-04"),), (d("2023-12-29"),)],
+                                "timestamp date")
+    plan = _plan(make_tradebook, make_prices, make_events, [trade("2024-01-02", "AAA", "buy", 2, 10),
+                                                           trade("2024-01-04", "AAA", "buy", 1, 10)], [],
+                 [("2024-01-02", "AAA", 10.0), ("2024-01-04", "AAA", 12.0)], calendar=cal)
+    # the calendar is cut to the tenure; 01-03 has no price, so it is valued at 0
+    assert rows(plan.holdings, "timestamp", "valuation") == [
+        (d("2024-01-02"), 20.0), (d("2024-01-03"), 0.0), (d("2024-01-04"), 36.0)]
+
+
+def test_end_extends_the_valuation_window(make_tradebook, make_prices, make_events):
+    prices = [("2024-01-02", "AAA", 10.0), ("2024-01-05", "AAA", 11.0), ("2024-01-09", "AAA", 12.0)]
+    plan = _plan(make_tradebook, make_prices, make_events, [trade("2024-01-02", "AAA", "buy", 2, 10)], [], prices,
+                 end="2024-01-09")
+    assert rows(plan.tenure) == [(d("2024-01-02"), d("2024-01-09"))]
+    assert rows(plan.holdings, "timestamp", "valuation") == [(d("2024-01-02"), 20.0), (d("2024-01-05"), 22.0)]
