@@ -3,7 +3,8 @@
     python -m holdfast holdings --tradebook T --prices P --events E --out DIR
         [--broker Zerodha] [--segment ...] [--prices-format parquet|csv|json]
         [--events-format json|csv|parquet] [--price-fill zero|carry]
-        [--off-calendar keep|drop] [--as-of YYYY-MM-DD]
+        [--off-calendar keep|drop] [--as-of YYYY-MM-DD] [--end YYYY-MM-DD]
+        [--calendar PARQUET]
 
 writes Parquet tables under DIR: holdings_daily, holdings_weekly,
 holdings_monthly, holdings_yearly (resampled sums), portfolio_valuation and
@@ -35,7 +36,8 @@ def _holdings(args: argparse.Namespace) -> int:
         read_prices(spark, args.prices, fmt=args.prices_format),
         read_events(spark, args.events, fmt=args.events_format),
         broker=args.broker, segment=args.segment, as_of=args.as_of,
-        off_calendar=args.off_calendar, price_fill=args.price_fill,
+        off_calendar=args.off_calendar, price_fill=args.price_fill, end=args.end,
+        calendar=spark.read.parquet(args.calendar) if args.calendar else None,
     )
     # write the daily holdings once, then derive every report from that table:
     # six lazy writes would otherwise run the whole pipeline six times
@@ -78,6 +80,8 @@ def main(argv: list[str] | None = None) -> int:
     h.add_argument("--price-fill", default="zero", choices=["zero", "carry"])
     h.add_argument("--off-calendar", default="keep", choices=["keep", "drop"])
     h.add_argument("--as-of", default=None)
+    h.add_argument("--end", default=None, help="end of the valuation window (exclusive), YYYY-MM-DD")
+    h.add_argument("--calendar", default=None, help="Parquet table of market days (column timestamp)")
     h.set_defaults(run=_holdings)
 
     r = sub.add_parser("refresh-securities", help="rebuild the securities master from snapshots")
