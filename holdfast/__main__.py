@@ -58,7 +58,7 @@ def _holdings(args: argparse.Namespace) -> int:
 
 def _refresh(args: argparse.Namespace) -> int:
     spark = get_session(args.master)
-    for row in refresh_securities(spark, args.snapshots, args.table).orderBy("segment").collect():
+    for row in refresh_securities(spark, args.snapshots, args.table, args.multi_line).orderBy("segment").collect():
         print(f"{row['segment']}\t{row['rows']}")
     return 0
 
@@ -87,6 +87,7 @@ def main(argv: list[str] | None = None) -> int:
     r = sub.add_parser("refresh-securities", help="rebuild the securities master from snapshots")
     r.add_argument("--snapshots", required=True)
     r.add_argument("--table", required=True)
+    r.add_argument("--multi-line", action="store_true", help="snapshot files are pretty-printed JSON")
     r.set_defaults(run=_refresh)
 
     args = parser.parse_args(argv)

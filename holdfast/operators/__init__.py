@@ -5,6 +5,7 @@ from holdfast.operators.events import (
     adjustment_factor,
     adjustment_intervals,
     corporate_events,
+    unparsed_events,
 )
 from holdfast.operators.positions import (
     holdings,
@@ -34,7 +35,7 @@ from holdfast.operators.tradebook import (
 )
 
 __all__ = [
-    "adjust_for_events", "adjustment_factor", "adjustment_intervals", "corporate_events",
+    "adjust_for_events", "adjustment_factor", "adjustment_intervals", "corporate_events", "unparsed_events",
     "holdings", "market_days", "position_balance", "price_history", "trades_aligned", "trading_grid",
     "latest_allocation", "melted_holdings", "portfolio_valuation", "resample",
     "holdings_wide", "melt", "pivot_values", "quotes_wide", "trades_wide",

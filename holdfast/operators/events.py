@@ -38,7 +38,10 @@ def corporate_events(feed: DataFrame, start_dates: DataFrame, as_of: str | Colum
     """
     ex_date = F.col("ex_date")
     if isinstance(feed.schema["ex_date"].dataType, StringType):
-        ex_date = F.to_date(ex_date, date_format)
+        # explicit, so a bad date fails whatever the session's ANSI setting
+        parsed = F.try_to_date(ex_date, date_format)
+        ex_date = F.when(ex_date.isNotNull() & parsed.isNull(),
+                         F.raise_error(F.concat(F.lit("unparseable ex_date: "), ex_date))).otherwise(parsed)
     if as_of is None:
         upper = F.current_date()
     elif isinstance(as_of, Column):
@@ -55,6 +58,16 @@ def corporate_events(feed: DataFrame, start_dates: DataFrame, as_of: str | Colum
     )
 
 
+def unparsed_events(feed: DataFrame, date_format: str = "dd MMM yyyy") -> DataFrame:
+    """Feed rows whose text ``ex_date`` does not parse: the audit of a dirty feed.
+
+    ``corporate_events`` fails on such a row rather than dropping an event
+    silently; this lists them (all columns) so a feed can be checked first.
+    """
+    return feed.filter(F.col("ex_date").isNotNull()
+                       & F.try_to_date(F.col("ex_date"), date_format).isNull())
+
+
 def adjustment_intervals(events: DataFrame) -> DataFrame:
     """(symbol, valid_from, valid_to, factor): the factor for trades in [valid_from, valid_to).
 

@@ -15,13 +15,14 @@ from holdfast.operators import securities as sec
 from holdfast.sources import securities as src
 
 
-def refresh_securities(spark: SparkSession, snapshot_path: str, table_path: str) -> DataFrame:
+def refresh_securities(spark: SparkSession, snapshot_path: str, table_path: str,
+                       multi_line: bool = False) -> DataFrame:
     """Snapshots (``segment=<name>/`` folders of JSON) to the master table.
 
     Returns the load audit (segment, rows) read back from the written table.
     A segment with no snapshot simply has no rows (and no audit line).
     """
-    normalised = sec.normalise_securities(src.read_snapshots(spark, snapshot_path))
+    normalised = sec.normalise_securities(src.read_snapshots(spark, snapshot_path, multi_line))
     write_master(sec.with_security_id(normalised), table_path)
     return sec.segment_audit(src.read_securities_table(spark, table_path))
 

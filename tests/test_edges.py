@@ -138,3 +138,15 @@ def test_end_extends_the_valuation_window(make_tradebook, make_prices, make_even
                  end="2024-01-09")
     assert rows(plan.tenure) == [(d("2024-01-02"), d("2024-01-09"))]
     assert rows(plan.holdings, "timestamp", "valuation") == [(d("2024-01-02"), 20.0), (d("2024-01-05"), 22.0)]
+
+
+def test_dirty_event_dates_fail_the_adjustment_and_are_listed(make_tradebook, make_prices, make_events):
+    from holdfast.operators import unparsed_events
+
+    events = make_events([("AAA", "split", "03 Jan 2024", 2.0, "split", None),
+                          ("AAA", "split", "2024-13-45", 2.0, "split", None),
+                          ("AAA", "bonus", None, 2.0, "bonus", None)])
+    assert rows(unparsed_events(events), "ex_date") == [("2024-13-45",)]
+    plan = build_holdings(make_tradebook([trade("2024-01-02", "AAA", "buy", 1, 10)]), make_prices(PRICES), events)
+    with pytest.raises(Exception):
+        plan.adjusted.collect()
