@@ -6,6 +6,7 @@ from holdfast.functions.columns import (
     map_lookup,
     signed_quantity,
     slug,
+    strict,
     truncate_date,
     weighted_average,
 )
@@ -16,6 +17,7 @@ __all__ = [
     "map_lookup",
     "signed_quantity",
     "slug",
+    "strict",
     "truncate_date",
     "weighted_average",
 ]

@@ -83,3 +83,13 @@ def falsy_to_null(value: Column, target: str = "string") -> Column:
         | (numeric & (as_number == F.lit(0.0)))
     )
     return F.when(~falsy, F.try_variant_get(value, "$", target))
+
+
+def strict(raw: Column, parsed: Column, name: str) -> Column:
+    """``parsed``, but a job error where ``raw`` has a value that did not parse.
+
+    Spelled out so a malformed field fails the job whatever the session's ANSI
+    setting, instead of becoming a silent null.
+    """
+    message = F.concat(F.lit(f"malformed {name}: "), raw.cast("string"))
+    return F.when(raw.isNotNull() & parsed.isNull(), F.raise_error(message)).otherwise(parsed)

@@ -13,7 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from holdfast.functions import strict
 from holdfast.schemas import TRADEBOOK
 
 Loader = Callable[[SparkSession, str], DataFrame]
@@ -45,21 +47,21 @@ def read_tradebook(spark: SparkSession, path: str | list[str], broker: str = "Ze
 def cast_by_name(raw: DataFrame) -> DataFrame:
     """Select the canonical columns by name from an all-string frame and cast them.
 
-    Casts run in ANSI mode, so a malformed number or date fails the job rather
-    than turning into a silent null in a ledger.
+    A malformed number, flag or date fails the job rather than turning into a
+    silent null in a ledger.
     """
-    casts = {
-        "trade_date": lambda c: F.to_date(c, "yyyy-MM-dd"),
-        "order_execution_time": lambda c: F.to_timestamp_ntz(c),
+    parsers = {
+        "trade_date": lambda c: F.try_to_date(c, "yyyy-MM-dd"),
+        "order_execution_time": lambda c: c.try_cast("timestamp_ntz"),   # wall clock, no zone
     }
     cols = []
     for field in TRADEBOOK.fields:
         c = F.col(field.name)
-        if field.name in casts:
-            c = casts[field.name](c)
-        else:
-            c = c.cast(field.dataType)
-        cols.append(c.alias(field.name))
+        if isinstance(field.dataType, StringType):
+            cols.append(c.alias(field.name))
+            continue
+        parsed = parsers[field.name](c) if field.name in parsers else c.try_cast(field.dataType)
+        cols.append(strict(c, parsed, field.name).alias(field.name))
     return raw.select(*cols)
 
 

@@ -58,3 +58,22 @@ def test_whole_pipeline_from_feeds(spark, make_tradebook, tmp_path):
     assert rows(plan.holdings.filter("symbol = 'AAA'"), "timestamp", "valuation") == [
         (d("2024-01-02"), 2100.0), (d("2024-01-03"), 0.0), (d("2024-02-05"), 2100.0)]
     assert os.path.isdir(tb_path)
+
+
+def test_malformed_tradebook_fields_fail_the_load(spark, tmp_path):
+    import pytest
+
+    from holdfast.schemas import TRADEBOOK
+
+    path = str(tmp_path / "bad.csv")
+    header = ",".join(TRADEBOOK.fieldNames())
+    good = "AAA,I1,2024-01-02,X,EQ,EQ,buy,false,10,100.50,t1,o1,2024-01-02T10:00:00"
+    bad = "AAA,I1,2024-01-02,X,EQ,EQ,buy,false,ten,100.50,t1,o1,2024-01-02T10:00:00"
+    with open(path, "w") as fh:
+        fh.write(header + "\n" + good + "\n")
+    got = read_tradebook(spark, path).collect()[0]
+    assert got["quantity"] == 10 and str(got["price"]) == "100.50" and got["auction"] is False
+    with open(path, "w") as fh:
+        fh.write(header + "\n" + good + "\n" + bad + "\n")
+    with pytest.raises(Exception, match="malformed quantity"):
+        read_tradebook(spark, path).collect()
