@@ -60,7 +60,10 @@ def trading_grid(symbols: DataFrame, days: DataFrame, tenure: DataFrame) -> Data
     explodes its own date sequence, and the equi-join keeps the market days.
     """
     start, end = bounds(tenure)
-    dates = symbols.select(
+    # hash-partitioned by symbol before the explode: the (symbols x days) rows
+    # are generated in as many tasks as the other inputs of the window use,
+    # and never shuffled themselves
+    dates = symbols.select("symbol").repartition("symbol").select(
         "symbol", F.explode(F.sequence(start, F.date_sub(end, 1))).alias("timestamp")
     )
     return dates.join(F.broadcast(days.select("timestamp")), "timestamp").select("symbol", "timestamp")
@@ -72,7 +75,7 @@ def _trade_rows(adjusted: DataFrame, market: DataFrame, off_calendar: str) -> Da
     trades = adjusted.select("symbol", F.col("trade_date").alias("timestamp"), "quantity")
     if off_calendar == "drop":
         trades = trades.join(F.broadcast(market.select("timestamp")), "timestamp", "left_semi")
-    return trades
+    return trades.repartition("symbol")
 
 
 def trades_aligned(adjusted: DataFrame, market: DataFrame, symbols: DataFrame, tenure: DataFrame,
@@ -111,7 +114,7 @@ def _day_rows(adjusted: DataFrame, market: DataFrame, symbols: DataFrame, tenure
         F.col("quantity").cast("double").alias("quantity"), null_quote.alias("quote"))
     rows = grid.unionByName(trades)
     if price_hist is not None:
-        rows = rows.unionByName(price_hist.select(
+        rows = rows.unionByName(price_hist.repartition("symbol").select(
             "symbol", "timestamp", F.lit(False).alias("on_grid"), F.lit(0.0).alias("quantity"),
             F.col("quote").cast("double").alias("quote")))
     return rows

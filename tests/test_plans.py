@@ -89,24 +89,22 @@ def _window_children(text: str) -> list[str]:
     return out
 
 
-def _one_symbol_shuffle_into_window(text: str) -> bool:
-    """The window reads the union directly or through one exchange on symbol."""
-    children = _window_children(text)
-    return any(c.startswith("Union") or re.match(r"Exchange hashpartitioning\(symbol#\d+, \d+\)", c)
-               for c in children)
+def _union_feeds_window(text: str) -> bool:
+    """The symbol window reads the union directly: no exchange between them."""
+    return any(c.startswith("Union") for c in _window_children(text))
 
 
-def test_union_reaches_the_symbol_window_through_at_most_one_shuffle(parquet_inputs):
-    # small sides are broadcast, so the union is shuffled once, by symbol; with
-    # sort-merge joins on symbol (large inputs) it arrives partitioned already
+def test_union_feeds_the_symbol_window_directly(parquet_inputs):
+    # trades and prices are each shuffled once by symbol, the grid is generated
+    # after the symbols' shuffle; the union is then partitioned by symbol
     plan = build_holdings(*parquet_inputs)
     for df in (plan.holdings, plan.trades_aligned, plan.balance):
-        assert _one_symbol_shuffle_into_window(executed(df))
+        assert _union_feeds_window(executed(df))
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="test data not present")
-def test_registered_holdings_queries_keep_one_symbol_shuffle(spark):
+def test_registered_holdings_queries_feed_the_window_directly(spark):
     from holdfast.queries import holdings_daily, trades_aligned
 
     for q in (holdings_daily, trades_aligned):
-        assert _one_symbol_shuffle_into_window(executed(q(spark, "/root/testdata/sf0.01")))
+        assert _union_feeds_window(executed(q(spark, "/root/testdata/sf0.01")))
