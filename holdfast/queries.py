@@ -59,19 +59,19 @@ def _plan(spark: SparkSession, sf_dir: str, **options) -> HoldingsPlan:
     return plan
 
 
-_FILES: dict[tuple, str] = {}
+_FILES: dict[tuple, tuple[SparkSession, str]] = {}
 
 
 def _input_files(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     """Write an input in a file format once per session and folder (a broker
     export, listing snapshots, a hand-over CSV); the keys time only reading it."""
     key = (id(spark), sf_dir, name)
-    path = _FILES.get(key)
-    if path is None or _inputs(spark, sf_dir).spark is not spark:
+    cached = _FILES.get(key)
+    if cached is None or cached[0] is not spark:
         path = scratch_dir(spark, name)
         write(path)
-        _FILES[key] = path
-    return path
+        cached = _FILES[key] = (spark, path)
+    return cached[1]
 
 
 def tradebook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
