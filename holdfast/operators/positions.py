@@ -8,11 +8,13 @@ calendar day (about 3,650 per decade) whatever the data volume.
 
 The running balance and the day's price come out of one window pass: grid
 rows, trade rows and price rows are unioned and ordered per symbol, so a
-position and its price meet without a join on (day, symbol), and the only
-shuffle is the one by ``symbol`` the window needs. A symbol's rows number at
-most its days plus its trade days plus its price days, since trades were
-netted per day before: a symbol with a third of all executions does not make
-its window task larger.
+position and its price meet without a join on (day, symbol). Each input is
+hash-partitioned by ``symbol`` before the union (trades and prices are
+shuffled once, the grid is generated after the small shuffle of the symbols),
+so the union feeds the window with no exchange in between and the (symbols x
+days) rows are never shuffled. A symbol's rows number at most its days plus
+its trade days plus its price days, since trades were netted per day before:
+a symbol with a third of all executions does not make its window task larger.
 """
 
 from __future__ import annotations
