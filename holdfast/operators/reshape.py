@@ -65,6 +65,12 @@ def melt(wide: DataFrame, id_column: str = "timestamp", var_name: str = "Securit
          value_name: str = "Valuation", date_name: str = "Date") -> DataFrame:
     """Wide to long: (Date as text, Security, Valuation), one row per cell."""
     values = [c for c in wide.columns if c != id_column]
+    if not values:   # no symbols at all: the long form is empty, not an error
+        return wide.filter(F.lit(False)).select(
+            F.col(id_column).cast("string").alias(date_name),
+            F.lit(None).cast("string").alias(var_name),
+            F.lit(None).cast("double").alias(value_name),
+        )
     long = wide.unpivot([id_column], [F.col(f"`{c}`") for c in values], var_name, value_name)
     return long.select(
         F.col(id_column).cast("string").alias(date_name), var_name, value_name

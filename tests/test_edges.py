@@ -150,3 +150,15 @@ def test_dirty_event_dates_fail_the_adjustment_and_are_listed(make_tradebook, ma
     plan = build_holdings(make_tradebook([trade("2024-01-02", "AAA", "buy", 1, 10)]), make_prices(PRICES), events)
     with pytest.raises(Exception):
         plan.adjusted.collect()
+
+
+def test_empty_tradebook_gives_empty_reports(spark, make_tradebook, make_prices, make_events):
+    from holdfast.operators import melted_holdings, portfolio_valuation, resample
+
+    plan = _plan(make_tradebook, make_prices, make_events, [], [], [])
+    assert plan.holdings.collect() == [] and plan.symbol_list == []
+    assert resample(plan.holdings, "month").collect() == []
+    assert portfolio_valuation(plan.holdings).collect() == []
+    assert latest_allocation(plan.holdings).collect() == []
+    long = melted_holdings(plan.holdings, "week", plan.symbol_list)
+    assert long.columns == ["Date", "Security", "Valuation"] and long.collect() == []
