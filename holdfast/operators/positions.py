@@ -162,8 +162,11 @@ def holdings(adjusted: DataFrame, price_hist: DataFrame, market: DataFrame, symb
     if price_fill not in PRICE_FILL:
         raise ValueError(f"price_fill must be one of {PRICE_FILL}")
     rows = _day_rows(adjusted, market, symbols, tenure, off_calendar, price_hist)
+    # the day's quote is the highest of the day, so a feed with two quotes for
+    # a day still gives one answer; "carry" takes it from the last priced day
+    rows = rows.withColumn("quote", F.max("quote").over(_today()))
     if price_fill == "zero":
-        quote = F.max("quote").over(_today())
+        quote = F.col("quote")
     else:
         quote = F.last("quote", ignorenulls=True).over(_up_to_today())
     valued = rows.select(

@@ -162,3 +162,11 @@ def test_empty_tradebook_gives_empty_reports(spark, make_tradebook, make_prices,
     assert latest_allocation(plan.holdings).collect() == []
     long = melted_holdings(plan.holdings, "week", plan.symbol_list)
     assert long.columns == ["Date", "Security", "Valuation"] and long.collect() == []
+
+
+def test_two_quotes_on_one_day_give_one_answer(make_tradebook, make_prices, make_events):
+    prices = [("2024-01-02", "AAA", 10.0), ("2024-01-02", "AAA", 11.0), ("2024-01-04", "AAA", 12.0)]
+    for fill in ("zero", "carry"):
+        plan = _plan(make_tradebook, make_prices, make_events, [trade("2024-01-02", "AAA", "buy", 2, 10)], [],
+                     prices, price_fill=fill, end="2024-01-05")
+        assert rows(plan.holdings, "timestamp", "valuation") == [(d("2024-01-02"), 22.0), (d("2024-01-04"), 24.0)]
