@@ -134,3 +134,33 @@ def test_holdings_match_brute_force(make_tradebook, make_prices, make_events, tr
     plan = build_holdings(tb, pdf, ev, price_fill="carry" if carry else "zero")
     got = {((r["timestamp"] - BASE).days, r["symbol"]): r["valuation"] for r in plan.holdings.collect()}
     assert got == holdings_model(trades, prices, carry)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(trades=trades_st, prices=prices_st)
+def test_aligned_trades_and_allocation_match_brute_force(make_tradebook, make_prices, make_events, trades, prices):
+    from holdfast.operators import latest_allocation
+
+    tb, _, ev = _inputs(make_tradebook, make_prices, make_events, trades, [])
+    first, last = min(t[0] for t in trades), max(t[0] for t in trades)
+    held = sorted({t[1] for t in trades})
+    prices = [(day, s, q / 100) for day, s, q in prices if first <= day <= last and s in held]
+    pdf = make_prices([((BASE + dt.timedelta(days=day)).isoformat(), s, q) for day, s, q in prices])
+    plan = build_holdings(tb, pdf, ev)
+
+    adjusted = model(trades, [])
+    days = sorted({day for day, _, _ in prices} | {day for day, _ in adjusted})
+    want = {(day, s): adjusted.get((day, s), 0.0) for day in days for s in held}
+    got = {((r["timestamp"] - BASE).days, r["symbol"]): r["quantity"] for r in plan.trades_aligned.collect()}
+    assert got == want
+
+    valued = holdings_model(trades, prices)
+    if valued:
+        latest = max(day for day, _ in valued)
+        total = round(sum(v for (day, _), v in valued.items() if day == latest), 2)
+        expect = sorted((s, v, None if total == 0 else round(v / total * 100, 2))
+                        for (day, s), v in valued.items() if day == latest)
+        got_alloc = rows(latest_allocation(plan.holdings))
+        assert [(s, v) for s, v, _ in got_alloc] == [(s, v) for s, v, _ in expect]
+        for (_, _, p1), (_, _, p2) in zip(got_alloc, expect):
+            assert (p1 is None and p2 is None) or abs(p1 - p2) <= 0.01
