@@ -31,3 +31,15 @@ def test_holdings_command_writes_the_reports(spark, make_tradebook, tmp_path):
         ("AAA", 2100.0, 84.51), ("BBB", 385.0, 15.49)]
     assert rows(spark.read.parquet(os.path.join(out, "holdings_monthly")), "timestamp", "symbol", "valuation")[0] == (
         d("2024-01-01"), "AAA", 4220.0)
+
+
+def test_refresh_command_prints_the_audit(spark, tmp_path, capsys):
+    snapshots = tmp_path / "snap" / "segment=Equity T+1"
+    snapshots.mkdir(parents=True)
+    (snapshots / "a.json").write_text(json.dumps([
+        {"SCRIP_CD": "500001", "scrip_id": "AAA", "Status": "Active"},
+        {"SCRIP_CD": "500002", "scrip_id": "BBB", "Status": "Active"}]))
+    table = str(tmp_path / "master")
+    assert main(["refresh-securities", "--snapshots", str(tmp_path / "snap"), "--table", table]) == 0
+    assert capsys.readouterr().out.strip() == "Equity T+1\t2"
+    assert spark.read.parquet(table).count() == 2
