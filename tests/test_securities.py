@@ -149,3 +149,30 @@ def test_csv_ingest_appends_into_the_master_table(spark):
     assert first.count() == 2 and first.schema["segment"].dataType.simpleString() == "string"
     again = ingest_securities_csv(spark, csv, table)           # COPY semantics: appends
     assert rows(segment_audit(again)) == [("Derivatives", 2), ("Equity T+1", 2)]
+
+
+def test_master_layout_splits_a_large_segment_into_sorted_files(spark):
+    from pyspark.sql import functions as F
+
+    from holdfast.plans.securities import write_master
+    from holdfast.operators import with_security_id
+
+    big = [("Equity T+1", f"5{i:05d}", f"N{i}", "Active", None, None, None, None, f"S{i:04d}", None, None, None)
+           for i in range(400)]
+    small = [("Derivatives", "800001", "F", "Active", None, None, None, None, "FUT", None, None, None)]
+    table = scratch_dir(spark, "test-layout")
+    # at this size adaptive execution would rightly merge everything into one
+    # file; without merging, the layout shows what a large segment gets
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        write_master(with_security_id(spark.createDataFrame(big + small, SECURITIES)), table)
+    finally:
+        spark.conf.set(key, before)
+    files = (spark.read.parquet(table).filter("segment = 'Equity T+1'")
+             .groupBy(F.input_file_name().alias("f"))
+             .agg(F.min("scrip_id").alias("lo"), F.max("scrip_id").alias("hi")).collect())
+    assert len(files) > 1                      # one big segment, several files
+    ranges = sorted((r["lo"], r["hi"]) for r in files)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))   # disjoint scrip_id ranges
