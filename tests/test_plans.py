@@ -108,3 +108,10 @@ def test_registered_holdings_queries_feed_the_window_directly(spark):
 
     for q in (holdings_daily, trades_aligned):
         assert _union_feeds_window(executed(q(spark, "/root/testdata/sf0.01")))
+
+
+def test_tenure_subquery_runs_once_and_is_reused(parquet_inputs):
+    df = build_holdings(*parquet_inputs).holdings
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedSubquery" in final
