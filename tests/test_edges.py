@@ -170,3 +170,10 @@ def test_two_quotes_on_one_day_give_one_answer(make_tradebook, make_prices, make
         plan = _plan(make_tradebook, make_prices, make_events, [trade("2024-01-02", "AAA", "buy", 2, 10)], [],
                      prices, price_fill=fill, end="2024-01-05")
         assert rows(plan.holdings, "timestamp", "valuation") == [(d("2024-01-02"), 22.0), (d("2024-01-04"), 24.0)]
+
+
+def test_wide_tables_refuse_too_many_symbols(spark):
+    syms = spark.createDataFrame([(f"S{i}",) for i in range(5)], "symbol string")
+    assert pivot_values(syms, limit=5) == [f"S{i}" for i in range(5)]
+    with pytest.raises(ValueError, match="more than 3 symbols"):
+        pivot_values(syms, limit=3)
