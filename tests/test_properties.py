@@ -81,6 +81,11 @@ def test_report_identities(make_tradebook, make_prices, make_events, trades):
     assert round(daily_total, 2) == round(monthly_total, 2) == round(portfolio_total, 2)
     wide = holdings_wide(h, pivot_values(plan.symbols))
     assert rows(melt(wide)) == sorted((r["timestamp"].isoformat(), r["symbol"], r["valuation"]) for r in h.collect())
+    from holdfast.operators import latest_allocation
+
+    shares = [r["percentage"] for r in latest_allocation(h).collect()]
+    if shares and shares[0] is not None:       # a zero total gives nulls instead
+        assert abs(sum(shares) - 100) <= 0.005 * len(shares) + 1e-9
 
 
 def test_input_order_and_partitioning_do_not_matter(make_tradebook, make_prices, make_events):
