@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F
 
 from holdfast.llm.textblocks import U64
 
@@ -22,9 +22,12 @@ SCHEMA = "bucket int, kind int, blob binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Odd, and a few times the shuffle partitions, which the cluster sets to fit the data."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+def bucket_count(docs: DataFrame, text_col: str) -> int:
+    """One bucket per megabyte of text, at most a few times the shuffle partitions,
+    which the cluster sets to fit the data; odd, so that regular ids spread."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    most = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, size >> 20) | 1
 
 
 def pack(*arrays: np.ndarray) -> bytes:

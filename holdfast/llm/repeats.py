@@ -18,7 +18,7 @@ Four map stages, three shuffles of packed arrays plus the texts:
 
 No step gathers a text collection, a group of copies is handled once per
 distinct content, and memory in a task is bounded by a bucket, whose number
-follows ``spark.sql.shuffle.partitions``.
+follows the size of the texts and the shuffle partitions.
 """
 
 from __future__ import annotations
@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, finder: RepeatFinder, id_col: str, text_col:
     """One row per input row: ``row`` (the input columns as they were), ``text``
     (what is left), ``spans`` (removed symbol ranges) and ``n_symbols``."""
     ship_package(docs.sparkSession)
-    buckets = blobs.bucket_count(docs.sparkSession)
+    buckets = blobs.bucket_count(docs, text_col)
     slim = docs.select(id_col, text_col)
     triggers = slim.mapInArrow(trigger_map(finder, id_col, text_col, buckets), blobs.SCHEMA)
     surviving = blobs.dealt(triggers, trigger_reduce(buckets), blobs.SCHEMA)
