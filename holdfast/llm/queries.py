@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import op5_prefix_free_parsing, op10_substring_dedup
+from holdfast.llm import op3_pareto_mixing, op5_prefix_free_parsing, op7_simhash, op9_decontamination, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pareto_mixing": op3_pareto_mixing.query,
     "op5_prefix_free_parsing": op5_prefix_free_parsing.query,
+    "op7_simhash": op7_simhash.query,
+    "op9_decontamination": op9_decontamination.query,
     "op10_substring_dedup": op10_substring_dedup.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_pareto_mixing": op3_pareto_mixing.ORACLE,
+    "op9_decontamination": op9_decontamination.ORACLE,
+}
