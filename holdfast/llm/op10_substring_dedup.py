@@ -111,3 +111,19 @@ def query(spark, sf_dir: str) -> DataFrame:
         removed_symbols().alias("n_removed"),
         F.sha2(words.cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, p, array_to_string(words[p : p + 12], ' ') AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM w WHERE len(words) >= 13)),
+f AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM win JOIN f USING (k) WHERE first < doc_id),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS rest
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS q FROM w) ANTI JOIN r USING (doc_id, q) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -122,11 +122,13 @@ def pareto_mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that the mix takes, with the number of ``copies`` of each."""
-    plan = pareto_mix(docs, id_col, text_col, **options).where("taken > 0").groupBy("id", "key").agg(F.max("copies").alias("copies"))
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col)).drop("copies")
-    return keyed.join(plan, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key"))).select(
-        *(keyed[f"`{c}`"] for c in docs.columns if c != "copies"), "copies")
+    """The documents that the mix takes, with the number of ``copies`` of each
+    (a ``copies`` column of the input is replaced); rows that repeat an id and a
+    text get the same number."""
+    plan = pareto_mix(docs, id_col, text_col, **options).where("taken > 0").groupBy(F.col("id").alias("__id"), F.col("key").alias("__of")).agg(F.max("copies").alias("__copies"))
+    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
+    return keyed.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))).select(
+        *(keyed[f"`{c}`"] for c in docs.columns if c != "copies"), F.col("__copies").alias("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

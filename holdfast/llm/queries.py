@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import op3_pareto_mixing, op5_prefix_free_parsing, op7_simhash, op9_decontamination, op10_substring_dedup
+from holdfast.llm import op3_pareto_mixing, op5_prefix_free_parsing, op6_toxic_segments, op7_simhash, op9_decontamination, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pareto_mixing": op3_pareto_mixing.query,
     "op5_prefix_free_parsing": op5_prefix_free_parsing.query,
+    "op6_toxic_segments": op6_toxic_segments.query,
     "op7_simhash": op7_simhash.query,
     "op9_decontamination": op9_decontamination.query,
     "op10_substring_dedup": op10_substring_dedup.query,
@@ -19,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_pareto_mixing": op3_pareto_mixing.ORACLE,
     "op9_decontamination": op9_decontamination.ORACLE,
+    "op10_substring_dedup": op10_substring_dedup.ORACLE,
 }
