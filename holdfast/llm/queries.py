@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import op3_pareto_mixing, op5_prefix_free_parsing, op6_toxic_segments, op7_simhash, op9_decontamination, op10_substring_dedup
+from holdfast.llm import (
+    op2_warc_derivatives,
+    op3_pareto_mixing,
+    op4_cross_polytope,
+    op5_prefix_free_parsing,
+    op6_toxic_segments,
+    op7_simhash,
+    op8_chat_formatting,
+    op9_decontamination,
+    op10_substring_dedup,
+)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_pareto_mixing": op3_pareto_mixing.query,
-    "op5_prefix_free_parsing": op5_prefix_free_parsing.query,
-    "op6_toxic_segments": op6_toxic_segments.query,
-    "op7_simhash": op7_simhash.query,
-    "op9_decontamination": op9_decontamination.query,
-    "op10_substring_dedup": op10_substring_dedup.query,
+_MODULES = {
+    "op2_warc_derivatives": op2_warc_derivatives,
+    "op3_pareto_mixing": op3_pareto_mixing,
+    "op4_cross_polytope": op4_cross_polytope,
+    "op5_prefix_free_parsing": op5_prefix_free_parsing,
+    "op6_toxic_segments": op6_toxic_segments,
+    "op7_simhash": op7_simhash,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {
-    "op3_pareto_mixing": op3_pareto_mixing.ORACLE,
-    "op9_decontamination": op9_decontamination.ORACLE,
-    "op10_substring_dedup": op10_substring_dedup.ORACLE,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: module.query for name, module in _MODULES.items()}
+
+# fitted models, XXH64 fingerprints and byte positions are beyond SQL; those are tested against brute force
+ORACLE: dict[str, str] = {name: module.ORACLE for name, module in _MODULES.items() if hasattr(module, "ORACLE")}
