@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm import (
+    op1_passage_attention,
     op2_warc_derivatives,
     op3_pareto_mixing,
     op4_cross_polytope,
@@ -19,6 +20,7 @@ from holdfast.llm import (
 )
 
 _MODULES = {
+    "op1_passage_attention": op1_passage_attention,
     "op2_warc_derivatives": op2_warc_derivatives,
     "op3_pareto_mixing": op3_pareto_mixing,
     "op4_cross_polytope": op4_cross_polytope,
