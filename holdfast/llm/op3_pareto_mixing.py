@@ -104,7 +104,7 @@ def pareto_mix(
     ranked = ranked.join(turn, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     order = Window.partitionBy("source").orderBy("ratio", "id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = ranked.where("cell = turn").withColumn("more", (F.col("already") + F.sum("size").over(order) <= F.col("missing")).cast("long"))
-    outer = ranked.where("NOT (cell <=> turn)").withColumn(
+    outer = ranked.where("NOT coalesce(cell = turn, false)").withColumn(
         "more", F.when(F.col("ratio").isNull(), 0).when(F.col("turn").isNull(), 1).otherwise((F.col("cell") < F.col("turn")).cast("int")).cast("long"))
     ranked = written(inner.unionByName(outer), "ranked")
 

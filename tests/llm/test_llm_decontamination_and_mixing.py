@@ -1,0 +1,135 @@
+"""op9 and op3 against plain Python."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import defaultdict
+
+from helpers import docs_frame, repetitive_texts
+
+from holdfast.llm.op3_pareto_mixing import mixed, pareto_mix
+from holdfast.llm.op9_decontamination import ItemAutomaton, contaminated, decontaminate, find_contamination, merged
+
+WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(WORD, lowered.encode())
+
+
+def brute(text, items, window=13):
+    w, hit, names = words(text), set(), set()
+    for name, item in items:
+        v = words(item)
+        n = min(window, len(v))
+        grams = {tuple(v[k:k + n]) for k in range(len(v) - n + 1)} if n else set()
+        for k in range(len(w) - n + 1):
+            if n and tuple(w[k:k + n]) in grams:
+                hit |= set(range(k, k + n))
+                names.add(str(name))
+    return len(w), hit, names
+
+
+def test_hits_and_items(spark):
+    r = random.Random(3)
+    texts = repetitive_texts(7, 60)
+    source = " ".join(t for t in texts if t)
+    pool = re.findall(r"\S+", source)
+    items = []
+    for k in range(25):
+        a = r.randint(0, len(pool) - 40)
+        items.append((k, " - ".join(x.upper() if r.random() < 0.3 else x for x in pool[a:a + r.choice([1, 2, 5, 12, 13, 14, 30])])))
+    items += [(100, None), (101, ""), (102, "..."), (3, items[3][1]), (None, pool[0]), (200, "zeta eta")]
+    texts += ["zeta Eta; zeta, eta", "eta", "q" * 100_000]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    known = [(i, t) for i, t in items if i is not None and t is not None]
+    want = sorted((str(t), *(lambda n, h, names: (n, sorted(h), sorted(names)))(*brute(t, known))) for t in texts)
+    for block_words in (100_000, 60):  # one automaton, several automata
+        got = find_contamination(docs_frame(spark, texts), frame, block_words=block_words).collect()
+        assert sorted((str(x.row.text), x.n_words, [k for s in x.hits for k in range(s.start, s.end)], x["items"]) for x in got) == want
+    assert any(w[2] for w in want)
+    flagged = {x.row.doc_id for x in find_contamination(docs_frame(spark, texts), frame).where(contaminated()).collect()}
+    expect = set()
+    for k, t in enumerate(texts):
+        n, hit, _ = brute(t, known)
+        if hit and 20 * len(hit) >= n:
+            expect.add(k)
+    assert flagged == expect
+    left = decontaminate(docs_frame(spark, texts), frame)
+    assert {x.doc_id for x in left.collect()} == set(range(len(texts))) - expect and left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_no_items_and_no_documents(spark):
+    docs = docs_frame(spark, ["a b c", None])
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [x.hits for x in find_contamination(docs, none).collect()] == [[], []]
+    assert find_contamination(docs.limit(0), none).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "1 AS hits", "2 AS items", "3 AS row", "4 AS n_words")
+    assert find_contamination(clash, none).first().row.hits == 1
+
+
+def test_automaton_of_short_items():
+    shard = ItemAutomaton([("x", b"a b"), ("y", b"b"), ("z", b"a b c d")], 3)
+    ids = {w: int(shard.word_ids(__import__("holdfast.llm.op9_decontamination", fromlist=["x"]).normalised_words([w])[0])[0]) for w in (b"a", b"b", b"c", b"d", b"e")}
+    assert ids[b"e"] == -1
+    spans, names = shard.occurrences([ids[w] for w in (b"a", b"b", b"c")])
+    assert merged(spans) == [(0, 3)] and names == {"x", "y", "z"}
+    assert merged([(3, 5), (0, 2), (2, 3), (9, 10)]) == [(0, 5), (9, 10)]
+
+
+def targets(sizes: dict, weights=(5, 2, 1), cap=3) -> dict:
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    out, free, left = {}, set(order), sum(sizes.values())
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > cap * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+            free.discard(s)
+    return out
+
+
+def test_mix(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(1500):
+        source = r.choice(["big"] * 8 + ["B", "a", "ä", None, "tiny", ""])
+        n = 0 if r.random() < 0.05 else int(r.lognormvariate(3, 1))
+        rows.append((k if k != 40 else None, None if r.random() < 0.02 else " ".join(["w"] * n), source, 5))
+    rows += [rows[3]] * 3 + [(9999, "x y z", "three", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(4)
+    got = pareto_mix(df).collect()
+    assert len(got) == len(rows)
+    sizes = defaultdict(int)
+    for _, text, source, _ in rows:
+        sizes[source] += len((text or "").split())
+    want, taken = targets(sizes), defaultdict(int)
+    for x in got:
+        taken[x.source] += x.taken
+        assert x.source_size == sizes[x.source] and abs(x.target - want[x.source]) < 1e-6 * max(1, want[x.source])
+        assert 0 <= x.taken <= 3 * x.size and x.taken == x.copies * x.size
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(2, 0.03 * t), (s, taken[s], t)
+    again = pareto_mix(df.repartition(7)).collect()
+    key = lambda x: (str(x.id), str(x.source), x.size, x.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    # inclusion follows the expected copies: long documents are taken more often
+    part = [x for x in got if x.source == "big" and x.size]
+    assert abs(sum(x.copies for x in part) - sum(x.expected for x in part)) < 0.1 * len(part)
+    out = mixed(df)
+    assert out.columns == ["doc_id", "text", "source", "size", "copies"]
+    assert out.count() == len([1 for x in got if x.taken]) or abs(out.count() - len([1 for x in got if x.taken])) <= 4
+
+
+def test_mix_of_nothing_and_of_one_source(spark):
+    df = spark.createDataFrame([(1, "a b c", "s"), (2, "", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    assert pareto_mix(df.limit(0)).count() == 0 and mixed(df.limit(0)).count() == 0
+    assert {x.id: x.taken for x in pareto_mix(df).collect()} == {1: 3, 2: 0, 3: 0}
+    empty = df.where("doc_id > 1")
+    assert {x.id: x.taken for x in pareto_mix(empty).collect()} == {2: 0, 3: 0}
