@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from holdfast.llm.common import ship_package, table
 from holdfast.llm.op6_toxic_segments import labelled_sample, remainder
-from holdfast.llm.textblocks import NOT_SPACE, U64, binary_column, blocks, joined, span_hashes, word_spans, words_per_text
+from holdfast.llm.textblocks import NOT_SPACE, U64, binary_column, blocks, joined, ragged, span_hashes, word_spans, words_per_text
 
 WORDS = 48
 # byte classes: other, lower, upper, digit, stops, exclamation, table marks, symbols, quotes and brackets, non-ASCII, line feed
@@ -58,12 +58,11 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return out, passages
     share = lambda mask: np.bincount(passage[mask], minlength=total) / np.maximum(words, 1)
 
-    # bytes from a passage's first word to the next passage's
+    # bytes from a passage's first word to the end of its last
     first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-    begin = np.append(s[first], len(buffer))
-    of_byte = np.repeat(passage[first], np.diff(begin))
+    size = e[np.append(first[1:], len(s)) - 1] - s[first]
     classes = CLASSES[buffer]
-    counts = np.bincount(of_byte * N_CLASSES + classes[begin[0]:], minlength=total * N_CLASSES).reshape(total, N_CLASSES)
+    counts = np.bincount(np.repeat(passage[first] * N_CLASSES, size) + classes[ragged(s[first], size)], minlength=total * N_CLASSES).reshape(total, N_CLASSES)
     out[:, :N_CLASSES] = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     for k, edge in enumerate((s, e - 1), 1):
         counts = np.bincount(passage * N_CLASSES + classes[edge], minlength=total * N_CLASSES).reshape(total, N_CLASSES)

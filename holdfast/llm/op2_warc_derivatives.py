@@ -87,13 +87,17 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response records of uncompressed WARC 1.1 files of UTF-8 text; the files are
     split between tasks at record boundaries. ``complete`` tells whether the
     block has its declared length (a payload that holds a record boundary is cut)."""
-    raw = spark.read.text(path, lineSep=f"\r\n\r\n{VERSION}\r\n").select(F.regexp_replace("value", f"^{VERSION}\r\n|\r\n\r\n$", "").alias("value"))
-    head, block = F.substring_index("value", "\r\n\r\n", 1), F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)")
+    end = "\r\n\r\n"
+    raw = spark.read.text(path, lineSep=f"{end}{VERSION}\r\n").select(F.regexp_replace("value", f"^{VERSION}\r\n", "").alias("value"))
+    head, block = F.substring_index("value", end, 1), F.substring(F.col("value"), F.instr("value", end) + 4, F.length("value"))
     field = lambda name: F.regexp_extract(head, f"(?im)^{name}:[ \\t]*([^\\r\\n]*)", 1)
+    # the last record of a file still has its end mark
+    last = (F.octet_length(block) - 4).cast("string") == field("Content-Length")
+    block = F.when(last & F.endswith(block, F.lit(end)), F.substring(block, F.lit(1), F.length(block) - 4)).otherwise(block)
     return raw.where(field("WARC-Type") == "response").select(
         field("WARC-Record-ID").alias("id"), field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"),
-        F.concat(F.substring_index(block, "\r\n\r\n", 1), F.lit("\r\n")).alias("http_header"),
-        F.when(F.instr(block, "\r\n\r\n") > 0, F.substring(block, F.instr(block, "\r\n\r\n") + 4, F.length(block))).otherwise("").alias("body"),
+        F.concat(F.substring_index(block, end, 1), F.lit("\r\n")).alias("http_header"),
+        F.when(F.instr(block, end) > 0, F.substring(block, F.instr(block, end) + 4, F.length(block))).otherwise("").alias("body"),
         field("WARC-Block-Digest").alias("block_digest"), field("WARC-Payload-Digest").alias("payload_digest"),
         (F.octet_length(block).cast("string") == field("Content-Length")).alias("complete"))
 
@@ -128,8 +132,8 @@ def derive(responses: DataFrame) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """The records as WARC files, one per task."""
-    records.select("record").write.text(path, lineSep="")
+    """The records as WARC files, one per task; the end mark is the line separator."""
+    records.select(F.substring(F.col("record"), F.lit(1), F.length("record") - 4)).write.text(path, lineSep="\r\n\r\n")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -198,8 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     model = SegmentModel(scores.astype(np.float32), decay_rate(scores, counts[0]))
 
     # the sample's texts again: the best segments of clean ones give K, all of them the curve
-    best = _scan(texts.where("__label IS NOT NULL").select(F.struct("text", "__label").alias("row")), "text", model, significant=False)
-    rows = best.select(F.col("row.__label").alias("y"), "n_tokens", F.transform("passages", lambda p: p["evidence"]).alias("scores")).collect()
+    best = _scan(texts.where("__label IS NOT NULL").select(F.struct("text", "__label", "__id").alias("row")), "text", model, significant=False)
+    rows = best.select(F.col("row.__label").alias("y"), "row.__id", "n_tokens", F.transform("passages", lambda p: p["evidence"]).alias("scores")).collect()
+    rows.sort(key=lambda r: (r["__id"], r["n_tokens"], r["scores"]))  # the same order on every run
     extremes = [model.decay * max(r["scores"]) - np.log(r["n_tokens"]) for r in rows if r["y"] == 0 and r["scores"]]
     if extremes:
         model.constant = float(np.exp(np.mean(extremes) - np.euler_gamma))
