@@ -30,11 +30,11 @@ def bucket_count(docs: DataFrame, text_col: str) -> int:
     return min(most, size >> 20) | 1
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     parts = []
     for a in arrays:
         parts += [struct.pack("<cQ", a.dtype.char.encode(), a.nbytes), a.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

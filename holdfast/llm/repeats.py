@@ -112,7 +112,7 @@ def pack_rows(id_col: str, buckets: int):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items():
-            options = pa.ipc.IpcWriteOptions(compression="zstd")
+            options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
             for batch in source:
                 ids = batch.column(id_col).fill_null(0).cast(pa.int64()).to_numpy()
                 for bucket, at in blobs.slices(blobs.id_bucket(ids, buckets)):
@@ -208,8 +208,8 @@ def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
             new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
             one = i[new]
             yield bucket, 0, blobs.pack(
-                key[one], content[one], size[one].astype(np.uint32), data[ragged(at[one], size[one])],
-                np.diff(np.append(new, len(i))).astype(np.uint32), doc[i], mark[i], start[i].astype(np.uint32))
+                blobs.short_key(key[one]), size[one].astype(np.uint32), data[ragged(at[one], size[one])],
+                np.diff(np.append(new, len(i))).astype(np.uint32), np.diff(doc[i], prepend=0), mark[i], start[i].astype(np.uint32), level=3)
 
     def survivors(held):
         parts = [blobs.unpack(b) for kind, b in held if kind == 0]
@@ -268,9 +268,11 @@ def resolve(finder: RepeatFinder, buckets: int):
         def items():
             for _, held in blobs.by_bucket(source):
                 parts = [blobs.unpack(b) for _, b in held]
-                key, content, size, data, count, ids, marks, start = (np.concatenate(x) for x in zip(*parts))
-                size, count = size.astype(np.int64), count.astype(np.int64)
+                key, size, data, count, marks, start = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 3, 5, 6))
+                ids = np.concatenate([np.cumsum(p[4]) for p in parts])
+                key, size, count = blobs.long_key(key), size.astype(np.int64), count.astype(np.int64)
                 lo = np.cumsum(size) - size
+                content = span_hashes(data, lo, lo + size)
                 # the same content from several tasks becomes one
                 order = np.lexsort((content, key))
                 k, c = key[order], content[order]
