@@ -1,6 +1,7 @@
 """Column expressions shared by the operators (all JVM-side built-ins)."""
 
 from holdfast.functions.columns import (
+    exact,
     exact_sum,
     falsy_to_null,
     map_lookup,
@@ -12,6 +13,7 @@ from holdfast.functions.columns import (
 )
 
 __all__ = [
+    "exact",
     "exact_sum",
     "falsy_to_null",
     "map_lookup",

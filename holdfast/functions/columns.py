@@ -10,6 +10,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+from holdfast.schemas import MONEY
 
 GRANULARITIES = {"day": None, "daily": None, "week": "week", "weekly": "week",
                  "month": "month", "monthly": "month", "year": "year", "yearly": "year"}
@@ -32,7 +35,7 @@ def weighted_average(price: str | Column, quantity: str | Column) -> Column:
     order rows arrive in; a zero divisor (a day whose buys and sells cancel)
     gives null instead of an error.
     """
-    numerator = F.sum(_col(price).cast("decimal(18,2)") * _col(quantity).cast("decimal(18,0)"))
+    numerator = F.sum(_col(price).cast(MONEY) * _col(quantity).cast("decimal(18,0)"))
     return F.try_divide(numerator.cast("double"), F.sum(_col(quantity)).cast("double"))
 
 
@@ -93,3 +96,12 @@ def strict(raw: Column, parsed: Column, name: str) -> Column:
     """
     message = F.concat(F.lit(f"malformed {name}: "), raw.cast("string"))
     return F.when(raw.isNotNull() & parsed.isNull(), F.raise_error(message)).otherwise(parsed)
+
+
+def exact(raw: Column, target: DataType) -> Column:
+    """A number given as text, as ``target``; null if ``target`` cannot hold it exactly."""
+    number = raw.try_cast("decimal(38,12)")
+    held = number.try_cast(target)
+    # the text itself must have no digits beyond what the wide decimal keeps
+    short = ~raw.rlike(r"\.[0-9]{12}[0-9]*[1-9]") & ~raw.rlike(r"[eE]")
+    return F.when(short & (held.try_cast("decimal(38,12)") == number), held)

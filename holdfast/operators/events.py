@@ -34,7 +34,8 @@ def corporate_events(feed: DataFrame, start_dates: DataFrame, as_of: str | Colum
     ``start_dates`` is (symbol, start_date), e.g. :func:`earliest_trade_dates`;
     only its symbols are kept, and only events from their first trade up to
     ``as_of`` (default: today). A text ``ex_date`` is parsed with
-    ``date_format``; a malformed one fails the job instead of being dropped.
+    ``date_format``; a malformed one fails the job instead of being dropped, and
+    so does a quantity event without a ratio, which would count as 1.
     """
     ex_date = F.col("ex_date")
     if isinstance(feed.schema["ex_date"].dataType, StringType):
@@ -48,8 +49,10 @@ def corporate_events(feed: DataFrame, start_dates: DataFrame, as_of: str | Colum
         upper = as_of
     else:
         upper = F.lit(as_of).cast("date")
+    missing = F.concat(F.lit("event without ratio: "), F.col("type"), F.lit(" of "), F.coalesce("symbol", F.lit("?")))
+    ratio = F.when(F.col("ratio").isNull(), F.raise_error(missing)).otherwise(F.col("ratio").cast("double"))
     events = feed.filter(F.col("type").isin(*types)).select(
-        "symbol", ex_date.alias("ex_date"), F.col("ratio").cast("double").alias("ratio"), "type"
+        "symbol", ex_date.alias("ex_date"), ratio.alias("ratio"), "type"
     )
     return (
         events.join(start_dates.select("symbol", "start_date"), "symbol")

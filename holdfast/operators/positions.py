@@ -1,10 +1,10 @@
 """Positions over the market calendar, and what they are worth.
 
 Long form throughout: (timestamp, symbol, ...). The daily grid (every market
-day for every held symbol) is generated per symbol by exploding the tenure's
-date sequence and keeping the market days; the market-day set is broadcast,
-since a set of distinct dates inside the tenure has at most one row per
-calendar day (about 3,650 per decade) whatever the data volume.
+day for every held symbol) is generated per symbol by exploding the set of
+market days, one array in a scalar subquery: distinct days, cut to the tenure,
+so at most one entry per calendar day whatever the data volume, and a mistyped
+trade year adds no rows.
 
 The running balance and the day's price come out of one window pass: grid
 rows, trade rows and price rows are unioned and ordered per symbol, so a
@@ -13,13 +13,14 @@ hash-partitioned by ``symbol`` before the union (trades and prices are
 shuffled once, the grid is generated after the small shuffle of the symbols),
 so the union feeds the window with no exchange in between and the (symbols x
 days) rows are never shuffled. A symbol's rows number at most its days plus
-its trade days plus its price days, since trades were netted per day before:
-a symbol with a third of all executions does not make its window task larger.
+its trade days plus its price days, since trades were netted and quotes are
+reduced to one per day before: a symbol with a third of all executions, or a
+feed with many quotes a day, does not make its window task larger.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.tradebook import bounds
@@ -29,14 +30,16 @@ OFF_CALENDAR = ("keep", "drop")
 PRICE_FILL = ("zero", "carry")
 
 
-def price_history(prices: DataFrame, symbols: DataFrame, tenure: DataFrame,
+def price_history(prices: DataFrame, symbols: DataFrame, tenure: DataFrame | tuple[Column, Column],
                   suffix: str = PRICE_TICKER_SUFFIX) -> DataFrame:
     """Quotes of the held symbols inside the tenure [start_date, end_date).
 
+    ``tenure`` is a one-row frame, or its two bounds as literal columns: those
+    reach the scan, so files and row groups outside the tenure are skipped.
     Output: timestamp, symbol, ticker (symbol plus the feed's suffix), quote
     rounded to two decimals.
     """
-    start, end = bounds(tenure)
+    start, end = tenure if isinstance(tenure, tuple) else bounds(tenure)
     return (
         prices.filter((F.col("timestamp") >= start) & (F.col("timestamp") < end))
         .join(symbols, "symbol", "left_semi")
@@ -55,20 +58,18 @@ def market_days(price_hist: DataFrame) -> DataFrame:
 
 
 def trading_grid(symbols: DataFrame, days: DataFrame, tenure: DataFrame) -> DataFrame:
-    """(symbol, timestamp) for every symbol and every day of ``days``.
+    """(symbol, timestamp) for every symbol and every distinct day of ``days`` in the tenure.
 
-    ``days`` must lie inside the tenure; it is broadcast (bounded by the
-    number of calendar days in the tenure). No cross join: each symbol row
-    explodes its own date sequence, and the equi-join keeps the market days.
+    The days are one array (a scalar subquery, at most one entry per calendar
+    day of the tenure) that every symbol row explodes: no join at all.
     """
     start, end = bounds(tenure)
+    inside = days.filter((F.col("timestamp") >= start) & (F.col("timestamp") < end))
+    every = inside.agg(F.collect_set("timestamp")).scalar()
     # hash-partitioned by symbol before the explode: the (symbols x days) rows
     # are generated in as many tasks as the other inputs of the window use,
     # and never shuffled themselves
-    dates = symbols.select("symbol").repartition("symbol").select(
-        "symbol", F.explode(F.sequence(start, F.date_sub(end, 1))).alias("timestamp")
-    )
-    return dates.join(F.broadcast(days.select("timestamp")), "timestamp").select("symbol", "timestamp")
+    return symbols.select("symbol").repartition("symbol").select("symbol", F.explode(every).alias("timestamp"))
 
 
 def _trade_rows(adjusted: DataFrame, market: DataFrame, off_calendar: str) -> DataFrame:
@@ -76,21 +77,24 @@ def _trade_rows(adjusted: DataFrame, market: DataFrame, off_calendar: str) -> Da
         raise ValueError(f"off_calendar must be one of {OFF_CALENDAR}")
     trades = adjusted.select("symbol", F.col("trade_date").alias("timestamp"), "quantity")
     if off_calendar == "drop":
-        trades = trades.join(F.broadcast(market.select("timestamp")), "timestamp", "left_semi")
+        trades = trades.join(market.select("timestamp"), "timestamp", "left_semi")
     return trades.repartition("symbol")
 
 
 def trades_aligned(adjusted: DataFrame, market: DataFrame, symbols: DataFrame, tenure: DataFrame,
-                   off_calendar: str = "keep") -> DataFrame:
+                   off_calendar: str = "keep", net: DataFrame | None = None) -> DataFrame:
     """Quantity traded per (day, symbol) over the market days and the trade days, 0 if none.
 
     With ``off_calendar="keep"`` a trade on a day without prices keeps its
-    own row (its day joins the grid); ``"drop"`` leaves such trades out.
+    own row (its day joins the grid); ``"drop"`` leaves such trades out. The
+    trade days come from ``net`` where it is given: the adjustment does not
+    change them, so the event join need not run for them.
     """
     trades = _trade_rows(adjusted, market, off_calendar)
     days = market.select("timestamp")
     if off_calendar == "keep":
-        days = days.union(trades.select("timestamp")).distinct()
+        traded = (adjusted if net is None else net).select(F.col("trade_date").alias("timestamp"))
+        days = days.union(traded.distinct())
     grid = trading_grid(symbols, days, tenure).select(
         "symbol", "timestamp", F.lit(True).alias("on_grid"), F.lit(0.0).alias("quantity"))
     rows = grid.unionByName(trades.select(
@@ -116,9 +120,10 @@ def _day_rows(adjusted: DataFrame, market: DataFrame, symbols: DataFrame, tenure
         F.col("quantity").cast("double").alias("quantity"), null_quote.alias("quote"))
     rows = grid.unionByName(trades)
     if price_hist is not None:
-        rows = rows.unionByName(price_hist.repartition("symbol").select(
-            "symbol", "timestamp", F.lit(False).alias("on_grid"), F.lit(0.0).alias("quantity"),
-            F.col("quote").cast("double").alias("quote")))
+        # one quote a day, the highest, before the rows of a symbol meet
+        daily = price_hist.groupBy("symbol", "timestamp").agg(F.max(F.col("quote").cast("double")).alias("quote"))
+        rows = rows.unionByName(daily.repartition("symbol").select(
+            "symbol", "timestamp", F.lit(False).alias("on_grid"), F.lit(0.0).alias("quantity"), "quote"))
     return rows
 
 

@@ -6,7 +6,7 @@ depend on the order Spark happens to add rows in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import exact_sum, truncate_date
@@ -38,26 +38,25 @@ def latest_allocation(holdings: DataFrame) -> DataFrame:
     """Positions on the latest date and their share of that day's total.
 
     Output: symbol, valuation, percentage (rounded to 2; null if the total is 0).
-    The latest date and the total are scalar subqueries: no window over a
-    single partition, no cross join.
+    One pass over the holdings: each symbol's last row (partial aggregation on
+    the map side), then two windows over one row per symbol.
     """
-    latest_day = holdings.agg(F.max("timestamp")).scalar()
-    latest = holdings.filter(F.col("timestamp") == latest_day)
-    total = latest.agg(exact_sum("valuation")).scalar()
-    return latest.select(
+    last = holdings.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"), F.max_by("valuation", "timestamp").alias("valuation"))
+    everyone = Window.partitionBy()
+    latest = last.withColumn("latest", F.max("timestamp").over(everyone)).filter("timestamp = latest")
+    total = F.sum(F.col("valuation").cast("decimal(20,2)")).over(everyone).cast("double")
+    return latest.withColumn("total", total).select(
         "symbol",
         "valuation",
-        F.round(F.try_divide(F.col("valuation"), total) * 100, 2).alias("percentage"),
+        F.round(F.try_divide(F.col("valuation"), F.col("total")) * 100, 2).alias("percentage"),
     )
 
 
-def melted_holdings(holdings: DataFrame, granularity: str | None = None,
-                    symbols: list[str] | None = None) -> DataFrame:
-    """The chart table: resample, one column per symbol, then back to long.
+def melted_holdings(holdings: DataFrame, granularity: str | None = None) -> DataFrame:
+    """The chart table: Date (text), Security, Valuation, one row per period and symbol.
 
-    Output: Date (text), Security, Valuation, one row per period and symbol.
-    ``symbols`` fixes the columns of the wide step (see ``pivot_values``).
+    The holdings are long already, so resampling and renaming is all there is
+    to do; no wide step, whatever the number of symbols.
     """
-    from holdfast.operators.reshape import holdings_wide, melt
-
-    return melt(holdings_wide(resample(holdings, granularity), symbols))
+    return resample(holdings, granularity).select(
+        F.col("timestamp").cast("string").alias("Date"), F.col("symbol").alias("Security"), F.col("valuation").alias("Valuation"))

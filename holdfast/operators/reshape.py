@@ -1,11 +1,11 @@
 """Wide (one column per symbol) views and the way back to long form.
 
 The engine computes in long form; wide tables exist only at the edge, for
-readers that want a column per symbol. The pivot is one aggregation by
-``timestamp``; pass ``symbols`` to skip the extra job Spark runs to find the
-pivot values (Spark caps discovered values at ``spark.sql.pivotMaxValues``).
-Symbols with '.', '&' or '-' in their name are fine: the columns are only
-ever addressed through ``col()`` with backticks.
+readers that want a column per symbol. Their columns are the ``symbols`` that
+the caller names: they are the schema of the result, and belong to its reader.
+The pivot is one aggregation by ``timestamp`` and spends no job on finding
+values. Symbols with '.', '&' or '-' in their name are fine: the columns are
+only ever addressed through ``col()`` with backticks.
 """
 
 from __future__ import annotations
@@ -16,28 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-PIVOT_LIMIT = 10_000  # Spark's default spark.sql.pivotMaxValues
-
-
-def pivot_values(symbols: DataFrame, limit: int = PIVOT_LIMIT) -> list[str]:
-    """The sorted symbol list for a wide table, collected with a size check.
-
-    A wide table has one column per symbol, so its width is bounded by what a
-    reader can use; more than ``limit`` symbols is an error, not a bigger
-    collect. Taking the list from the small ``symbols`` frame also spares the
-    job Spark would otherwise run over the whole pivot input to find it.
-    """
-    rows = symbols.select("symbol").distinct().orderBy("symbol").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} symbols for a wide table; use the long form")
-    return [r["symbol"] for r in rows]
-
-
-def _pivot(long: DataFrame, value: str, symbols: Sequence[str] | None, suffix: str,
+def _pivot(long: DataFrame, value: str, symbols: Sequence[str], suffix: str,
            agg=F.max) -> DataFrame:
-    grouped = long.groupBy("timestamp")
-    pivoted = (grouped.pivot("symbol", list(symbols)) if symbols is not None
-               else grouped.pivot("symbol")).agg(agg(value))
+    if not symbols:
+        return long.select("timestamp").distinct()
+    pivoted = long.groupBy("timestamp").pivot("symbol", list(symbols)).agg(agg(value))
     if not suffix:
         return pivoted
     return pivoted.select(
@@ -46,17 +29,17 @@ def _pivot(long: DataFrame, value: str, symbols: Sequence[str] | None, suffix: s
     )
 
 
-def trades_wide(aligned: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+def trades_wide(aligned: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """timestamp plus one ``<symbol>_quantity`` column (0 where nothing traded)."""
     return _pivot(aligned, "quantity", symbols, "_quantity", agg=F.sum)
 
 
-def quotes_wide(price_hist: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+def quotes_wide(price_hist: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """timestamp plus one ``<symbol>_quote`` column (null where a symbol has no price)."""
     return _pivot(price_hist, "quote", symbols, "_quote")
 
 
-def holdings_wide(holdings: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+def holdings_wide(holdings: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """timestamp plus one ``<symbol>`` column holding the valuation."""
     return _pivot(holdings, "valuation", symbols, "")
 

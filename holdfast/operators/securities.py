@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import falsy_to_null, map_lookup, slug
@@ -18,33 +18,33 @@ from holdfast.schemas import (
     SECURITY_STATUSES,
     SNAPSHOT_KEYS,
 )
-from holdfast.sources.securities import SNAPSHOT_RECORD
 
 
 def normalise_securities(snapshots: DataFrame) -> DataFrame:
-    """Snapshot records (segment, record VARIANT) to the securities columns.
+    """Snapshot records (segment, a VARIANT per JSON key) to the securities columns.
 
     Each JSON key is renamed to its column; a value that is absent, null, "",
     false or a numeric zero becomes null (the string "0" stays). Numeric
     columns are cast with ``try_`` semantics: a feed value that is not a number
     becomes null rather than failing the refresh.
     """
-    record = F.col(SNAPSHOT_RECORD)
     types = {f.name: f.dataType.simpleString() for f in SECURITIES.fields}
     cols = [F.col("segment")]
     for key, column in SNAPSHOT_KEYS.items():
-        value = F.variant_get(record, f"$['{key}']", "variant")
-        cols.append(falsy_to_null(value, types[column]).alias(column))
+        cols.append(falsy_to_null(F.col(key), types[column]).alias(column))
     return snapshots.select(*cols).select(*SECURITIES_COLUMNS)
 
 
 def with_security_id(securities: DataFrame) -> DataFrame:
-    """Add ``id``: a stable 64-bit key from (segment, scrip_code).
+    """Add ``id``: a 64-bit key of the row.
 
-    A hash rather than a numbering, so that no global sort or single task is
-    needed, and a security keeps its id across refreshes.
+    A hash of the whole record and, among equal records, of their number: no
+    global sort or single task is needed, no two rows share an id, and a record
+    that does not change keeps its id across refreshes.
     """
-    return securities.withColumn("id", F.xxhash64("segment", "scrip_code"))
+    record = F.xxhash64(*SECURITIES_COLUMNS)
+    twin = F.row_number().over(Window.partitionBy(*SECURITIES_COLUMNS).orderBy(record))
+    return securities.withColumn("id", F.xxhash64(record, twin))
 
 
 def layout_for_table(securities: DataFrame) -> DataFrame:
@@ -57,9 +57,14 @@ def layout_for_table(securities: DataFrame) -> DataFrame:
     return securities.repartitionByRange("segment", "scrip_id").sortWithinPartitions("segment", "scrip_id")
 
 
-def segment_audit(securities: DataFrame) -> DataFrame:
-    """Rows per segment (segment, rows): the load audit of a refresh."""
-    return securities.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"))
+def segment_audit(securities: DataFrame, expected: Iterable[str] = EXCHANGE_SEGMENTS) -> DataFrame:
+    """Rows per segment (segment, rows): the load audit of a refresh.
+
+    Every ``expected`` segment has a line, with 0 where it had no snapshot.
+    """
+    found = securities.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"))
+    named = securities.sparkSession.sql("SELECT explode(:names) AS segment", {"names": F.array(*map(F.lit, expected))})
+    return named.unionByName(found, allowMissingColumns=True).groupBy("segment").agg(F.coalesce(F.max("rows"), F.lit(0)).cast("long").alias("rows"))
 
 
 def resolve_segment(segment: str | None, valid: Iterable[str] = EXCHANGE_SEGMENTS,

@@ -9,10 +9,11 @@ text is self-contained: the stages it needs are prepended as CTEs.
 from __future__ import annotations
 
 from holdfast.sources.adapters import ADAPTER_SQL
-from holdfast.queries import FIXTURE_SEGMENTS, LOOKUP_SEGMENT, LOOKUP_STATUS
+from holdfast.queries import LOOKUP_SEGMENT, LOOKUP_STATUS, WIDE_SYMBOLS
 from holdfast.schemas import (
     DEFAULT_SEGMENT_CODE,
     EXCHANGE_SEGMENT_CODES,
+    EXCHANGE_SEGMENTS,
     PRICE_TICKER_SUFFIX,
     QUANTITY_EVENT_TYPES,
     SEGMENT_SERIES,
@@ -31,7 +32,6 @@ def _in_list(values) -> str:
 _SERIES = _in_list(SEGMENT_SERIES[DEFAULT_TRADING_SEGMENT])
 _EVENT_TYPES = _in_list(QUANTITY_EVENT_TYPES)
 _SEGMENT_CODES = ", ".join(f"({_quote(k)}, {_quote(v)})" for k, v in EXCHANGE_SEGMENT_CODES.items())
-_LOOKUP_SEGMENT = LOOKUP_SEGMENT if LOOKUP_SEGMENT in FIXTURE_SEGMENTS else "Equity T+1"
 
 _TABLES = {"lineitem": "lineitem", "part": "part"}
 
@@ -130,10 +130,32 @@ SELECT CAST(date_trunc('{trunc}', timestamp) AS DATE) AS timestamp, symbol,
 FROM holdings GROUP BY 1, 2""")
 
 
+def _melt(trunc: str) -> str:
+    return with_stages(["holdings"], f"""
+SELECT CAST(CAST(date_trunc('{trunc}', timestamp) AS DATE) AS VARCHAR) AS Date, symbol AS Security,
+       CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS Valuation
+FROM holdings GROUP BY 1, 2""")
+
+
+def _allocation(trunc: str) -> str:
+    return with_stages(["holdings"], f"""
+SELECT symbol, valuation, ROUND(valuation / NULLIF(total, 0) * 100, 2) AS percentage
+FROM (SELECT symbol, CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS valuation
+      FROM holdings WHERE date_trunc('{trunc}', timestamp) = (SELECT date_trunc('{trunc}', MAX(timestamp)) FROM holdings) GROUP BY symbol) l,
+     (SELECT CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS total
+      FROM holdings WHERE date_trunc('{trunc}', timestamp) = (SELECT date_trunc('{trunc}', MAX(timestamp)) FROM holdings)) t""")
+
+
+def _wide(stage: str, agg: str, value: str, suffix: str) -> str:
+    """One conditional aggregate per symbol: plain columns, so the text also makes a view."""
+    columns = ", ".join(f"{agg}(CASE WHEN symbol = {_quote(s)} THEN {value} END) AS \"{s}{suffix}\"" for s in WIDE_SYMBOLS)
+    return with_stages([stage], f"SELECT timestamp, {columns} FROM {stage} GROUP BY timestamp")
+
+
 def _listing(filter_status: bool = True) -> str:
     status = f" AND status = {_quote(LOOKUP_STATUS)}" if filter_status else ""
     return (f"SELECT scrip_id, MIN(scrip_code) AS scrip_code FROM v_securities "
-            f"WHERE segment = {_quote(_LOOKUP_SEGMENT)}{status} GROUP BY scrip_id")
+            f"WHERE segment = {_quote(LOOKUP_SEGMENT)}{status} GROUP BY scrip_id")
 
 
 ORACLE: dict[str, str] = {
@@ -149,17 +171,16 @@ ORACLE: dict[str, str] = {
     "adjusted_tradebook": with_stages(["adjusted"], "SELECT * FROM adjusted"),
     "market_days": with_stages(["market_days"], "SELECT * FROM market_days"),
     "trades_aligned": with_stages(["trades_aligned"], "SELECT * FROM trades_aligned"),
-    "trades_wide": with_stages(["trades_aligned"], """
-SELECT * FROM (PIVOT (SELECT timestamp, symbol, quantity FROM trades_aligned)
-               ON symbol USING SUM(quantity) AS quantity GROUP BY timestamp)"""),
-    "quotes_wide": with_stages(["price_history"], """
-SELECT * FROM (PIVOT (SELECT timestamp, symbol, quote FROM price_history)
-               ON symbol USING MAX(quote) AS quote GROUP BY timestamp)"""),
+    "trades_wide": _wide("trades_aligned", "SUM", "quantity", "_quantity"),
+    "quotes_wide": _wide("price_history", "MAX", "quote", "_quote"),
     "position_balance": with_stages(["balance"], "SELECT * FROM balance"),
     "holdings_daily": with_stages(["holdings"], "SELECT * FROM holdings"),
-    "holdings_wide": with_stages(["holdings"], """
-SELECT * FROM (PIVOT (SELECT timestamp, symbol, valuation FROM holdings)
-               ON symbol USING MAX(valuation) GROUP BY timestamp)"""),
+    "holdings_wide": _wide("holdings", "MAX", "valuation", ""),
+    "holdings_unpivot": with_stages(["holdings"], """
+SELECT CAST(timestamp AS VARCHAR) AS Date, symbol AS Security, valuation AS Valuation FROM holdings"""),
+    "holdings_melt_weekly": _melt("week"),
+    "holdings_melt_monthly": _melt("month"),
+    "holdings_melt_yearly": _melt("year"),
     "holdings_melt": with_stages(["holdings"], """
 SELECT CAST(timestamp AS VARCHAR) AS Date, symbol AS Security, valuation AS Valuation FROM holdings"""),
     "holdings_weekly": _resample("week"),
@@ -170,27 +191,38 @@ SELECT CAST(date_trunc('month', timestamp) AS DATE) AS timestamp, symbol,
        ARG_MAX(valuation, timestamp) AS valuation
 FROM holdings GROUP BY 1, 2"""),
     "holdings_carried": with_stages(["holdings_carried"], "SELECT * FROM holdings_carried"),
+    "holdings_off_calendar_drop": with_stages(["market_days", "adjusted", "symbols", "price_history"], """
+SELECT d.timestamp, s.symbol, ROUND(COALESCE(p.quote, 0) * b.balance, 2) + CAST(0 AS DOUBLE) AS valuation
+FROM market_days d CROSS JOIN symbols s
+JOIN (SELECT d.timestamp, s.symbol, COALESCE(SUM(a.quantity), CAST(0 AS DOUBLE)) AS balance
+      FROM market_days d CROSS JOIN symbols s
+      LEFT JOIN (SELECT * FROM adjusted WHERE trade_date IN (SELECT timestamp FROM market_days)) a
+        ON a.symbol = s.symbol AND a.trade_date <= d.timestamp GROUP BY 1, 2) b ON b.timestamp = d.timestamp AND b.symbol = s.symbol
+LEFT JOIN price_history p ON p.timestamp = d.timestamp AND p.symbol = s.symbol"""),
     "portfolio_valuation": with_stages(["holdings"], """
 SELECT timestamp, CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS valuation
 FROM holdings GROUP BY timestamp"""),
-    "latest_allocation": with_stages(["holdings"], """
-SELECT symbol, valuation, ROUND(valuation / NULLIF(total, 0) * 100, 2) AS percentage
-FROM (SELECT * FROM holdings WHERE timestamp = (SELECT MAX(timestamp) FROM holdings)) l,
-     (SELECT CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS total
-      FROM holdings WHERE timestamp = (SELECT MAX(timestamp) FROM holdings)) t"""),
+    "latest_allocation": _allocation("day"),
+    "latest_allocation_weekly": _allocation("week"),
+    "latest_allocation_monthly": _allocation("month"),
+    "latest_allocation_yearly": _allocation("year"),
     "securities_lookup": with_stages(["symbols", "v_securities"], f"""
 SELECT s.symbol, l.scrip_code FROM symbols s LEFT JOIN ({_listing()}) l ON s.symbol = l.scrip_id"""),
     "unknown_symbols": with_stages(["symbols", "v_securities"], f"""
 SELECT s.symbol FROM symbols s WHERE s.symbol NOT IN (SELECT scrip_id FROM ({_listing()}) l)"""),
     "segment_codes": with_stages(["v_securities"], f"""
 SELECT s.segment, COALESCE(m.code, {_quote(DEFAULT_SEGMENT_CODE)}) AS code
-FROM (SELECT DISTINCT segment FROM v_securities) s
+FROM (SELECT DISTINCT segment FROM v_securities UNION ALL SELECT DISTINCT segment || ' (old)' FROM v_securities) s
 LEFT JOIN (VALUES {_SEGMENT_CODES}) m(name, code) ON m.name = s.segment"""),
     "segment_slug": with_stages(["v_securities"], """
 SELECT segment, lower(regexp_replace(segment, '[^a-zA-Z0-9]', '_', 'g')) AS slug
 FROM (SELECT DISTINCT segment FROM v_securities) s"""),
     "securities_normalise": with_stages(["v_securities_full"], "SELECT * FROM v_securities_full"),
-    "securities_refresh": with_stages(["v_securities"], """
-SELECT segment, COUNT(*) AS rows FROM v_securities GROUP BY segment"""),
+    "securities_refresh": with_stages(["v_securities"], f"""
+SELECT e.segment, COUNT(s.segment) AS rows FROM (VALUES {", ".join(f"({_quote(x)})" for x in EXCHANGE_SEGMENTS)}) e(segment)
+LEFT JOIN v_securities s ON s.segment = e.segment GROUP BY e.segment"""),
+    "securities_ids": with_stages(["v_securities"], """
+SELECT segment, 3 * COUNT(*) AS rows, 3 * COUNT(*) AS ids FROM v_securities GROUP BY segment"""),
+    "price_feed": with_stages(["v_prices"], "SELECT timestamp, symbol, quote FROM v_prices"),
     "securities_roundtrip": with_stages(["v_securities_full"], "SELECT * FROM v_securities_full"),
 }

@@ -1,6 +1,9 @@
 """The holdings pipeline, end to end: tradebook to daily valued positions.
 
-Every stage is a lazy DataFrame; nothing is collected. The net tradebook
+Every stage is a DataFrame. With ``materialize`` (the default) reading
+``symbols``, ``price_history`` or anything built on them starts the job that
+writes the net tradebook or the price history; all else is lazy, and only the
+one-row tenure is brought to the driver. The net tradebook
 feeds six branches (symbols, tenure, first trade dates, events, adjustment,
 grid), and each branch needs different columns of it, so Catalyst prunes
 each copy differently and no exchange can be shared: left lazy, the raw
@@ -10,12 +13,12 @@ under the cluster's checkpoint root and read back: the raw scan runs exactly
 once, the branches read a table of at most (days x symbols) rows with real
 size statistics, and lineage is cut there, so a lost executor recomputes from
 that table and not from the raw files. The held symbols' price history is
-written the same way, as every report reads it twice.
+written the same way, as every report reads it twice. ``close()`` removes both.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +26,17 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import events as ev
 from holdfast.operators import positions as pos
-from holdfast.operators import reshape
 from holdfast.operators import tradebook as tb
-from holdfast.session import scratch_dir
+from holdfast.session import remove_folder, scratch_dir
 
 
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to a new folder in the shared checkpoint root; return the re-read table."""
+def write_and_read(df: DataFrame, name: str, folders: list[str]) -> DataFrame:
+    """Write ``df`` once to a new folder in the shared checkpoint root, noted in
+    ``folders``; return the re-read table."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    folders.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +68,18 @@ class HoldingsPlan:
     materialize: bool = True
     calendar: DataFrame | None = None
     end: str | None = None
+    scratch: list[str] = field(default_factory=list, init=False, repr=False)
+
+    def close(self) -> None:
+        """Remove the tables this plan wrote; its frames cannot be read afterwards."""
+        while self.scratch:
+            remove_folder(self.prices.sparkSession, self.scratch.pop())
+
+    def __enter__(self) -> HoldingsPlan:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -80,17 +96,12 @@ class HoldingsPlan:
     @cached_property
     def _net(self) -> DataFrame:
         """What the branches read: the net tradebook, written once if ``materialize``."""
-        return write_and_read(self.net, "net-tradebook") if self.materialize else self.net
+        return write_and_read(self.net, "net-tradebook", self.scratch) if self.materialize else self.net
 
     @cached_property
     def symbols(self) -> DataFrame:
         return tb.symbols(self._net)
 
-    @cached_property
-    def symbol_list(self) -> list[str]:
-        """The sorted symbols as a Python list, for the columns of wide tables (size-checked)."""
-        return reshape.pivot_values(self.symbols)
-
     @cached_property
     def tenure(self) -> DataFrame:
         return tb.tenure(self._net, self.end)
@@ -104,10 +115,15 @@ class HoldingsPlan:
         """Quotes of the held symbols in the tenure; written once if ``materialize``.
 
         Every report reads them twice (as price rows and as the market-day
-        set), so the price source is scanned once, not once per use.
+        set), so the price source is scanned once, not once per use. The net
+        table is there already, so its one-row tenure is read back and its
+        bounds reach the price scan as literals.
         """
-        hist = pos.price_history(self.prices, self.symbols, self.tenure)
-        return write_and_read(hist, "price-history") if self.materialize else hist
+        if not self.materialize:
+            return pos.price_history(self.prices, self.symbols, self.tenure)
+        row = self.tenure.first()
+        literals = (F.lit(row["start_date"]).cast("date"), F.lit(row["end_date"]).cast("date"))
+        return write_and_read(pos.price_history(self.prices, self.symbols, literals), "price-history", self.scratch)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -133,7 +149,7 @@ class HoldingsPlan:
     @cached_property
     def trades_aligned(self) -> DataFrame:
         return pos.trades_aligned(self.adjusted, self.market_days, self.symbols, self.tenure,
-                                  self.off_calendar)
+                                  self.off_calendar, self._net)
 
     @cached_property
     def balance(self) -> DataFrame:

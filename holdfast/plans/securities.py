@@ -2,45 +2,53 @@
 
 The reference drops the table and then appends one segment at a time, so
 readers see a half-loaded table in between. Here all snapshot segments are
-read in one scan, cleaned, keyed and written with a single overwrite;
-``segment`` is the partition folder (partition pruning replaces the index on
-segment) and files are sorted by ``scrip_id`` inside it.
+read in one scan, cleaned, keyed and written to a new version folder, which is
+the table as soon as the write job has marked it complete. A refresh that fails
+leaves the table as it was, and a reader never finds it empty. ``segment`` is the
+partition folder (partition pruning replaces the index on segment) and files
+are sorted by ``scrip_id`` inside it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.operators import securities as sec
+from holdfast.schemas import EXCHANGE_SEGMENTS
 from holdfast.sources import securities as src
 
 
 def refresh_securities(spark: SparkSession, snapshot_path: str, table_path: str,
-                       multi_line: bool = False) -> DataFrame:
+                       multi_line: bool = False, segments: Iterable[str] = EXCHANGE_SEGMENTS) -> DataFrame:
     """Snapshots (``segment=<name>/`` folders of JSON) to the master table.
 
-    Returns the load audit (segment, rows) read back from the written table.
-    A segment with no snapshot simply has no rows (and no audit line).
+    Returns the load audit (segment, rows) read back from the written table,
+    with 0 rows for those of ``segments`` that had no snapshot.
     """
     normalised = sec.normalise_securities(src.read_snapshots(spark, snapshot_path, multi_line))
     write_master(sec.with_security_id(normalised), table_path)
-    return sec.segment_audit(src.read_securities_table(spark, table_path))
+    return sec.segment_audit(src.read_securities_table(spark, table_path), segments)
 
 
-def write_master(securities: DataFrame, table_path: str, mode: str = "overwrite") -> None:
-    """Write the table partitioned by segment, files sorted by scrip_id."""
+def write_master(securities: DataFrame, table_path: str) -> None:
+    """Replace the table's rows: a new version, partitioned by segment, files sorted by scrip_id."""
+    spark = securities.sparkSession
     (sec.layout_for_table(securities).select(*src.MASTER.fieldNames())
-     .write.mode(mode).partitionBy("segment").parquet(table_path))
+     .write.partitionBy("segment").parquet(src.next_version(spark, table_path)))
+    src.remove_old_versions(spark, table_path)
 
 
 def ingest_securities_csv(spark: SparkSession, csv_path: str, table_path: str) -> DataFrame:
-    """Bulk-load hand-over CSV files into the master table (append), all or nothing.
+    """Bulk-load hand-over CSV files into the master table, all or nothing.
 
     The files are read strictly (header names checked, a malformed row fails
-    the load before anything is written); the table is created if missing.
-    Returns the table as read back.
+    the load before anything is published); the table is created if missing.
+    The rows there and the new ones are written as one new version, and keyed
+    together, so no two rows share an id. Returns the table as read back.
     """
     src.ensure_securities_table(spark, table_path)
-    rows = sec.with_security_id(src.read_securities_csv(spark, csv_path))
-    write_master(rows, table_path, mode="append")
+    there = src.read_securities_table(spark, table_path).drop("id")
+    write_master(sec.with_security_id(there.unionByName(src.read_securities_csv(spark, csv_path))), table_path)
     return src.read_securities_table(spark, table_path)

@@ -1,9 +1,10 @@
 """Registered queries: one per operator key, each over the whole test tables.
 
-Each entry takes (spark, sf_dir) and returns a lazy DataFrame. Inputs come
-from :mod:`holdfast.sources.adapters`; queries that exercise a file format
-read their input from a folder under the cluster's checkpoint root, written
-once per session.
+Each entry takes (spark, sf_dir) and does all of its own work: a key that uses
+the holdings plan builds a new one, so nothing computed by one call serves
+another. Inputs come from :mod:`holdfast.sources.adapters`; queries that
+exercise a file format read their input from a folder under the cluster's
+checkpoint root, written once per session (the files only; never a result).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from holdfast.operators import reporting as rep
 from holdfast.operators import reshape
@@ -21,42 +23,23 @@ from holdfast.schemas import SECURITIES_COLUMNS
 from holdfast.session import scratch_dir
 from holdfast.sources import adapters
 from holdfast.sources import securities as src
+from holdfast.sources.market import read_prices
 from holdfast.sources.tradebook import read_tradebook, write_tradebook_csv
 
-# Parameters of the securities queries over the fixture: its segments are the
-# part types, and the lookup asks for active listings in one of them.
-FIXTURE_SEGMENTS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-LOOKUP_SEGMENT = "STANDARD"
+# Parameters over the fixture: the lookup asks for active listings in one
+# segment, and the wide tables have a column for each of the 25 brands.
+LOOKUP_SEGMENT = "Debt or Others"
 LOOKUP_STATUS = "Active"
-
-
-_INPUTS: dict[tuple[int, str], adapters.Inputs] = {}
+WIDE_SYMBOLS = [f"Brand#{n}" for n in range(1, 26)]
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> adapters.Inputs:
-    """The stand-in inputs for one session and folder, built once (they are lazy plans)."""
-    key = (id(spark), sf_dir)
-    cached = _INPUTS.get(key)
-    if cached is None or cached.spark is not spark:
-        cached = _INPUTS[key] = adapters.Inputs(spark, sf_dir)
-    return cached
-
-
-_PLANS: dict[tuple, HoldingsPlan] = {}
+    return adapters.Inputs(spark, sf_dir)
 
 
 def _plan(spark: SparkSession, sf_dir: str, **options) -> HoldingsPlan:
-    """One holdings plan per session, folder and options, shared by the keys.
-
-    As with one portfolio and many reports: the net tradebook is written once
-    (when a key first needs it) and every later report reads that table.
-    """
-    key = (id(spark), sf_dir, tuple(sorted(options.items())))
-    plan = _PLANS.get(key)
-    if plan is None or plan.prices.sparkSession is not spark:
-        inputs = _inputs(spark, sf_dir)
-        plan = _PLANS[key] = build_holdings(inputs.tradebook, inputs.prices, inputs.events_feed, **options)
-    return plan
+    inputs = _inputs(spark, sf_dir)
+    return build_holdings(inputs.tradebook, inputs.prices, inputs.events_feed, **options)
 
 
 _FILES: dict[tuple, tuple[SparkSession, str]] = {}
@@ -138,24 +121,40 @@ def holdings_carried(spark, sf_dir):
     return _plan(spark, sf_dir, price_fill="carry").holdings
 
 
+def holdings_off_calendar_drop(spark, sf_dir):
+    return _plan(spark, sf_dir, off_calendar="drop").holdings
+
+
 def trades_wide(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    return reshape.trades_wide(plan.trades_aligned, plan.symbol_list)
+    return reshape.trades_wide(_plan(spark, sf_dir).trades_aligned, WIDE_SYMBOLS)
 
 
 def quotes_wide(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    return reshape.quotes_wide(plan.price_history, plan.symbol_list)
+    return reshape.quotes_wide(_plan(spark, sf_dir).price_history, WIDE_SYMBOLS)
 
 
 def holdings_wide(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    return reshape.holdings_wide(plan.holdings, plan.symbol_list)
+    return reshape.holdings_wide(_plan(spark, sf_dir).holdings, WIDE_SYMBOLS)
+
+
+def holdings_unpivot(spark, sf_dir):
+    return reshape.melt(holdings_wide(spark, sf_dir))
 
 
 def holdings_melt(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    return rep.melted_holdings(plan.holdings, "day", plan.symbol_list)
+    return rep.melted_holdings(_plan(spark, sf_dir).holdings, "day")
+
+
+def holdings_melt_weekly(spark, sf_dir):
+    return rep.melted_holdings(_plan(spark, sf_dir).holdings, "week")
+
+
+def holdings_melt_monthly(spark, sf_dir):
+    return rep.melted_holdings(_plan(spark, sf_dir).holdings, "month")
+
+
+def holdings_melt_yearly(spark, sf_dir):
+    return rep.melted_holdings(_plan(spark, sf_dir).holdings, "year")
 
 
 def holdings_weekly(spark, sf_dir):
@@ -182,18 +181,42 @@ def latest_allocation(spark, sf_dir):
     return rep.latest_allocation(_plan(spark, sf_dir).holdings)
 
 
+def _allocation(spark, sf_dir, granularity):
+    return rep.latest_allocation(rep.resample(_plan(spark, sf_dir).holdings, granularity))
+
+
+def latest_allocation_weekly(spark, sf_dir):
+    return _allocation(spark, sf_dir, "week")
+
+
+def latest_allocation_monthly(spark, sf_dir):
+    return _allocation(spark, sf_dir, "month")
+
+
+def latest_allocation_yearly(spark, sf_dir):
+    return _allocation(spark, sf_dir, "year")
+
+
+def price_feed(spark, sf_dir):
+    """A price feed whose timestamps are text."""
+    text = _inputs(spark, sf_dir).prices.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "symbol", "quote")
+    path = _input_files(spark, sf_dir, "prices-csv", lambda p: text.write.option("header", True).csv(p))
+    return read_prices(spark, path, fmt="csv")
+
+
 def securities_lookup(spark, sf_dir):
-    return sec.lookup_codes(_plan(spark, sf_dir).symbols, _inputs(spark, sf_dir).securities,
-                            LOOKUP_SEGMENT, LOOKUP_STATUS, FIXTURE_SEGMENTS)
+    return sec.lookup_codes(_plan(spark, sf_dir, materialize=False).symbols, _inputs(spark, sf_dir).securities,
+                            LOOKUP_SEGMENT, LOOKUP_STATUS)
 
 
 def unknown_symbols(spark, sf_dir):
-    return sec.unknown_symbols(_plan(spark, sf_dir).symbols, _inputs(spark, sf_dir).securities,
-                               LOOKUP_SEGMENT, LOOKUP_STATUS, FIXTURE_SEGMENTS)
+    return sec.unknown_symbols(_plan(spark, sf_dir, materialize=False).symbols, _inputs(spark, sf_dir).securities,
+                               LOOKUP_SEGMENT, LOOKUP_STATUS)
 
 
 def segment_codes(spark, sf_dir):
     segments = _inputs(spark, sf_dir).securities.select("segment").distinct()
+    segments = segments.union(segments.select(F.concat("segment", F.lit(" (old)"))))  # names without a code
     return segments.select("segment", sec.segment_code("segment").alias("code"))
 
 
@@ -215,6 +238,13 @@ def securities_refresh(spark, sf_dir):
     return refresh_securities(spark, _snapshots(spark, sf_dir), scratch_dir(spark, "securities-table"))
 
 
+def securities_ids(spark, sf_dir):
+    """Every row of the master has an id of its own, also rows that repeat a record."""
+    rows = adapters.securities_full_view(spark, sf_dir)
+    keyed = sec.with_security_id(rows.union(rows.withColumn("scrip_code", F.lit(None).cast("string"))).union(rows))
+    return keyed.groupBy("segment").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+
+
 def securities_roundtrip(spark, sf_dir):
     path = _input_files(spark, sf_dir, "securities-csv",
                         lambda p: src.write_securities_csv(adapters.securities_full_view(spark, sf_dir), p))
@@ -230,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tenure": tenure,
     "earliest_trade_dates": earliest_trade_dates,
     "price_history": price_history,
+    "price_feed": price_feed,
     "corporate_events": corporate_events,
     "adjustment_factor": adjustment_factor,
     "adjusted_tradebook": adjusted_tradebook,
@@ -241,18 +272,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "holdings_daily": holdings_daily,
     "holdings_wide": holdings_wide,
     "holdings_melt": holdings_melt,
+    "holdings_unpivot": holdings_unpivot,
+    "holdings_melt_weekly": holdings_melt_weekly,
+    "holdings_melt_monthly": holdings_melt_monthly,
+    "holdings_melt_yearly": holdings_melt_yearly,
     "holdings_weekly": holdings_weekly,
     "holdings_monthly": holdings_monthly,
     "holdings_yearly": holdings_yearly,
     "holdings_monthly_last": holdings_monthly_last,
     "holdings_carried": holdings_carried,
+    "holdings_off_calendar_drop": holdings_off_calendar_drop,
     "portfolio_valuation": portfolio_valuation,
     "latest_allocation": latest_allocation,
+    "latest_allocation_weekly": latest_allocation_weekly,
+    "latest_allocation_monthly": latest_allocation_monthly,
+    "latest_allocation_yearly": latest_allocation_yearly,
     "securities_lookup": securities_lookup,
     "unknown_symbols": unknown_symbols,
     "segment_codes": segment_codes,
     "segment_slug": segment_slug,
     "securities_normalise": securities_normalise,
     "securities_refresh": securities_refresh,
+    "securities_ids": securities_ids,
     "securities_roundtrip": securities_roundtrip,
 }

@@ -18,7 +18,7 @@ from pyspark.sql.types import (
     TimestampNTZType,
 )
 
-MONEY = DecimalType(18, 2)
+MONEY = DecimalType(18, 6)  # unit prices: averages and fund prices have more than two decimals
 FACE_VALUE = DecimalType(18, 4)
 MARKET_CAP = DecimalType(24, 4)
 
@@ -63,21 +63,6 @@ EVENTS_FEED = StructType(
 )
 
 # Securities master, in the column order of the snapshot CSV files.
-SECURITIES_COLUMNS = [
-    "segment",
-    "scrip_code",
-    "security_name",
-    "status",
-    "group_name",
-    "face_value",
-    "isin_number",
-    "industry",
-    "scrip_id",
-    "nsurl",
-    "issuer_name",
-    "market_cap",
-]
-
 SECURITIES = StructType(
     [
         StructField("segment", StringType()),
@@ -95,26 +80,9 @@ SECURITIES = StructType(
     ]
 )
 
-# --- Fixed values (must equal the reference's for equal results) -----------
+SECURITIES_COLUMNS = SECURITIES.fieldNames()
 
-# Exchange segment names accepted by the securities lookup.
-EXCHANGE_SEGMENTS = [
-    "Equity T+1",
-    "Equity T+0",
-    "Derivatives",
-    "Exchange Traded Funds",
-    "Debt or Others",
-    "Currency Derivatives",
-    "Commodity",
-    "Electronic Gold Receipts",
-    "Hybrid Security",
-    "Municipal Bonds",
-    "Preference Shares",
-    "Debentures and Bonds",
-    "Equity - Institutional Series",
-    "Commercial Papers",
-    "Social Stock Exchange",
-]
+# --- Fixed values (must equal the reference's for equal results) -----------
 
 # Exchange segment name -> code the exchange's listing service expects.
 EXCHANGE_SEGMENT_CODES = {
@@ -135,6 +103,9 @@ EXCHANGE_SEGMENT_CODES = {
     "Social Stock Exchange": "SSE",
 }
 
+# Segment names the securities lookup accepts.
+EXCHANGE_SEGMENTS = list(EXCHANGE_SEGMENT_CODES)
+
 DEFAULT_SEGMENT = "Equity T+1"
 DEFAULT_SEGMENT_CODE = "Equity"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,8 +47,9 @@ def get_session(master: str | None = None, app: str = "holdfast", conf: dict | N
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Read from the session; only when nothing is configured (local runs and
-    tests) a fresh local folder is created and registered.
+    Read from the session. Only with a ``local`` master (one machine, as in
+    tests) is a fresh local folder created where none is named: on a cluster
+    every executor would write to its own disk, so that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -58,6 +60,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="holdfast-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -67,3 +71,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint root."""
     return os.path.join(checkpoint_root(spark), "holdfast-scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, whatever store it is in, and the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def folder_names(spark: SparkSession, path: str, marker: str = "") -> list[str]:
+    """Names of the folders directly under ``path`` (that hold a file ``marker``), sorted."""
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        return []
+    folders = [status.getPath() for status in files.listStatus(where) if status.isDirectory()]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return sorted(f.getName() for f in folders if not marker or files.exists(hadoop.Path(f, marker)))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)

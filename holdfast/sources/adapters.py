@@ -69,7 +69,7 @@ SELECT p_brand AS symbol,
        CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS trade_type,
        FALSE AS auction,
        CAST(l_quantity AS BIGINT) AS quantity,
-       CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+       CAST(l_extendedprice AS DECIMAL(18,6)) AS price,
        CAST(l_orderkey * 10 + l_linenumber AS STRING) AS trade_id,
        CAST(l_orderkey AS STRING) AS order_id,
        l_shipdate AS order_execution_time
@@ -77,6 +77,8 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "v_prices": """
 SELECT CAST(l_shipdate AS DATE) AS timestamp, p_brand AS symbol, MAX(l_extendedprice) AS quote
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+WHERE EXTRACT(DAY FROM l_shipdate) <> 13
+  AND NOT (CAST(SUBSTR(p_brand, 7) AS INT) % 5 = 0 AND EXTRACT(MONTH FROM l_shipdate) = 6)
 GROUP BY CAST(l_shipdate AS DATE), p_brand""",
     "v_events": """
 WITH b AS (SELECT DISTINCT p_brand AS symbol, CAST(SUBSTR(p_brand, 7) AS INT) AS n FROM {part})
@@ -89,7 +91,9 @@ UNION ALL
 SELECT symbol, CAST(DATE '1999-01-01' + n * 10 AS DATE), CAST(NULL AS DOUBLE),
        'dividend', 'dividend', CAST(1.5 AS DOUBLE) FROM b""",
     "v_securities": """
-SELECT p_type AS segment, CAST(500000 + MIN(p_partkey) AS STRING) AS scrip_code,
+SELECT CASE p_type WHEN 'ECONOMY' THEN 'Equity T+0' WHEN 'LARGE' THEN 'Exchange Traded Funds' WHEN 'MEDIUM' THEN 'Derivatives'
+                   WHEN 'PROMO' THEN 'Equity - Institutional Series' WHEN 'SMALL' THEN 'Social Stock Exchange'
+                   ELSE 'Debt or Others' END AS segment, CAST(500000 + MIN(p_partkey) AS STRING) AS scrip_code,
        MIN(p_name) AS security_name,
        CASE WHEN MIN(p_partkey) % 3 = 0 THEN 'Active' WHEN MIN(p_partkey) % 3 = 1 THEN 'Suspended' ELSE 'Delisted' END AS status,
        p_brand AS scrip_id, CAST(MIN(p_size) AS DECIMAL(18,4)) AS face_value
@@ -109,7 +113,11 @@ def tradebook_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily close per symbol: the highest extended price of the day."""
+    """Daily close per symbol: the highest extended price of the day.
+
+    No symbol has a price on the 13th of a month, and every fifth brand has none
+    in June, so trades on days without prices and days without a quote occur.
+    """
     return _view(spark, sf_dir, "v_prices")
 
 
@@ -128,7 +136,7 @@ def events_feed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def securities_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Securities master: one security per (segment = p_type, scrip_id = brand)."""
+    """Securities master: one security per part type, which plays a segment, and brand."""
     return _view(spark, sf_dir, "v_securities")
 
 

@@ -1,40 +1,39 @@
 """Securities-master sources and sinks.
 
 * snapshots: the exchange's listing as JSON (one folder per segment, files
-  holding either a JSON array or one object per line), read into a VARIANT so
-  that the value's JSON type is still known when it is cleaned;
+  holding either a JSON array or one object per line), every key read into a
+  VARIANT so that the value's JSON type is still known when it is cleaned;
 * CSV files, one folder per segment, as the refresh job hands them over;
-* the master table itself (Parquet, partitioned by segment);
+* the master table itself (Parquet version folders, partitioned by segment; the
+  newest complete one is the table);
 * JDBC, for a master table that lives in a database.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, VariantType
 
 from holdfast.schemas import SECURITIES, SECURITIES_COLUMNS, SNAPSHOT_KEYS
+from holdfast.session import folder_names, remove_folder
 
-SNAPSHOT_RECORD = "record"
+SNAPSHOT = StructType([StructField(key, VariantType()) for key in SNAPSHOT_KEYS] + [StructField("segment", StringType())])
 
 
 def read_snapshots(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Raw snapshot records as (segment, record VARIANT), one row per security.
+    """Raw snapshot records: a VARIANT column per JSON key, and the segment.
 
     ``path`` holds ``segment=<name>/`` folders; Spark's partition discovery
     supplies the segment, as the file name did for the reference's files.
     Lines may hold one record or a whole JSON array each; files are split
     across tasks. ``multi_line=True`` reads pretty-printed files whole
-    (one task per file).
+    (one task per file). A line that is not JSON fails the job.
     """
-    raw = spark.read.option("singleVariantColumn", "doc").option("multiLine", multi_line).json(path)
-    doc = F.col("doc")
-    records = F.when(
-        F.schema_of_variant(doc).startswith("ARRAY"), F.variant_get(doc, "$", "array<variant>")
-    ).otherwise(F.array(doc))
-    return raw.select(F.col("segment").cast("string").alias("segment"),
-                      F.explode(records).alias(SNAPSHOT_RECORD))
+    return spark.read.schema(SNAPSHOT).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
 
 
 def write_snapshots(securities: DataFrame, path: str) -> None:
@@ -72,12 +71,34 @@ def read_securities_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 MASTER = StructType(SECURITIES.fields + [StructField("id", LongType())])
+VERSION = "version-"
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The table's complete versions, oldest first: Spark marks a folder as its
+    write job's last act, so the marker publishes the version in one step."""
+    return [n for n in folder_names(spark, path, "_SUCCESS") if n.startswith(VERSION)]
+
+
+def next_version(spark: SparkSession, path: str) -> str:
+    """A new folder name that sorts after every version there."""
+    number = max((int(n[len(VERSION):].split("-")[0]) for n in versions(spark, path)), default=0) + 1
+    return os.path.join(path, f"{VERSION}{number:012d}-{uuid.uuid4().hex}")
+
+
+def remove_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """The current version and the one before stay, for readers that already
+    planned on it; older ones, and what failed writes left before it, go."""
+    kept = versions(spark, path)[-keep:]
+    for name in folder_names(spark, path):
+        if kept and name.startswith(VERSION) and name < kept[0]:
+            remove_folder(spark, os.path.join(path, name))
 
 
 def ensure_securities_table(spark: SparkSession, path: str) -> None:
     """Create the (empty) master table if it does not exist yet."""
-    empty = spark.createDataFrame([], MASTER)
-    empty.write.mode("ignore").partitionBy("segment").parquet(path)
+    if not versions(spark, path):
+        spark.createDataFrame([], MASTER).write.parquet(next_version(spark, path))
 
 
 def read_securities_table(spark: SparkSession, path: str) -> DataFrame:
@@ -86,9 +107,23 @@ def read_securities_table(spark: SparkSession, path: str) -> DataFrame:
     The schema is given, so ``segment`` stays a string whatever the folder
     names look like, and no job is spent inferring it.
     """
-    return spark.read.schema(MASTER).parquet(path).select(*MASTER.fieldNames())
+    found = versions(spark, path)
+    if not found:
+        raise ValueError(f"no securities table at {path}")
+    return spark.read.schema(MASTER).parquet(os.path.join(path, found[-1])).select(*MASTER.fieldNames())
 
 
-def read_securities_jdbc(spark: SparkSession, url: str, properties: dict, table: str = "securities") -> DataFrame:
-    """Master table over JDBC; filters and the column list are pushed to the database."""
-    return spark.read.jdbc(url=url, table=table, properties=properties).select(*SECURITIES_COLUMNS)
+def read_securities_jdbc(spark: SparkSession, url: str, properties: dict, table: str = "securities",
+                         column: str | None = None, bounds: tuple[int, int] | None = None,
+                         partitions: int = 1) -> DataFrame:
+    """Master table over JDBC; filters and the column list are pushed to the database.
+
+    With a numeric or date ``column`` and its ``bounds`` the table is read by
+    ``partitions`` tasks; without them by one.
+    """
+    split = {}
+    if column is not None:
+        if bounds is None:
+            raise ValueError("a partition column needs its lower and upper bound")
+        split = {"column": column, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": partitions}
+    return spark.read.jdbc(url=url, table=table, properties=properties, **split).select(*SECURITIES_COLUMNS)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from holdfast.functions import strict
+from holdfast.functions import exact, strict
 from holdfast.schemas import TRADEBOOK
 
 Loader = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,13 @@ def cast_by_name(raw: DataFrame) -> DataFrame:
     """Select the canonical columns by name from an all-string frame and cast them.
 
     A malformed number, flag or date fails the job rather than turning into a
-    silent null in a ledger.
+    silent null in a ledger, and so does a number that its column cannot hold
+    exactly: a price with more than six decimals, a fractional quantity
+    (``10.000000`` is a whole number). Nothing is rounded.
     """
     parsers = {
+        "quantity": lambda c: exact(c, TRADEBOOK["quantity"].dataType),
+        "price": lambda c: exact(c, TRADEBOOK["price"].dataType),
         "trade_date": lambda c: F.try_to_date(c, "yyyy-MM-dd"),
         "order_execution_time": lambda c: c.try_cast("timestamp_ntz"),   # wall clock, no zone
     }

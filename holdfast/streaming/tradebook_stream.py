@@ -44,7 +44,8 @@ def start_execution_intake(spark: SparkSession, landing_dir: str, table_path: st
     what has landed and stops (for scheduled runs); otherwise the query keeps
     running and picks up new files.
     """
-    executions = clean_tradebook(read_tradebook_stream(spark, landing_dir), segment)
+    # a day's rows in one task: one file per day and batch, not one per task
+    executions = clean_tradebook(read_tradebook_stream(spark, landing_dir), segment).repartition("trade_date")
     writer = (executions.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint_path).partitionBy("trade_date"))
     if available_now:

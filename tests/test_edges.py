@@ -7,7 +7,7 @@ from conftest import d, rows, trade
 
 from holdfast import build_holdings
 from holdfast.operators import clean_tradebook, latest_allocation, net_tradebook
-from holdfast.operators.reshape import holdings_wide, pivot_values
+from holdfast.operators.reshape import holdings_wide
 from holdfast.sources import read_tradebook
 
 PRICES = [("2024-01-02", "AAA", 10.0), ("2024-01-03", "AAA", 11.0), ("2024-01-04", "AAA", 12.0)]
@@ -93,9 +93,9 @@ def test_symbols_with_punctuation(make_tradebook, make_prices, make_events):
     trades = [trade("2024-01-02", s, "buy", 1, 10) for s in names]
     prices = [("2024-01-02", s, 10.0) for s in names]
     plan = _plan(make_tradebook, make_prices, make_events, trades, [], prices)
-    wide = holdings_wide(plan.holdings, pivot_values(plan.symbols))
-    assert sorted(wide.columns) == sorted(["timestamp"] + names)
-    assert rows(wide) == [(d("2024-01-02"), 10.0, 10.0, 10.0)]
+    wide = holdings_wide(plan.holdings, names + ["NOT.HELD"])
+    assert wide.columns == ["timestamp"] + names + ["NOT.HELD"]
+    assert rows(wide) == [(d("2024-01-02"), 10.0, 10.0, 10.0, None)]
 
 
 def test_unknown_broker_is_an_error(spark):
@@ -156,11 +156,11 @@ def test_empty_tradebook_gives_empty_reports(spark, make_tradebook, make_prices,
     from holdfast.operators import melted_holdings, portfolio_valuation, resample
 
     plan = _plan(make_tradebook, make_prices, make_events, [], [], [])
-    assert plan.holdings.collect() == [] and plan.symbol_list == []
+    assert plan.holdings.collect() == [] and holdings_wide(plan.holdings, []).columns == ["timestamp"]
     assert resample(plan.holdings, "month").collect() == []
     assert portfolio_valuation(plan.holdings).collect() == []
     assert latest_allocation(plan.holdings).collect() == []
-    long = melted_holdings(plan.holdings, "week", plan.symbol_list)
+    long = melted_holdings(plan.holdings, "week")
     assert long.columns == ["Date", "Security", "Valuation"] and long.collect() == []
 
 
@@ -172,8 +172,55 @@ def test_two_quotes_on_one_day_give_one_answer(make_tradebook, make_prices, make
         assert rows(plan.holdings, "timestamp", "valuation") == [(d("2024-01-02"), 22.0), (d("2024-01-04"), 24.0)]
 
 
-def test_wide_tables_refuse_too_many_symbols(spark):
-    syms = spark.createDataFrame([(f"S{i}",) for i in range(5)], "symbol string")
-    assert pivot_values(syms, limit=5) == [f"S{i}" for i in range(5)]
-    with pytest.raises(ValueError, match="more than 3 symbols"):
-        pivot_values(syms, limit=3)
+def test_a_long_report_has_no_symbol_limit(spark):
+    from holdfast.operators import melted_holdings
+
+    h = spark.range(12_000).selectExpr("date'2024-01-02' AS timestamp", "concat('S', id) AS symbol", "CAST(id AS DOUBLE) AS valuation")
+    assert melted_holdings(h, "month").count() == 12_000
+    assert latest_allocation(h).count() == 12_000
+
+
+def test_quantity_event_without_ratio_is_an_error(make_tradebook, make_prices, make_events):
+    events = [("AAA", "split", "03 Jan 2024", None, "split", None)]
+    trades = [trade("2024-01-02", "AAA", "buy", 1, 10), trade("2024-01-04", "AAA", "buy", 1, 10)]
+    with pytest.raises(Exception, match="event without ratio"):
+        build_holdings(make_tradebook(trades), make_prices(PRICES), make_events(events)).adjusted.collect()
+
+
+def test_average_price_keeps_every_decimal(make_tradebook):
+    trades = [trade("2024-01-02", "AAA", "buy", 10, "100.1250"), trade("2024-01-02", "AAA", "buy", 10, "45.3375")]
+    assert net_tradebook(clean_tradebook(make_tradebook(trades))).first()["average_price"] == 72.73125
+
+
+def test_a_mistyped_year_adds_no_days(make_tradebook, make_prices, make_events):
+    trades = [trade("1024-01-02", "AAA", "buy", 1, 10), trade("2024-01-03", "AAA", "buy", 1, 10)]
+    plan = _plan(make_tradebook, make_prices, make_events, trades, [], [("2024-01-02", "AAA", 10.0), ("2024-01-03", "AAA", 11.0)])
+    assert rows(plan.holdings, "timestamp", "valuation") == [(d("2024-01-02"), 10.0), (d("2024-01-03"), 22.0)]
+
+
+def test_a_plan_removes_its_scratch_tables(make_tradebook, make_prices, make_events):
+    import os
+
+    with _plan(make_tradebook, make_prices, make_events, [trade("2024-01-02", "AAA", "buy", 1, 10)], []) as plan:
+        assert plan.holdings.count() > 0
+        folders = list(plan.scratch)
+        assert len(folders) == 2 and all(os.path.isdir(f) for f in folders)
+    assert plan.scratch == [] and not any(os.path.exists(f) for f in folders)
+
+
+def test_no_machine_local_scratch_on_a_cluster():
+    from types import SimpleNamespace
+
+    from holdfast.session import checkpoint_root
+
+    def session(master, named=None):
+        made = []
+        context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, v=None: named), getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_root(session(master))
+        assert checkpoint_root(session(master, "hdfs://x/y")) == "hdfs://x/y"
+    for master in ("local", "local[4]", "local[*]"):
+        assert "holdfast-ckpt-" in checkpoint_root(session(master))

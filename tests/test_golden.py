@@ -5,7 +5,7 @@ from __future__ import annotations
 from conftest import d, rows
 
 from holdfast.operators import latest_allocation, portfolio_valuation, resample
-from holdfast.operators.reshape import holdings_wide, melt, pivot_values, quotes_wide, trades_wide
+from holdfast.operators.reshape import holdings_wide, melt, quotes_wide, trades_wide
 
 
 def test_symbols_and_tenure(golden):
@@ -96,8 +96,7 @@ def test_latest_allocation_daily_and_monthly(golden):
 
 def test_wide_forms_and_melt(golden):
     plan = golden()
-    symbols = pivot_values(plan.symbols)
-    assert symbols == ["AAA", "BBB"]
+    symbols = ["AAA", "BBB"]
     wide = holdings_wide(plan.holdings, symbols)
     assert wide.columns == ["timestamp", "AAA", "BBB"]
     assert rows(wide)[1] == (d("2024-01-03"), 2120.0, 350.0)

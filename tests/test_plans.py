@@ -39,14 +39,14 @@ def single_partition_inputs(text: str) -> list[str]:
 
 def test_holdings_plan_has_no_cross_join_no_python_no_single_partition(parquet_inputs):
     plan = build_holdings(*parquet_inputs)
-    for df in (plan.holdings, plan.balance, plan.trades_aligned, plan.adjusted, latest_allocation(plan.holdings)):
+    for df in (plan.holdings, plan.balance, plan.trades_aligned, plan.adjusted):
         text = executed(df)
         for bad in FORBIDDEN:
             assert bad not in text, (bad, text)
-        # only global aggregates (tenure, latest day, totals) meet in one partition,
+        # only global aggregates (tenure, market days) meet in one partition,
         # and only as one partial row per map task
         for child in single_partition_inputs(text):
-            assert "HashAggregate(keys=[], functions=[partial_" in child, child
+            assert re.search(r"Aggregate\(keys=\[\], functions=\[partial_", child), child
 
 
 def test_window_is_partitioned_by_symbol(parquet_inputs):
@@ -115,3 +115,39 @@ def test_tenure_subquery_runs_once_and_is_reused(parquet_inputs):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedSubquery" in final
+
+
+def _count(text: str, what: str) -> int:
+    return len(re.findall(rf"^[ :+\-*()0-9]*{what}", text, re.M))
+
+
+def test_latest_allocation_runs_the_pipeline_once(parquet_inputs):
+    plan = build_holdings(*parquet_inputs)
+    daily, latest = executed(plan.holdings), executed(latest_allocation(plan.holdings))
+    for node in ("FileScan parquet", "Union"):
+        assert _count(latest, node) == _count(daily, node)
+    by_symbol = re.findall(r"Window \[.*?\], \[symbol#", latest)
+    assert len(by_symbol) == len(re.findall(r"Window \[.*?\], \[symbol#", daily))
+    # all that meets in one task is one row per symbol, and one partial row per task
+    for child in single_partition_inputs(latest):
+        assert re.search(r"Aggregate\(keys=\[(symbol#\d+)?\]", child), child
+
+
+def test_the_event_join_runs_once_for_aligned_trades(parquet_inputs):
+    text = executed(build_holdings(*parquet_inputs).trades_aligned)
+    assert _count(text, r"(BroadcastHashJoin|SortMergeJoin) \[symbol#\d+\], \[symbol#\d+\], LeftOuter") == 1
+
+
+def test_tenure_bounds_reach_the_price_scan(spark, parquet_inputs, monkeypatch):
+    from holdfast.plans import holdings as module
+
+    seen = []
+    write = module.write_and_read
+    monkeypatch.setattr(module, "write_and_read", lambda df, name, folders: seen.append((name, executed(df))) or write(df, name, folders))
+    build_holdings(*parquet_inputs).price_history
+    text = dict(seen)["price-history"]
+    assert "GreaterThanOrEqual(timestamp,2024-01-02)" in text and "LessThan(timestamp,2024-02-06)" in text
+
+
+def test_quotes_are_reduced_to_one_a_day_on_the_map_side(parquet_inputs):
+    assert "partial_max(quote" in executed(build_holdings(*parquet_inputs).holdings)

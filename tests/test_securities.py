@@ -20,6 +20,7 @@ from holdfast.operators import (
 )
 from holdfast.schemas import SECURITIES
 from holdfast.sources import read_securities_csv, read_snapshots, write_securities_csv
+from holdfast.sources.securities import read_securities_table
 
 
 def _write_json(path, segment, payload, lines=False):
@@ -64,8 +65,10 @@ def test_normalise_falsy_values_become_null(spark, snapshot_dir):
 def test_refresh_writes_once_and_audits(spark, snapshot_dir):
     table = scratch_dir(spark, "test-master")
     audit = refresh_securities(spark, snapshot_dir, table)
-    assert rows(audit) == [("Derivatives", 1), ("Equity T+1", 2)]
-    master = spark.read.parquet(table)
+    loaded = {r["segment"]: r["rows"] for r in audit.collect()}
+    assert {k: v for k, v in loaded.items() if v} == {"Derivatives": 1, "Equity T+1": 2}
+    assert loaded["Commodity"] == 0 and len(loaded) == 15          # a segment without a snapshot has its line
+    master = read_securities_table(spark, table)
     assert master.filter("segment = 'Derivatives'").count() == 1
     plan = master.filter("segment = 'Equity T+1' AND scrip_id = 'BETA'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(segment" in plan and "PushedFilters: [IsNotNull(scrip_id), EqualTo(scrip_id,BETA)]" in plan
@@ -134,7 +137,8 @@ def test_segment_codes_and_slug(spark):
 
 
 def test_segment_audit(spark, master):
-    assert rows(segment_audit(master)) == [("Derivatives", 1), ("Equity T+1", 3)]
+    assert rows(segment_audit(master, [])) == [("Derivatives", 1), ("Equity T+1", 3)]
+    assert rows(segment_audit(master, ["Derivatives", "Commodity"])) == [("Commodity", 0), ("Derivatives", 1), ("Equity T+1", 3)]
 
 
 def test_csv_ingest_appends_into_the_master_table(spark):
@@ -148,7 +152,8 @@ def test_csv_ingest_appends_into_the_master_table(spark):
     first = ingest_securities_csv(spark, csv, table)
     assert first.count() == 2 and first.schema["segment"].dataType.simpleString() == "string"
     again = ingest_securities_csv(spark, csv, table)           # COPY semantics: appends
-    assert rows(segment_audit(again)) == [("Derivatives", 2), ("Equity T+1", 2)]
+    assert rows(segment_audit(again, [])) == [("Derivatives", 2), ("Equity T+1", 2)]
+    assert again.select("id").distinct().count() == 4
 
 
 def test_master_layout_splits_a_large_segment_into_sorted_files(spark):
@@ -170,9 +175,75 @@ def test_master_layout_splits_a_large_segment_into_sorted_files(spark):
         write_master(with_security_id(spark.createDataFrame(big + small, SECURITIES)), table)
     finally:
         spark.conf.set(key, before)
-    files = (spark.read.parquet(table).filter("segment = 'Equity T+1'")
+    files = (read_securities_table(spark, table).filter("segment = 'Equity T+1'")
              .groupBy(F.input_file_name().alias("f"))
              .agg(F.min("scrip_id").alias("lo"), F.max("scrip_id").alias("hi")).collect())
     assert len(files) > 1                      # one big segment, several files
     ranges = sorted((r["lo"], r["hi"]) for r in files)
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))   # disjoint scrip_id ranges
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_corrupt_snapshot_line_fails(spark, tmp_path, ansi):
+    folder = tmp_path / "snap" / "segment=Equity T+1"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text('{"SCRIP_CD": "1"}\n{"SCRIP_CD": "2"\n{"SCRIP_CD": "3"}\n')
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception):
+            normalise_securities(read_snapshots(spark, str(tmp_path / "snap"))).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_a_failing_refresh_keeps_the_table(spark, snapshot_dir, tmp_path):
+    table = scratch_dir(spark, "test-atomic")
+    refresh_securities(spark, snapshot_dir, table)
+    before = read_securities_table(spark, table)          # planned before the next refreshes
+    want = rows(before)
+    bad = tmp_path / "bad" / "segment=Equity T+1"
+    bad.mkdir(parents=True)
+    (bad / "a.json").write_text('{"SCRIP_CD": ')
+    with pytest.raises(Exception):
+        refresh_securities(spark, str(tmp_path / "bad"), table)
+    assert rows(read_securities_table(spark, table)) == want
+    refresh_securities(spark, snapshot_dir, table)
+    assert rows(before) == want                           # the version a reader holds stays one more refresh
+    assert rows(read_securities_table(spark, table)) == want
+    refresh_securities(spark, snapshot_dir, table)
+    assert len(os.listdir(table)) == 2
+
+
+def test_readers_never_see_an_empty_table(spark, snapshot_dir):
+    import threading
+
+    table = scratch_dir(spark, "test-readers")
+    refresh_securities(spark, snapshot_dir, table)
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(read_securities_table(spark, table).count())
+            except Exception as e:  # noqa: BLE001
+                seen.append(repr(e))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for _ in range(2):
+            refresh_securities(spark, snapshot_dir, table)
+    finally:
+        stop.set()
+        reader.join()
+    assert seen and set(seen) == {3}
+
+
+def test_ids_are_a_key_also_for_repeated_and_null_codes(spark):
+    from holdfast.operators import with_security_id
+
+    row = ("Equity T+1", None, "Alpha", "Active", None, None, None, None, "ALPHA", None, None, None)
+    other = ("Equity T+1", None, "Beta", "Active", None, None, None, None, "BETA", None, None, None)
+    df = with_security_id(spark.createDataFrame([row, row, other, row], SECURITIES))
+    assert len({r["id"] for r in df.collect()}) == 4

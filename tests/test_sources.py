@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
 from conftest import d, rows
 
 from holdfast import build_holdings
@@ -72,8 +73,90 @@ def test_malformed_tradebook_fields_fail_the_load(spark, tmp_path):
     with open(path, "w") as fh:
         fh.write(header + "\n" + good + "\n")
     got = read_tradebook(spark, path).collect()[0]
-    assert got["quantity"] == 10 and str(got["price"]) == "100.50" and got["auction"] is False
+    assert got["quantity"] == 10 and str(got["price"]) == "100.500000" and got["auction"] is False
     with open(path, "w") as fh:
         fh.write(header + "\n" + good + "\n" + bad + "\n")
     with pytest.raises(Exception, match="malformed quantity"):
         read_tradebook(spark, path).collect()
+
+
+def _tradebook_file(path, *fields):
+    from holdfast.schemas import TRADEBOOK
+
+    with open(path, "w") as fh:
+        fh.write(",".join(TRADEBOOK.fieldNames()) + "\n")
+        for quantity, price in fields:
+            fh.write(f"AAA,I1,2024-01-02,X,EQ,EQ,buy,false,{quantity},{price},t1,o1,2024-01-02T10:00:00\n")
+
+
+def test_decimal_text_in_tradebooks(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    _tradebook_file(path, ("10.000000", "45.3375"), ("5", "1.123456"), (" 7 ", "2.5000000000"))
+    got = read_tradebook(spark, path).orderBy("quantity").collect()
+    assert [(r["quantity"], str(r["price"])) for r in got] == [(5, "1.123456"), (7, "2.500000"), (10, "45.337500")]
+    for quantity, price, name in (("1.5", "1", "quantity"), ("1", "1.1234567", "price"), ("1", "1.0000000000001", "price"), ("x", "1", "quantity")):
+        _tradebook_file(path, (quantity, price))
+        with pytest.raises(Exception, match=f"malformed {name}"):
+            read_tradebook(spark, path).collect()
+
+
+@pytest.fixture(params=["true", "false"])
+def ansi(spark, request):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+BAD_EVENTS = [
+    ("json", '{"symbol": "AAA", "ex_date": "01 Feb 2024", "ratio": "2:1", "type": "split"}\n'),
+    ("json", '{"symbol": "AAA", "ex_date": "01 Feb 2024", "ratio": 2, "type": "split"}\n{"symbol": "AAA", "ex_da\n'),
+    ("csv", "symbol,details,ex_date,ratio,type,amount\nAAA,x,01 Feb 2024,2:1,split,\n"),
+]
+
+
+@pytest.mark.parametrize("fmt,text", BAD_EVENTS)
+def test_dirty_event_feeds_fail(spark, tmp_path, ansi, fmt, text):
+    path = tmp_path / f"e.{fmt}"
+    path.write_text(text)
+    with pytest.raises(Exception):
+        read_events(spark, str(path), fmt).collect()
+
+
+def test_event_csv_columns_are_bound_by_name(spark, tmp_path, ansi):
+    path = tmp_path / "e.csv"
+    path.write_text("type,symbol,ratio,ex_date,amount,details\nsplit,AAA,2,01 Feb 2024,,x\n")
+    assert rows(read_events(spark, str(path), "csv"), "symbol", "type", "ex_date", "ratio") == [("AAA", "split", "01 Feb 2024", 2.0)]
+    path.write_text("kind,symbol\nsplit,AAA\n")
+    with pytest.raises(Exception):
+        read_events(spark, str(path), "csv").collect()
+
+
+BAD_PRICES = [
+    ("csv", "timestamp,symbol,quote\n2024-01-02 00:00:00,AAA,1x\n"),
+    ("csv", "timestamp,symbol,quote\nbad,AAA,1\n"),
+    ("json", '{"timestamp": "2024-01-02 00:00:00", "symbol": "AAA", "quote": "1x"}\n'),
+    ("json", '{"timestamp": "bad", "symbol": "AAA", "quote": 1}\n'),
+    ("json", '{"timestamp": "2024-01-02 00:00:00", "sym\n'),
+]
+
+
+@pytest.mark.parametrize("fmt,text", BAD_PRICES)
+def test_dirty_price_feeds_fail(spark, tmp_path, ansi, fmt, text):
+    path = tmp_path / f"p.{fmt}"
+    path.write_text(text)
+    with pytest.raises(Exception):
+        read_prices(spark, str(path), fmt).collect()
+
+
+def test_price_feed_as_json(spark, tmp_path, ansi):
+    path = tmp_path / "p.json"
+    path.write_text('{"timestamp": "2024-01-02 00:00:00", "symbol": "AAA", "quote": 1.25}\n{"timestamp": "2024-01-03 00:00:00", "symbol": "AAA"}\n')
+    assert sorted(map(tuple, read_prices(spark, str(path), "json").collect())) == [(d("2024-01-02"), "AAA", 1.25), (d("2024-01-03"), "AAA", None)]
+
+
+def test_jdbc_partitioning_needs_bounds(spark):
+    from holdfast.sources.securities import read_securities_jdbc
+
+    with pytest.raises(ValueError, match="lower and upper bound"):
+        read_securities_jdbc(spark, "jdbc:none", {}, column="id")
