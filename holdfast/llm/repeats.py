@@ -16,8 +16,13 @@ Four map stages, three shuffles of packed arrays plus the texts:
    operator's own structure) and windows that an earlier text holds are marked.
 4. ``apply``: the texts meet their marked spans and are cut.
 
-No step gathers a text collection, a group of copies is handled once per
-distinct content, and memory in a task is bounded by a bucket, whose number
+What one task can decide alone is decided there, before any shuffle: a trigger
+that two of its texts hold is shared, and a content that an earlier text of the
+task holds is a repeat. One or two occurrences per task speak for the others, so a
+passage or a text that a third of all rows hold sends a few rows per task to its
+bucket, not one per copy. Decided occurrences travel to their texts beside
+the open ones. No step gathers a text collection, a group of copies is handled
+once per distinct content, and memory in a task is bounded by a bucket, whose number
 follows the size of the texts and the shuffle partitions.
 """
 
@@ -35,9 +40,8 @@ from holdfast.llm import blobs
 from holdfast.llm.common import ship_package
 from holdfast.llm.textblocks import U64, binary_column, blocks, mix, ragged, span_hashes
 
-FLUSH = 4_000_000  # segments packed at a time
-FLUSH_BYTES = 32 << 20  # content bytes packed at a time
-
+# kinds of packed rows: still to be compared; decided and on the way to its text; whole rows
+OPEN, SETTLED, ROWS = 0, 1, 2
 
 @dataclass
 class Segments:
@@ -76,6 +80,8 @@ class RepeatFinder:
     """What an operator supplies: how texts divide into symbols and how contents are compared."""
 
     length: int
+    flush = 4_000_000  # segments packed at a time
+    flush_bytes = 32 << 20  # content bytes packed at a time
 
     def segments(self, texts: list[bytes]) -> Segments:
         raise NotImplementedError
@@ -119,7 +125,7 @@ def pack_rows(id_col: str, buckets: int):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                         writer.write_batch(batch.take(pa.array(at)))
-                    yield bucket, 1, sink.getvalue().to_pybytes()
+                    yield bucket, ROWS, sink.getvalue().to_pybytes()
 
         yield from blobs.batches(items())
 
@@ -131,16 +137,44 @@ def unpack_rows(blob: bytes) -> Iterator[pa.RecordBatch]:
         yield from reader
 
 
+def surviving(ids: np.ndarray, ordinals: np.ndarray, buckets: int, kind: int):
+    """Rows that tell the texts which of their segments survive."""
+    for bucket, i in blobs.slices(blobs.id_bucket(ids, buckets)):
+        i = i[np.lexsort((ordinals[i], ids[i]))]
+        yield bucket, kind, blobs.pack(np.diff(ids[i], prepend=0), ordinals[i].astype(np.uint32))
+
+
+def covered(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, symbols: np.ndarray, buckets: int, kind: int):
+    """Rows that tell the texts which of their symbols are repeated."""
+    for bucket, i in blobs.slices(blobs.id_bucket(ids, buckets)):
+        i = i[np.lexsort((start[i], ids[i]))]
+        yield bucket, kind, blobs.pack(np.diff(ids[i], prepend=0), marks[i], start[i].astype(np.uint32), symbols[i].astype(np.uint32))
+
+
 def trigger_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
     def flush(keys, ids, ordinals):
         key, doc, at = np.concatenate(keys), np.concatenate(ids), np.concatenate(ordinals)
+        order = np.argsort(key, kind="stable")
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1))
+        shared = np.minimum.reduceat(doc[order], edges) != np.maximum.reduceat(doc[order], edges)
+        # met in two texts here: known to be shared, and two occurrences speak for all
+        known = order[np.repeat(shared, np.diff(np.append(edges, len(key))))]
+        yield from surviving(doc[known], at[known], buckets, SETTLED)
+        rest = np.ones(len(key), bool)
+        rest[known] = False
+        known = known[np.lexsort((doc[known], key[known]))]
+        last = np.append(np.diff(key[known]) != 0, True)[:len(known)]
+        rest[known[last]] = True
+        rest[known[np.roll(last, 1)]] = True
+        rest = np.flatnonzero(rest)
+        key, doc, at = key[rest], doc[rest], at[rest]
         for bucket, i in blobs.slices(((key & U64(0xFFFFFF)) % U64(buckets)).astype(np.int32)):
             d, o = doc[i], at[i]
             new = np.concatenate(([True], (d[1:] != d[:-1]) | (o[1:] <= o[:-1])))
             run = np.flatnonzero(new)
             step = np.diff(o, prepend=o[:1] * 0)
             step[run] = o[run]
-            yield bucket, 0, blobs.pack(d[run], np.diff(np.append(run, len(d))).astype(np.uint32), step.astype(np.uint32), blobs.short_key(key[i]))
+            yield bucket, OPEN, blobs.pack(d[run], np.diff(np.append(run, len(d))).astype(np.uint32), step.astype(np.uint32), blobs.short_key(key[i]))
 
     def run(source):
         def items():
@@ -155,7 +189,7 @@ def trigger_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
                     docs.append(ids[lo:hi][seg.text[keep]])
                     ordinals.append(ordinal[keep])
                     held += len(keys[-1])
-                    if held >= FLUSH:
+                    if held >= finder.flush:
                         yield from flush(keys, docs, ordinals)
                         keys, docs, ordinals, held = [], [], [], 0
             if held:
@@ -171,8 +205,11 @@ def trigger_reduce(buckets: int):
 
     def run(source):
         def items():
-            for _, held in blobs.by_bucket(source):
-                parts = [blobs.unpack(b) for _, b in held]
+            for bucket, held in blobs.by_bucket(source):
+                yield from ((bucket, kind, b) for kind, b in held if kind == SETTLED)
+                parts = [blobs.unpack(b) for kind, b in held if kind == OPEN]
+                if not parts:
+                    continue
                 ids = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
                 key = blobs.long_key(np.concatenate([p[3] for p in parts]))
                 ordinal = np.concatenate([_undelta(p[1], p[2]) for p in parts])
@@ -181,10 +218,7 @@ def trigger_reduce(buckets: int):
                 starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
                 shared = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
                 keep = order[np.repeat(shared, np.diff(np.append(starts, len(k))))]
-                ids, ordinal = ids[keep], ordinal[keep]
-                for bucket, i in blobs.slices(blobs.id_bucket(ids, buckets)):
-                    i = i[np.lexsort((ordinal[i], ids[i]))]
-                    yield bucket, 0, blobs.pack(np.diff(ids[i], prepend=0), ordinal[i].astype(np.uint32))
+                yield from surviving(ids[keep], ordinal[keep], buckets, SETTLED)
 
         yield from blobs.batches(items())
 
@@ -199,20 +233,28 @@ def _undelta(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
     def flush(held):
-        key, doc, mark, start, size, data = (np.concatenate(x) for x in zip(*held))
+        key, doc, mark, start, windows, size, data = (np.concatenate(x) for x in zip(*held))
         at = np.cumsum(size) - size
         content = span_hashes(data, at, at + size)
+        settled = [np.zeros(0, np.int64)]
         for bucket, i in blobs.slices((key % U64(buckets)).astype(np.int32)):
             i = i[np.lexsort((content[i], key[i]))]
             k, c = key[i], content[i]
             new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
-            one = i[new]
-            yield bucket, 0, blobs.pack(
+            one, count = i[new], np.diff(np.append(new, len(i)))
+            # the first text that holds a content here speaks for it; in the others it is a repeat
+            later = doc[i] > np.repeat(np.minimum.reduceat(doc[i], new), count)
+            settled.append(i[later])
+            count = count - np.add.reduceat(later.astype(np.int64), new)
+            i = i[~later]
+            yield bucket, OPEN, blobs.pack(
                 blobs.short_key(key[one]), size[one].astype(np.uint32), data[ragged(at[one], size[one])],
-                np.diff(np.append(new, len(i))).astype(np.uint32), np.diff(doc[i], prepend=0), mark[i], start[i].astype(np.uint32), level=3)
+                count.astype(np.uint32), np.diff(doc[i], prepend=0), mark[i], start[i].astype(np.uint32), level=3)
+        i = np.concatenate(settled)
+        yield from covered(doc[i], mark[i], start[i], windows[i] + finder.length - 1, buckets, SETTLED)
 
     def survivors(held):
-        parts = [blobs.unpack(b) for kind, b in held if kind == 0]
+        parts = [blobs.unpack(b) for kind, b in held if kind == SETTLED]
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ids = np.concatenate([np.cumsum(p[0]) for p in parts])
@@ -230,7 +272,7 @@ def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
                 if not len(sids):
                     continue
                 for kind, blob in held:
-                    if kind == 0:
+                    if kind != ROWS:
                         continue
                     for batch in unpack_rows(blob):
                         ids, known, texts = _ids_texts(batch, id_col, text_col)
@@ -248,9 +290,9 @@ def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
                             pick, owner = pick[fits], owner[fits]
                             marks = np.array([text_mark(t) for t in texts[a:b]], np.uint32)
                             n = seg.hi[pick] - seg.lo[pick]
-                            out.append((seg.key[pick], ids[r][owner], marks[owner], seg.start[pick], n, seg.buffer[ragged(seg.lo[pick], n)]))
+                            out.append((seg.key[pick], ids[r][owner], marks[owner], seg.start[pick], seg.windows[pick], n, seg.buffer[ragged(seg.lo[pick], n)]))
                             size += int(n.sum())
-                            if size >= FLUSH_BYTES:
+                            if size >= finder.flush_bytes:
                                 yield from flush(out)
                                 out, size = [], 0
             if out:
@@ -266,8 +308,11 @@ def resolve(finder: RepeatFinder, buckets: int):
 
     def run(source):
         def items():
-            for _, held in blobs.by_bucket(source):
-                parts = [blobs.unpack(b) for _, b in held]
+            for bucket, held in blobs.by_bucket(source):
+                yield from ((bucket, kind, b) for kind, b in held if kind == SETTLED)
+                parts = [blobs.unpack(b) for kind, b in held if kind == OPEN]
+                if not parts:
+                    continue
                 key, size, data, count, marks, start = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 3, 5, 6))
                 ids = np.concatenate([np.cumsum(p[4]) for p in parts])
                 key, size, count = blobs.long_key(key), size.astype(np.int64), count.astype(np.int64)
@@ -294,21 +339,18 @@ def resolve(finder: RepeatFinder, buckets: int):
                     at = one[several]
                     matched[ragged(offset[several], windows[several])] = finder.matched(data, lo[at], lo[at] + size[at], group[several], first[several])
                 n = windows[owner]
-                covered = matched[ragged(offset[owner], n)]
-                covered |= np.repeat(ids > first[owner], n)
+                repeated = matched[ragged(offset[owner], n)]
+                repeated |= np.repeat(ids > first[owner], n)
                 which = np.repeat(np.arange(len(owner)), n)
-                joined = covered[1:] & covered[:-1] & (which[1:] == which[:-1])
-                begins, ends = covered.copy(), covered.copy()
+                joined = repeated[1:] & repeated[:-1] & (which[1:] == which[:-1])
+                begins, ends = repeated.copy(), repeated.copy()
                 begins[1:] &= ~joined
                 ends[:-1] &= ~joined
                 a, b = np.flatnonzero(begins), np.flatnonzero(ends)
                 w = which[a]
                 a = start[w] + (a - (np.cumsum(n) - n)[w])
                 b = start[w] + (b - (np.cumsum(n) - n)[w]) + finder.length
-                ids, marks = ids[w], marks[w]
-                for bucket, i in blobs.slices(blobs.id_bucket(ids, buckets)):
-                    i = i[np.lexsort((a[i], ids[i]))]
-                    yield bucket, 0, blobs.pack(np.diff(ids[i], prepend=0), marks[i], a[i].astype(np.uint32), (b - a)[i].astype(np.uint32))
+                yield from covered(ids[w], marks[w], a, b - a, buckets, SETTLED)
 
         yield from blobs.batches(items())
 
@@ -327,7 +369,7 @@ def apply_spans(finder: RepeatFinder, id_col: str, text_col: str, binary: bool):
 
     def run(source):
         for _, held in blobs.by_bucket(source):
-            parts = [blobs.unpack(b) for kind, b in held if kind == 0]
+            parts = [blobs.unpack(b) for kind, b in held if kind == SETTLED]
             if parts:
                 sid = np.concatenate([np.cumsum(p[0]) for p in parts])
                 marks, a, n = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
@@ -336,7 +378,7 @@ def apply_spans(finder: RepeatFinder, id_col: str, text_col: str, binary: bool):
             else:
                 sid = np.zeros(0, np.int64)
             for kind, blob in held:
-                if kind == 0:
+                if kind != ROWS:
                     continue
                 for batch in unpack_rows(blob):
                     ids, known, texts = _ids_texts(batch, id_col, text_col)

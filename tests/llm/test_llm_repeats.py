@@ -12,6 +12,7 @@ from helpers import docs_frame, repeats, repetitive_texts, space_words
 from holdfast.llm.automaton import SuffixAutomaton
 from holdfast.llm.op10_substring_dedup import WordRepeats, remove_repeated_passages
 from holdfast.llm.op5_prefix_free_parsing import ByteRepeats, remove_repeated_bytes, suffix_order
+from holdfast.llm.repeats import remove_repeats
 from holdfast.llm.textblocks import NOT_SPACE, rolling_hashes, sliding_minimum, span_hashes, word_spans
 
 
@@ -50,6 +51,19 @@ def test_against_brute_force(spark, seed, binary):
                 assert x.text == x.row.text
 
 
+def test_small_flushes_and_repeated_ids(spark):
+    """What a task decides alone does not depend on how its rows are packed."""
+    texts = repetitive_texts(3, 80)
+    r = random.Random(8)
+    ids = [r.randint(0, 25) for _ in texts]  # many rows share an id
+    for finder, binary in ((WordRepeats(), False), (ByteRepeats(), True)):
+        finder.flush, finder.flush_bytes = 40, 2000
+        found = remove_repeats(docs_frame(spark, texts, ids, 2), finder, "doc_id", "text", binary).collect()
+        parts, masks = repeats(texts, ids, finder.length, (lambda t: t.encode()) if binary else space_words)
+        want = sorted((i, t or "", spans_of(m)) for i, t, m in zip(ids, texts, masks))
+        assert sorted((x.row.doc_id, x.row.text or "", [(s.start, s.end) for s in x.spans]) for x in found) == want
+
+
 def test_empty_table_and_clashing_columns(spark):
     rows = [(1, "a b", 7, "x", 5), (2, None, 8, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int, row string, n_symbols int")
