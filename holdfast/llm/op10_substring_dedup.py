@@ -9,8 +9,9 @@ passage is streamed through the automaton of the earlier ones before it is
 added, and where the matching length reaches the threshold the last words are a
 repeated window.
 
-A reference that is given and bounded (a licence text, a boilerplate list) can
-be broadcast whole with ``op9``'s automaton.
+A reference that is given (licence texts, boilerplate, another corpus's sample)
+is dealt into shards of a bounded number of words; their automata are broadcast
+one after the other (``remove_reference_passages``).
 
 Defined results: null text has no words and stays null; texts shorter than the
 threshold are unchanged; rows with a null id neither remove nor are removed;
@@ -21,12 +22,16 @@ names cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from holdfast.llm.automaton import SuffixAutomaton
-from holdfast.llm.repeats import RepeatFinder, Segments, remove_repeats, window_runs
-from holdfast.llm.textblocks import NOT_SPACE, blocks, gram_hashes, joined, ragged, sliding_minimum, span_hashes, word_spans, words_per_text
+from holdfast.llm.common import ship_package
+from holdfast.llm.repeats import RepeatFinder, Segments, merged_runs, remove_repeats, window_runs
+from holdfast.llm.textblocks import NOT_SPACE, Vocabulary, binary_column, blocks, gram_hashes, joined, ragged, sliding_minimum, span_hashes, word_spans, words_per_text
 
 
 class WordRepeats(RepeatFinder):
@@ -97,6 +102,74 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     return remove_repeats(docs, WordRepeats(length), id_col, text_col, binary=False)
 
 
+def _against(shard, text_col: str, length: int):
+    """Adds the matching spans of one shard to each row's spans."""
+    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, automaton = shard.value
+        for batch in source:
+            row = batch.column("row")
+            texts = [t or b"" for t in binary_column(row.field(text_col)).to_pylist()]
+            found = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
+            for lo, hi in blocks(texts):
+                buffer, starts = joined(texts[lo:hi])
+                s, e = word_spans(buffer, NOT_SPACE)
+                per = words_per_text(starts, s)
+                first = np.cumsum(per) - per
+                numbers = vocabulary.numbers(span_hashes(buffer, s, e))
+                for text, a, b in zip(*(x.tolist() for x in Vocabulary.runs(numbers, per, length))):
+                    shift = a - int(first[text])
+                    found[lo + text] += [(shift + at - size, shift + at) for at, (_, size) in enumerate(automaton.match(numbers[a:b].tolist()), 1) if size >= length]
+            spans = [[] if not x else merged_runs(*(np.array(c) for c in zip(*sorted(x)))).tolist() for x in found]
+            yield pa.RecordBatch.from_arrays([row, pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pairs)], ["row", "spans"])
+
+    return run
+
+
+def _cut(text_col: str):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts = binary_column(batch.column("row").field(text_col)).to_pylist()
+            runs = [np.array([(s["start"], s["end"]) for s in x]) if x else None for x in batch.column("spans").to_pylist()]
+            kept, words = WordRepeats().cut([t or b"" for t in texts], runs)
+            kept = pa.array([None if t is None else k for t, k in zip(texts, kept)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), kept, batch.column("spans"), pa.array(words, pa.int64())], ["row", "text", "spans", "n_symbols"])
+
+    return run
+
+
+def remove_reference_passages(docs: DataFrame, reference: DataFrame, text_col: str = "text", length: int = 13, shard_words: int = 100_000) -> DataFrame:
+    """Removes the maximal spans of at least ``length`` words that also stand in a
+    text of ``reference``. Output as ``remove_repeated_passages``.
+
+    The reference texts are dealt into shards of about ``shard_words`` words;
+    the suffix automaton of one shard at a time is broadcast and every document
+    streams through it. Meant for a reference of bounded size: the work is the
+    number of shards times the documents.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    known = reference.select(F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
+    total = known.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
+    shards = -(-total // shard_words) or 1
+    span = "array<struct<start:bigint,end:bigint>>"
+    row = T.StructField("row", T.StructType(docs.schema.fields))
+    spans = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+    out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.array().cast(span).alias("spans"))
+    for number in range(shards):
+        own = known.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == number).collect()
+        hashes = []
+        for text in sorted(r["text"].encode() for r in own):
+            buffer, _ = joined([text])
+            hashes.append(span_hashes(buffer, *word_spans(buffer, NOT_SPACE)))
+        vocabulary, automaton = Vocabulary(hashes), SuffixAutomaton()
+        for h in hashes:
+            automaton.add(vocabulary.numbers(h).tolist())
+        out = out.mapInArrow(_against(spark.sparkContext.broadcast((vocabulary, automaton)), text_col, length), T.StructType([row, spans]))
+    return out.mapInArrow(_cut(text_col), T.StructType([row, T.StructField("text", T.StringType()), spans, T.StructField("n_symbols", T.LongType())]))
+
+
 def removed_symbols(spans: str = "spans") -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 

@@ -27,9 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from holdfast.llm.automaton import SuffixAutomaton
 from holdfast.llm.common import ship_package, table
-from holdfast.llm.textblocks import ALPHANUMERIC, LOWER, U64, binary_column, blocks, joined, span_hashes, word_spans, words_per_text
-
-BITS = 20  # of the bitmap that sets aside words no item has
+from holdfast.llm.textblocks import ALPHANUMERIC, LOWER, Vocabulary, binary_column, blocks, joined, span_hashes, word_spans, words_per_text
 
 
 def normalised_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,13 +43,11 @@ class ItemAutomaton:
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
         words = [normalised_words([text])[0] for _, text in items]
-        self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, U64)
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[self.vocabulary >> U64(64 - BITS)] = True
+        self.vocabulary = Vocabulary(words)
         sizes = [len(w) for w in words if len(w)]
         self.shortest = min([window, *sizes])
         shard = self.shard = SuffixAutomaton()
-        prefixes = [shard.add(np.searchsorted(self.vocabulary, w).tolist()) for w in words]
+        prefixes = [shard.add(self.vocabulary.numbers(w).tolist()) for w in words]
         order = sorted(range(len(shard.link)), key=shard.length.__getitem__)
         # the state that holds the last ``window`` words of a state's strings
         self.holder = [-1] * len(order)
@@ -73,17 +69,6 @@ class ItemAutomaton:
             inherited = self.short[shard.link[v]]
             self.short[v] = (*inherited, (shard.length[v], short[v])) if v in short else inherited
 
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Index in the vocabulary, -1 for a word of no item."""
-        out = np.full(len(hashes), -1, np.int64)
-        maybe = np.flatnonzero(self.seen[hashes >> U64(64 - BITS)])
-        if len(maybe):
-            at = np.searchsorted(self.vocabulary, hashes[maybe])
-            at[at == len(self.vocabulary)] = 0
-            found = self.vocabulary[at] == hashes[maybe]
-            out[maybe[found]] = at[found]
-        return out
-
     def occurrences(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges of the windows in a run of item words, and their items."""
         spans, names = [], set()
@@ -123,18 +108,10 @@ def _stream(automaton, text_col: str):
                 hashes, per = normalised_words(texts[lo:hi])
                 counts.append(per)
                 first = np.cumsum(per) - per
-                ids = shard.word_ids(hashes)
-                inside = np.concatenate(([0], (ids >= 0).astype(np.int8), [0]))
-                edge = np.diff(inside)
-                a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                # a run ends where its text does
-                cut = first[1:][(first[1:] > 0) & (first[1:] < len(ids))]
-                cut = np.unique(cut[(inside[cut] == 1) & (inside[cut + 1] == 1)])
-                a, b = np.sort(np.append(a, cut)), np.sort(np.append(b, cut))
-                long = b - a >= shard.shortest
-                owner = np.searchsorted(first, a[long], "right") - 1
-                for text, x, y in zip(owner.tolist(), a[long].tolist(), b[long].tolist()):
-                    spans, names = shard.occurrences(ids[x:y].tolist())
+                numbers = shard.vocabulary.numbers(hashes)
+                owner, starts, ends = Vocabulary.runs(numbers, per, shard.shortest)
+                for text, x, y in zip(owner.tolist(), starts.tolist(), ends.tolist()):
+                    spans, names = shard.occurrences(numbers[x:y].tolist())
                     if spans:
                         shift = x - int(first[text])
                         hits[lo + text] = merged([*hits[lo + text], *((s + shift, e + shift) for s, e in spans)])

@@ -153,3 +153,39 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     return shift + np.arange(total)
+
+
+class Vocabulary:
+    """The words of a bounded reference, by hash; numbers them and finds runs of them."""
+
+    BITS = 20  # of the bitmap that sets aside words the reference lacks
+
+    def __init__(self, hashes: list[np.ndarray]):
+        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, U64)
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[self.hashes >> U64(64 - self.BITS)] = True
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for a word the reference lacks."""
+        out = np.full(len(hashes), -1, np.int64)
+        maybe = np.flatnonzero(self.seen[hashes >> U64(64 - self.BITS)])
+        if len(maybe):
+            at = np.searchsorted(self.hashes, hashes[maybe])
+            at[at == len(self.hashes)] = 0
+            found = self.hashes[at] == hashes[maybe]
+            out[maybe[found]] = at[found]
+        return out
+
+    @staticmethod
+    def runs(numbers: np.ndarray, per: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end) of the runs of known words of at least ``least`` words inside a text."""
+        first = np.cumsum(per) - per
+        inside = np.concatenate(([0], (numbers >= 0).astype(np.int8), [0]))
+        edge = np.diff(inside)
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # a run ends where its text does
+        cut = first[1:][(first[1:] > 0) & (first[1:] < len(numbers))]
+        cut = np.unique(cut[(inside[cut] == 1) & (inside[cut + 1] == 1)])
+        a, b = np.sort(np.append(a, cut)), np.sort(np.append(b, cut))
+        keep = b - a >= least
+        return np.searchsorted(first, a[keep], "right") - 1, a[keep], b[keep]

@@ -10,7 +10,7 @@ import pytest
 from helpers import docs_frame, repeats, repetitive_texts, space_words
 
 from holdfast.llm.automaton import SuffixAutomaton
-from holdfast.llm.op10_substring_dedup import WordRepeats, remove_repeated_passages
+from holdfast.llm.op10_substring_dedup import WordRepeats, remove_reference_passages, remove_repeated_passages
 from holdfast.llm.op5_prefix_free_parsing import ByteRepeats, remove_repeated_bytes, suffix_order
 from holdfast.llm.repeats import remove_repeats
 from holdfast.llm.textblocks import NOT_SPACE, rolling_hashes, sliding_minimum, span_hashes, word_spans
@@ -64,6 +64,25 @@ def test_small_flushes_and_repeated_ids(spark):
         assert sorted((x.row.doc_id, x.row.text or "", [(s.start, s.end) for s in x.spans]) for x in found) == want
 
 
+def test_given_reference(spark):
+    """Spans of 13 words or more of a reference, whatever the shards."""
+    texts = repetitive_texts(11, 60)
+    reference = [t for t in texts[:25] if t]
+    grams = {tuple(w[k:k + 13]) for w in map(space_words, reference) for k in range(len(w) - 12)}
+    frame = spark.createDataFrame([(t,) for t in reference] + [(None,), ("",)], "text string")
+    for shard_words in (100_000, 300):
+        for x in remove_reference_passages(docs_frame(spark, texts), frame, shard_words=shard_words).collect():
+            words = space_words(x.row.text or "")
+            mask = bytearray(len(words))
+            for k in range(len(words) - 12):
+                if tuple(words[k:k + 13]) in grams:
+                    mask[k:k + 13] = b"\1" * 13
+            assert [(s.start, s.end) for s in x.spans] == spans_of(bytes(mask)) and x.n_symbols == len(words)
+            assert (x.text is None) == (x.row.text is None)
+            assert space_words(x.text or "") == [w for w, m in zip(words, mask) if not m]
+    assert remove_reference_passages(docs_frame(spark, texts), frame.limit(0)).where("size(spans) > 0").count() == 0
+
+
 def test_empty_table_and_clashing_columns(spark):
     rows = [(1, "a b", 7, "x", 5), (2, None, 8, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int, row string, n_symbols int")
