@@ -42,6 +42,27 @@ def test_oracle(spark, duck, name):
     assert norm(map(tuple, got.select(*columns).collect())) == norm(map(tuple, want))
 
 
+def test_queries_beyond_sql(spark):
+    """op5 and op7 over the whole small table, against plain Python."""
+    import hashlib
+    import re
+
+    from helpers import components, repeats
+    from test_llm_near_duplicates import slow_fingerprint
+
+    docs = sorted((x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    ids, texts = [k for k, _ in docs], [t for _, t in docs]
+    data, masks = repeats(texts, ids, 50, lambda t: t.encode())
+    want = [(k, len(b), sum(m), len(re.findall(b"\1+", m)), hashlib.sha256(bytes(c for c, x in zip(b, m) if not x)).hexdigest())
+            for k, b, m in zip(ids, data, masks)]
+    got = QUERIES["op5_prefix_free_parsing"](spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == want
+    prints = {k: slow_fingerprint(t or "") for k, t in docs}
+    root = components(prints, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
+    got = QUERIES["op7_simhash"](spark, SF).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(k, f"{prints[k]:016x}", root[k]) for k in ids]
+
+
 def test_every_operator_is_registered():
     assert sorted(QUERIES, key=lambda k: int(k[2:].split("_")[0])) == sorted(QUERIES, key=lambda k: list(QUERIES).index(k))
     assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
@@ -94,6 +115,52 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert docs.count() == 0
 
 
+def test_pipeline_against_plain_python(spark, duck):
+    """Every stage, applied to what the one before kept, against its plain version."""
+    import pandas as pd
+    from helpers import components, repeats, space_words
+    from test_llm_decontamination_and_mixing import brute
+    from test_llm_near_duplicates import slow_fingerprint
+
+    from holdfast.llm import op3_pareto_mixing, op6_toxic_segments
+
+    documents = corpus_pipeline.table(spark, SF, "documents")
+    model = op6_toxic_segments.fit(documents, corpus_pipeline.table(spark, SF, "labels"), op6_toxic_segments.remainder(5) != 0)
+    scores = {x.row.doc_id: x.score for x in op6_toxic_segments.score_toxicity(documents, model).collect()}
+    want = {x.doc_id: x.text for x in documents.collect() if scores[x.doc_id] < 0.5}
+    kept, steps = documents, []
+    for name, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.written(stage(spark, kept, SF), name)
+        steps.append({x.doc_id: x for x in kept.collect()})
+    texts = [{k: x.text for k, x in step.items()} for step in steps]
+    assert texts[0] == want
+
+    prints = {k: slow_fingerprint(t or "") for k, t in want.items()}
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    root = components(prints, links)
+    want = {k: t for k, t in want.items() if root[k] == k}
+    assert texts[1] == want
+
+    ids = sorted(want)
+    words, masks = repeats([want[k] for k in ids], ids, 13, space_words)
+    left = {k: [w for w, m in zip(ws, mask) if not m] for k, ws, mask in zip(ids, words, masks)}
+    want = {k: t for k, t in want.items() if left[k] or not space_words(t or "")}
+    assert {k: space_words(t or "") for k, t in texts[2].items()} == {k: left[k] for k in want}
+    want = texts[2]
+
+    items = [(x.item_id, x.text) for x in corpus_pipeline.table(spark, SF, "benchmark").collect()]
+    found = {k: brute(t, items) for k, t in want.items()}
+    want = {k: t for k, t in want.items() if not found[k][1] or 20 * len(found[k][1]) < found[k][0]}
+    assert texts[3] == want
+
+    con = duckdb.connect()
+    frame = pd.DataFrame([(k, x.text, x.source) for k, x in steps[3].items()], columns=["doc_id", "text", "source"])
+    con.register("documents", frame)
+    mix = con.execute(f"SELECT doc_id, taken // size FROM ({op3_pareto_mixing.ORACLE}) WHERE taken > 0").fetchall()
+    assert {k: x.copies for k, x in steps[4].items()} == dict(mix)
+    assert sorted(x.doc_id for x in corpus_pipeline.run(spark, SF).collect()) == sorted(steps[4])
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies"] and 0 < out.count() <= 200
