@@ -60,6 +60,21 @@ class WordRepeats(RepeatFinder):
         spaces = np.flatnonzero(buffer == 0x20)
         return np.searchsorted(spaces, hi) - np.searchsorted(spaces, lo) + 1 - self.length + 1
 
+    def window_bounds(self, buffer, lo, hi):
+        spaces = np.flatnonzero(buffer == 0x20)
+        windows = self.windows_of(buffer, lo, hi)
+        words = windows + self.length - 1
+        first = np.cumsum(words) - words
+        begin, end = np.empty(int(words.sum()), np.int64), np.empty(int(words.sum()), np.int64)
+        inner = np.ones(len(begin), bool)
+        inner[first] = False
+        begin[first], begin[inner] = lo, spaces + 1
+        inner = np.ones(len(end), bool)
+        inner[first + words - 1] = False
+        end[first + words - 1], end[inner] = hi, spaces
+        at = ragged(first, windows)
+        return begin[at], end[at + self.length - 1]
+
     def matched(self, buffer, lo, hi, group, first):
         data, length, out = buffer.tobytes(), self.length, []
         edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))

@@ -62,6 +62,10 @@ class ByteRepeats(RepeatFinder):
     def windows_of(self, buffer, lo, hi):
         return hi - lo - self.length + 1
 
+    def window_bounds(self, buffer, lo, hi):
+        at = ragged(lo, self.windows_of(buffer, lo, hi))
+        return at, at + self.length
+
     def matched(self, buffer, lo, hi, group, first):
         windows = self.windows_of(buffer, lo, hi)
         order, same = suffix_order(buffer, ragged(lo, windows), self.length)

@@ -6,7 +6,7 @@ whose least rolling hash (over short grams) is equal are routed together: the
 run of such windows in a text is a *segment*, and the least hash its trigger.
 Equal windows have equal triggers, whatever surrounds them.
 
-Four map stages, three shuffles of packed arrays plus the texts:
+Map stages over shuffles of packed arrays and the texts:
 
 1. ``triggers``: every segment's trigger goes to a bucket; a trigger met in one
    text only cannot hold a repeated window and is dropped.
@@ -14,6 +14,9 @@ Four map stages, three shuffles of packed arrays plus the texts:
    segment content goes once per task, with its occurrences, to its trigger.
 3. ``resolve``: contents that share a trigger are compared exactly (by the
    operator's own structure) and windows that an earlier text holds are marked.
+   A trigger with more than ``widest`` distinct contents, in a task or in all, is
+   *wide*: each of its windows becomes a content of its own, whose trigger is the
+   hash of the whole window, and a second ``resolve`` compares these in the same way.
 4. ``apply``: the texts meet their marked spans and are cut.
 
 What one task can decide alone is decided there, before any shuffle: a trigger
@@ -40,8 +43,9 @@ from holdfast.llm import blobs
 from holdfast.llm.common import ship_package
 from holdfast.llm.textblocks import U64, binary_column, blocks, mix, ragged, span_hashes
 
-# kinds of packed rows: still to be compared; decided and on the way to its text; whole rows
-OPEN, SETTLED, ROWS = 0, 1, 2
+# kinds of packed rows: still to be compared; decided and on the way to its text; single
+# windows of wide triggers, still to be compared; triggers found wide; whole rows
+OPEN, SETTLED, SPLIT, WIDE, ROWS = 0, 1, 2, 3, 4
 
 @dataclass
 class Segments:
@@ -82,6 +86,7 @@ class RepeatFinder:
     length: int
     flush = 4_000_000  # segments packed at a time
     flush_bytes = 32 << 20  # content bytes packed at a time
+    widest = 256  # distinct contents of a trigger that are compared as one group
 
     def segments(self, texts: list[bytes]) -> Segments:
         raise NotImplementedError
@@ -90,6 +95,10 @@ class RepeatFinder:
         """Windows in each content."""
         raise NotImplementedError
 
+    def window_bounds(self, buffer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each window of each content starts and ends; the contents fill the buffer."""
+        raise NotImplementedError
+
     def matched(self, buffer: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, first: np.ndarray) -> np.ndarray:
         """For every window of every content: is it also in a content of the same
         group with a smaller ``first``? Contents ascend by (group, first)."""
@@ -231,27 +240,61 @@ def _undelta(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - steps[first], counts)
 
 
-def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
-    def flush(held):
-        key, doc, mark, start, windows, size, data = (np.concatenate(x) for x in zip(*held))
-        at = np.cumsum(size) - size
-        content = span_hashes(data, at, at + size)
-        settled = [np.zeros(0, np.int64)]
-        for bucket, i in blobs.slices((key % U64(buckets)).astype(np.int32)):
-            i = i[np.lexsort((content[i], key[i]))]
-            k, c = key[i], content[i]
-            new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
-            one, count = i[new], np.diff(np.append(new, len(i)))
-            # the first text that holds a content here speaks for it; in the others it is a repeat
-            later = doc[i] > np.repeat(np.minimum.reduceat(doc[i], new), count)
-            settled.append(i[later])
-            count = count - np.add.reduceat(later.astype(np.int64), new)
-            i = i[~later]
-            yield bucket, OPEN, blobs.pack(
+def send_contents(finder: RepeatFinder, held, buckets: int, kind: int):
+    """Each distinct content once, with the occurrences of its first text here, to the
+    bucket of its trigger. Contents of wide triggers go on as single windows."""
+    key, doc, mark, start, windows, size, data = held
+    at = np.cumsum(size) - size
+    content = span_hashes(data, at, at + size)
+    settled, spread = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for bucket, i in blobs.slices((key % U64(buckets)).astype(np.int32)):
+        i = i[np.lexsort((content[i], key[i]))]
+        k, c = key[i], content[i]
+        new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
+        one, count = i[new], np.diff(np.append(new, len(i)))
+        # the first text that holds a content here speaks for it; in the others it is a repeat
+        later = doc[i] > np.repeat(np.minimum.reduceat(doc[i], new), count)
+        settled.append(i[later])
+        count = count - np.add.reduceat(later.astype(np.int64), new)
+        i = i[~later]
+        if kind == OPEN:
+            trigger, contents = np.unique(key[one], return_counts=True)
+            wide = trigger[contents > finder.widest]
+            if len(wide):
+                yield bucket, WIDE, blobs.pack(blobs.short_key(wide))
+                wide = np.isin(key[one], wide)
+                spread.append(i[np.repeat(wide, count)])
+                i, one, count = i[~np.repeat(wide, count)], one[~wide], count[~wide]
+        if len(one):
+            yield bucket, kind, blobs.pack(
                 blobs.short_key(key[one]), size[one].astype(np.uint32), data[ragged(at[one], size[one])],
                 count.astype(np.uint32), np.diff(doc[i], prepend=0), mark[i], start[i].astype(np.uint32), level=3)
-        i = np.concatenate(settled)
-        yield from covered(doc[i], mark[i], start[i], windows[i] + finder.length - 1, buckets, SETTLED)
+    i = np.concatenate(settled)
+    yield from covered(doc[i], mark[i], start[i], windows[i] + finder.length - 1, buckets, SETTLED)
+    i = np.concatenate(spread)
+    yield from send_windows(finder, doc[i], mark[i], start[i], windows[i], at[i], size[i], data, buckets)
+
+
+def send_windows(finder: RepeatFinder, doc, mark, start, windows, at, size, data, buckets: int, most: int = 16 << 20):
+    """Every window of the contents as a content of its own, its hash as the trigger."""
+    if not len(doc):
+        return
+    part = np.cumsum(windows * size * finder.length // (windows + finder.length - 1)) // most
+    for p in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(part)) + 1):
+        own = data[ragged(at[p], size[p])]
+        lo = np.cumsum(size[p]) - size[p]
+        a, b = finder.window_bounds(own, lo, lo + size[p])
+        own, n = own[ragged(a, b - a)], b - a
+        a = np.cumsum(n) - n
+        owner = np.repeat(p, windows[p])
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(windows[p]) - windows[p], windows[p])
+        yield from send_contents(
+            finder, (span_hashes(own, a, a + n), doc[owner], mark[owner], start[owner] + step, np.ones(len(owner), np.int64), n, own), buckets, SPLIT)
+
+
+def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
+    def flush(held):
+        yield from send_contents(finder, [np.concatenate(x) for x in zip(*held)], buckets, OPEN)
 
     def survivors(held):
         parts = [blobs.unpack(b) for kind, b in held if kind == SETTLED]
@@ -303,54 +346,86 @@ def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
     return run
 
 
-def resolve(finder: RepeatFinder, buckets: int):
-    """Marks the windows that an earlier text holds; spans go to the bucket of their id."""
+@dataclass
+class Contents:
+    """The distinct contents of a bucket and their occurrences."""
+
+    data: np.ndarray
+    lo: np.ndarray  # content: data[lo:lo + size]
+    size: np.ndarray
+    group: np.ndarray  # contents of one trigger
+    wide: np.ndarray  # are there too many of them to be compared as one group?
+    first: np.ndarray  # least id that holds the content
+    owner: np.ndarray  # occurrence: its content
+    ids: np.ndarray
+    marks: np.ndarray
+    start: np.ndarray
+
+
+def contents_of(held: list[tuple[int, bytes]], kind: int, widest: int) -> Contents | None:
+    parts = [blobs.unpack(b) for found, b in held if found == kind]
+    if not parts:
+        return None
+    key, size, data, count, marks, start = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 3, 5, 6))
+    ids = np.concatenate([np.cumsum(p[4]) for p in parts])
+    key, size, count = blobs.long_key(key), size.astype(np.int64), count.astype(np.int64)
+    lo = np.cumsum(size) - size
+    content = span_hashes(data, lo, lo + size)
+    # the same content from several tasks becomes one
+    order = np.lexsort((content, key))
+    k, c = key[order], content[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    merged = np.empty(len(key), np.int64)
+    merged[order] = np.cumsum(new) - 1
+    one = order[new]
+    owner = np.repeat(merged, count)
+    by = np.argsort(owner, kind="stable")
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(owner[by])) + 1))
+    first = np.minimum.reduceat(ids[by], edges)
+    group = np.cumsum(np.concatenate(([True], key[one][1:] != key[one][:-1]))) - 1
+    wide = np.zeros(len(one), bool)
+    if kind == OPEN:
+        known = [blobs.long_key(blobs.unpack(b)[0]) for found, b in held if found == WIDE]
+        wide = (np.bincount(group)[group] > widest) | np.isin(key[one], np.concatenate([np.zeros(0, U64), *known]))
+    return Contents(data, lo[one], size[one], group, wide, first, owner, ids, marks, start)
+
+
+def resolve(finder: RepeatFinder, buckets: int, kind: int = OPEN):
+    """Marks the windows that an earlier text holds; spans go to the bucket of their id.
+    Of wide triggers only the later occurrences of whole contents are marked; the
+    windows of the first ones go to the buckets of their own hashes."""
 
     def run(source):
         def items():
             for bucket, held in blobs.by_bucket(source):
-                yield from ((bucket, kind, b) for kind, b in held if kind == SETTLED)
-                parts = [blobs.unpack(b) for kind, b in held if kind == OPEN]
-                if not parts:
+                yield from ((bucket, found, b) for found, b in held if found == SETTLED or found == SPLIT != kind)
+                it = contents_of(held, kind, finder.widest)
+                if it is None:
                     continue
-                key, size, data, count, marks, start = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 3, 5, 6))
-                ids = np.concatenate([np.cumsum(p[4]) for p in parts])
-                key, size, count = blobs.long_key(key), size.astype(np.int64), count.astype(np.int64)
-                lo = np.cumsum(size) - size
-                content = span_hashes(data, lo, lo + size)
-                # the same content from several tasks becomes one
-                order = np.lexsort((content, key))
-                k, c = key[order], content[order]
-                new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
-                merged = np.empty(len(key), np.int64)
-                merged[order] = np.cumsum(new) - 1
-                one = order[new]
-                owner = np.repeat(merged, count)
-                by = np.argsort(owner, kind="stable")
-                edges = np.concatenate(([0], np.flatnonzero(np.diff(owner[by])) + 1))
-                first = np.minimum.reduceat(ids[by], edges)
-                group = np.cumsum(np.concatenate(([True], key[one][1:] != key[one][:-1]))) - 1
-                windows = finder.windows_of(data, lo[one], lo[one] + size[one])
+                windows = finder.windows_of(it.data, it.lo, it.lo + it.size)
                 offset = np.cumsum(windows) - windows
                 matched = np.zeros(int(windows.sum()), bool)
-                several = np.flatnonzero(np.bincount(group)[group] > 1)
+                several = np.flatnonzero((np.bincount(it.group)[it.group] > 1) & ~it.wide)
                 if len(several):
-                    several = several[np.lexsort((first[several], group[several]))]
-                    at = one[several]
-                    matched[ragged(offset[several], windows[several])] = finder.matched(data, lo[at], lo[at] + size[at], group[several], first[several])
-                n = windows[owner]
-                repeated = matched[ragged(offset[owner], n)]
-                repeated |= np.repeat(ids > first[owner], n)
-                which = np.repeat(np.arange(len(owner)), n)
+                    several = several[np.lexsort((it.first[several], it.group[several]))]
+                    lo, hi = it.lo[several], it.lo[several] + it.size[several]
+                    matched[ragged(offset[several], windows[several])] = finder.matched(it.data, lo, hi, it.group[several], it.first[several])
+                n = windows[it.owner]
+                repeated = matched[ragged(offset[it.owner], n)]
+                repeated |= np.repeat(it.ids > it.first[it.owner], n)
+                which = np.repeat(np.arange(len(it.owner)), n)
                 joined = repeated[1:] & repeated[:-1] & (which[1:] == which[:-1])
                 begins, ends = repeated.copy(), repeated.copy()
                 begins[1:] &= ~joined
                 ends[:-1] &= ~joined
                 a, b = np.flatnonzero(begins), np.flatnonzero(ends)
                 w = which[a]
-                a = start[w] + (a - (np.cumsum(n) - n)[w])
-                b = start[w] + (b - (np.cumsum(n) - n)[w]) + finder.length
-                yield from covered(ids[w], marks[w], a, b - a, buckets, SETTLED)
+                a = it.start[w] + (a - (np.cumsum(n) - n)[w])
+                b = it.start[w] + (b - (np.cumsum(n) - n)[w]) + finder.length
+                yield from covered(it.ids[w], it.marks[w], a, b - a, buckets, SETTLED)
+                left = np.flatnonzero(it.wide[it.owner] & (it.ids == it.first[it.owner]))
+                own = it.owner[left]
+                yield from send_windows(finder, it.ids[left], it.marks[left], it.start[left].astype(np.int64), windows[own], it.lo[own], it.size[own], it.data, buckets)
 
         yield from blobs.batches(items())
 
@@ -413,7 +488,8 @@ def remove_repeats(docs: DataFrame, finder: RepeatFinder, id_col: str, text_col:
     surviving = blobs.dealt(triggers, trigger_reduce(buckets), blobs.SCHEMA)
     texts = slim.mapInArrow(pack_rows(id_col, buckets), blobs.SCHEMA)
     contexts = blobs.dealt(surviving.union(texts), context_map(finder, id_col, text_col, buckets), blobs.SCHEMA)
-    spans = blobs.dealt(contexts, resolve(finder, buckets), blobs.SCHEMA)
+    resolved = blobs.dealt(contexts, resolve(finder, buckets), blobs.SCHEMA)
+    spans = blobs.dealt(resolved, resolve(finder, buckets, SPLIT), blobs.SCHEMA)
     rows = docs.mapInArrow(pack_rows(id_col, buckets), blobs.SCHEMA)
     schema = T.StructType([
         T.StructField("row", T.StructType(docs.schema.fields)),

@@ -162,3 +162,26 @@ def test_equal_windows_have_equal_triggers():
         assert all(len(v) == 1 for v in keys.values())
 
 
+@pytest.mark.parametrize("binary", [False, True])
+def test_a_trigger_with_many_contents_is_not_one_group(spark, binary):
+    """A phrase in every text, between other words: compared by window, with the same results."""
+    r = random.Random(21)
+    phrase = " ".join(f"p{k}" for k in range(16))
+    ends = [" ".join(f"e{r.randint(0, 3)}" for _ in range(6)) for _ in range(40)]
+    texts = repetitive_texts(22, 40) + [f"{r.choice(ends)} {phrase} {r.choice(ends)}" for _ in range(150)]
+    ids = r.sample(range(1000), len(texts))
+    ids[60] = ids[61]
+    parts, masks = repeats(texts, ids, 50 if binary else 13, (lambda t: t.encode()) if binary else space_words)
+    want = sorted((i, t or "", spans_of(m)) for i, t, m in zip(ids, texts, masks))
+    for flush_bytes in (32 << 20, 2000):  # found wide in a task; found wide in the bucket
+        class Finder(ByteRepeats if binary else WordRepeats):
+            widest = 8
+
+            def matched(self, buffer, lo, hi, group, first):
+                assert np.bincount(group).max() <= self.widest
+                return super().matched(buffer, lo, hi, group, first)
+
+        finder = Finder()
+        finder.flush_bytes = flush_bytes
+        found = remove_repeats(docs_frame(spark, texts, ids, 2), finder, "doc_id", "text", binary).collect()
+        assert sorted((x.row.doc_id, x.row.text or "", [(s.start, s.end) for s in x.spans]) for x in found) == want
