@@ -8,6 +8,7 @@ shuffling and recovery stay Spark's.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -65,18 +66,24 @@ def batches(items: Iterator[tuple[int, int, bytes]], limit: int = 8 << 20) -> It
         yield rows(held)
 
 
-def by_bucket(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """(bucket, [(kind, blob), ..]) from batches sorted by bucket and kind."""
-    bucket, held = None, []
-    for batch in source:
-        for b, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if b != bucket and held:
-                yield bucket, held
-                held = []
-            bucket = b
-            held.append((kind, blob))
-    if held:
-        yield bucket, held
+def by_bucket(source: Iterator[pa.RecordBatch], last: int | None = None) -> Iterator[tuple[int, list[tuple[int, bytes]], Iterator[bytes]]]:
+    """(bucket, [(kind, blob), ..], blobs of kind ``last``) from batches sorted by bucket
+    and kind; those of kind ``last``, the greatest, are not held but read one by one."""
+
+    def items():
+        for batch in source:
+            buckets, kinds = (batch.column(i).to_pylist() for i in range(2))
+            for i, b in enumerate(buckets):
+                yield b, kinds[i], batch.column(2)[i].as_py()
+
+    for bucket, group in itertools.groupby(items(), key=lambda item: item[0]):
+        held, rest = [], iter(())
+        for item in group:
+            if item[1] == last:
+                rest = (x[2] for x in itertools.chain([item], group))
+                break
+            held.append(item[1:])
+        yield bucket, held, rest
 
 
 def dealt(df: DataFrame, reduce: Callable, schema: str) -> DataFrame:
@@ -84,9 +91,14 @@ def dealt(df: DataFrame, reduce: Callable, schema: str) -> DataFrame:
     return df.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(reduce, schema)
 
 
-def id_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a document id."""
-    return ((ids ^ (ids >> 17)) % buckets).astype(np.int32)
+def salt(marks: np.ndarray) -> np.ndarray:
+    """Six bits of a text's mark, so that rows that repeat one id spread over 64 buckets."""
+    return (marks & 63).astype(np.uint8)
+
+
+def id_bucket(ids: np.ndarray, marks: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a document id with the mark, or its salt, of the document's text."""
+    return (((ids ^ (ids >> 17)) % buckets + salt(marks)) % buckets).astype(np.int32)
 
 
 def slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -26,7 +26,9 @@ passage or a text that a third of all rows hold sends a few rows per task to its
 bucket, not one per copy. Decided occurrences travel to their texts beside
 the open ones. No step gathers a text collection, a group of copies is handled
 once per distinct content, and memory in a task is bounded by a bucket, whose number
-follows the size of the texts and the shuffle partitions.
+follows the size of the texts and the shuffle partitions. Rows are dealt by id and a
+few bits of their text, so rows that repeat an id spread too, and are read one packed
+row at a time; rows without an id have no spans and go anywhere.
 """
 
 from __future__ import annotations
@@ -122,18 +124,28 @@ def _ids_texts(batch: pa.RecordBatch, id_col: str, text_col: str):
     return ids, known, texts
 
 
-def pack_rows(id_col: str, buckets: int):
-    """Rows to the bucket of their id, as compressed Arrow messages."""
+def text_marks(texts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(text_mark, texts), np.uint32, len(texts))
+
+
+def pack_rows(id_col: str, text_col: str, buckets: int, all_rows: bool):
+    """Rows to the bucket of their id and text, as compressed Arrow messages. Rows with
+    a null id are dealt out by their number, or left out."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items():
             options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
             for batch in source:
-                ids = batch.column(id_col).fill_null(0).cast(pa.int64()).to_numpy()
-                for bucket, at in blobs.slices(blobs.id_bucket(ids, buckets)):
+                ids, known, texts = _ids_texts(batch, id_col, text_col)
+                marks = text_marks(texts)
+                own = blobs.id_bucket(ids, marks, buckets)
+                null = np.flatnonzero(~known)
+                own[null] = (null + int(marks[:1].sum())) % buckets
+                rows = np.arange(len(ids)) if all_rows else np.flatnonzero(known)
+                for bucket, at in blobs.slices(own[rows]):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-                        writer.write_batch(batch.take(pa.array(at)))
+                        writer.write_batch(batch.take(pa.array(rows[at])))
                     yield bucket, ROWS, sink.getvalue().to_pybytes()
 
         yield from blobs.batches(items())
@@ -146,29 +158,45 @@ def unpack_rows(blob: bytes) -> Iterator[pa.RecordBatch]:
         yield from reader
 
 
-def surviving(ids: np.ndarray, ordinals: np.ndarray, buckets: int, kind: int):
+def surviving(ids: np.ndarray, salts: np.ndarray, ordinals: np.ndarray, buckets: int, kind: int):
     """Rows that tell the texts which of their segments survive."""
-    for bucket, i in blobs.slices(blobs.id_bucket(ids, buckets)):
+    for bucket, i in blobs.slices(blobs.id_bucket(ids, salts, buckets)):
         i = i[np.lexsort((ordinals[i], ids[i]))]
+        i = i[changed(ids[i], ordinals[i])]
         yield bucket, kind, blobs.pack(np.diff(ids[i], prepend=0), ordinals[i].astype(np.uint32))
 
 
 def covered(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, symbols: np.ndarray, buckets: int, kind: int):
     """Rows that tell the texts which of their symbols are repeated."""
-    for bucket, i in blobs.slices(blobs.id_bucket(ids, buckets)):
+    for bucket, i in blobs.slices(blobs.id_bucket(ids, marks, buckets)):
         i = i[np.lexsort((start[i], ids[i]))]
+        i = i[changed(ids[i], marks[i], start[i], symbols[i])]
         yield bucket, kind, blobs.pack(np.diff(ids[i], prepend=0), marks[i], start[i].astype(np.uint32), symbols[i].astype(np.uint32))
 
 
+def changed(*columns: np.ndarray) -> np.ndarray:
+    """Is the row another one than its predecessor?"""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def trigger_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
-    def flush(keys, ids, ordinals):
-        key, doc, at = np.concatenate(keys), np.concatenate(ids), np.concatenate(ordinals)
+    def flush(keys, ids, salts, ordinals):
+        key, doc, salt, at = np.concatenate(keys), np.concatenate(ids), np.concatenate(salts), np.concatenate(ordinals)
         order = np.argsort(key, kind="stable")
+        new = changed(key[order], doc[order], salt[order], at[order])
+        if not new.all():  # copies of one row say the same
+            order = np.sort(order[new])
+            key, doc, salt, at = key[order], doc[order], salt[order], at[order]
+            order = np.argsort(key, kind="stable")
         edges = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1))
         shared = np.minimum.reduceat(doc[order], edges) != np.maximum.reduceat(doc[order], edges)
         # met in two texts here: known to be shared, and two occurrences speak for all
         known = order[np.repeat(shared, np.diff(np.append(edges, len(key))))]
-        yield from surviving(doc[known], at[known], buckets, SETTLED)
+        yield from surviving(doc[known], salt[known], at[known], buckets, SETTLED)
         rest = np.ones(len(key), bool)
         rest[known] = False
         known = known[np.lexsort((doc[known], key[known]))]
@@ -176,33 +204,36 @@ def trigger_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
         rest[known[last]] = True
         rest[known[np.roll(last, 1)]] = True
         rest = np.flatnonzero(rest)
-        key, doc, at = key[rest], doc[rest], at[rest]
+        key, doc, salt, at = key[rest], doc[rest], salt[rest], at[rest]
         for bucket, i in blobs.slices(((key & U64(0xFFFFFF)) % U64(buckets)).astype(np.int32)):
             d, o = doc[i], at[i]
-            new = np.concatenate(([True], (d[1:] != d[:-1]) | (o[1:] <= o[:-1])))
+            new = changed(d, salt[i])
+            new[1:] |= o[1:] <= o[:-1]
             run = np.flatnonzero(new)
             step = np.diff(o, prepend=o[:1] * 0)
             step[run] = o[run]
-            yield bucket, OPEN, blobs.pack(d[run], np.diff(np.append(run, len(d))).astype(np.uint32), step.astype(np.uint32), blobs.short_key(key[i]))
+            yield bucket, OPEN, blobs.pack(d[run], np.diff(np.append(run, len(d))).astype(np.uint32), step.astype(np.uint32), blobs.short_key(key[i]), salt[i][run])
 
     def run(source):
         def items():
-            keys, docs, ordinals, held = [], [], [], 0
+            keys, docs, salts, ordinals, held = [], [], [], [], 0
             for batch in source:
                 ids, known, texts = _ids_texts(batch, id_col, text_col)
+                salt = blobs.salt(text_marks(texts))
                 for lo, hi in blocks(texts):
                     seg = finder.segments(texts[lo:hi])
                     keep = known[lo:hi][seg.text]
                     ordinal = np.arange(len(seg.text)) - np.searchsorted(seg.text, seg.text)
                     keys.append(seg.key[keep])
                     docs.append(ids[lo:hi][seg.text[keep]])
+                    salts.append(salt[lo:hi][seg.text[keep]])
                     ordinals.append(ordinal[keep])
                     held += len(keys[-1])
                     if held >= finder.flush:
-                        yield from flush(keys, docs, ordinals)
-                        keys, docs, ordinals, held = [], [], [], 0
+                        yield from flush(keys, docs, salts, ordinals)
+                        keys, docs, salts, ordinals, held = [], [], [], [], 0
             if held:
-                yield from flush(keys, docs, ordinals)
+                yield from flush(keys, docs, salts, ordinals)
 
         yield from blobs.batches(items())
 
@@ -214,12 +245,13 @@ def trigger_reduce(buckets: int):
 
     def run(source):
         def items():
-            for bucket, held in blobs.by_bucket(source):
+            for bucket, held, _ in blobs.by_bucket(source):
                 yield from ((bucket, kind, b) for kind, b in held if kind == SETTLED)
                 parts = [blobs.unpack(b) for kind, b in held if kind == OPEN]
                 if not parts:
                     continue
                 ids = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+                salt = np.concatenate([np.repeat(p[4], p[1]) for p in parts])
                 key = blobs.long_key(np.concatenate([p[3] for p in parts]))
                 ordinal = np.concatenate([_undelta(p[1], p[2]) for p in parts])
                 order = np.argsort(key)
@@ -227,7 +259,7 @@ def trigger_reduce(buckets: int):
                 starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
                 shared = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
                 keep = order[np.repeat(shared, np.diff(np.append(starts, len(k))))]
-                yield from surviving(ids[keep], ordinal[keep], buckets, SETTLED)
+                yield from surviving(ids[keep], salt[keep], ordinal[keep], buckets, SETTLED)
 
         yield from blobs.batches(items())
 
@@ -249,6 +281,7 @@ def send_contents(finder: RepeatFinder, held, buckets: int, kind: int):
     settled, spread = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for bucket, i in blobs.slices((key % U64(buckets)).astype(np.int32)):
         i = i[np.lexsort((content[i], key[i]))]
+        i = i[changed(content[i], key[i], doc[i], mark[i], start[i])]
         k, c = key[i], content[i]
         new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
         one, count = i[new], np.diff(np.append(new, len(i)))
@@ -310,13 +343,11 @@ def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
     def run(source):
         def items():
             out, size = [], 0
-            for _, held in blobs.by_bucket(source):
+            for _, held, rows_held in blobs.by_bucket(source, ROWS):
                 sids, sordinals = survivors(held)
                 if not len(sids):
                     continue
-                for kind, blob in held:
-                    if kind != ROWS:
-                        continue
+                for blob in rows_held:
                     for batch in unpack_rows(blob):
                         ids, known, texts = _ids_texts(batch, id_col, text_col)
                         lo, hi = np.searchsorted(sids, ids), np.searchsorted(sids, ids, "right")
@@ -326,12 +357,13 @@ def context_map(finder: RepeatFinder, id_col: str, text_col: str, buckets: int):
                             r = rows[a:b]
                             seg = finder.segments(texts[a:b])
                             first = np.searchsorted(seg.text, np.arange(b - a + 1))
-                            owner = np.repeat(np.arange(b - a), hi[r] - lo[r])
-                            pick = first[owner] + sordinals[ragged(lo[r], hi[r] - lo[r])]
+                            n = np.minimum(hi[r] - lo[r], np.diff(first))  # a row has no more segments than it has
+                            owner = np.repeat(np.arange(b - a), n)
+                            pick = first[owner] + sordinals[ragged(lo[r], n)]
                             # a row with another text under the same id may have fewer segments
                             fits = pick < first[owner + 1]
                             pick, owner = pick[fits], owner[fits]
-                            marks = np.array([text_mark(t) for t in texts[a:b]], np.uint32)
+                            marks = text_marks(texts[a:b])
                             n = seg.hi[pick] - seg.lo[pick]
                             out.append((seg.key[pick], ids[r][owner], marks[owner], seg.start[pick], seg.windows[pick], n, seg.buffer[ragged(seg.lo[pick], n)]))
                             size += int(n.sum())
@@ -397,7 +429,7 @@ def resolve(finder: RepeatFinder, buckets: int, kind: int = OPEN):
 
     def run(source):
         def items():
-            for bucket, held in blobs.by_bucket(source):
+            for bucket, held, _ in blobs.by_bucket(source):
                 yield from ((bucket, found, b) for found, b in held if found == SETTLED or found == SPLIT != kind)
                 it = contents_of(held, kind, finder.widest)
                 if it is None:
@@ -443,26 +475,25 @@ def apply_spans(finder: RepeatFinder, id_col: str, text_col: str, binary: bool):
     pairs = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(source):
-        for _, held in blobs.by_bucket(source):
+        for _, held, rows_held in blobs.by_bucket(source, ROWS):
             parts = [blobs.unpack(b) for kind, b in held if kind == SETTLED]
             if parts:
                 sid = np.concatenate([np.cumsum(p[0]) for p in parts])
                 marks, a, n = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-                order = np.lexsort((a, marks, sid))
+                order = np.lexsort((n, a, marks, sid))
+                order = order[changed(sid[order], marks[order], a[order], n[order])]
                 sid, marks, a, n = sid[order], marks[order], a[order].astype(np.int64), n[order].astype(np.int64)
             else:
                 sid = np.zeros(0, np.int64)
-            for kind, blob in held:
-                if kind != ROWS:
-                    continue
+            for blob in rows_held:
                 for batch in unpack_rows(blob):
                     ids, known, texts = _ids_texts(batch, id_col, text_col)
                     lo, hi = np.searchsorted(sid, ids), np.searchsorted(sid, ids, "right")
                     runs: list[np.ndarray | None] = [None] * len(texts)
                     for r in np.flatnonzero(known & (hi > lo)):
-                        own = lo[r] + np.flatnonzero(marks[lo[r]:hi[r]] == text_mark(texts[r]))
-                        if len(own):
-                            runs[r] = merged_runs(a[own], a[own] + n[own])
+                        x, y = lo[r] + np.searchsorted(marks[lo[r]:hi[r]], [text_mark(texts[r]), text_mark(texts[r]) + 1])
+                        if y > x:
+                            runs[r] = merged_runs(a[x:y], a[x:y] + n[x:y])
                     kept, symbols = finder.cut(texts, runs)
                     values = np.concatenate([np.zeros((0, 2), np.int64), *(x for x in runs if x is not None)])
                     offsets = np.cumsum([0, *(0 if x is None else len(x) for x in runs)])
@@ -486,11 +517,11 @@ def remove_repeats(docs: DataFrame, finder: RepeatFinder, id_col: str, text_col:
     slim = docs.select(id_col, text_col)
     triggers = slim.mapInArrow(trigger_map(finder, id_col, text_col, buckets), blobs.SCHEMA)
     surviving = blobs.dealt(triggers, trigger_reduce(buckets), blobs.SCHEMA)
-    texts = slim.mapInArrow(pack_rows(id_col, buckets), blobs.SCHEMA)
+    texts = slim.mapInArrow(pack_rows(id_col, text_col, buckets, all_rows=False), blobs.SCHEMA)
     contexts = blobs.dealt(surviving.union(texts), context_map(finder, id_col, text_col, buckets), blobs.SCHEMA)
     resolved = blobs.dealt(contexts, resolve(finder, buckets), blobs.SCHEMA)
     spans = blobs.dealt(resolved, resolve(finder, buckets, SPLIT), blobs.SCHEMA)
-    rows = docs.mapInArrow(pack_rows(id_col, buckets), blobs.SCHEMA)
+    rows = docs.mapInArrow(pack_rows(id_col, text_col, buckets, all_rows=True), blobs.SCHEMA)
     schema = T.StructType([
         T.StructField("row", T.StructType(docs.schema.fields)),
         T.StructField("text", T.BinaryType() if binary else T.StringType()),

@@ -6,13 +6,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import docs_frame, repeats, repetitive_texts, space_words
 
 from holdfast.llm.automaton import SuffixAutomaton
 from holdfast.llm.op10_substring_dedup import WordRepeats, remove_reference_passages, remove_repeated_passages
 from holdfast.llm.op5_prefix_free_parsing import ByteRepeats, remove_repeated_bytes, suffix_order
-from holdfast.llm.repeats import remove_repeats
+from holdfast.llm.blobs import by_bucket, rows
+from holdfast.llm.repeats import ROWS, pack_rows, remove_repeats, unpack_rows
 from holdfast.llm.textblocks import NOT_SPACE, rolling_hashes, sliding_minimum, span_hashes, word_spans
 
 
@@ -185,3 +187,49 @@ def test_a_trigger_with_many_contents_is_not_one_group(spark, binary):
         finder.flush_bytes = flush_bytes
         found = remove_repeats(docs_frame(spark, texts, ids, 2), finder, "doc_id", "text", binary).collect()
         assert sorted((x.row.doc_id, x.row.text or "", [(s.start, s.end) for s in x.spans]) for x in found) == want
+
+
+def test_rows_without_an_id_and_of_one_id_spread():
+    """A third of all rows with a null id and a third with one id are not one bucket."""
+    ids = [None, 7, 3] * 400
+    texts = [f"text {k}" if k % 2 else "same" for k in range(1200)]
+    for k in range(1200):
+        ids[k] = k if ids[k] == 3 else ids[k]
+    batch = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": texts})
+    for all_rows in (True, False):
+        found, most = [], 0
+        for out in pack_rows("doc_id", "text", 101, all_rows)(iter([batch])):
+            for bucket, kind, blob in zip(*(c.to_pylist() for c in out.columns)):
+                mine = [r for b in unpack_rows(blob) for r in b.to_pylist()]
+                assert kind == ROWS
+                found += mine
+                most = max(most, sum(r["doc_id"] is None for r in mine), sum(r["doc_id"] == 7 and r["text"] != "same" for r in mine))
+        want = [(i, t) for i, t in zip(ids, texts) if all_rows or i is not None]
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in found))) == sorted(map(str, want))
+        assert most <= 20
+
+
+def test_packed_rows_of_a_bucket_are_not_held():
+    drawn = []
+
+    def source():
+        for k in range(5):
+            drawn.append(k)
+            yield rows([(1, 0, b"small"), (1, ROWS, b"0")] if k == 0 else [(1, ROWS, b"%d" % k)])
+
+    for bucket, held, rest in by_bucket(source(), ROWS):
+        assert (bucket, held, drawn) == (1, [(0, b"small")], [0])
+        assert list(rest) == [b"%d" % k for k in range(5)]
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_many_rows_of_one_id_and_none(spark, binary):
+    texts = repetitive_texts(31, 150)
+    ids = [None if k % 3 == 0 else 40 if k % 3 == 1 else k for k in range(len(texts))]
+    texts += [texts[7]] * 30  # one row many times
+    ids += [40] * 30
+    run = remove_repeated_bytes if binary else remove_repeated_passages
+    found = run(docs_frame(spark, texts, ids)).collect()
+    _, masks = repeats(texts, ids, 50 if binary else 13, (lambda t: t.encode()) if binary else space_words)
+    want = sorted((str(i), t or "", spans_of(m)) for i, t, m in zip(ids, texts, masks))
+    assert sorted((str(x.row.doc_id), x.row.text or "", [(s.start, s.end) for s in x.spans]) for x in found) == want
