@@ -9,6 +9,8 @@ made from the source id, so a rerun gives the same ids.
 
 Text extraction: scripts, styles, the head and comments go, block elements end
 a line, other tags go, the usual entities are resolved, white space is folded.
+Of comments and silent elements the one that opens first holds the other. A head
+ends at the first thing that cannot stand in it, with or without ``</head>``.
 
 Everything is built of DataFrame functions; records never meet, so there is no
 shuffle at all.
@@ -27,8 +29,9 @@ from holdfast.llm.common import table
 
 VERSION = "WARC/1.1"
 SPACE = "[ \\t\\n\\r\\f]"
-# fixed values: elements whose content is no text, elements that end a line
+# fixed values: elements whose content is no text, empty elements of a head, elements that end a line
 SILENT = ("script", "style", "noscript", "template", "head")
+HEAD = "meta|link|base|basefont|bgsound"
 LINES = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|main|aside|blockquote|pre|form"
 # fixed values: named characters
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
@@ -47,9 +50,11 @@ def folded(text: Column) -> Column:
 
 
 def page_text(html: Column) -> Column:
-    for element in SILENT:
-        html = F.regexp_replace(html, f"(?is)<{element}(?:[ \\t\\n\\r\\f/][^>]*)?>.*?(?:</{element}{SPACE}*>|\\z)", "")
-    html = F.regexp_replace(html, "(?s)<!--.*?(?:-->|\\z)", "")
+    rest = "(?:[ \\t\\n\\r\\f/][^>]*)?>"
+    silent = "|".join(element for element in SILENT if element != "head")
+    html = F.regexp_replace(html, f"(?is)<!--.*?(?:-->|\\z)|<({silent}){rest}.*?(?:</\\1{SPACE}*>|\\z)", "")
+    html = F.regexp_replace(
+        html, f"(?is)<head{rest}(?:{SPACE}++|<title{rest}.*?(?:</title{SPACE}*>|\\z)|<(?:{HEAD}){rest}|<[!?][^>]*>|</(?!(?:head|body|html|br){SPACE}*>)[a-z][^>]*>)*+", "")
     html = F.regexp_replace(html, f"(?i)</?(?:{LINES})(?:[ \\t\\n\\r\\f/][^>]*)?>", "\n")
     return folded(entities(F.regexp_replace(html, "<[a-zA-Z/!?][^>]*>", "")))
 

@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from holdfast.llm.op2_warc_derivatives import derive, read_responses, responses_from_pages, write_records
+from holdfast.llm.op2_warc_derivatives import derive, page_text, read_responses, responses_from_pages, write_records
 from holdfast.llm.op8_chat_formatting import as_records, canonical_turns, escape, format_chats, query, read_loss, read_turns, unescape, with_template
 
 TRICKY = ["", "plain", "</s>", "[INST]", "[/INST]", "~", "~1", "~~0</s>~", "</s>[INST] ok [/INST]", "[INST[INST]]", "</</s>s>", "é~2\n[/INST", "𝄞</s>𝄞"]
@@ -130,3 +130,20 @@ def test_files_round_trip(spark, tmp_path):
     write_records(derived, out)
     written = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*")))
     assert written.count("WARC-Type: conversion\r\n") == 3 and sorted(x.record for x in derived.collect())[0] in written
+
+
+def test_pages_without_head_end_and_markup_in_comments(spark):
+    cases = [
+        ("<html><head><title>T</title><body><p>text</p>", "text"),
+        ('<html><head lang="x">\n<meta charset="utf-8"><TITLE>a <b> c</TITLE ><link rel=x><style>p{}</style><script>"<p>"</script><p>one</p><p>two</p>', "one\ntwo"),
+        ("<head><title>T</title></head><body>text</body>", "text"),
+        ("<head><!-- </head> --><title>T</title></head>text", "text"),
+        ("<p>a</p><!-- <script> --><p>b</p>", "a\nb"),
+        ("<p>a</p><!-- <head> <style> --><p>b</p>", "a\nb"),
+        ("<p>a</p><script>if (x) { y = '<!--' }</script><p>b</p>", "a\nb"),
+        ("<header>h</header><p>a", "h\na"),
+        ("<head><meta name=d content='" + "x" * 100_000 + "'>" + "<link rel=y> " * 20_000 + "<body>t", "t"),
+    ]
+    df = spark.createDataFrame(cases, "html string, want string")
+    for x in df.select("html", "want", page_text(F.col("html")).alias("got")).collect():
+        assert x.got == x.want, x.html[:200]
