@@ -14,6 +14,12 @@ empty string; a record of an undeclared layout, or not JSON, keeps a row with
 layout null and no output; rows of a conversation are sorted by turn, role and
 text, repeated rows all stay; a null id is an id; other columns are not read.
 A conversation is one output string, so its turns come together in one row.
+
+A VARIANT holds strings of 20 million characters and 128 MiB in all. A record
+beyond that is read in two steps: its field paths from a copy whose strings are
+emptied and whose equal neighbours are merged, its texts by ``from_json`` with the
+layout's schema. There a number keeps the spelling that it has in the JSON text.
+A record whose copy is still too large to judge ends the query with an error.
 """
 
 from __future__ import annotations
@@ -51,8 +57,8 @@ def fingerprint(record: Column) -> Column:
     return F.substring(F.sha2(paths.cast("binary"), 256), 1, 16)
 
 
-def _field(path: str, kind: str = "string") -> Callable[[Column], Column]:
-    return lambda record: F.try_variant_get(record, path, kind)
+# value at a path, cast to a type; null where there is none
+Get = Callable[[str, str], Column]
 
 
 def _turn(role: str, text: Column) -> Column:
@@ -63,12 +69,13 @@ def _turn(role: str, text: Column) -> Column:
 class Layout:
     name: str
     examples: tuple[str, ...]  # records that have this layout's field paths
-    turns: Callable[[Column], Column]
+    fields: str  # schema of its fields
+    turns: Callable[[Get], Column]
 
 
-def _messages(path: str, role: str, text: str, speakers: dict[str, str] | None = None) -> Callable[[Column], Column]:
-    def turns(record: Column) -> Column:
-        items = F.try_variant_get(record, path, f"array<struct<{role}:string,{text}:string>>")
+def _messages(field: str, role: str, text: str, speakers: dict[str, str] | None = None) -> Callable[[Get], Column]:
+    def turns(get: Get) -> Column:
+        items = get(field, f"array<struct<`{role}`:string,`{text}`:string>>")
 
         def turn(item: Column) -> Column:
             who = F.coalesce(item[role], F.lit(""))
@@ -82,34 +89,58 @@ def _messages(path: str, role: str, text: str, speakers: dict[str, str] | None =
     return turns
 
 
-def _instruction(record: Column) -> Column:
-    extra = F.coalesce(_field("$.input")(record), F.lit(""))
-    question = F.concat(F.coalesce(_field("$.instruction")(record), F.lit("")), F.when(extra == "", "").otherwise(F.concat(F.lit("\n"), extra)))
-    return F.array(_turn("user", question), _turn("assistant", _field("$.output")(record)))
+def _instruction(get: Get) -> Column:
+    extra = F.coalesce(get("input", "string"), F.lit(""))
+    question = F.concat(F.coalesce(get("instruction", "string"), F.lit("")), F.when(extra == "", "").otherwise(F.concat(F.lit("\n"), extra)))
+    return F.array(_turn("user", question), _turn("assistant", get("output", "string")))
 
 
 LAYOUTS = (
-    Layout("messages", ('{"messages":[{"role":"","content":""}]}', '{"messages":[]}'), _messages("$.messages", "role", "content")),
-    Layout("conversations", ('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'), _messages("$.conversations", "from", "value", SPEAKERS)),
-    Layout("prompt", ('{"prompt":"","completion":""}',), lambda r: F.array(_turn("user", _field("$.prompt")(r)), _turn("assistant", _field("$.completion")(r)))),
-    Layout("system_prompt", ('{"system":"","prompt":"","response":""}',), lambda r: F.array(
-        _turn("system", _field("$.system")(r)), _turn("user", _field("$.prompt")(r)), _turn("assistant", _field("$.response")(r)))),
-    Layout("instruction", ('{"instruction":"","input":"","output":""}', '{"instruction":"","output":""}'), _instruction),
+    Layout("messages", ('{"messages":[{"role":"","content":""}]}', '{"messages":[]}'),
+           "messages array<struct<`role`:string,`content`:string>>", _messages("messages", "role", "content")),
+    Layout("conversations", ('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'),
+           "conversations array<struct<`from`:string,`value`:string>>", _messages("conversations", "from", "value", SPEAKERS)),
+    Layout("prompt", ('{"prompt":"","completion":""}',), "prompt string, completion string",
+           lambda get: F.array(_turn("user", get("prompt", "string")), _turn("assistant", get("completion", "string")))),
+    Layout("system_prompt", ('{"system":"","prompt":"","response":""}',), "system string, prompt string, response string", lambda get: F.array(
+        _turn("system", get("system", "string")), _turn("user", get("prompt", "string")), _turn("assistant", get("response", "string")))),
+    Layout("instruction", ('{"instruction":"","input":"","output":""}', '{"instruction":"","output":""}'), "instruction string, input string, output string", _instruction),
 )
 
+# records under this many bytes always fit a VARIANT
+SURE = 8 << 20
+CORRUPT = "__corrupt"
+
+
+def outline(record: Column) -> Column:
+    """JSON text with the same field paths, its string values emptied and equal neighbours merged."""
+    body = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+    emptied = F.regexp_replace(record, rf'(?s)("{body}"\s*+:)|"{body}(")', "$1$2$2")
+    return F.regexp_replace(emptied, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
     """Adds ``layout`` (name or null) and ``turns`` to records given as JSON text."""
-    parsed = records.withColumn("__record", F.try_parse_json(F.col(record_col)))
-    parsed = parsed.withColumn("__paths", fingerprint(F.col("__record")))
+    record = F.col(record_col)
+    parsed = records.withColumn("__record", F.try_parse_json(record))
+    parsed = parsed.withColumn("__large", F.col("__record").isNull() & (F.octet_length(record) >= SURE))
+    parsed = parsed.withColumn("__outline", F.when(F.col("__large"), outline(record)))
+    judged = F.coalesce("__record", F.try_parse_json("__outline"))
+    too_large = F.raise_error(F.concat(F.lit("record too large to find its layout: bytes "), F.octet_length(record).cast("string")))
+    paths = F.when(judged.isNull() & (F.octet_length("__outline") >= SURE), too_large.cast("string")).otherwise(fingerprint(judged))
+    parsed = parsed.withColumn("__paths", paths)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    small: Get = lambda field, kind: F.try_variant_get(F.col("__record"), f"$.{field}", kind)
     for known in reversed(layouts):
         same = F.lit(False)
         for example in known.examples:  # constant: folded when the query is planned
             same = same | F.col("__paths").eqNullSafe(fingerprint(F.parse_json(F.lit(example))))
-        layout = F.when(same, known.name).otherwise(layout)
-        turns = F.when(same, known.turns(F.col("__record")).cast(TURNS)).otherwise(turns)
-    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__record", "__paths")
+        whole = F.from_json(record, f"{known.fields}, {CORRUPT} string", {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": CORRUPT})
+        large: Get = lambda field, kind, whole=whole: whole[field]
+        fits = ~F.col("__large") | whole[CORRUPT].isNull()
+        layout = F.when(same & fits, known.name).otherwise(layout)
+        turns = F.when(same & ~F.col("__large"), known.turns(small).cast(TURNS)).when(same & fits, known.turns(large).cast(TURNS)).otherwise(turns)
+    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__record", "__large", "__outline", "__paths")
 
 
 def with_template(records: DataFrame) -> DataFrame:

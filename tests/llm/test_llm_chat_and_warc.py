@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from holdfast.llm.op2_warc_derivatives import derive, page_text, read_responses, responses_from_pages, write_records
-from holdfast.llm.op8_chat_formatting import as_records, canonical_turns, escape, format_chats, query, read_loss, read_turns, unescape, with_template
+from holdfast.llm.op8_chat_formatting import as_records, canonical_turns, escape, format_chats, outline, query, read_loss, read_turns, unescape, with_template
 
 TRICKY = ["", "plain", "</s>", "[INST]", "[/INST]", "~", "~1", "~~0</s>~", "</s>[INST] ok [/INST]", "[INST[INST]]", "</</s>s>", "é~2\n[/INST", "𝄞</s>𝄞"]
 
@@ -63,6 +63,31 @@ def test_conversation_rows(spark):
     assert whole.formatted == "[INST]user[/INST]a</s>[INST]assistant[/INST]b</s>"
 
 
+def test_outline_keeps_field_paths(spark):
+    cases = [
+        (json.dumps({"messages": [{"role": "a", "content": 'q" : \\ {'}, {"role": "b", "content": "x,:]"}]}), '{"messages": [{"role": "", "content": ""}]}'),
+        ('{"a":"\\\\","b" : [1,"x", null, {"c":"d"}]}', '{"a":"","b" : [1,"", null, {"c":""}]}'),
+        (json.dumps({"prompt": "\\n" * 100_000, "completion": None}), '{"prompt": "", "completion": null}'),
+    ]
+    for x in spark.createDataFrame(cases, "r string, want string").select("want", outline(F.col("r")).alias("got")).collect():
+        assert x.got == x.want
+
+
+def test_texts_beyond_a_variant(spark):
+    """A message of over 20 million characters keeps its turns, like a short one."""
+    n = 6_700_000
+    long = F.repeat(F.concat(F.lit('a\\n'), F.substring(F.col("id").cast("string"), 1, 1)), n)
+    for before, after, layout, want in (
+            ('{"prompt":"q","completion":"', '"}', "prompt", [("user", 1), ("assistant", 3 * n)]),
+            ('{"messages":[{"role":"user","content":"q"},{"role":"tool","content":"', '"},{"role":"assistant","content":null}]}', "messages", [("user", 1), ("tool", 3 * n), ("assistant", 0)]),
+            ('{"conversations":[{"from":"human","value":"', '"}]}', "conversations", [("user", 3 * n)]),
+            ('{"prompt":"\\q","completion":"', '"}', None, None),
+            ('{"question":"q","answer":"', '"}', None, None)):
+        records = spark.range(0, 1, 1, 1).select(F.concat(F.lit(before), long, F.lit(after)).alias("record"))
+        got = canonical_turns(records).select("layout", F.expr("transform(turns, t -> struct(t.role, length(t.text)))").alias("turns")).first()
+        assert got.layout == layout and (got.turns and [tuple(t) for t in got.turns]) == want
+
+
 def test_no_python_in_the_plan(spark, capsys):
     query(spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
