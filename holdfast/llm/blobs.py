@@ -32,9 +32,10 @@ def bucket_count(docs: DataFrame, text_col: str) -> int:
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """The arrays, first bytes before second bytes: small numbers have equal high bytes."""
     parts = []
     for a in arrays:
-        parts += [struct.pack("<cQ", a.dtype.char.encode(), a.nbytes), a.tobytes()]
+        parts += [struct.pack("<cQ", a.dtype.char.encode(), a.nbytes), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if a.itemsize > 1 and len(a) else a.tobytes()]
     return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
@@ -44,7 +45,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     while at < len(raw):
         kind, size = struct.unpack_from("<cQ", raw, at)
         at += 9
-        out.append(np.frombuffer(raw, np.dtype(kind.decode()), size // np.dtype(kind.decode()).itemsize, at))
+        dtype = np.dtype(kind.decode())
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(dtype.itemsize, -1)
+        out.append(planes[0] if dtype == np.uint8 else np.ascontiguousarray(planes.T).view(dtype).ravel())
         at += size
     return out
 

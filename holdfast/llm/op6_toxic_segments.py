@@ -167,7 +167,7 @@ def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from blobs.batches((r, 0, blobs.pack(sum(blobs.unpack(b)[0] for _, b in held))) for r, held in blobs.by_bucket(source))
+    yield from blobs.batches((r, 0, blobs.pack(sum(blobs.unpack(b)[0] for _, b in held))) for r, held, _ in blobs.by_bucket(source))
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, train: Column, sample: int) -> DataFrame:

@@ -169,9 +169,14 @@ def surviving(ids: np.ndarray, salts: np.ndarray, ordinals: np.ndarray, buckets:
 def covered(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, symbols: np.ndarray, buckets: int, kind: int):
     """Rows that tell the texts which of their symbols are repeated."""
     for bucket, i in blobs.slices(blobs.id_bucket(ids, marks, buckets)):
-        i = i[np.lexsort((start[i], ids[i]))]
+        i = i[np.lexsort((start[i], marks[i], ids[i]))]
         i = i[changed(ids[i], marks[i], start[i], symbols[i])]
-        yield bucket, kind, blobs.pack(np.diff(ids[i], prepend=0), marks[i], start[i].astype(np.uint32), symbols[i].astype(np.uint32))
+        run = np.flatnonzero(changed(ids[i], marks[i]))
+        count = np.diff(np.append(run, len(i)))
+        step = np.diff(start[i].astype(np.int64), prepend=0)
+        step[run] = start[i][run]
+        yield bucket, kind, blobs.pack(
+            np.diff(ids[i][run], prepend=0), marks[i][run], count.astype(np.uint32), step.astype(np.uint32), symbols[i].astype(np.uint32), level=3)
 
 
 def changed(*columns: np.ndarray) -> np.ndarray:
@@ -478,8 +483,10 @@ def apply_spans(finder: RepeatFinder, id_col: str, text_col: str, binary: bool):
         for _, held, rows_held in blobs.by_bucket(source, ROWS):
             parts = [blobs.unpack(b) for kind, b in held if kind == SETTLED]
             if parts:
-                sid = np.concatenate([np.cumsum(p[0]) for p in parts])
-                marks, a, n = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+                sid = np.concatenate([np.repeat(np.cumsum(p[0]), p[2]) for p in parts])
+                marks = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
+                a = np.concatenate([_undelta(p[2], p[3]) for p in parts])
+                n = np.concatenate([p[4] for p in parts])
                 order = np.lexsort((n, a, marks, sid))
                 order = order[changed(sid[order], marks[order], a[order], n[order])]
                 sid, marks, a, n = sid[order], marks[order], a[order].astype(np.int64), n[order].astype(np.int64)
