@@ -160,6 +160,12 @@ def _listing(filter_status: bool = True) -> str:
 
 ORACLE: dict[str, str] = {
     "tradebook_scan": with_stages(["v_tradebook"], "SELECT * FROM v_tradebook"),
+    "tradebook_mixed_headers": with_stages(["v_tradebook"], "SELECT * FROM v_tradebook"),
+    "tradebook_load": with_stages(["v_tradebook"], """
+SELECT CASE WHEN n % 97 = 1 OR n % 101 = 2 THEN 'malformed line: wrong number of fields'
+            WHEN n % 89 = 3 THEN 'missing quantity' WHEN n % 83 = 5 THEN 'malformed price: 1.2.3' ELSE 'accepted' END AS outcome,
+       COUNT(*) AS lines
+FROM (SELECT CAST(trade_id AS BIGINT) AS n FROM v_tradebook) t GROUP BY 1"""),
     "tradebook_clean": with_stages(["clean"], "SELECT * FROM clean"),
     "net_tradebook": with_stages(["net"], "SELECT * FROM net"),
     "symbols": with_stages(["symbols"], "SELECT * FROM symbols"),

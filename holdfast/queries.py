@@ -18,6 +18,7 @@ from holdfast.operators import reporting as rep
 from holdfast.operators import reshape
 from holdfast.operators import securities as sec
 from holdfast.plans.holdings import HoldingsPlan, build_holdings
+from holdfast.plans.tradebook import load_tradebook
 from holdfast.plans.securities import ingest_securities_csv, refresh_securities
 from holdfast.schemas import SECURITIES_COLUMNS
 from holdfast.session import scratch_dir
@@ -63,6 +64,43 @@ def tradebook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tradebook(spark, path, broker="Zerodha")
 
 
+def tradebook_mixed_headers(spark, sf_dir):
+    """One folder of exports whose headers order their columns differently; one has a column more."""
+
+    def write(path):
+        rows = _inputs(spark, sf_dir).tradebook
+        part = F.col("trade_id").cast("long") % 3
+        swapped = [{"quantity": "price", "price": "quantity"}.get(c, c) for c in rows.columns]
+        for k, layout in enumerate((rows.columns, swapped, rows.columns[::-1])):
+            own = rows.where(part == k).select(*layout)
+            write_tradebook_csv(own.withColumn("account", F.lit("main")) if k == 2 else own, path, "append")
+
+    return read_tradebook(spark, _input_files(spark, sf_dir, "tradebook-mixed", write), broker="Zerodha")
+
+
+def _damaged_export(spark, sf_dir) -> str:
+    """An export some of whose lines are cut, too long, or lack or garble a value."""
+
+    def write(path):
+        rows = _inputs(spark, sf_dir).tradebook
+        n = F.col("trade_id").cast("long")
+        rows = rows.withColumns({"quantity": F.when(n % 89 != 3, F.col("quantity")).cast("string"),
+                                 "price": F.when(n % 83 == 5, F.lit("1.2.3")).otherwise(F.col("price").cast("string"))})
+        line = F.to_csv(F.struct(*rows.columns))
+        line = F.when(n % 97 == 1, F.substring_index(line, ",", 8)).when(n % 101 == 2, F.concat(line, F.lit(",x"))).otherwise(line)
+        # one column whose name is the header: Spark then writes the lines as they are
+        rows.select(line.alias(",".join(rows.columns))).write.option("header", True).option("sep", "\x01").option("quote", "\x02").csv(path)
+
+    return _input_files(spark, sf_dir, "tradebook-damaged", write)
+
+
+def tradebook_load(spark, sf_dir):
+    """Lines of a damaged export by what became of them."""
+    load = load_tradebook(spark, _damaged_export(spark, sf_dir), scratch_dir(spark, "tradebook-load"))
+    good = load.tradebook.select(F.lit("accepted").alias("outcome"))
+    return good.union(load.rejects.select("reason")).groupBy("outcome").agg(F.count("*").alias("lines"))
+
+
 def tradebook_clean(spark, sf_dir):
     return _plan(spark, sf_dir).clean
 
@@ -254,6 +292,8 @@ def securities_roundtrip(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tradebook_scan": tradebook_scan,
+    "tradebook_mixed_headers": tradebook_mixed_headers,
+    "tradebook_load": tradebook_load,
     "tradebook_clean": tradebook_clean,
     "net_tradebook": net_tradebook,
     "symbols": symbols,

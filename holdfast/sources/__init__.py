@@ -9,10 +9,19 @@ from holdfast.sources.securities import (
     write_securities_csv,
     write_snapshots,
 )
-from holdfast.sources.tradebook import brokers, read_tradebook, register_loader, write_tradebook_csv
+from holdfast.sources.tradebook import (
+    brokers,
+    parsed_lines,
+    read_tradebook,
+    register_csv_export,
+    register_loader,
+    split_tradebook,
+    write_tradebook_csv,
+)
 
 __all__ = [
     "brokers",
+    "parsed_lines",
     "read_events",
     "read_prices",
     "read_securities_csv",
@@ -20,7 +29,9 @@ __all__ = [
     "read_securities_table",
     "read_snapshots",
     "read_tradebook",
+    "register_csv_export",
     "register_loader",
+    "split_tradebook",
     "write_securities_csv",
     "write_snapshots",
     "write_tradebook_csv",

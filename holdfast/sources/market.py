@@ -2,8 +2,9 @@
 
 Both are single long tables keyed by symbol (not one DataFrame per symbol), so
 the plan has the same size whatever the number of symbols. Both are strict: a
-malformed line, number or date fails the job, with ANSI mode on or off, and CSV
-columns are bound by their header names.
+malformed line, number or date fails the job, with ANSI mode on or off. CSV
+columns are bound by the header of the file they stand in, so the files of a feed
+may order their columns differently.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from holdfast.functions import strict
 from holdfast.schemas import EVENTS_FEED, PRICES
+from holdfast.sources.csv_files import all_accepted, malformed_line, missing_or_malformed, read_csv_by_header
 
 
 def _as_text(schema: StructType) -> StructType:
@@ -23,7 +25,9 @@ def _as_text(schema: StructType) -> StructType:
 def _read(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
     """The feed's columns by name, as text for CSV and JSON."""
     if fmt == "csv":
-        return spark.read.option("header", True).option("mode", "FAILFAST").csv(path).select(*schema.fieldNames())
+        lines = read_csv_by_header(spark, path, schema.fieldNames())
+        keyed = F.coalesce(malformed_line(), missing_or_malformed("symbol", F.col("symbol"), required=True))
+        return all_accepted(lines, keyed).select(*schema.fieldNames())
     if fmt == "json":
         return spark.read.schema(_as_text(schema)).option("mode", "FAILFAST").json(path)
     return spark.read.format(fmt).load(path).select(*schema.fieldNames())

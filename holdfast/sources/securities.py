@@ -64,6 +64,7 @@ def read_securities_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(_file_schema())
         .option("header", True)
         .option("enforceSchema", False)
+        .option("columnPruning", False)     # a cut line is one, whatever columns are used
         .option("mode", "FAILFAST")
         .csv(path)
         .select(*SECURITIES_COLUMNS)

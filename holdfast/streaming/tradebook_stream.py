@@ -13,12 +13,14 @@ every execution of a day however late it arrived.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from holdfast.operators.tradebook import clean_tradebook
 from holdfast.schemas import TRADEBOOK
-from holdfast.sources.tradebook import cast_by_name
+from holdfast.sources.csv_files import FILE, LINE
+from holdfast.sources.tradebook import accepted_lines
 
 # A file stream needs its schema up front, and a CSV schema binds by position:
 # the landing files must carry the canonical columns in this order. The header
@@ -30,10 +32,10 @@ LANDING_SCHEMA = StructType([StructField(f.name, StringType()) for f in TRADEBOO
 def read_tradebook_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Canonical executions from the CSV files arriving in ``landing_dir``."""
     reader = (spark.readStream.schema(LANDING_SCHEMA).option("header", True)
-              .option("enforceSchema", False).option("mode", "FAILFAST"))
+              .option("enforceSchema", False).option("columnPruning", False).option("mode", "FAILFAST"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return cast_by_name(reader.csv(landing_dir))
+    return accepted_lines(reader.csv(landing_dir).withColumns({LINE: F.lit(None).cast("string"), FILE: F.col("_metadata.file_path")}))
 
 
 def start_execution_intake(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_path: str,

@@ -160,3 +160,106 @@ def test_jdbc_partitioning_needs_bounds(spark):
 
     with pytest.raises(ValueError, match="lower and upper bound"):
         read_securities_jdbc(spark, "jdbc:none", {}, column="id")
+
+
+LINE = {"symbol": "AAA", "isin": "I1", "trade_date": "2024-01-02", "exchange": "X", "segment": "EQ", "series": "EQ", "trade_type": "buy",
+        "auction": "false", "quantity": "7", "price": "100", "trade_id": "t1", "order_id": "o1", "order_execution_time": "2024-01-02T10:00:00"}
+
+
+def _export(folder, name, header, *lines):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join([",".join(header), *(x if isinstance(x, str) else ",".join(x.get(c, "") for c in header) for x in lines)]) + "\n")
+
+
+def test_each_file_is_bound_by_its_own_header(spark, tmp_path, ansi):
+    names = list(LINE)
+    swapped = [{"quantity": "price", "price": "quantity"}.get(c, c) for c in names]
+    folder = tmp_path / "exports"
+    _export(folder, "a.csv", names, LINE)
+    _export(folder, "odd {name} [1].csv", swapped, {**LINE, "quantity": "8"})
+    _export(folder, "c.csv", ["account", *names[::-1]], {**LINE, "quantity": "9", "account": "main"})
+    _export(folder, "none.csv", names)                              # a header and no line
+    (folder / "empty.csv").write_text("")
+    (folder / "bom.csv").write_text("﻿" + ",".join(swapped) + "\n" + ",".join({**LINE, "quantity": "10"}[c] for c in swapped) + "\n")
+    got = read_tradebook(spark, str(folder))
+    assert sorted((r["quantity"], float(r["price"])) for r in got.collect()) == [(7, 100.0), (8, 100.0), (9, 100.0), (10, 100.0)]
+    assert got.select("symbol").distinct().count() == 1             # pruned to one column
+
+
+def test_events_are_bound_by_their_own_headers(spark, tmp_path, ansi):
+    folder = tmp_path / "events"
+    folder.mkdir()
+    (folder / "a.csv").write_text("symbol,details,ex_date,ratio,type,amount\nAAA,x,01 Feb 2024,2,split,9\n")
+    (folder / "b.csv").write_text("symbol,details,ex_date,amount,type,ratio\nBBB,x,01 Feb 2024,9,split,2\n")
+    assert rows(read_events(spark, str(folder), "csv"), "symbol", "ratio", "amount") == [("AAA", 2.0, 9.0), ("BBB", 2.0, 9.0)]
+    (folder / "c.csv").write_text("symbol,details,ex_date,amount,type,ratio\nCCC,x,01 Feb\n")
+    with pytest.raises(Exception, match="malformed line"):
+        read_events(spark, str(folder), "csv").select("symbol").collect()
+
+
+def test_headers_that_lack_or_repeat_a_column_are_errors(spark, tmp_path):
+    folder = tmp_path / "exports"
+    _export(folder, "a.csv", list(LINE), LINE)
+    _export(folder, "b.csv", [c for c in LINE if c != "price"], LINE)
+    with pytest.raises(ValueError, match="b.csv: column 'price' stands 0 times"):
+        read_tradebook(spark, str(folder))
+    _export(folder, "b.csv", [*LINE, "price"], LINE)
+    with pytest.raises(ValueError, match="stands 2 times"):
+        read_tradebook(spark, str(folder))
+
+
+BAD_LINES = [
+    (",".join(list(LINE.values())[:8]), "malformed line"),
+    (",".join([*LINE.values(), "more"]), "malformed line"),
+    ({**LINE, "quantity": ""}, "missing quantity"),
+    ({**LINE, "price": " "}, "missing price"),
+    ({**LINE, "symbol": ""}, "missing symbol"),
+    ({**LINE, "trade_date": ""}, "missing trade_date"),
+    ({**LINE, "trade_type": ""}, "missing trade_type"),
+    ({**LINE, "quantity": "1.5"}, "malformed quantity: 1.5"),
+    ({**LINE, "trade_date": "02/01/2024"}, "malformed trade_date"),
+]
+
+
+@pytest.mark.parametrize("bad,reason", BAD_LINES)
+def test_a_bad_line_fails_the_load_whatever_is_read(spark, tmp_path, ansi, bad, reason):
+    folder = tmp_path / "exports"
+    _export(folder, "a.csv", list(LINE), LINE, bad)
+    with pytest.raises(Exception, match=reason):
+        read_tradebook(spark, str(folder)).select("isin").collect()
+    with pytest.raises(Exception, match=reason):
+        read_tradebook(spark, str(folder)).count()
+
+
+def test_accepted_and_rejected_lines_are_all_lines(spark, tmp_path, ansi):
+    from holdfast import scratch_dir
+    from holdfast.plans.tradebook import load_tradebook
+    from holdfast.sources import split_tradebook
+
+    folder = tmp_path / "exports"
+    _export(folder, "a.csv", list(LINE), LINE, *(bad for bad, _ in BAD_LINES))
+    _export(folder, "b.csv", list(LINE)[::-1], LINE, LINE)
+    good, bad = split_tradebook(spark, str(folder))
+    assert good.count() == 3 and bad.count() == len(BAD_LINES)
+    assert sorted(r["reason"][:9] for r in bad.collect()) == sorted(reason[:9] for _, reason in BAD_LINES)
+    assert {r["file"].rsplit("/", 1)[1] for r in bad.collect()} == {"a.csv"}
+    assert ",".join(list(LINE.values())[:8]) in {r["line"] for r in bad.collect()}
+    load = load_tradebook(spark, str(folder), scratch_dir(spark, "test-load"))
+    assert (load.accepted, load.rejected) == (3, len(BAD_LINES))
+    assert rows(load.tradebook) == rows(good) and rows(load.rejects) == rows(bad)
+    assert load.tradebook.schema == good.schema
+    with pytest.raises(ValueError, match="9 rejected lines, more than 2"):
+        load_tradebook(spark, str(folder), scratch_dir(spark, "test-load"), max_rejects=2)
+    with pytest.raises(ValueError, match="no CSV export known"):
+        split_tradebook(spark, str(folder), broker="Nobody")
+
+
+def test_another_export_is_a_matter_of_its_column_names(spark, tmp_path):
+    from holdfast.sources import brokers, register_csv_export
+
+    register_csv_export("Other", {"quantity": "Filled Qty", "price": "Avg. Price"})
+    folder = tmp_path / "exports"
+    header = [{"quantity": "Filled Qty", "price": "Avg. Price"}.get(c, c) for c in LINE]
+    _export(folder, "a.csv", header, ",".join(LINE.values()))
+    got = read_tradebook(spark, str(folder), broker="Other").first()
+    assert (got["quantity"], float(got["price"])) == (7, 100.0) and "Other" in brokers()
