@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.functions import truncate_date
 from holdfast.operators.tradebook import bounds
 from holdfast.schemas import PRICE_TICKER_SUFFIX
 
@@ -182,3 +183,55 @@ def holdings(adjusted: DataFrame, price_hist: DataFrame, market: DataFrame, symb
     return valued.filter("on_grid").select(
         "timestamp", "symbol", F.round(F.col("quote") * F.col("balance"), 2).alias("valuation")
     )
+
+
+def latest_holdings(adjusted: DataFrame, price_hist: DataFrame, market: DataFrame, symbols: DataFrame, tenure: DataFrame,
+                    granularity: str | None = None, off_calendar: str = "keep", price_fill: str = "zero") -> DataFrame:
+    """Value of each position over the latest day, week, month or year: (symbol, valuation).
+
+    What :func:`holdings`, resampled, has for its last period, without the
+    history before it: trades before the period are one sum per symbol, and of the
+    prices only the period's (and with ``carry`` the last one before it) are
+    read. No grid and no window: a symbol's days, trades and quotes of the period
+    are one array, at most three entries a day, that is walked through in order.
+    """
+    if price_fill not in PRICE_FILL:
+        raise ValueError(f"price_fill must be one of {PRICE_FILL}")
+    begin, end = bounds(tenure)
+    days = market.select("timestamp").filter((F.col("timestamp") >= begin) & (F.col("timestamp") < end))
+    start = truncate_date(granularity, days.agg(F.max("timestamp")).scalar())
+    in_period = F.col("timestamp") >= start
+    last_day = days.agg(F.max("timestamp")).scalar()
+
+    # what happens on a day, in order: trades, then the day's quote, then its valuation
+    entry = lambda kind, value: F.struct(F.col("timestamp").alias("day"), F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+    trades = _trade_rows(adjusted, market, off_calendar).where(F.col("timestamp") <= last_day)
+    trades = trades.groupBy("symbol").agg(
+        F.sum(F.when(~in_period, F.col("quantity").cast("double"))).alias("opening"),
+        F.collect_list(F.when(in_period, entry(0, F.col("quantity")))).alias("events"))
+    quotes = price_hist.select("symbol", "timestamp", F.col("quote").cast("double").alias("quote")).where("quote IS NOT NULL")
+    if price_fill == "zero":
+        quotes = quotes.where(in_period)
+    daily = quotes.groupBy("symbol", "timestamp").agg(F.max("quote").alias("quote")).repartition("symbol")
+    priced = daily.groupBy("symbol").agg(
+        F.max_by(F.when(~in_period, F.col("quote")), F.when(~in_period, F.col("timestamp"))).alias("carried"),
+        F.collect_list(F.when(in_period, entry(1, F.col("quote")))).alias("quoted"))
+
+    closes = days.where(in_period).agg(F.collect_set(entry(2, F.lit(0.0)))).scalar()
+    none = F.array().cast("array<struct<day: date, kind: int, value: double>>")
+    null = F.lit(None).cast("double")
+
+    def step(state, e):
+        value = F.round(F.coalesce(state["quote"], F.lit(0.0)) * state["balance"], 2)
+        return F.struct(
+            F.when(e["kind"] == 0, state["balance"] + e["value"]).otherwise(state["balance"]).alias("balance"),
+            F.when(e["kind"] == 1, e["value"]).when(e["kind"] == 2, state["quote"] if price_fill == "carry" else null).otherwise(state["quote"]).alias("quote"),
+            F.when(e["kind"] == 2, (state["total"] + value.cast("decimal(20,2)")).cast("decimal(30,2)")).otherwise(state["total"]).alias("total"))
+
+    opening = F.struct(
+        F.coalesce("opening", F.lit(0.0)).alias("balance"), (F.col("carried") if price_fill == "carry" else null).alias("quote"),
+        F.lit(0).cast("decimal(30,2)").alias("total"))
+    held = symbols.select("symbol").join(trades, "symbol", "left").join(priced, "symbol", "left").where(last_day.isNotNull())
+    walk = F.sort_array(F.concat(F.coalesce("events", none), F.coalesce("quoted", none), closes))
+    held = held.select("symbol", "opening", "carried", walk.alias("walk"))
+    return held.select("symbol", F.aggregate("walk", opening, step, lambda s: s["total"].cast("double")).alias("valuation"))

@@ -9,7 +9,7 @@ text is self-contained: the stages it needs are prepended as CTEs.
 from __future__ import annotations
 
 from holdfast.sources.adapters import ADAPTER_SQL
-from holdfast.queries import LOOKUP_SEGMENT, LOOKUP_STATUS, WIDE_SYMBOLS
+from holdfast.queries import LOOKUP_CODES, LOOKUP_SEGMENT, LOOKUP_STATUS, WIDE_SYMBOLS
 from holdfast.schemas import (
     DEFAULT_SEGMENT_CODE,
     EXCHANGE_SEGMENT_CODES,
@@ -137,13 +137,13 @@ SELECT CAST(CAST(date_trunc('{trunc}', timestamp) AS DATE) AS VARCHAR) AS Date,
 FROM holdings GROUP BY 1, 2""")
 
 
-def _allocation(trunc: str) -> str:
-    return with_stages(["holdings"], f"""
+def _allocation(trunc: str, holdings: str = "holdings") -> str:
+    return with_stages([holdings], f"""
 SELECT symbol, valuation, ROUND(valuation / NULLIF(total, 0) * 100, 2) AS percentage
 FROM (SELECT symbol, CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS valuation
-      FROM holdings WHERE date_trunc('{trunc}', timestamp) = (SELECT date_trunc('{trunc}', MAX(timestamp)) FROM holdings) GROUP BY symbol) l,
+      FROM {holdings} WHERE date_trunc('{trunc}', timestamp) = (SELECT date_trunc('{trunc}', MAX(timestamp)) FROM {holdings}) GROUP BY symbol) l,
      (SELECT CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS total
-      FROM holdings WHERE date_trunc('{trunc}', timestamp) = (SELECT date_trunc('{trunc}', MAX(timestamp)) FROM holdings)) t""")
+      FROM {holdings} WHERE date_trunc('{trunc}', timestamp) = (SELECT date_trunc('{trunc}', MAX(timestamp)) FROM {holdings})) t""")
 
 
 def _wide(stage: str, agg: str, value: str, suffix: str) -> str:
@@ -205,6 +205,11 @@ JOIN (SELECT d.timestamp, s.symbol, COALESCE(SUM(a.quantity), CAST(0 AS DOUBLE))
       LEFT JOIN (SELECT * FROM adjusted WHERE trade_date IN (SELECT timestamp FROM market_days)) a
         ON a.symbol = s.symbol AND a.trade_date <= d.timestamp GROUP BY 1, 2) b ON b.timestamp = d.timestamp AND b.symbol = s.symbol
 LEFT JOIN price_history p ON p.timestamp = d.timestamp AND p.symbol = s.symbol"""),
+    "holdings_all_periods": with_stages(["holdings"], " UNION ALL ".join([*(f"""
+SELECT '{g}' AS granularity, CAST(date_trunc('{g}', timestamp) AS DATE) AS timestamp, symbol,
+       CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS valuation FROM holdings GROUP BY 2, 3""" for g in ("day", "week", "month", "year")), """
+SELECT 'portfolio', timestamp, NULL, CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) FROM holdings GROUP BY timestamp""", """
+SELECT 'total', NULL, symbol, CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) FROM holdings GROUP BY symbol"""])),
     "portfolio_valuation": with_stages(["holdings"], """
 SELECT timestamp, CAST(SUM(CAST(valuation AS DECIMAL(20,2))) AS DOUBLE) AS valuation
 FROM holdings GROUP BY timestamp"""),
@@ -212,6 +217,7 @@ FROM holdings GROUP BY timestamp"""),
     "latest_allocation_weekly": _allocation("week"),
     "latest_allocation_monthly": _allocation("month"),
     "latest_allocation_yearly": _allocation("year"),
+    "latest_allocation_carried": _allocation("month", "holdings_carried"),
     "securities_lookup": with_stages(["symbols", "v_securities"], f"""
 SELECT s.symbol, l.scrip_code FROM symbols s LEFT JOIN ({_listing()}) l ON s.symbol = l.scrip_id"""),
     "unknown_symbols": with_stages(["symbols", "v_securities"], f"""
@@ -227,6 +233,14 @@ FROM (SELECT DISTINCT segment FROM v_securities) s"""),
     "securities_refresh": with_stages(["v_securities"], f"""
 SELECT e.segment, COUNT(s.segment) AS rows FROM (VALUES {", ".join(f"({_quote(x)})" for x in EXCHANGE_SEGMENTS)}) e(segment)
 LEFT JOIN v_securities s ON s.segment = e.segment GROUP BY e.segment"""),
+    "securities_pretty": with_stages(["v_securities_full"], "SELECT * FROM v_securities_full"),
+    "securities_concurrent": with_stages(["v_securities_full"], "SELECT * FROM v_securities_full"),
+    "securities_by_code": with_stages(["v_securities"], f"""
+SELECT scrip_code, segment, scrip_id, security_name FROM v_securities WHERE scrip_code IN ({_in_list(LOOKUP_CODES)})"""),
+    "securities_by_isin": with_stages(["v_securities"], """
+SELECT w.isin_number, s.scrip_code, s.segment, s.scrip_id
+FROM (SELECT 'INE' || CAST(500000 + p_partkey AS VARCHAR) AS isin_number FROM part) w
+LEFT JOIN v_securities s ON 'INE' || s.scrip_code = w.isin_number"""),
     "securities_ids": with_stages(["v_securities"], """
 SELECT segment, 3 * COUNT(*) AS rows, 3 * COUNT(*) AS ids FROM v_securities GROUP BY segment"""),
     "price_feed": with_stages(["v_prices"], "SELECT timestamp, symbol, quote FROM v_prices"),

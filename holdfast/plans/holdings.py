@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import events as ev
 from holdfast.operators import positions as pos
+from holdfast.operators import reporting as rep
 from holdfast.operators import tradebook as tb
 from holdfast.session import remove_folder, scratch_dir
 
@@ -161,6 +162,13 @@ class HoldingsPlan:
         return pos.holdings(self.adjusted, self.price_history, self.market_days, self.symbols,
                             self.tenure, self.off_calendar, self.price_fill)
 
+    def latest_allocation(self, granularity: str | None = None) -> DataFrame:
+        """Positions over the latest day, week, month or year and their shares of
+        its total, valued from that period alone."""
+        return rep.share_of_total(pos.latest_holdings(
+            self.adjusted, self.price_history, self.market_days, self.symbols, self.tenure,
+            granularity, self.off_calendar, self.price_fill))
+
 
 def build_holdings(tradebook: DataFrame, prices: DataFrame, events_feed: DataFrame,
                    **options) -> HoldingsPlan:

@@ -10,6 +10,7 @@ checkpoint root, written once per session (the files only; never a result).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from holdfast.operators import reshape
 from holdfast.operators import securities as sec
 from holdfast.plans.holdings import HoldingsPlan, build_holdings
 from holdfast.plans.tradebook import load_tradebook
-from holdfast.plans.securities import ingest_securities_csv, refresh_securities
+from holdfast.plans.securities import ingest_securities_csv, refresh_securities, write_master
 from holdfast.schemas import SECURITIES_COLUMNS
 from holdfast.session import scratch_dir
 from holdfast.sources import adapters
@@ -31,6 +32,7 @@ from holdfast.sources.tradebook import read_tradebook, write_tradebook_csv
 # segment, and the wide tables have a column for each of the 25 brands.
 LOOKUP_SEGMENT = "Debt or Others"
 LOOKUP_STATUS = "Active"
+LOOKUP_CODES = [str(500_000 + n) for n in range(1, 41)]
 WIDE_SYMBOLS = [f"Brand#{n}" for n in range(1, 26)]
 
 
@@ -211,16 +213,24 @@ def holdings_monthly_last(spark, sf_dir):
     return rep.resample(_plan(spark, sf_dir).holdings, "month", how="last")
 
 
+def holdings_all_periods(spark, sf_dir):
+    return rep.resample_all(_plan(spark, sf_dir).holdings)
+
+
+def latest_allocation_carried(spark, sf_dir):
+    return _plan(spark, sf_dir, price_fill="carry").latest_allocation("month")
+
+
 def portfolio_valuation(spark, sf_dir):
     return rep.portfolio_valuation(_plan(spark, sf_dir).holdings)
 
 
 def latest_allocation(spark, sf_dir):
-    return rep.latest_allocation(_plan(spark, sf_dir).holdings)
+    return _plan(spark, sf_dir).latest_allocation("day")
 
 
 def _allocation(spark, sf_dir, granularity):
-    return rep.latest_allocation(rep.resample(_plan(spark, sf_dir).holdings, granularity))
+    return _plan(spark, sf_dir).latest_allocation(granularity)
 
 
 def latest_allocation_weekly(spark, sf_dir):
@@ -276,6 +286,40 @@ def securities_refresh(spark, sf_dir):
     return refresh_securities(spark, _snapshots(spark, sf_dir), scratch_dir(spark, "securities-table"))
 
 
+def securities_pretty(spark, sf_dir):
+    """Snapshots that are one array per segment, laid out over lines."""
+    path = _input_files(spark, sf_dir, "securities-pretty", lambda p: src.write_snapshots(adapters.securities_full_view(spark, sf_dir), p, pretty=True))
+    return sec.normalise_securities(src.read_snapshots(spark, path, multi_line=True))
+
+
+def securities_concurrent(spark, sf_dir):
+    """The master after two bulk loads of half the rows each that ran at the same time."""
+    rows = adapters.securities_full_view(spark, sf_dir)
+    odd = F.col("scrip_code").cast("long") % 2
+    halves = [_input_files(spark, sf_dir, f"securities-half-{k}", lambda p, k=k: src.write_securities_csv(rows.where(odd == k), p)) for k in (0, 1)]
+    table = scratch_dir(spark, "securities-table")
+    with ThreadPoolExecutor(2) as loads:
+        list(loads.map(lambda half: ingest_securities_csv(spark, half, table), halves))
+    return src.read_securities_table(spark, table).select(*SECURITIES_COLUMNS)
+
+
+def _master_with_isin(spark, sf_dir) -> DataFrame:
+    rows = adapters.securities_full_view(spark, sf_dir).withColumn("isin_number", F.concat(F.lit("INE"), F.col("scrip_code")))
+    table = scratch_dir(spark, "securities-table")
+    write_master(sec.with_security_id(rows), table)
+    return src.read_securities_table(spark, table)
+
+
+def securities_by_code(spark, sf_dir):
+    return sec.securities_by(_master_with_isin(spark, sf_dir), "scrip_code", LOOKUP_CODES).select("scrip_code", "segment", "scrip_id", "security_name")
+
+
+def securities_by_isin(spark, sf_dir):
+    """The part keys as ISINs; only those that the master lists have a security."""
+    wanted = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("INE"), 500000 + F.col("p_partkey")).alias("isin_number"))
+    return sec.lookup_securities(wanted, _master_with_isin(spark, sf_dir), "isin_number").select("isin_number", "scrip_code", "segment", "scrip_id")
+
+
 def securities_ids(spark, sf_dir):
     """Every row of the master has an id of its own, also rows that repeat a record."""
     rows = adapters.securities_full_view(spark, sf_dir)
@@ -322,17 +366,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "holdings_monthly_last": holdings_monthly_last,
     "holdings_carried": holdings_carried,
     "holdings_off_calendar_drop": holdings_off_calendar_drop,
+    "holdings_all_periods": holdings_all_periods,
     "portfolio_valuation": portfolio_valuation,
     "latest_allocation": latest_allocation,
     "latest_allocation_weekly": latest_allocation_weekly,
     "latest_allocation_monthly": latest_allocation_monthly,
     "latest_allocation_yearly": latest_allocation_yearly,
+    "latest_allocation_carried": latest_allocation_carried,
     "securities_lookup": securities_lookup,
     "unknown_symbols": unknown_symbols,
     "segment_codes": segment_codes,
     "segment_slug": segment_slug,
     "securities_normalise": securities_normalise,
     "securities_refresh": securities_refresh,
+    "securities_pretty": securities_pretty,
+    "securities_concurrent": securities_concurrent,
+    "securities_by_code": securities_by_code,
+    "securities_by_isin": securities_by_isin,
     "securities_ids": securities_ids,
     "securities_roundtrip": securities_roundtrip,
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings that matter at any scale: adaptive execution re-plans joins and
@@ -79,14 +81,63 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
-def folder_names(spark: SparkSession, path: str, marker: str = "") -> list[str]:
-    """Names of the folders directly under ``path`` (that hold a file ``marker``), sorted."""
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly under ``path``, sorted; none if it does not exist."""
     files, where = _file_system(spark, path)
     if not files.exists(where):
         return []
-    folders = [status.getPath() for status in files.listStatus(where) if status.isDirectory()]
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    return sorted(f.getName() for f in folders if not marker or files.exists(hadoop.Path(f, marker)))
+    names = (status.getPath().getName() for status in files.listStatus(where) if status.isFile())
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def folder_ages(spark: SparkSession, path: str) -> dict[str, float]:
+    """Seconds since each folder directly under ``path`` was last changed, by name."""
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        return {}
+    return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in files.listStatus(where) if s.isDirectory()}
+
+
+def read_small_file(spark: SparkSession, path: str) -> str:
+    files, where = _file_system(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_file_if_absent(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a file with all its content in one step; False if there is one already.
+
+    The content is written beside it first. On a local disk a hard link makes it
+    appear under its name, elsewhere a rename that does not replace: both fail if
+    the name is taken, whoever took it. (A store whose rename replaces, such as
+    plain S3, is no place for tables that several jobs write.)
+    """
+    files, where = _file_system(spark, path)
+    hadoop, nio = spark._jvm.org.apache.hadoop.fs, spark._jvm.java.nio.file
+    files.mkdirs(where.getParent())
+    draft = hadoop.Path(where.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(content.encode())
+    stream.close()
+    try:
+        if files.getScheme() == "file":
+            local = lambda p: nio.Path.of(p.toUri())
+            nio.Files.createLink(local(files.makeQualified(where)), local(files.makeQualified(draft)))
+        else:
+            context = hadoop.FileContext.getFileContext(where.toUri(), files.getConf())
+            none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+            context.rename(draft, where, none)
+        return True
+    except Py4JJavaError as taken:
+        if "AlreadyExists" not in taken.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        files.delete(draft, False)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

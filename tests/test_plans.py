@@ -151,3 +151,44 @@ def test_tenure_bounds_reach_the_price_scan(spark, parquet_inputs, monkeypatch):
 
 def test_quotes_are_reduced_to_one_a_day_on_the_map_side(parquet_inputs):
     assert "partial_max(quote" in executed(build_holdings(*parquet_inputs).holdings)
+
+
+def test_latest_allocation_of_a_plan_has_no_grid_and_no_window(parquet_inputs):
+    plan = build_holdings(*parquet_inputs)
+    text = executed(plan.latest_allocation("month"))
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert all("ex_date" in line for line in windows)       # the events' intervals only
+    assert "Generate" not in text
+    assert not [bad for bad in FORBIDDEN if bad in text]
+    plan.close()
+
+
+@pytest.mark.parametrize("granularity", ["day", "week", "month", "year"])
+@pytest.mark.parametrize("off_calendar", ["keep", "drop"])
+@pytest.mark.parametrize("price_fill", ["zero", "carry"])
+def test_latest_allocation_equals_the_one_from_all_history(golden, granularity, off_calendar, price_fill):
+    from holdfast.operators.reporting import resample
+
+    with golden(off_calendar=off_calendar, price_fill=price_fill) as plan:
+        want = sorted(map(tuple, latest_allocation(resample(plan.holdings, granularity)).collect()))
+        assert sorted(map(tuple, plan.latest_allocation(granularity).collect())) == want and want
+
+
+def test_latest_allocation_of_nothing(spark, make_tradebook, make_prices, make_events):
+    with build_holdings(make_tradebook([]), make_prices([]), make_events([])) as plan:
+        assert plan.latest_allocation("month").collect() == []
+
+
+def test_all_granularities_take_one_exchange_more(parquet_inputs):
+    from holdfast.operators.reporting import portfolio_valuation, resample, resample_all
+
+    plan = build_holdings(*parquet_inputs)
+    exchanges = lambda df: executed(df).count("Exchange hashpartitioning")
+    assert exchanges(resample_all(plan.holdings)) == exchanges(plan.holdings) + 1
+    got = resample_all(plan.holdings)
+    for g in ("day", "week", "month", "year"):
+        want = sorted(map(tuple, resample(plan.holdings, g).collect()))
+        assert sorted(tuple(r)[1:] for r in got.where(f"granularity = '{g}'").collect()) == want
+    assert sorted((r["timestamp"], r["valuation"]) for r in got.where("granularity = 'portfolio'").collect()) == sorted(map(tuple, portfolio_valuation(plan.holdings).collect()))
+    assert got.where("granularity = 'total'").count() == 2
+    plan.close()

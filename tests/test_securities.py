@@ -212,7 +212,7 @@ def test_a_failing_refresh_keeps_the_table(spark, snapshot_dir, tmp_path):
     assert rows(before) == want                           # the version a reader holds stays one more refresh
     assert rows(read_securities_table(spark, table)) == want
     refresh_securities(spark, snapshot_dir, table)
-    assert len(os.listdir(table)) == 2
+    assert len([f for f in os.listdir(table) if f.startswith("load=")]) == 2
 
 
 def test_readers_never_see_an_empty_table(spark, snapshot_dir):
@@ -247,3 +247,182 @@ def test_ids_are_a_key_also_for_repeated_and_null_codes(spark):
     other = ("Equity T+1", None, "Beta", "Active", None, None, None, None, "BETA", None, None, None)
     df = with_security_id(spark.createDataFrame([row, row, other, row], SECURITIES))
     assert len({r["id"] for r in df.collect()}) == 4
+
+
+SECURITY = ("Equity T+1", "500001", "Alpha", "Active", None, None, None, None, "ALPHA", None, None, None)
+
+
+def _csv_of(spark, name, *codes):
+    path = scratch_dir(spark, name)
+    write_securities_csv(spark.createDataFrame([(SECURITY[0], c, *SECURITY[2:]) for c in codes], SECURITIES), path)
+    return path
+
+
+def test_concurrent_ingests_keep_all_rows(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from holdfast.plans.securities import ingest_securities_csv
+
+    table = scratch_dir(spark, "test-concurrent")
+    files = [_csv_of(spark, f"test-half-{k}", f"50000{k}", "500009") for k in range(4)]     # one record in all of them
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda f: ingest_securities_csv(spark, f, table), files))
+    master = read_securities_table(spark, table)
+    assert sorted(r["scrip_code"] for r in master.collect()) == sorted([f"50000{k}" for k in range(4)] + ["500009"] * 4)
+    assert master.select("id").distinct().count() == 8
+    plan = master.filter("segment = 'Equity T+1'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(segment" in plan
+
+
+def test_a_commit_that_lost_the_race_is_rebased(spark):
+    """Two writers that both saw the same table: the second lists the first one's rows too."""
+    from holdfast.operators import with_security_id
+    from holdfast.session import create_file_if_absent
+    from holdfast.sources import securities as src
+
+    table = scratch_dir(spark, "test-race")
+    folders = [src.new_data_folder() for _ in range(3)]
+    for k, folder in enumerate(folders):
+        rows_ = spark.createDataFrame([(SECURITY[0], f"50000{k}", *SECURITY[2:])], SECURITIES)
+        src.write_data(with_security_id(rows_, load=folder), table, folder)
+    src.commit(spark, table, folders[0], append=True)
+    taken = os.path.join(table, src.COMMITS, "000000000002.json")
+    assert create_file_if_absent(spark, taken, json.dumps(folders[:2]))       # the other writer, meanwhile
+    assert not create_file_if_absent(spark, taken, "[]")                      # a name is given once
+    assert json.load(open(taken)) == folders[:2]
+    src.commit(spark, table, folders[2], append=True)
+    assert sorted(r["scrip_code"] for r in read_securities_table(spark, table).collect()) == ["500000", "500001", "500002"]
+    assert src.commits(spark, table) == [f"{n:012d}.json" for n in (1, 2, 3)]
+
+
+def test_cleaning_up_leaves_unfinished_writes_alone(spark, snapshot_dir):
+    from holdfast.sources import securities as src
+
+    table = scratch_dir(spark, "test-orphans")
+    refresh_securities(spark, snapshot_dir, table)
+    os.makedirs(os.path.join(table, "load=unfinished"))
+    for _ in range(3):
+        refresh_securities(spark, snapshot_dir, table)
+    left = sorted(f for f in os.listdir(table) if f.startswith("load="))
+    assert len(left) == 3 and "load=unfinished" in left
+    src.remove_old_versions(spark, table, orphan_hours=0)
+    assert "load=unfinished" not in os.listdir(table)
+    assert read_securities_table(spark, table).count() == 3
+
+
+def test_a_refresh_does_not_read_its_table_again(spark, snapshot_dir):
+    audit = refresh_securities(spark, snapshot_dir, scratch_dir(spark, "test-audit"))
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan
+
+
+def test_bloom_filters_skip_row_groups(spark):
+    from pyspark.sql import functions as F
+
+    from holdfast.operators import lookup_securities, securities_by, with_security_id
+    from holdfast.sources import securities as src
+
+    # codes and ISINs in no order, so that no row group can be left out by its range
+    rows_ = spark.range(60_000).select(
+        F.lit("Equity T+1").alias("segment"), F.substring(F.md5(F.col("id").cast("string")), 1, 12).alias("scrip_code"),
+        *(F.lit(None).cast(SECURITIES[c].dataType).alias(c) for c in ("security_name", "status", "group_name", "face_value")),
+        F.substring(F.md5(F.concat(F.lit("i"), F.col("id"))), 1, 12).alias("isin_number"), F.lit(None).cast("string").alias("industry"),
+        F.format_string("S%06d", F.col("id")).alias("scrip_id"),
+        *(F.lit(None).cast(SECURITIES[c].dataType).alias(c) for c in ("nsurl", "issuer_name", "market_cap")))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", str(256 << 10))
+    table, folder = scratch_dir(spark, "test-bloom"), src.new_data_folder()
+    try:
+        src.write_data(with_security_id(rows_).coalesce(1).sortWithinPartitions("scrip_id"), table, folder)
+    finally:
+        hadoop.unset("parquet.block.size")
+    src.commit(spark, table, folder, append=False)
+    master = read_securities_table(spark, table)
+
+    def scanned(df):
+        got = df.collect()
+        node = df._jdf.queryExecution().executedPlan()
+        while node.children().size():
+            node = node.children().apply(0)
+        return len(got), node.metrics().apply("numOutputRows").value()
+
+    code = master.where("scrip_id = 'S031000'").first()
+    for key in ("scrip_code", "isin_number"):
+        found, read = scanned(securities_by(master, key, [code[key], *(f"none{i}" for i in range(14))]))
+        assert found == 1 and 0 < read < 30_000, (key, read)
+        assert scanned(securities_by(master, key, ["none"])) == (0, 0)
+    # the same without the filters reads more
+    hadoop.set("parquet.filter.bloom.enabled", "false")
+    try:
+        assert scanned(securities_by(read_securities_table(spark, table), "scrip_code", [code["scrip_code"]]))[1] > read
+    finally:
+        hadoop.unset("parquet.filter.bloom.enabled")
+    wanted = spark.createDataFrame([(code["isin_number"],), ("none",), ("none",)], "isin_number string")
+    assert rows(lookup_securities(wanted, master, "isin_number"), "isin_number", "scrip_id") == sorted([(code["isin_number"], "S031000"), ("none", None)])
+    with pytest.raises(ValueError, match="key must be"):
+        securities_by(master, "industry", ["x"])
+
+
+LAYOUTS = {
+    "indented": lambda r: json.dumps(r, indent=4),
+    "tabs": lambda r: json.dumps(r, indent="\t").replace("\n", "\r\n"),
+    "side by side": lambda r: "[" + ", ".join(json.dumps(x, indent=1) for x in r) + "]",
+    "one line": lambda r: json.dumps(r),
+    "a record a line": lambda r: "[\n" + ",\n".join(map(json.dumps, r)) + "\n]\n",
+    "no array": lambda r: "\n".join(json.dumps(x, indent=2) for x in r),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_records_laid_out_over_lines(spark, tmp_path, layout):
+    tricky = ['a } b', '{"x": [1, 2]}', 'quote " and }, {', "back\\slash \\", '"},{"', "}\n{", "[", "", "größe }"]
+    records = [{"SCRIP_CD": str(i), "Scrip_Name": tricky[i % len(tricky)], "Mktcap": {"nested": [{"a": 1}, {"b": {}}]} if i % 5 == 0 else i,
+                "scrip_id": f"S{i}"} for i in range(300)]
+    spread, plain = str(tmp_path / "spread"), str(tmp_path / "plain")
+    for segment, part in (("Equity T+1", records), ("007", records[:7]), ("Commodity", [])):
+        _write_json(plain, segment, part, lines=True)
+        folder = os.path.join(spread, f"segment={segment}")
+        os.makedirs(folder)
+        with open(os.path.join(folder, "part-0.json"), "w", newline="") as fh:
+            fh.write(LAYOUTS[layout](part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")       # many splits, most borders inside a record
+    try:
+        got = read_snapshots(spark, spread, multi_line=True)
+        tasks = spark.read.text(os.path.join(spread, "segment=Equity T+1")).rdd.getNumPartitions()
+        as_rows = lambda df: sorted(tuple(None if v is None else str(v) for v in r) for r in df.collect())
+        assert tasks > 3 and as_rows(got) == as_rows(read_snapshots(spark, plain).select(got.columns))
+        assert got.schema["segment"].dataType.simpleString() == "string"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", ['[\n{"SCRIP_CD": "1"},\n{"SCRIP_CD": \n]', '[\n{"SCRIP_CD": "1"\n', "[1, 2]", '[{"SCRIP_CD": "1"} x]'])
+def test_broken_spread_snapshots_fail(spark, tmp_path, text):
+    folder = tmp_path / "snap" / "segment=Equity T+1"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text(text)
+    with pytest.raises(Exception):
+        read_snapshots(spark, str(tmp_path / "snap"), multi_line=True).collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_numbers_that_are_none_fail_or_are_counted(spark, tmp_path, ansi):
+    from holdfast.operators import bad_numbers_audit
+
+    path = str(tmp_path / "snap")
+    _write_json(path, "Equity T+1", [{"SCRIP_CD": "1", "FACE_VALUE": "n/a", "Mktcap": "12"}, {"SCRIP_CD": "2", "FACE_VALUE": "n/a"},
+                                     {"SCRIP_CD": "3", "FACE_VALUE": "", "Mktcap": True}, {"SCRIP_CD": "4", "FACE_VALUE": 5}], lines=True)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        snapshots = read_snapshots(spark, path)
+        with pytest.raises(Exception, match="malformed face_value: n/a"):
+            normalise_securities(snapshots).where("scrip_code < '3'").select("face_value").collect()
+        lenient = normalise_securities(snapshots, bad_numbers="null")
+        assert rows(lenient, "scrip_code", "face_value")[0] == ("1", None)
+        assert {tuple(r) for r in bad_numbers_audit(snapshots).collect()} >= {("Equity T+1", "face_value", "n/a", 2)}
+        with pytest.raises(ValueError):
+            normalise_securities(snapshots, bad_numbers="maybe")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
