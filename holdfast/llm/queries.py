@@ -17,6 +17,9 @@ from holdfast.llm import (
     op8_chat_formatting,
     op9_decontamination,
     op10_substring_dedup,
+    op11_angular_negatives,
+    op12_line_runs,
+    op13_periodic_runs,
 )
 
 _MODULES = {
@@ -30,6 +33,9 @@ _MODULES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_angular_negatives": op11_angular_negatives,
+    "op12_line_runs": op12_line_runs,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: module.query for name, module in _MODULES.items()}

@@ -1,0 +1,200 @@
+"""Line dedup and periodic runs against brute force."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+from hashlib import sha256
+
+import pytest
+from helpers import docs_frame, space_words
+from pyspark.sql import functions as F
+
+from holdfast.llm import op12_line_runs as op12
+from holdfast.llm import op13_periodic_runs as op13
+
+# --- line dedup ---------------------------------------------------------------
+
+
+def key_of(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
+
+def deduped(rows, shortest=20, least=3):
+    holders = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if i is not None and len(key_of(line)) >= shortest:
+                holders[key_of(line)].add(i)
+    goes = {k: max(v) for k, v in holders.items() if len(v) >= least}
+    out = []
+    for i, text in rows:
+        split = (text or "").split("\n")
+        kept = [x for x in split if i is None or goes.get(key_of(x), i) == i]
+        out.append((i, None if text is None else "\n".join(kept), len(split), len(split) - len(kept)))
+    return sorted(out, key=repr)
+
+
+def line_rows(seed, n=90):
+    r = random.Random(seed)
+    common = [f"common line number {k} of the ÄÖ corpus" for k in range(25)] + ["x" * 19, "y" * 20, "é" * 20, "é" * 19, "K" * 19 + "ſ"]
+    rows = []
+    for i in range(n):
+        split = []
+        for _ in range(r.randint(0, 12)):
+            line = r.choice(common) if r.random() < 0.6 else f"a line that only stands in {i} {r.random()}"
+            line = line.upper() if r.random() < 0.1 else line
+            split.append(r.choice(["", " ", "\t", "\r"]) + line + r.choice(["", "  ", "\r", "\x0b"]))
+        rows.append((i * 3, "\n".join(split)))
+    return rows + [(1, None), (4, ""), (7, "\n\n"), (None, common[0]), (None, common[1]), (9, rows[3][1]), (9, rows[5][1]), (9, rows[3][1])]
+
+
+def frame_of(spark, rows, partitions=3):
+    return docs_frame(spark, [t for _, t in rows], [i for i, _ in rows], partitions)
+
+
+def dedup(df, **options):
+    got = op12.drop_repeated_lines(df, **options)
+    return sorted(((r["row"]["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=repr)
+
+
+@pytest.mark.parametrize("options", [{}, {"batches": 1}, {"batches": 9, "fanout": 2}, {"shortest": 5, "least": 2}])
+def test_lines_against_brute_force(spark, options):
+    rows = line_rows(1)
+    assert dedup(frame_of(spark, rows), **options) == deduped(rows, options.get("shortest", 20), options.get("least", 3))
+
+
+def test_line_dedup_of_odd_tables(spark):
+    assert dedup(frame_of(spark, [])) == []
+    rows = [(None, "a line that stands in all of them")] * 4
+    assert dedup(frame_of(spark, rows)) == deduped(rows)
+    rows = [(5, "a line that stands in all of them")] * 4          # rows of one id are one document
+    assert dedup(frame_of(spark, rows)) == deduped(rows)
+    rows = [(k, "a line that stands in all of them\n" * (300_000 if k == 2 else 2) + "\n".join(f"own line {j} of document number {k}" for j in range(1000))) for k in range(4)]
+    assert dedup(frame_of(spark, rows)) == deduped(rows)
+
+
+def test_line_dedup_carries_columns_and_leaves_no_tables(spark):
+    import os
+
+    from holdfast.session import checkpoint_root
+
+    rows = line_rows(2, 40)
+    df = frame_of(spark, rows).withColumns({c: F.lit(7) for c in ("id", "hash", "hashes", "batch", "of", "keeper", "row")})
+    got = op12.drop_repeated_lines(df)
+    assert got.select("row.*").columns == df.columns
+    assert sorted(((r["row"]["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=repr) == deduped(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+    assert not [f for f in os.listdir(os.path.join(checkpoint_root(spark).removeprefix("file:"), "holdfast-scratch")) if f.startswith("line-runs")]
+
+
+def test_runs_and_batches_meet_without_another_exchange(spark):
+    """A run is bucketed: looking up a batch in it moves the batch only."""
+    entry = lambda lo, hi, keeper: spark.range(lo, hi).select(
+        F.unhex(F.md5(F.col("id").cast("string"))).alias("hash"), F.lit(1).alias("docs"), F.lit(keeper).cast("long").alias("keeper"))
+    runs = op12.Runs(spark, 3, 9)
+    try:
+        for k in range(4):
+            runs.add(entry(k, 10, 9 - k))
+        plan = runs.looked_up(entry(0, 12, 2))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("SortMergeJoin") == 4 and text.count("Exchange") == 1 and text.count("Bucketed: true") == 4
+        assert sorted((r["before"], r["keeper"]) for r in plan.collect()) == sorted([(0, 2)] * 2 + [(1, 9), (2, 9)] + [(3, 9)] * 8)
+        assert spark.table(runs.names()[-1]).count() == 0        # all settled: nothing is added
+        assert sorted(r["docs"] for r in runs.merged(runs.names()).collect()) == [1, 2] + [3] * 8
+    finally:
+        runs.close()
+
+
+# --- periodic runs ----------------------------------------------------------------
+
+
+def runs_of(words, exponent=4, shortest=6):
+    n, out = len(words), []
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(shortest, exponent * q):
+                seg = words[i:i + length]
+                if not any(seg[:-p] == seg[p:] for p in range(1, q)):
+                    out.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic_texts(seed, n=250):
+    r = random.Random(seed)
+    texts = [None, "", " \n", "a", "a " * 5, "a " * 6, "a\tb\n" * 4, "a b " * 3 + "a", "a b " * 4 + "a", "Ω é " * 30]
+    for _ in range(n):
+        words = []
+        while len(words) < r.randint(0, 90):
+            if r.random() < 0.5:
+                unit = [r.choice("abcd") for _ in range(r.randint(1, 7))]
+                words += (unit * r.randint(1, 9))[:r.randint(1, 50)]
+            else:
+                words += [f"w{r.randrange(6)}" for _ in range(r.randint(1, 9))]
+        texts.append("".join(w + r.choice([" ", "\n", " \t"]) for w in words))
+    return texts
+
+
+@pytest.mark.parametrize("exponent,shortest", [(4, 6), (3, 4), (5, 12)])
+def test_runs_against_brute_force(spark, exponent, shortest):
+    texts = periodic_texts(exponent)
+    got = op13.find_periodic_runs(docs_frame(spark, texts), exponent=exponent, shortest=shortest).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        words = space_words(r["row"]["text"] or "")
+        want = runs_of(words, exponent, shortest)
+        assert [tuple(x) for x in r["runs"]] == want and r["n_words"] == len(words)
+        gone = {i for start, length, q in want for i in range(start + q, start + length)}
+        left = b" ".join(w for i, w in enumerate(words) if i not in gone).decode()
+        assert r["text"] == (None if r["row"]["text"] is None else left)
+
+
+def test_long_periodic_text(spark):
+    words = [f"w{(k * k) % 1009}" for k in range(2011)]
+    text = " ".join(words * 40)
+    r = op13.find_periodic_runs(docs_frame(spark, [text, "x " * 100_000])).orderBy("n_words").collect()
+    assert [tuple(x) for x in r[0]["runs"]] == [(0, 80_440, min(q for q in range(1, 2012) if words[q:] + words[:q] == words))]
+    assert [tuple(x) for x in r[1]["runs"]] == [(0, 100_000, 1)] and r[1]["text"] == "x"
+
+
+def test_runs_carry_columns_and_accept_empty_tables(spark):
+    df = docs_frame(spark, ["a " * 9, None]).withColumns({c: F.lit(1) for c in ("row", "runs", "n_words")})
+    assert op13.find_periodic_runs(df).select("row.*").columns == df.columns
+    assert op13.find_periodic_runs(docs_frame(spark, [])).collect() == []
+    with pytest.raises(ValueError):
+        op13.find_periodic_runs(df, exponent=2)
+
+
+def test_op13_digests(spark, tmp_path):
+    texts = [t for t in periodic_texts(9, 150)]
+    ids = [k if k % 41 else None for k in range(len(texts))]
+    docs_frame(spark, texts, ids).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["collapsed_sha256"], r["runs_sha256"]): r for r in op13.query(spark, str(tmp_path)).collect()}
+    made = 0
+    for i, text in zip(ids, texts):
+        words = [w.decode() for w in space_words(text or "")]
+        n = len(words)
+        if i is not None:
+            h = zlib.crc32(str(i).encode())
+            g = h // 10
+            if h % 10 == 0 and n > 0:
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                words = words[:a] + [words[a + (k - a) % p] for k in range(a, n)]
+                made += 1
+        runs = runs_of(words)
+        gone = {k for s, length, q in runs for k in range(s + q, s + length)}
+        left = " ".join(w for k, w in enumerate(words) if k not in gone)
+        lines = "".join(f"{s},{length},{q}\n" for s, length, q in runs)
+        r = got[(i, sha256(left.encode()).hexdigest(), sha256(lines.encode()).hexdigest())]
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2])) if runs else (None, None, None)
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *best)
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
+    assert made > 5
