@@ -166,7 +166,8 @@ def lines_to_drop(held: DataFrame, least: int = 3, batches: int = 4, fanout: int
     try:
         for batch in range(batches):
             runs.add(batch_entries(held.where(F.col("batch") == batch), least))
-        repeated = runs.merged(runs.names()).where(F.col("docs") >= least).select("hash", "keeper")
+        # written, so that the join's sides are plain exchanges and a line of very many documents can be split
+        repeated = written(runs.merged(runs.names()).where(F.col("docs") >= least).select("hash", "keeper"), "repeated-lines")
         goes = held.join(repeated, "hash").where("id <> keeper").groupBy("id").agg(F.collect_set("hash").alias("hashes"))
         return written(goes, "lines-to-drop")
     finally:
