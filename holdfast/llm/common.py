@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.session import scratch_dir
+from holdfast.session import remove_folder, scratch_dir
 
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -31,13 +33,36 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED[context.applicationId] = folder
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared checkpoint folder and read back: cuts lineage,
     survives lost executors, and gives later stages real sizes."""
     path = scratch_dir(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """Removes what ``written`` wrote inside, but for the last ``keep`` tables: for
+    steps that end with a written result that needs none of the others."""
+    before = len(_WRITTEN)
+    yield
+    gone = _WRITTEN[before:len(_WRITTEN) - keep]
+    del _WRITTEN[before:len(_WRITTEN) - keep]
+    for path in gone:
+        remove_folder(spark, path)
+
+
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Removes the tables of ``written`` that ``df`` reads; it cannot be read afterwards."""
+    for path in [p for p in _WRITTEN if any(os.path.dirname(f).endswith(p.split(":", 1)[-1]) for f in df.inputFiles())]:
+        _WRITTEN.remove(path)
+        remove_folder(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

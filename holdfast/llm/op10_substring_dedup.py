@@ -132,7 +132,7 @@ def _against(shard, text_col: str, length: int):
                 s, e = word_spans(buffer, NOT_SPACE)
                 per = words_per_text(starts, s)
                 first = np.cumsum(per) - per
-                numbers = vocabulary.numbers(span_hashes(buffer, s, e))
+                numbers = vocabulary.numbers(buffer, s, e)
                 for text, a, b in zip(*(x.tolist() for x in Vocabulary.runs(numbers, per, length))):
                     shift = a - int(first[text])
                     found[lo + text] += [(shift + at - size, shift + at) for at, (_, size) in enumerate(automaton.match(numbers[a:b].tolist()), 1) if size >= length]
@@ -174,13 +174,13 @@ def remove_reference_passages(docs: DataFrame, reference: DataFrame, text_col: s
     out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.array().cast(span).alias("spans"))
     for number in range(shards):
         own = known.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == number).collect()
-        hashes = []
+        words = []
         for text in sorted(r["text"].encode() for r in own):
             buffer, _ = joined([text])
-            hashes.append(span_hashes(buffer, *word_spans(buffer, NOT_SPACE)))
-        vocabulary, automaton = Vocabulary(hashes), SuffixAutomaton()
-        for h in hashes:
-            automaton.add(vocabulary.numbers(h).tolist())
+            words.append((buffer, *word_spans(buffer, NOT_SPACE)))
+        vocabulary, automaton = Vocabulary(words), SuffixAutomaton()
+        for w in words:
+            automaton.add(vocabulary.numbers(*w).tolist())
         out = out.mapInArrow(_against(spark.sparkContext.broadcast((vocabulary, automaton)), text_col, length), T.StructType([row, spans]))
     return out.mapInArrow(_cut(text_col), T.StructType([row, T.StructField("text", T.StringType()), spans, T.StructField("n_symbols", T.LongType())]))
 

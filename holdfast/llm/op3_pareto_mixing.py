@@ -62,14 +62,22 @@ def pareto_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, max_copies: int = 3, seed: str = "mix",
 ) -> DataFrame:
-    """One row per document: ``id``, ``key`` (hash of id and text), ``source``,
-    ``size``, ``source_size``, ``target``, ``expected`` copies, ``copies`` and
-    ``taken`` words."""
-    sized = written(docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(source_col).alias("source"),
+    """One row per document: ``id``, ``source``, ``size``, ``source_size``,
+    ``target``, ``expected`` copies, ``copies`` and ``taken`` words."""
+    return _plan(written(_sized(docs, id_col, text_col, source_col), "sized"), weights, max_copies, seed).drop("row")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """What the plan needs of each document, and a number of its ``row``: a name of
+    its own for each of several equal rows, once it is written."""
+    return docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"),
-    ).withColumn("grade", F.length(F.bin(F.col("size") + 1))), "sized")
+        F.monotonically_increasing_id().alias("row"), *more,
+    ).withColumn("grade", F.length(F.bin(F.col("size") + 1)))
+
+
+def _plan(sized: DataFrame, weights, max_copies: int, seed: str) -> DataFrame:
 
     # expected copies = factor * grade, cut at max_copies: the factor of each source
     grades = sized.groupBy("source", "grade").agg(F.sum("size").alias("words"))
@@ -118,17 +126,21 @@ def pareto_mix(
     ranked = ranked.join(best, F.col("source").eqNullSafe(F.col("of")), "left")
     copies = F.col("certain") + F.col("more") + F.col("row").eqNullSafe(F.col("last")).cast("long")
     return ranked.select(
-        "id", "key", "source", "size", "source_size", "target", "expected", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        "row", "id", "source", "size", "source_size", "target", "expected", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that the mix takes, with the number of ``copies`` of each
-    (a ``copies`` column of the input is replaced); rows that repeat an id and a
-    text get the same number."""
-    plan = pareto_mix(docs, id_col, text_col, **options).where("taken > 0").groupBy(F.col("id").alias("__id"), F.col("key").alias("__of")).agg(F.max("copies").alias("__copies"))
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    return keyed.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))).select(
-        *(keyed[f"`{c}`"] for c in docs.columns if c != "copies"), F.col("__copies").alias("copies"))
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_copies: int = 3, seed: str = "mix",
+) -> DataFrame:
+    """The documents that the mix takes, with the number of ``copies`` of each row
+    (a ``copies`` column of the input is replaced). The documents are written once
+    with their row numbers, so that equal rows can have different numbers of
+    copies and a repeated id is no heavy key."""
+    whole = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("document")
+    sized = written(_sized(docs, id_col, text_col, source_col, whole), "sized")
+    plan = _plan(sized.drop("document"), weights, max_copies, seed).where("taken > 0").select(F.col("row").alias("of"), "copies")
+    return sized.select("row", "document").join(plan, F.col("row") == F.col("of")).select(
+        *(F.col(f"document.`{c}`") for c in docs.columns if c != "copies"), "copies")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ stream, so only runs of item words long enough to hold a window are streamed.
 
 The automaton is broadcast, and its size is bounded: the items are dealt into
 blocks of about ``block_words`` words, one automaton each, and the texts pass
-one block after the other. Words are compared by their 64-bit hashes.
+one block after the other. Words are looked up by hash and compared byte by byte.
 
 Defined results: null or empty texts have no words and are never contaminated;
 items without words have no window; items shorter than a window are one window;
@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from holdfast.llm.automaton import SuffixAutomaton
 from holdfast.llm.common import ship_package, table
-from holdfast.llm.textblocks import ALPHANUMERIC, LOWER, Vocabulary, binary_column, blocks, joined, span_hashes, word_spans, words_per_text
+from holdfast.llm.textblocks import ALPHANUMERIC, LOWER, Vocabulary, binary_column, blocks, joined, word_spans, words_per_text
 
 
-def normalised_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts, lower-cased, and words per text."""
+def normalised_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, lower-cased, their words' starts and ends, and words per text."""
     buffer, starts = joined(texts)
     s, e = word_spans(buffer, ALPHANUMERIC)
-    return span_hashes(LOWER[buffer], s, e), words_per_text(starts, s)
+    return LOWER[buffer], s, e, words_per_text(starts, s)
 
 
 class ItemAutomaton:
@@ -42,12 +42,12 @@ class ItemAutomaton:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
-        words = [normalised_words([text])[0] for _, text in items]
+        words = [normalised_words([text])[:3] for _, text in items]
         self.vocabulary = Vocabulary(words)
-        sizes = [len(w) for w in words if len(w)]
+        sizes = [len(starts) for _, starts, _ in words if len(starts)]
         self.shortest = min([window, *sizes])
         shard = self.shard = SuffixAutomaton()
-        prefixes = [shard.add(self.vocabulary.numbers(w).tolist()) for w in words]
+        prefixes = [shard.add(self.vocabulary.numbers(*w).tolist()) for w in words]
         order = sorted(range(len(shard.link)), key=shard.length.__getitem__)
         # the state that holds the last ``window`` words of a state's strings
         self.holder = [-1] * len(order)
@@ -105,10 +105,10 @@ def _stream(automaton, text_col: str):
             items = [set(x) for x in batch.column("items").to_pylist()]
             counts = []
             for lo, hi in blocks(texts):
-                hashes, per = normalised_words(texts[lo:hi])
+                *words, per = normalised_words(texts[lo:hi])
                 counts.append(per)
                 first = np.cumsum(per) - per
-                numbers = shard.vocabulary.numbers(hashes)
+                numbers = shard.vocabulary.numbers(*words)
                 owner, starts, ends = Vocabulary.runs(numbers, per, shard.shortest)
                 for text, x, y in zip(owner.tolist(), starts.tolist(), ends.tolist()):
                     spans, names = shard.occurrences(numbers[x:y].tolist())
@@ -163,10 +163,37 @@ def hit_words() -> F.Column:
     return F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents under the coverage limit, unchanged; a document over it is
-    removed whole, since most of what surrounds a leaked item describes it."""
-    return find_contamination(docs, items, text_col).where(~contaminated()).select("row.*")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", spans: bool = False, max_length: int = 0, max_coverage_divisor: int = 20) -> DataFrame:
+    """The documents without what leaked into them.
+
+    By default a document over the coverage limit is removed whole, since most of
+    what surrounds a leaked item describes it, and all others stay as they are.
+    With ``spans`` every hit run of more than ``max_length`` words is cut out of its
+    document, and so are all hits of a document over the coverage limit; documents
+    stay, with what is left of them.
+    """
+    found = find_contamination(docs, items, text_col)
+    if not spans:
+        return found.where(~contaminated(max_coverage_divisor)).select("row.*")
+    cut = F.when(contaminated(max_coverage_divisor), F.col("hits")).otherwise(F.filter("hits", lambda s: s["end"] - s["start"] > max_length))
+    return found.select("row", cut.alias("spans")).mapInArrow(_without_spans(text_col), T.StructType(docs.schema.fields))
+
+
+def _without_spans(text_col: str):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            row, lists = batch.column("row"), batch.column("spans").to_pylist()
+            kept = []
+            for text, spans in zip(binary_column(row.field(text_col)).to_pylist(), lists):
+                if spans:
+                    _, s, e, _ = normalised_words([text])
+                    bounds = [0, *(x for p in spans for x in (int(s[p["start"]]), int(e[p["end"] - 1]))), len(text)]
+                    text = b"".join(text[a:b] for a, b in zip(bounds[0::2], bounds[1::2]))
+                kept.append(text)
+            texts = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([texts if f.name == text_col else row.field(i) for i, f in enumerate(row.type)], [f.name for f in row.type])
+
+    return run
 
 
 def query(spark, sf_dir: str) -> DataFrame:

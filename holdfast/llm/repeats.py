@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, types as T
 
 from holdfast.llm import blobs
 from holdfast.llm.common import ship_package
-from holdfast.llm.textblocks import U64, binary_column, blocks, mix, ragged, span_hashes
+from holdfast.llm.textblocks import U64, binary_column, blocks, mix, ragged, same_bytes, span_hashes
 
 # kinds of packed rows: still to be compared; decided and on the way to its text; single
 # windows of wide triggers, still to be compared; triggers found wide; whole rows
@@ -277,6 +277,17 @@ def _undelta(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - steps[first], counts)
 
 
+def other_content(key, content, data, at, size, order) -> np.ndarray:
+    """Is the content another one than its predecessor in ``order``? Contents of one
+    trigger and one hash are compared byte by byte. (Two of them may alternate: a
+    content then is met twice, as any two contents that share windows.)"""
+    new = changed(key[order], content[order], size[order])
+    same = np.flatnonzero(~new)
+    a, b = order[same - 1], order[same]
+    new[same] = ~same_bytes(data, at[a], data, at[b], size[b])
+    return new
+
+
 def send_contents(finder: RepeatFinder, held, buckets: int, kind: int):
     """Each distinct content once, with the occurrences of its first text here, to the
     bucket of its trigger. Contents of wide triggers go on as single windows."""
@@ -287,8 +298,7 @@ def send_contents(finder: RepeatFinder, held, buckets: int, kind: int):
     for bucket, i in blobs.slices((key % U64(buckets)).astype(np.int32)):
         i = i[np.lexsort((content[i], key[i]))]
         i = i[changed(content[i], key[i], doc[i], mark[i], start[i])]
-        k, c = key[i], content[i]
-        new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
+        new = np.flatnonzero(other_content(key, content, data, at, size, i))
         one, count = i[new], np.diff(np.append(new, len(i)))
         # the first text that holds a content here speaks for it; in the others it is a repeat
         later = doc[i] > np.repeat(np.minimum.reduceat(doc[i], new), count)
@@ -410,8 +420,7 @@ def contents_of(held: list[tuple[int, bytes]], kind: int, widest: int) -> Conten
     content = span_hashes(data, lo, lo + size)
     # the same content from several tasks becomes one
     order = np.lexsort((content, key))
-    k, c = key[order], content[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    new = other_content(key, content, data, lo, size, order)
     merged = np.empty(len(key), np.int64)
     merged[order] = np.cumsum(new) - 1
     one = order[new]

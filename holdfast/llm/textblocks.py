@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -94,19 +95,54 @@ def words_per_text(text_starts: np.ndarray, word_starts: np.ndarray) -> np.ndarr
     return np.diff(np.append(at, len(word_starts)))
 
 
+LANES = 8  # words of up to 8 * LANES bytes are hashed together, longer ones one by one
+_LANE = U64(0x9FB21C651E98DF25)
+_SEED = 0x5851F42D4C957F2D
+
+
 def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes (spans ascending by start, not overlapping)."""
-    out = np.empty(len(starts), U64)
+    """64-bit hash of each span's bytes.
+
+    Eight bytes at a time go through a bijective mix, so strings that follow a
+    pattern do not collide more than others, as they do under a polynomial modulo
+    2^64. Equal hashes still are no proof of equal bytes: see ``same_bytes``.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(U64) ^ U64(_SEED))
+    if not len(size):
+        return out
+    padded = np.concatenate((np.ascontiguousarray(buffer), np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buffer) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    short = np.flatnonzero(size <= 8 * LANES)
+    for lane in range(LANES):
+        short = short[size[short] > 8 * lane]
+        if not len(short):
+            break
+        left = np.minimum(size[short] - 8 * lane, 8)
+        value = eight[starts[short] + 8 * lane] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - (left * 8).astype(U64)))
+        out[short] = mix((out[short] ^ value) * _LANE + U64(lane + 1))
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i]:ends[i]], seed=_SEED)
+    return out
+
+
+def same_bytes(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 8 << 20) -> np.ndarray:
+    """Is left[a:a + size] equal to right[b:b + size], for each a, b and size?"""
+    out = np.ones(len(size), bool)
+    total = np.cumsum(size)
     i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(_BYTE_CODES[buffer[lo:hi]] * powers(_BASE, hi - lo), out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * powers(_BASE_INVERSE, hi - lo + 1)[s] + (e - s).astype(U64)
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        some = np.flatnonzero(size[i:j]) + i
+        if len(some) == 1:  # perhaps a very long one
+            k = int(some[0])
+            out[k] = np.array_equal(left[a[k]:a[k] + size[k]], right[b[k]:b[k] + size[k]])
+        elif len(some):
+            n = size[some]
+            equal = left[ragged(a[some], n)] == right[ragged(b[some], n)]
+            out[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
         i = j
-    return mix(out)
+    return out
 
 
 def rolling_hashes(buffer: np.ndarray, width: int) -> np.ndarray:
@@ -156,24 +192,46 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The words of a bounded reference, by hash; numbers them and finds runs of them."""
+    """The words of a bounded reference; numbers them and finds runs of them.
+
+    Words are looked up by hash and compared byte by byte.
+    """
 
     BITS = 20  # of the bitmap that sets aside words the reference lacks
 
-    def __init__(self, hashes: list[np.ndarray]):
-        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, U64)
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """``texts`` are (bytes, starts of words, ends of words)."""
+        known: dict[bytes, int] = {}
+        for buffer, starts, ends in texts:
+            data = buffer.tobytes()
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                known.setdefault(data[a:b], len(known))
+        words = list(known)
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        hashes = span_hashes(self.data, start, start + size)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.start, self.size = hashes[order], start[order], size[order]
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[self.hashes >> U64(64 - self.BITS)] = True
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+    def numbers(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of each word, -1 for a word the reference lacks."""
+        hashes = span_hashes(buffer, starts, ends)
         out = np.full(len(hashes), -1, np.int64)
         maybe = np.flatnonzero(self.seen[hashes >> U64(64 - self.BITS)])
-        if len(maybe):
-            at = np.searchsorted(self.hashes, hashes[maybe])
-            at[at == len(self.hashes)] = 0
-            found = self.hashes[at] == hashes[maybe]
+        at = np.searchsorted(self.hashes, hashes[maybe])
+        while len(maybe):  # once, but for different words of the reference with one hash
+            inside = at < len(self.hashes)
+            maybe, at = maybe[inside], at[inside]
+            alike = self.hashes[at] == hashes[maybe]
+            maybe, at = maybe[alike], at[alike]
+            size = (ends - starts)[maybe]
+            found = size == self.size[at]
+            found[found] = same_bytes(buffer, starts[maybe[found]], self.data, self.start[at[found]], size[found])
             out[maybe[found]] = at[found]
+            maybe, at = maybe[~found], at[~found] + 1
         return out
 
     @staticmethod

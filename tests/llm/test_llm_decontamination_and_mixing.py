@@ -6,7 +6,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from helpers import docs_frame, repetitive_texts
+from pyspark.sql import functions as F
 
 from holdfast.llm.op3_pareto_mixing import mixed, pareto_mix
 from holdfast.llm.op9_decontamination import ItemAutomaton, contaminated, decontaminate, find_contamination, merged, normalised_words
@@ -72,7 +74,7 @@ def test_no_items_and_no_documents(spark):
 
 def test_automaton_of_short_items():
     shard = ItemAutomaton([("x", b"a b"), ("y", b"b"), ("z", b"a b c d")], 3)
-    numbers = shard.vocabulary.numbers(normalised_words([b"a b c e"])[0])
+    numbers = shard.vocabulary.numbers(*normalised_words([b"a b c e"])[:3])
     assert numbers[3] == -1 and (numbers[:3] >= 0).all()
     spans, names = shard.occurrences(numbers[:3].tolist())
     assert merged(spans) == [(0, 3)] and names == {"x", "y", "z"}
@@ -122,9 +124,62 @@ def test_mix(spark):
     # inclusion follows the expected copies: long documents are taken more often
     part = [x for x in got if x.source == "big" and x.size]
     assert abs(sum(x.copies for x in part) - sum(x.expected for x in part)) < 0.1 * len(part)
-    out = mixed(df)
+    out, texts = mixed(df), {(i, source, len((text or "").split())): text for i, text, source, _ in rows}
     assert out.columns == ["doc_id", "text", "source", "size", "copies"]
-    assert out.count() == len([1 for x in got if x.taken]) or abs(out.count() - len([1 for x in got if x.taken])) <= 4
+    assert sorted((str(x.doc_id), x.text, x.copies) for x in out.collect()) == sorted((str(x.id), texts[x.id, x.source, x.size], x.copies) for x in got if x.taken)
+
+
+def test_equal_rows_get_what_the_plan_says(spark):
+    """Sixty equal rows without an id: the mix takes the plan's words, not the greatest copies for all."""
+    df = spark.createDataFrame([(None, "a b c d e f g h i j k l", "s", 1)] * 60 + [(k, "x y z " * 9, "t", 2) for k in range(40)] + [(7, "x y z " * 9, "t", 3)] * 30,
+                               "doc_id long, text string, source string, row long").repartition(5)
+    clash = df.withColumns({c: F.lit(c) for c in ("__id", "__of", "__key", "__copies", "of", "document", "size", "copies", "id")})
+    plan, out = pareto_mix(clash).collect(), mixed(clash)
+    assert out.columns == [c for c in clash.columns if c != "copies"] + ["copies"]
+    got = out.collect()
+    for source in ("s", "t"):
+        words = sum(x.copies * len(x.text.split()) for x in got if x.source == source)
+        target = next(x.target for x in plan if x.source == source)
+        assert words == sum(x.taken for x in plan if x.source == source) and abs(words - target) <= 27
+    assert {x["__key"] for x in got} == {"__key"}
+
+
+def thue_morse(levels):
+    a, b = b"a", b"b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a.decode(), b.decode()
+
+
+def test_words_are_compared_by_their_bytes(spark):
+    """Two texts that a polynomial hash modulo 2^64 takes for one."""
+    one, other = thue_morse(10)
+    items = spark.createDataFrame([("x", " ".join([one] * 13))], "item_id string, text string")
+    got = find_contamination(docs_frame(spark, [" ".join([other] * 13), " ".join([one] * 13)]), items).collect()
+    assert sorted((x.row.doc_id, len(x.hits)) for x in got) == [(0, 0), (1, 1)]
+
+
+def test_words_with_one_hash_stay_different(monkeypatch):
+    from holdfast.llm import textblocks
+
+    monkeypatch.setattr(textblocks, "span_hashes", lambda buffer, s, e: np.full(len(s), 7, np.uint64))
+    data = np.frombuffer(b"abc abd ab abc zz", np.uint8)
+    s, e = textblocks.word_spans(data, textblocks.NOT_SPACE)
+    known = textblocks.Vocabulary([(data, s[:3], e[:3])])
+    numbers = known.numbers(data, s, e)
+    assert numbers[0] == numbers[3] and len(set(numbers[:3].tolist())) == 3 and numbers[4] == -1
+
+
+def test_spans_are_removed_by_option(spark):
+    leak = " ".join(f"l{k}" for k in range(15))
+    items = spark.createDataFrame([("x", leak), ("y", "short one")], "item_id string, text string")
+    texts = [f"Before, {leak.upper()}! after" + " own" * 400, f"a {leak}", "a short one " + "own " * 500, None, "clean"]
+    docs = docs_frame(spark, texts).withColumn("hits", F.lit(1))
+    cut = {x.doc_id: x.text for x in decontaminate(docs, items, spans=True).collect()}
+    assert cut == {0: "Before, ! after" + " own" * 400, 1: "a ", 2: "a  " + "own " * 500, 3: None, 4: "clean"}
+    kept = {x.doc_id: x.text for x in decontaminate(docs, items, spans=True, max_length=2).collect()}
+    assert kept[2] == texts[2] and kept[0] == cut[0]
+    assert decontaminate(docs, items, spans=True).columns == docs.columns
 
 
 def test_mix_of_nothing_and_of_one_source(spark):

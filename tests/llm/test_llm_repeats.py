@@ -233,3 +233,35 @@ def test_many_rows_of_one_id_and_none(spark, binary):
     _, masks = repeats(texts, ids, 50 if binary else 13, (lambda t: t.encode()) if binary else space_words)
     want = sorted((str(i), t or "", spans_of(m)) for i, t, m in zip(ids, texts, masks))
     assert sorted((str(x.row.doc_id), x.row.text or "", [(s.start, s.end) for s in x.spans]) for x in found) == want
+
+
+def test_contents_with_one_hash_are_compared_by_their_bytes(spark, monkeypatch):
+    """A hash that tells nothing apart changes no result."""
+    from holdfast.llm import repeats as module
+
+    one, other = b"a", b"b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    texts = [" ".join([one.decode()] * 13), " ".join([other.decode()] * 13), " ".join([one.decode()] * 14)]
+    got = {r["row"]["doc_id"]: len(r["spans"]) for r in remove_repeated_passages(docs_frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 1}
+    order = np.arange(4)
+    data = np.frombuffer(b"abcabcabdabc", np.uint8)
+    same = module.other_content(np.zeros(4, np.uint64), np.zeros(4, np.uint64), data, np.arange(0, 12, 3), np.full(4, 3), order)
+    assert same.tolist() == [True, False, True, True]
+
+
+def test_hashes_of_long_spans_and_comparison_in_parts():
+    from holdfast.llm.textblocks import same_bytes
+
+    r = np.random.default_rng(2)
+    data = r.integers(0, 2, 5000).astype(np.uint8)
+    data[2500:] = data[:2500]
+    size = r.integers(0, 200, 300)
+    a = r.integers(0, 2300, 300)
+    h, g = span_hashes(data, a, a + size), span_hashes(data, a + 2500, a + 2500 + size)
+    assert (h == g).all() and len(set(h.tolist())) == len({data[x:x + n].tobytes() for x, n in zip(a, size)})
+    b = np.where(r.random(300) < 0.5, a + 2500, r.integers(0, 2300, 300))
+    want = [data[x:x + n].tobytes() == data[y:y + n].tobytes() for x, y, n in zip(a, b, size)]
+    for most in (1, 100, 1 << 20):
+        assert same_bytes(data, a, data, b, size, most).tolist() == want
