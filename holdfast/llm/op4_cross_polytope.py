@@ -77,7 +77,10 @@ def cells(vectors: np.ndarray, tables: int, hashes: int, probes: int, seed: int)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """The vectors, each divided by its largest component: a cosine does not depend on
+    lengths, and squares then neither overflow nor vanish."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return rows / np.abs(rows).max(axis=1, keepdims=True)
 
 
 def near_links(nodes: DataFrame, threshold: float, tables: int = 10, hashes: int = 3, probes: int = 8, seed: int = 7) -> DataFrame:

@@ -175,6 +175,18 @@ def near_links(distinct: DataFrame, max_bits: int = 4, segments: int = 3, cell:
     return dealt.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(verify, "a long, b long")
 
 
+def grouped(marked: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
+    """(``key`` a fingerprint, ``root`` of its group, ``component`` the group's
+    smallest id) for the fingerprints of (``id``, ``fingerprint``)."""
+    distinct = written(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
+    roots = written(components(near_links(distinct, max_bits, segments)), "roots")
+    named = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root"))
+    named = written(named, "named")
+    first = written(named.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "of"), "first")
+    return written(named.join(first, F.col("root") == F.col("of")).select(F.col("fingerprint").alias("key"), "root", F.col("first").alias("component")), "found")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
     """(``id``, ``fingerprint`` long, ``component`` the smallest id reachable by
     links of ``max_bits`` or fewer differing bits) for every row.
@@ -185,22 +197,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result; other columns are not read.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
-    roots = written(components(near_links(distinct, max_bits, segments)), "roots")
-    named = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root"))
-    named = written(named, "named")
-    first = written(named.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "of"), "first")
-    found = written(named.join(first, F.col("root") == F.col("of")).select(F.col("fingerprint").alias("key"), F.col("first").alias("component")), "found")
-    return marked.join(found, F.col("fingerprint") == F.col("key")).select("id", "fingerprint", "component")
+    return marked.join(grouped(marked, max_bits, segments), F.col("fingerprint") == F.col("key")).select("id", "fingerprint", "component")
+
+
+def text_key(text: F.Column) -> F.Column:
+    """128 bits of a text; a null text is not an empty one."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
+    """One row of each group of near duplicates: of those with the group's smallest
+    id the one whose text has the smallest hash (of equal rows any one). Rows
+    without an id all stay.
 
+    Which rows go is decided on (id, text hash, fingerprint) alone; the documents
+    then meet only the keys that go or repeat, so where these are few no text moves.
+    """
+    ship_package(docs.sparkSession)
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest
-    id; of rows that repeat that id one stays. Rows without an id all stay."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("id = component").select(F.col("id").alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts = binary_column(batch.column(1))
+            values = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), U64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values.view(np.int64))], ["id", "text_key", "fingerprint"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
+    marked = written(narrow.mapInArrow(run, "id long, text_key string, fingerprint long"), "fingerprints")
+    rows = marked.where("id IS NOT NULL").groupBy("id", "text_key", "fingerprint").agg(F.count("*").alias("rows"))
+    rows = written(rows.join(grouped(marked, max_bits, segments), F.col("fingerprint") == F.col("key")).select("id", "text_key", "rows", "root"), "rows")
+    best = written(rows.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("best")).withColumnRenamed("root", "of"), "best")
+    stays = F.struct("id", "text_key") == F.col("best")
+    touched = rows.join(best, F.col("root") == F.col("of")).where(~stays | (F.col("rows") > 1))
+    touched = written(touched.select(F.col("id").alias("of_id"), F.col("text_key").alias("of_text"), stays.alias("stays")), "touched")
+
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    key, text = F.col(f"row.`{id_col}`").cast("long"), text_key(F.col(f"row.`{text_col}`"))
+    met = packed.join(touched, (key == F.col("of_id")) & (text == F.col("of_text")), "left")
+    single = met.where("of_id IS NULL").select("row")
+    if touched.where("stays").head() is not None:  # equal rows, of which one stays
+        single = single.union(met.where("stays").dropDuplicates(["of_id", "of_text"]).select("row"))
+    return single.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
