@@ -21,6 +21,7 @@ an empty table gives an empty result; extra columns are carried in ``row``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -144,8 +145,10 @@ class AttentionModel:
 
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    sample: int = 4000, sample_bytes: int = 1 << 20,
+    sample: int = 4000, sample_bytes: int = 1 << 20, total_bytes: int = 256 << 20,
 ) -> AttentionModel:
+    """Learns from one text of each of at most ``sample`` labelled ids, each of at
+    most ``sample_bytes`` and all of at most ``total_bytes``, by hash of the id."""
     spark = docs.sparkSession
     ship_package(spark)
     # at most ``sample`` ids and labels: the bound that allows the broadcast
@@ -162,6 +165,13 @@ def fit(
 
     texts = docs.select(F.col(id_col).cast("long").alias("__of"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("__of") == F.col("__id"))
     texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+    # one of the rows that repeat an id; then the first ids whose texts fit together
+    texts = texts.groupBy("__id").agg(F.max("__label").alias("__label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sizes = texts.select("__id", F.xxhash64("__id").alias("place"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()
+    sizes.sort(key=lambda r: (r["place"], r["__id"]))
+    if sum(r["size"] for r in sizes) > total_bytes:
+        fitting = [r["__id"] for r, upto in zip(sizes, accumulate(r["size"] for r in sizes)) if upto <= total_bytes]
+        texts = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in fitting], "__id long")), "__id")
     rows = texts.select("text", "__label", "__id").mapInArrow(passages, "bag binary, label int, id long").collect()
     rows.sort(key=lambda r: (r["id"], r["bag"]))  # the same order on every run
     y = np.array([r["label"] for r in rows], float)

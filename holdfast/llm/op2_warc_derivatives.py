@@ -89,11 +89,14 @@ def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of uncompressed WARC 1.1 files of UTF-8 text; the files are
-    split between tasks at record boundaries. ``complete`` tells whether the
-    block has its declared length (a payload that holds a record boundary is cut)."""
-    end = "\r\n\r\n"
-    raw = spark.read.text(path, lineSep=f"{end}{VERSION}\r\n").select(F.regexp_replace("value", f"^{VERSION}\r\n", "").alias("value"))
+    """Response records of uncompressed WARC 1.0 and 1.1 files of UTF-8 text; the files
+    are split between tasks at record boundaries. ``complete`` tells whether the
+    block has its declared length (a payload that holds a record boundary is
+    cut). A file that does not begin with either version's line fails the job."""
+    end, version = "\r\n\r\n", r"^(WARC/1\.)?[01]\r\n"
+    raw = spark.read.text(path, lineSep=f"{end}WARC/1.").where("value <> ''")
+    unknown = F.raise_error(F.concat(F.lit("no WARC 1.0 or 1.1 record: "), F.substring("value", 1, 40))).cast("boolean")
+    raw = raw.where(F.when(F.col("value").rlike(version), F.lit(True)).otherwise(unknown)).select(F.regexp_replace("value", version, "").alias("value"))
     head, block = F.substring_index("value", end, 1), F.substring(F.col("value"), F.instr("value", end) + 4, F.length("value"))
     field = lambda name: F.regexp_extract(head, f"(?im)^{name}:[ \\t]*([^\\r\\n]*)", 1)
     # the last record of a file still has its end mark
@@ -111,7 +114,11 @@ def derive(responses: DataFrame) -> DataFrame:
     """Two records for every response: ``id``, ``warc_type``, ``record_id``,
     ``refers_to``, ``target_uri``, ``content_type``, ``content_length``,
     ``block_digest``, ``source_digest`` and ``record`` (the whole record as it
-    stands in a WARC file)."""
+    stands in a WARC file). A response that is marked as not complete fails the
+    job: its text would be a part of the page's."""
+    if "complete" in responses.columns:
+        cut = F.raise_error(F.concat(F.lit("incomplete response record: "), F.coalesce("record_id", F.lit("?")))).cast("boolean")
+        responses = responses.where(F.when(F.coalesce("complete", F.lit(False)), F.lit(True)).otherwise(cut))
     made = responses.select(
         "id", "target_uri", "date", F.col("record_id").alias("refers_to"), "block_digest", "payload_digest", "http_header",
         record_id("conversion", F.col("record_id")).alias("conversion_id"), record_id("metadata", F.col("record_id")).alias("metadata_id"),

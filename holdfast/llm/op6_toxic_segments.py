@@ -75,19 +75,21 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(positive):
         return []
     sums = np.concatenate(([0.0], np.cumsum(scores)))
-    stack: list[tuple[int, int, float, float]] = []
+    # start, end, sum before, sum after, place of the nearest candidate that starts lower
+    stack: list[tuple[int, int, float, float, int]] = []
     for at, left, right in zip(positive.tolist(), sums[positive].tolist(), sums[positive + 1].tolist()):
-        item = (at, at + 1, left, right)
+        start, k = at, len(stack) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= item[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= item[3]:
-                stack.append(item)
+            # candidates passed by start no lower, so no later search needs them
+            while k >= 0 and stack[k][2] >= left:
+                k = stack[k][4]
+            if k < 0 or stack[k][3] >= right:
+                stack.append((start, at + 1, left, right, k))
                 break
-            item = (stack[k][0], item[1], stack[k][2], item[3])
+            start, _, left, _, before = stack[k]
             del stack[k:]
-    return [(start, end, right - left) for start, end, left, right in stack]
+            k = before
+    return [(start, end, right - left) for start, end, left, right, _ in stack]
 
 
 @dataclass
@@ -198,7 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     model = SegmentModel(scores.astype(np.float32), decay_rate(scores, counts[0]))
 
     # the sample's texts again: the best segments of clean ones give K, all of them the curve
-    best = _scan(texts.where("__label IS NOT NULL").select(F.struct("text", "__label", "__id").alias("row")), "text", model, significant=False)
+    # (one of an id's rows, so that the sample's bound holds)
+    once = texts.where("__label IS NOT NULL").groupBy("__id").agg(F.max("__label").alias("__label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    best = _scan(once.select(F.struct("text", "__label", "__id").alias("row")), "text", model, significant=False)
     rows = best.select(F.col("row.__label").alias("y"), "row.__id", "n_tokens", F.transform("passages", lambda p: p["evidence"]).alias("scores")).collect()
     rows.sort(key=lambda r: (r["__id"], r["n_tokens"], r["scores"]))  # the same order on every run
     extremes = [model.decay * max(r["scores"]) - np.log(r["n_tokens"]) for r in rows if r["y"] == 0 and r["scores"]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from holdfast.llm.op2_warc_derivatives import derive, page_text, read_responses, responses_from_pages, write_records
@@ -172,3 +173,25 @@ def test_pages_without_head_end_and_markup_in_comments(spark):
     df = spark.createDataFrame(cases, "html string, want string")
     for x in df.select("html", "want", page_text(F.col("html")).alias("got")).collect():
         assert x.got == x.want, x.html[:200]
+
+
+def test_both_warc_versions_are_read(spark, tmp_path):
+    from holdfast.llm.op2_warc_derivatives import derive, read_responses
+
+    def record(version, kind, name, block, length=None):
+        return f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{name}>\r\nContent-Length: {length or len(block)}\r\n\r\n{block}\r\n\r\n"
+
+    page = "HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hello</p>"
+    for version in ("1.0", "1.1"):
+        path = tmp_path / version
+        path.mkdir()
+        (path / "a.warc").write_bytes("".join([record(version, "warcinfo", "i", "x: y\r\n"), record(version, "response", "a", page), record(version, "response", "b", page)]).encode())
+        got = read_responses(spark, str(path))
+        assert sorted((r["record_id"], r["body"], r["complete"]) for r in got.collect()) == [(f"<urn:{x}>", "<p>hello</p>", True) for x in "ab"]
+        assert derive(got).count() == 4
+    (path / "b.warc").write_bytes(record("1.0", "response", "c", page + "\r\n\r\nWARC/1.0\r\nx").encode())
+    with pytest.raises(Exception, match="incomplete response"):
+        derive(read_responses(spark, str(path))).collect()
+    (path / "b.warc").write_bytes(record("0.18", "response", "c", page).encode())
+    with pytest.raises(Exception, match="no WARC 1.0 or 1.1 record"):
+        read_responses(spark, str(path)).collect()

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from helpers import docs_frame
+from pyspark.sql import functions as F
 
 from holdfast.llm.op1_passage_attention import N_FEATURES, WORDS, AttentionModel, encode, fit as fit_quality, query as quality_query, score_quality
 from holdfast.llm.op6_toxic_segments import decay_rate, fit as fit_toxicity, log_odds, maximal_segments, query as toxicity_query, remainder, score_toxicity
@@ -159,3 +160,32 @@ def test_attention_finds_the_passage():
         hits += label and int(np.argmax(a[at:at + len(bag)]) == np.argmax(bag[:, 0]))
         at += len(bag)
     assert hits > 120
+
+
+def test_segments_of_many_isolated_positives_take_linear_time():
+    import time
+
+    scores = np.where(np.arange(400_000) % 2 == 0, 1.0, -1.1)
+    began = time.time()
+    assert len(maximal_segments(scores)) == 200_000
+    falling = np.where(np.arange(400_000) % 2 == 0, 1.0 + np.arange(400_000) * 1e-7, -1.0)
+    assert len(maximal_segments(falling)) >= 1
+    assert time.time() - began < 5
+
+
+def test_samples_take_one_row_of_a_repeated_id(spark):
+    """A labelled id that very many rows repeat adds one text to the sample."""
+    from holdfast.llm import op1_passage_attention as quality
+
+    texts = ["a good text of words " * 5, "bad bad bad text " * 5]
+    docs = spark.createDataFrame([(k % 2, texts[k % 2] + ("" if k < 200 else str(k))) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality.AttentionModel.fit
+    try:
+        quality.AttentionModel.fit = lambda self, bags, y: seen.append(len(bags)) or real(self, bags, y)
+        quality.fit(docs, labels, F.lit(True))
+        quality.fit(docs, labels, F.lit(True), total_bytes=110)
+    finally:
+        quality.AttentionModel.fit = real
+    assert seen == [2]                    # the second sample holds one label only
