@@ -23,7 +23,7 @@ from holdfast.llm import op6_toxic_segments as toxicity
 from holdfast.llm import op7_simhash as simhash
 from holdfast.llm import op9_decontamination as decontamination
 from holdfast.llm import op10_substring_dedup as substrings
-from holdfast.llm.common import table, written
+from holdfast.llm.common import forget, passing, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = written(docs, name)
-    return docs
+        if k == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with passing(spark):
+            docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            forget(spark, last)
+        last = docs
