@@ -65,7 +65,7 @@ def test_queries_beyond_sql(spark):
 
 def test_every_operator_is_registered():
     assert sorted(QUERIES, key=lambda k: int(k[2:].split("_")[0])) == sorted(QUERIES, key=lambda k: list(QUERIES).index(k))
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
     sys.path.insert(0, REPO)
     import __spark_entry__ as entry
 
@@ -175,3 +175,13 @@ def test_the_rest_imports_without_this_part(tmp_path):
             shutil.copy(source, tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_pipeline_leaves_only_what_its_result_needs(spark):
+    from holdfast.session import checkpoint_root
+
+    folder = os.path.join(checkpoint_root(spark).removeprefix("file:"), "holdfast-scratch")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF)
+    left = sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before)
+    assert out.count() >= 0 and not {"toxicity", "simhash_near_dedup", "substring_dedup", "fingerprints", "found"} & set(left)
