@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from holdfast.functions import exact, strict
+from holdfast.functions import exact
 from holdfast.schemas import TRADEBOOK
 from holdfast.sources.csv_files import FILE, LINE, all_accepted, malformed_line, missing_or_malformed, read_csv_by_header
 
@@ -97,7 +97,7 @@ def _export_lines(spark: SparkSession, path: str | list[str], broker: str) -> Da
 
 def accepted_lines(raw: DataFrame) -> DataFrame:
     """Lines as text (canonical columns, ``LINE``, ``FILE``) as a tradebook; any bad one fails the job."""
-    return cast_by_name(all_accepted(raw, _reason()))
+    return all_accepted(raw, _reason()).select(*(_parsed(f.name).alias(f.name) for f in TRADEBOOK.fields))
 
 
 def _parsed(name: str) -> Column:
@@ -123,15 +123,6 @@ def _reason() -> Column:
     return F.coalesce(malformed_line(), *fields)
 
 
-def cast_by_name(raw: DataFrame) -> DataFrame:
-    """Select the canonical columns by name from an all-string frame and cast them.
-
-    A malformed number, flag or date fails the job rather than turning into a
-    silent null in a ledger.
-    """
-    return raw.select(*(strict(F.col(f.name), _parsed(f.name), f.name).alias(f.name) for f in TRADEBOOK.fields))
-
-
 register_csv_export("Zerodha")
 
 
