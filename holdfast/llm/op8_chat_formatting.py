@@ -18,8 +18,9 @@ A conversation is one output string, so its turns come together in one row.
 A VARIANT holds strings of 20 million characters and 128 MiB in all. A record
 beyond that is read in two steps: its field paths from a copy whose strings are
 emptied and whose equal neighbours are merged, its texts by ``from_json`` with the
-layout's schema. There a number keeps the spelling that it has in the JSON text.
-A record whose copy is still too large to judge ends the query with an error.
+layout's schema. A record whose copy is still too large to judge ends the query
+with an error. A number in the place of a text keeps the spelling that it has in
+the JSON text (``1.50``), whatever the size of its record.
 """
 
 from __future__ import annotations
@@ -112,17 +113,27 @@ SURE = 8 << 20
 CORRUPT = "__corrupt"
 
 
+BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'  # of a JSON string
+
+
+def spelt(record: Column) -> Column:
+    """JSON text with its numbers quoted, so that they are read as they are spelt.
+    What is not a JSON number stays, and stays no JSON."""
+    number = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
+    quoted = F.regexp_replace(record, rf'(?s)\G((?:"{BODY}"|[^"0-9-]++)*+)({number})(?=\s*+(?:[,}}\]]|\z))', '$1"$2"')
+    return F.when(F.rlike(record, F.lit(r"[:\[,]\s*+[0-9-]")), quoted).otherwise(record)
+
+
 def outline(record: Column) -> Column:
     """JSON text with the same field paths, its string values emptied and equal neighbours merged."""
-    body = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
-    emptied = F.regexp_replace(record, rf'(?s)("{body}"\s*+:)|"{body}(")', "$1$2$2")
+    emptied = F.regexp_replace(record, rf'(?s)("{BODY}"\s*+:)|"{BODY}(")', "$1$2$2")
     return F.regexp_replace(emptied, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
     """Adds ``layout`` (name or null) and ``turns`` to records given as JSON text."""
-    record = F.col(record_col)
-    parsed = records.withColumn("__record", F.try_parse_json(record))
+    record = F.col("__spelt")
+    parsed = records.withColumn("__spelt", spelt(F.col(record_col))).withColumn("__record", F.try_parse_json(record))
     parsed = parsed.withColumn("__large", F.col("__record").isNull() & (F.octet_length(record) >= SURE))
     parsed = parsed.withColumn("__outline", F.when(F.col("__large"), outline(record)))
     judged = F.coalesce("__record", F.try_parse_json("__outline"))
@@ -140,7 +151,7 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts=LAYO
         fits = ~F.col("__large") | whole[CORRUPT].isNull()
         layout = F.when(same & fits, known.name).otherwise(layout)
         turns = F.when(same & ~F.col("__large"), known.turns(small).cast(TURNS)).when(same & fits, known.turns(large).cast(TURNS)).otherwise(turns)
-    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__record", "__large", "__outline", "__paths")
+    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__spelt", "__record", "__large", "__outline", "__paths")
 
 
 def with_template(records: DataFrame) -> DataFrame:

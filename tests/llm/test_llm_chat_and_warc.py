@@ -8,8 +8,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.llm.op2_warc_derivatives import derive, page_text, read_responses, responses_from_pages, write_records
-from holdfast.llm.op8_chat_formatting import as_records, canonical_turns, escape, format_chats, outline, query, read_loss, read_turns, unescape, with_template
+from holdfast.llm.op2_warc_derivatives import ENTITIES, derive, page_text, read_responses, responses_from_pages, write_records
+from holdfast.llm.op8_chat_formatting import as_records, canonical_turns, escape, format_chats, outline, query, read_loss, read_turns, spelt, unescape, with_template
 
 TRICKY = ["", "plain", "</s>", "[INST]", "[/INST]", "~", "~1", "~~0</s>~", "</s>[INST] ok [/INST]", "[INST[INST]]", "</</s>s>", "é~2\n[/INST", "𝄞</s>𝄞"]
 
@@ -89,6 +89,30 @@ def test_texts_beyond_a_variant(spark):
         assert got.layout == layout and (got.turns and [tuple(t) for t in got.turns]) == want
 
 
+def test_numbers_are_spelt_alike_in_records_of_any_size(spark):
+    numbers = ["1.0", "1.50", "-0", "1e5", "12345678901234567890123.4500", "1E-400", "-7", "0.10", "true"]
+    pad = F.repeat(F.lit("x1, 2: "), 3_000_000)
+    for large in (False, True):
+        for shape in ('{"prompt":%s,"completion":"\\\\\\": 5, ', '{"messages":[{"role":"user","content": %s }, {"role":7,"content":"\\\\\\": 5, '):
+            end = '"}' if shape.startswith('{"p') else '"}]}'
+            rows = spark.createDataFrame([(n, shape % n) for n in numbers], "n string, head string").coalesce(1)
+            if large:
+                rows = rows.where("n IN ('1.50', '12345678901234567890123.4500')")
+            made = rows.select("n", F.concat("head", pad if large else F.lit("[1, 2"), F.lit(end)).alias("record"))
+            got = canonical_turns(made).select("n", F.col("turns")[0]["text"].alias("text"), F.col("turns")[1]["role"].alias("role"), F.substring(F.col("turns")[1]["text"], 1, 9).alias("next")).collect()
+            assert len(got) == (2 if large else len(numbers))
+            for x in got:
+                assert x.text == x.n and x.role in ("assistant", "7") and x.next == ('\\": 5, x1' if large else '\\": 5, [1')
+
+
+def test_what_is_no_json_number_stays_no_json(spark):
+    bad = ["01", "1.", ".5", "1.2.3", "--1", "1e", "+1", "1 2", "0x1", "1_0"]
+    df = spark.createDataFrame([(f'{{"prompt":{x},"completion":"c 1"}}',) for x in bad] + [(None,), ("",), ("5",), ("[1,2]",)], "record string")
+    assert canonical_turns(df).where("layout IS NOT NULL").count() == 0
+    kept = spark.createDataFrame([('{"a": [1, -2.5e3,{"b" :"3, 4"}], "5": 6}',)], "record string").select(spelt(F.col("record")).alias("r")).first()
+    assert kept.r == '{"a": ["1", "-2.5e3",{"b" :"3, 4"}], "5": "6"}'
+
+
 def test_no_python_in_the_plan(spark, capsys):
     query(spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
@@ -175,6 +199,28 @@ def test_pages_without_head_end_and_markup_in_comments(spark):
         assert x.got == x.want, x.html[:200]
 
 
+def test_character_references(spark):
+    from html import unescape as standard
+
+    from holdfast.llm.op2_warc_derivatives import entities, page_title
+
+    same = ["a &#8217; b", "&eacute;t&eacute;", "&#x41;&#X3b1;&#0066;", "&amp;#39; &amp;amp; &amp;lt;", "&#39;&apos;&quot;&copy;", "&#128512;&#x1F600;", "&#150;&#x93;q&#148;",
+            "&NotEqualTilde; &nosuchname; & &; &# &#; &#x; &#xZ; AT&T;", "&#66 x &#x42y", "&#0; &#xD800; &#1114112; &#99999999999999999999;", "&#65279;|", "a&b&&amp", "x &lt; y &gt; z &hellip;",
+            "&Aacute;&aacute;&Abreve;&zwnj;", "&ampx; &lt1;", ""]
+    own = [("&nbsp;|&#160;|&#xA0;", " | | "), ("&#13;&#10;", "\r\n"), ("&amp no end", "&amp no end"), (None, None)]
+    cases = [(t, standard(t)) for t in same if "&b&&amp" not in t and "&ampx" not in t] + own + [("a&b&&amp", "a&b&&amp"), ("&ampx; &lt1;", "&ampx; &lt1;")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    for x in df.select("t", "want", entities(F.col("t")).alias("got"), page_title(F.concat(F.lit("<title>"), "t", F.lit("</title>"))).alias("title")).collect():
+        assert x.got == x.want, x.t
+    # a text with other references beside the usual ones reads the usual ones alike
+    usual = "".join(name for name, _ in ENTITIES)
+    got = spark.createDataFrame([(usual, usual + "&eacute;")], "a string, b string").select(entities(F.col("a")), entities(F.col("b"))).first()
+    assert got[1] == got[0] + "é" and got[0] == "".join(c for _, c in ENTITIES)
+    page = "<head><title>Caf&eacute;&#8212;1</title></head><p>it&#8217;s &lt;b&gt; &#60;i&#62;</p>"
+    text = spark.createDataFrame([(page,)], "h string").select(page_text(F.col("h")), page_title(F.col("h"))).first()
+    assert tuple(text) == ("it’s <b> <i>", "Café—1")
+
+
 def test_both_warc_versions_are_read(spark, tmp_path):
     from holdfast.llm.op2_warc_derivatives import derive, read_responses
 
