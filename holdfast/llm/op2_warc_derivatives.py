@@ -8,7 +8,10 @@ blocks; the metadata record also names the conversion record. Record ids are
 made from the source id, so a rerun gives the same ids.
 
 Text extraction: scripts, styles, the head and comments go, block elements end
-a line, other tags go, the usual entities are resolved, white space is folded.
+a line, other tags go, character references are resolved, white space is folded.
+Numeric references need no semicolon and follow the HTML standard (128 to 159 are
+Windows-1252, what is no character is U+FFFD); named ones are all of HTML 5 and need
+one. A no-break space is a space.
 Of comments and silent elements the one that opens first holds the other. A head
 ends at the first thing that cannot stand in it, with or without ``</head>``.
 
@@ -23,6 +26,9 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast.llm.common import table
@@ -33,15 +39,45 @@ SPACE = "[ \\t\\n\\r\\f]"
 SILENT = ("script", "style", "noscript", "template", "head")
 HEAD = "meta|link|base|basefont|bgsound"
 LINES = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|main|aside|blockquote|pre|form"
-# fixed values: named characters
+# fixed values: the usual references
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
             ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
+NAMED = {**{name[:-1]: text for name, text in html5.items() if name.endswith(";")}, "nbsp": " "}
+# numeric references that do not mean their code point
+CODES = {**{n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}, 160: " "}
+UNUSUAL = "&(?:#(?!39;)[0-9xX]|(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)[A-Za-z][A-Za-z0-9]*+;)"
 
 
 def entities(text: Column) -> Column:
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """The text with its character references resolved, each once."""
+
+    def usual(t: Column) -> Column:
+        for name, character in ENTITIES:
+            t = F.replace(t, F.lit(name), F.lit(character))
+        return t
+
+    def reference(part: Column) -> Column:  # what follows an ampersand
+        digits = lambda base, which: F.regexp_extract(part, f"^#{which}0*+([{base}]*+)", 1)
+        number = F.when(F.rlike(part, F.lit("^#[0-9]")), digits("0-9", "")).when(F.rlike(part, F.lit("^#[xX][0-9a-fA-F]")), digits("0-9a-fA-F", "[xX]"))
+        # more than seven digits are beyond the last code point
+        code = F.when(F.length(number) == 0, 0).when(F.length(number) <= 7, F.conv(number, 10, 10).cast("int")).otherwise(-1)
+        code = F.when(F.rlike(part, F.lit("^#[xX]")) & (F.length(number).between(1, 7)), F.conv(number, 16, 10).cast("int")).otherwise(code)
+        other = F.try_element_at(F.from_json(F.lit(json.dumps(CODES)), "map<string,string>"), code.cast("string"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        own = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")  # after a byte order mark
+        character = F.when(other.isNotNull(), other).when(valid, own).otherwise("\ufffd")
+        name = F.when(F.instr(part, ";") > 1, F.substring_index(part, ";", 1))
+        named = F.try_element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), name)
+        after = F.substring(part, F.length(name) + 2, F.length(part))
+        return F.when(number.isNotNull(), F.concat(character, F.regexp_replace(part, "^#(?:[0-9]++|[xX][0-9a-fA-F]++);?", ""))).otherwise(
+            F.coalesce(F.concat(named, after), F.concat(F.lit("&"), part)))
+
+    def every(t: Column) -> Column:
+        parts = F.split(t, "&")
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), reference), ""))
+
+    # of an array, so that the text is made once
+    return F.transform(F.array(text), lambda t: F.when(F.rlike(t, F.lit(UNUSUAL)), every(t)).otherwise(usual(t)))[0]
 
 
 def folded(text: Column) -> Column:
