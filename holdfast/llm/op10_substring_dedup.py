@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from holdfast.llm.automaton import SuffixAutomaton
 from holdfast.llm.common import ship_package
 from holdfast.llm.repeats import RepeatFinder, Segments, merged_runs, remove_repeats, window_runs
+from holdfast.llm.shards import Shards
 from holdfast.llm.textblocks import NOT_SPACE, Vocabulary, binary_column, blocks, gram_hashes, joined, ragged, sliding_minimum, span_hashes, word_spans, words_per_text
 
 
@@ -117,27 +118,40 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     return remove_repeats(docs, WordRepeats(length), id_col, text_col, binary=False)
 
 
-def _against(shard, text_col: str, length: int):
-    """Adds the matching spans of one shard to each row's spans."""
+def _against(shards: Shards, text_col: str, length: int):
+    """Each row's spans that match in any shard."""
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def search(vocabulary: Vocabulary, automaton: SuffixAutomaton, texts: list[bytes], found: list[list]) -> None:
+        for lo, hi in blocks(texts):
+            buffer, starts = joined(texts[lo:hi])
+            s, e = word_spans(buffer, NOT_SPACE)
+            per = words_per_text(starts, s)
+            first = np.cumsum(per) - per
+            numbers = vocabulary.numbers(buffer, s, e)
+            for text, a, b in zip(*(x.tolist() for x in Vocabulary.runs(numbers, per, length))):
+                shift = a - int(first[text])
+                ends = [at for at, (_, size) in enumerate(automaton.match(numbers[a:b].tolist()), 1) if size >= length]
+                if ends:
+                    # windows one word apart are one span: only its first start and last end are kept
+                    ends = np.array(ends)
+                    cut = np.flatnonzero(np.diff(ends) > 1)
+                    begins, last = ends[np.concatenate(([0], cut + 1))] - length, ends[np.append(cut, len(ends) - 1)]
+                    found[lo + text] += zip((begins + shift).tolist(), (last + shift).tolist())
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, automaton = shard.value
-        for batch in source:
-            row = batch.column("row")
-            texts = [t or b"" for t in binary_column(row.field(text_col)).to_pylist()]
-            found = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
-            for lo, hi in blocks(texts):
-                buffer, starts = joined(texts[lo:hi])
-                s, e = word_spans(buffer, NOT_SPACE)
-                per = words_per_text(starts, s)
-                first = np.cumsum(per) - per
-                numbers = vocabulary.numbers(buffer, s, e)
-                for text, a, b in zip(*(x.tolist() for x in Vocabulary.runs(numbers, per, length))):
-                    shift = a - int(first[text])
-                    found[lo + text] += [(shift + at - size, shift + at) for at, (_, size) in enumerate(automaton.match(numbers[a:b].tolist()), 1) if size >= length]
-            spans = [[] if not x else merged_runs(*(np.array(c) for c in zip(*sorted(x)))).tolist() for x in found]
-            yield pa.RecordBatch.from_arrays([row, pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pairs)], ["row", "spans"])
+        for group in shards.groups(source):
+            rows = [batch.column("row") for batch in group]
+            found = [[[] for _ in range(len(r))] for r in rows]
+
+            def against(shard: tuple[Vocabulary, SuffixAutomaton]) -> None:
+                for row, spans in zip(rows, found):
+                    search(*shard, [t or b"" for t in binary_column(row.field(text_col)).to_pylist()], spans)
+
+            shards.each(against)
+            for row, every in zip(rows, found):
+                spans = [[] if not x else merged_runs(*(np.array(c) for c in zip(*sorted(x)))).tolist() for x in every]
+                yield pa.RecordBatch.from_arrays([row, pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pairs)], ["row", "spans"])
 
     return run
 
@@ -158,22 +172,22 @@ def remove_reference_passages(docs: DataFrame, reference: DataFrame, text_col: s
     """Removes the maximal spans of at least ``length`` words that also stand in a
     text of ``reference``. Output as ``remove_repeated_passages``.
 
-    The reference texts are dealt into shards of about ``shard_words`` words;
-    the suffix automaton of one shard at a time is broadcast and every document
-    streams through it. Meant for a reference of bounded size: the work is the
-    number of shards times the documents.
+    The reference texts are dealt into shards of about ``shard_words`` words (a text
+    is never split), whose suffix automata are broadcast; a task has one of them in
+    memory at a time and streams its documents through it. Meant for a reference of
+    bounded size: the work is the number of shards times the documents.
     """
     spark = docs.sparkSession
     ship_package(spark)
     known = reference.select(F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
     total = known.agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")))).first()[0] or 0
-    shards = -(-total // shard_words) or 1
-    span = "array<struct<start:bigint,end:bigint>>"
+    n_shards = -(-total // shard_words) or 1
     row = T.StructField("row", T.StructType(docs.schema.fields))
     spans = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
-    out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.array().cast(span).alias("spans"))
-    for number in range(shards):
-        own = known.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == number).collect()
+    out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    shards = []
+    for number in range(n_shards):
+        own = known.where(F.pmod(F.xxhash64("text"), F.lit(n_shards)) == number).collect()
         words = []
         for text in sorted(r["text"].encode() for r in own):
             buffer, _ = joined([text])
@@ -181,7 +195,8 @@ def remove_reference_passages(docs: DataFrame, reference: DataFrame, text_col: s
         vocabulary, automaton = Vocabulary(words), SuffixAutomaton()
         for w in words:
             automaton.add(vocabulary.numbers(*w).tolist())
-        out = out.mapInArrow(_against(spark.sparkContext.broadcast((vocabulary, automaton)), text_col, length), T.StructType([row, spans]))
+        shards.append(spark.sparkContext.broadcast((vocabulary, automaton)))
+    out = out.mapInArrow(_against(Shards(shards), text_col, length), T.StructType([row, spans]))
     return out.mapInArrow(_cut(text_col), T.StructType([row, T.StructField("text", T.StringType()), spans, T.StructField("n_symbols", T.LongType())]))
 
 

@@ -7,8 +7,9 @@ automaton's state says of which ones. A word the items do not have resets the
 stream, so only runs of item words long enough to hold a window are streamed.
 
 The automaton is broadcast, and its size is bounded: the items are dealt into
-blocks of about ``block_words`` words, one automaton each, and the texts pass
-one block after the other. Words are looked up by hash and compared byte by byte.
+blocks of about ``block_words`` words (an item is never split), one automaton each,
+and a task has one of them in memory at a time. Words are looked up by hash and
+compared byte by byte.
 
 Defined results: null or empty texts have no words and are never contaminated;
 items without words have no window; items shorter than a window are one window;
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from holdfast.llm.automaton import SuffixAutomaton
 from holdfast.llm.common import ship_package, table
+from holdfast.llm.shards import Shards
 from holdfast.llm.textblocks import ALPHANUMERIC, LOWER, Vocabulary, binary_column, blocks, joined, word_spans, words_per_text
 
 
@@ -93,35 +95,43 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _stream(automaton, text_col: str):
+def _stream(shards: Shards, text_col: str):
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def search(shard: ItemAutomaton, texts: list[bytes], hits: list[list], items: list[set]) -> np.ndarray:
+        """Adds what one block's items have in the texts; returns the texts' numbers of words."""
+        counts = [np.zeros(0, np.int64)]
+        for lo, hi in blocks(texts):
+            *words, per = normalised_words(texts[lo:hi])
+            counts.append(per)
+            first = np.cumsum(per) - per
+            numbers = shard.vocabulary.numbers(*words)
+            owner, starts, ends = Vocabulary.runs(numbers, per, shard.shortest)
+            for text, x, y in zip(owner.tolist(), starts.tolist(), ends.tolist()):
+                spans, names = shard.occurrences(numbers[x:y].tolist())
+                if spans:
+                    shift = x - int(first[text])
+                    hits[lo + text] = merged([*hits[lo + text], *((s + shift, e + shift) for s, e in spans)])
+                    items[lo + text] |= names
+        return np.concatenate(counts)
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: ItemAutomaton = automaton.value
-        for batch in source:
-            row = batch.column("row")
-            texts = [t or b"" for t in binary_column(row.field(text_col)).to_pylist()]
-            hits = [[(s["start"], s["end"]) for s in x] for x in batch.column("hits").to_pylist()]
-            items = [set(x) for x in batch.column("items").to_pylist()]
-            counts = []
-            for lo, hi in blocks(texts):
-                *words, per = normalised_words(texts[lo:hi])
-                counts.append(per)
-                first = np.cumsum(per) - per
-                numbers = shard.vocabulary.numbers(*words)
-                owner, starts, ends = Vocabulary.runs(numbers, per, shard.shortest)
-                for text, x, y in zip(owner.tolist(), starts.tolist(), ends.tolist()):
-                    spans, names = shard.occurrences(numbers[x:y].tolist())
-                    if spans:
-                        shift = x - int(first[text])
-                        hits[lo + text] = merged([*hits[lo + text], *((s + shift, e + shift) for s, e in spans)])
-                        items[lo + text] |= names
-            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([
-                row, pa.array(counts, pa.int64()),
-                pa.array([[{"start": s, "end": e} for s, e in x] for x in hits], pairs),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            ], ["row", "n_words", "hits", "items"])
+        for group in shards.groups(source):
+            rows = [batch.column("row") for batch in group]
+            hits, items = [[[] for _ in range(len(r))] for r in rows], [[set() for _ in range(len(r))] for r in rows]
+            counts = [np.zeros(0, np.int64)] * len(rows)
+
+            def against(shard: ItemAutomaton) -> None:
+                for k, row in enumerate(rows):
+                    counts[k] = search(shard, [t or b"" for t in binary_column(row.field(text_col)).to_pylist()], hits[k], items[k])
+
+            shards.each(against)
+            for row, n, spans, names in zip(rows, counts, hits, items):
+                yield pa.RecordBatch.from_arrays([
+                    row, pa.array(n, pa.int64()),
+                    pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pairs),
+                    pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                ], ["row", "n_words", "hits", "items"])
 
     return run
 
@@ -138,19 +148,17 @@ def find_contamination(
     known = items.select(F.col(item_id_col).cast("string").alias("name"), F.col(item_text_col).alias("text")).where("name IS NOT NULL AND text IS NOT NULL").distinct()
     total = known.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
     n_blocks = -(-total // block_words) or 1
-    none = F.array().cast("array<string>")
-    out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")).select(
-        "row", F.array().cast("array<struct<start:bigint,end:bigint>>").alias("hits"), none.alias("items"))
+    out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
     schema = T.StructType([
         T.StructField("row", T.StructType(docs.schema.fields)), T.StructField("n_words", T.LongType()),
         T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
         T.StructField("items", T.ArrayType(T.StringType())),
     ])
+    shards = []
     for block in range(n_blocks):
         own = known.where(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == block).collect()
-        shard = ItemAutomaton(sorted((r["name"], r["text"].encode()) for r in own), window)
-        out = out.select("row", "hits", "items").mapInArrow(_stream(spark.sparkContext.broadcast(shard), text_col), schema)
-    return out
+        shards.append(spark.sparkContext.broadcast(ItemAutomaton(sorted((r["name"], r["text"].encode()) for r in own), window)))
+    return out.mapInArrow(_stream(Shards(shards), text_col), schema)
 
 
 def contaminated(max_coverage_divisor: int = 20) -> F.Column:

@@ -7,11 +7,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from helpers import docs_frame, repetitive_texts
 from pyspark.sql import functions as F
 
 from holdfast.llm.op3_pareto_mixing import mixed, pareto_mix
 from holdfast.llm.op9_decontamination import ItemAutomaton, contaminated, decontaminate, find_contamination, merged, normalised_words
+from holdfast.llm.shards import Shards
 
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -63,6 +65,51 @@ def test_hits_and_items(spark):
     assert {x.doc_id for x in left.collect()} == set(range(len(texts))) - expect and left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+class Stored:
+    """A broadcast value that is loaded where it is read, as on an executor."""
+
+    loads: list = []
+
+    def __init__(self, name):
+        self.name = name
+
+    @property
+    def value(self):
+        if "_value" not in vars(self):
+            self.loads.append(self.name)
+            self._value = self.name
+        return self._value
+
+
+def test_a_task_holds_one_shard_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2, 3]})
+    for names, groups, loads in ((["a"], 5, ["a"]), (["a", "b", "c"], 3, ["a", "b", "c", "b", "a", "b", "c"])):
+        Stored.loads = []
+        parts = [Stored(n) for n in names]
+        shards = Shards(parts, hold=2 * batch.nbytes)
+        seen = []
+        for group in shards.groups(iter([batch] * 5)):
+            used = []
+
+            def use(value):
+                used.append(value)
+                assert [p.name for p in parts if "_value" in vars(p)] == [value]
+
+            shards.each(use)
+            assert sorted(used) == names
+            seen.append(len(group))
+        assert sum(seen) == 5 and len(seen) == groups and Stored.loads == loads
+    assert list(shards.groups(iter([]))) == []
+
+
+def test_many_blocks_are_one_step(spark, capsys):
+    docs = docs_frame(spark, ["a b c"])
+    items = spark.createDataFrame([(k, f"w{k} " * 5) for k in range(40)], "item_id long, text string")
+    found = find_contamination(docs, items, block_words=10)
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1 and found.first().n_words == 3
+
+
 def test_no_items_and_no_documents(spark):
     docs = docs_frame(spark, ["a b c", None])
     none = spark.createDataFrame([], "item_id long, text string")
