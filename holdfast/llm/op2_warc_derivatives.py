@@ -45,16 +45,11 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&a
 NAMED = {**{name[:-1]: text for name, text in html5.items() if name.endswith(";")}, "nbsp": " "}
 # numeric references that do not mean their code point
 CODES = {**{n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}, 160: " "}
-UNUSUAL = "&(?:#(?!39;)[0-9xX]|(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)[A-Za-z][A-Za-z0-9]*+;)"
 
 
 def entities(text: Column) -> Column:
     """The text with its character references resolved, each once."""
-
-    def usual(t: Column) -> Column:
-        for name, character in ENTITIES:
-            t = F.replace(t, F.lit(name), F.lit(character))
-        return t
+    usual = F.create_map(*(F.lit(x) for name, character in ENTITIES for x in (name[1:-1], character)))  # found first, since maps are searched in order
 
     def reference(part: Column) -> Column:  # what follows an ampersand
         digits = lambda base, which: F.regexp_extract(part, f"^#{which}0*+([{base}]*+)", 1)
@@ -67,22 +62,22 @@ def entities(text: Column) -> Column:
         own = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")  # after a byte order mark
         character = F.when(other.isNotNull(), other).when(valid, own).otherwise("\ufffd")
         name = F.when(F.instr(part, ";") > 1, F.substring_index(part, ";", 1))
-        named = F.try_element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), name)
+        named = F.coalesce(F.try_element_at(usual, name), F.try_element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), name))
         after = F.substring(part, F.length(name) + 2, F.length(part))
         return F.when(number.isNotNull(), F.concat(character, F.regexp_replace(part, "^#(?:[0-9]++|[xX][0-9a-fA-F]++);?", ""))).otherwise(
             F.coalesce(F.concat(named, after), F.concat(F.lit("&"), part)))
 
-    def every(t: Column) -> Column:
+    def resolved(t: Column) -> Column:
         parts = F.split(t, "&")
         return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), reference), ""))
 
     # of an array, so that the text is made once
-    return F.transform(F.array(text), lambda t: F.when(F.rlike(t, F.lit(UNUSUAL)), every(t)).otherwise(usual(t)))[0]
+    return F.transform(F.array(text), resolved)[0]
 
 
 def folded(text: Column) -> Column:
     text = F.regexp_replace(text, "[ \\t\\r\\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, "[ \\n]*\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
+    return F.trim(F.regexp_replace(text, "[ \\n]*\\n[ \\n]*", "\n"), F.lit(" \n"))
 
 
 def page_text(html: Column) -> Column:
