@@ -10,9 +10,10 @@ per part, a probe clears bits only: of two parts that differ in one bit, one
 clears it to reach the other. Fingerprints that meet are verified over all 64
 bits.
 
-Three parts of 21 or 22 bits keep the tables sparse up to some millions of
-distinct fingerprints; take fewer parts beyond (two parts of 32 bits serve
-billions, at more probes each).
+Three parts of 21 or 22 bits cost 24 cells a fingerprint and hold few in a cell up
+to tens of millions of distinct fingerprints; beyond, two parts of 32 bits cost
+some 150 cells each and stay sparse for billions. ``segments_for`` chooses by the
+count; the groups are the same with either.
 
 A table cell that holds more than ``cell`` fingerprints is dealt into pairs of
 blocks, each its own group. Within a group links are found by growing
@@ -31,26 +32,35 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from holdfast.llm.common import ship_package, table, written
 from holdfast.llm.components import components
-from holdfast.llm.textblocks import U64, binary_column
+from holdfast.llm.textblocks import BLOCK_BYTES, NOT_SPACE, U64, binary_column, pieces
 
 BLOCK = 1 << 14
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """SimHash of the lower-cased text; 0 without words."""
-    words = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
+def fingerprint(text: bytes, shingle: int = 4, size: int = BLOCK_BYTES) -> int:
+    """SimHash of the lower-cased text, read in pieces of about ``size`` bytes; 0 without words."""
+    total, n, words = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text, NOT_SPACE, size):
+        words += piece.lower().split()  # bytes: A-Z and ASCII white space only
+        if len(words) >= shingle:
+            n += add_shingles(words, shingle, total)
+            words = words[len(words) - shingle + 1:]  # those a shingle of the next piece may begin with
+    if not n and words:
+        n = add_shingles(words, len(words), total)
+    return int(np.packbits(2 * total > n).view(U64)[0]) if n else 0
+
+
+def add_shingles(words: list[bytes], take: int, total: np.ndarray) -> int:
+    """Adds the bits of every run of ``take`` words to ``total``; the number of runs."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    take = min(shingle, len(words))
     lo, hi = starts[: len(words) - take + 1].tolist(), ends[take - 1:].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(lo), BLOCK):
         hashes = np.array([digest(joined[a:b], 42) for a, b in zip(lo[at:at + BLOCK], hi[at:at + BLOCK])], U64)
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(lo)).view(U64)[0])
+    return len(lo)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -66,6 +76,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fingerprint long")
 
 
+def segments_for(distinct: int, small: int = 32) -> int:
+    """Three parts while an average cell of theirs holds at most ``small`` fingerprints
+    (which are compared in one sweep), two beyond."""
+    return 3 if distinct <= small << (64 // 3) else 2
+
+
 def probe_plan(segments: int, max_bits: int) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of each part."""
     edges = [64 * i // segments for i in range(segments + 1)]
@@ -175,11 +191,11 @@ def near_links(distinct: DataFrame, max_bits: int = 4, segments: int = 3, cell:
     return dealt.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(verify, "a long, b long")
 
 
-def grouped(marked: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
+def grouped(marked: DataFrame, max_bits: int = 4, segments: int | None = None) -> DataFrame:
     """(``key`` a fingerprint, ``root`` of its group, ``component`` the group's
     smallest id) for the fingerprints of (``id``, ``fingerprint``)."""
     distinct = written(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
-    roots = written(components(near_links(distinct, max_bits, segments)), "roots")
+    roots = written(components(near_links(distinct, max_bits, segments or segments_for(distinct.count()))), "roots")
     named = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root"))
     named = written(named, "named")
@@ -187,7 +203,7 @@ def grouped(marked: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFram
     return written(named.join(first, F.col("root") == F.col("of")).select(F.col("fingerprint").alias("key"), "root", F.col("first").alias("component")), "found")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: int | None = None) -> DataFrame:
     """(``id``, ``fingerprint`` long, ``component`` the smallest id reachable by
     links of ``max_bits`` or fewer differing bits) for every row.
 
@@ -205,7 +221,7 @@ def text_key(text: F.Column) -> F.Column:
     return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: int | None = None) -> DataFrame:
     """One row of each group of near duplicates: of those with the group's smallest
     id the one whose text has the smallest hash (of equal rows any one). Rows
     without an id all stay.

@@ -69,6 +69,23 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def pieces(text: bytes, is_word: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end between words; a longer word stays whole."""
+    at = 0
+    while len(text) - at > size:
+        end, look = at, size
+        while end == at and look < len(text) - at:
+            gaps = np.flatnonzero(~is_word[np.frombuffer(text, np.uint8, look, at)])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            look *= 2
+        if end == at:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a line feed between them, and where each one starts."""
     buffer = np.frombuffer(b"\n".join(texts), np.uint8)

@@ -11,7 +11,7 @@ from helpers import components as brute_components, docs_frame
 
 from holdfast.llm.components import components
 from holdfast.llm.op4_cross_polytope import cells, hadamard, near_duplicates as near_vectors
-from holdfast.llm.op7_simhash import fingerprint, grown_links, keep_one, linked_in_groups, near_duplicates, near_links, probe_plan
+from holdfast.llm.op7_simhash import fingerprint, grown_links, keep_one, linked_in_groups, near_duplicates, near_links, probe_plan, segments_for
 
 
 def slow_fingerprint(text: str, shingle: int = 4) -> int:
@@ -25,6 +25,17 @@ def slow_fingerprint(text: str, shingle: int = 4) -> int:
 def test_fingerprints():
     for text in ("", " \n", "One", "one two THREE", "a b c d", "a  b\tc d É é", "x " * 70_000, "w " + "y z " * 30):
         assert fingerprint(text.encode()) == slow_fingerprint(text)
+        if len(text) < 1000:
+            for shingle in (1, 2, 4, 9):  # pieces of a few bytes: shingles across them
+                assert {fingerprint(text.encode(), shingle, size) for size in (1, 5, 40)} == {slow_fingerprint(text, shingle)}
+
+
+def test_number_of_parts(spark):
+    assert (segments_for(0), segments_for(1 << 26), segments_for((1 << 26) + 1), segments_for(10**10)) == (3, 3, 2, 2)
+    texts = [" ".join(f"g{k // 6}w{n}" for n in range(120) if n % 40 != k % 6) for k in range(60)]
+    df = docs_frame(spark, texts)
+    two, three = (sorted(map(tuple, near_duplicates(df, segments=n).collect())) for n in (2, 3))
+    assert two == three and 1 < len({x[2] for x in two}) < 60
 
 
 def clustered(seed: int, centres: int, each: int) -> list[int]:
