@@ -1,12 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
 1. Every token (lower-cased letters, digits and non-ASCII characters) and its
-   stem (the first five bytes) fall into one of 2^20 hash cells. Cells are
-   counted over all documents and over the toxic and the clean documents of a
-   labelled sample, once per document, so that no single text dominates.
-2. The score of a cell is its log-odds between toxic and clean text under a
+   stem (the first five characters) has a key, a 64-bit hash. Keys are counted over
+   all documents and over the toxic and the clean documents of a labelled sample,
+   once per document, so that no single text dominates. The counts are a table with
+   one row per different key, so they grow with the corpus.
+2. The score of a key is its log-odds between toxic and clean text under a
    Dirichlet prior proportional to the counts of all documents, shrunk towards
-   zero by two standard deviations, minus a small drift. A token about which
+   zero by two standard deviations, minus a small drift. Keys that the sample lacks,
+   and those that do not stand out, have the drift alone. A token about which
    nothing is known takes the score of its stem.
 3. In each text one linear scan finds all maximal-scoring segments: no segment
    can be extended or joined to score more. Only positive tokens are visited;
@@ -17,8 +19,11 @@
 5. The evidence of a text is the sum over its significant segments of
    lambda * S - ln(K * n); a logistic curve fitted on the sample gives the score.
 
-The model is 2^20 floats, whatever the size of the corpus. The labelled sample
-is bounded by ``sample`` rows (documented parameter); counts cover all documents.
+The labelled sample is bounded by ``sample`` rows and ``sample_bytes`` bytes of text
+(documented parameters): one row of each id, in the order of the id's hash, texts that
+would pass the bound left out. The model holds the keys of the sample that stand out,
+so its size is bounded by the sample; counts cover all documents. A long text is
+handled in pieces of about a megabyte, and only its scores are held whole.
 
 Defined results: null and empty texts have no segment and the score of a text
 without evidence; without a toxic or without a clean labelled document every
@@ -36,32 +41,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from holdfast.llm import blobs
-from holdfast.llm.common import ship_package, table
-from holdfast.llm.textblocks import ALPHANUMERIC, LOWER, U64, binary_column, blocks, joined, mix, span_hashes, word_spans, words_per_text
+from holdfast.llm.common import passing, ship_package, table, written
+from holdfast.llm.textblocks import ALPHANUMERIC, LOWER, U64, binary_column, blocks, joined, mix, pieces, span_hashes, word_spans, words_per_text
 
-CELL_BITS = 20
-STEM = 5  # bytes
+STEM = 5  # characters
 STEM_MARK = 0x5354454D
-RANGES = 64  # the counts are summed in so many ranges of cells
+HELD = 1 << 20  # counts a task holds before it passes them on
+SIEVE_BITS = 20  # of the bitmap that sets aside tokens the model lacks
 PRIOR = 3.0  # weight of the prior, in times the toxic counts
 DRIFT = 0.2
 EXPECTED = 0.1  # expected number of chance segments under which one is significant
 
 
-def token_cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash cells of every token and of its stem, and tokens per text."""
+def stem_ends(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the first five characters of each token end."""
+    if (buffer < 0x80).all():
+        return np.minimum(ends, starts + STEM)
+    first = np.flatnonzero((buffer & 0xC0) != 0x80)
+    return np.minimum(ends, np.append(first, [len(buffer)] * STEM)[np.searchsorted(first, starts) + STEM])
+
+
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of every token and of its stem, and tokens per text."""
     buffer, starts = joined(texts)
     s, e = word_spans(buffer, ALPHANUMERIC)
     buffer = LOWER[buffer]
-    stem = span_hashes(buffer, s, np.minimum(e, s + STEM)) ^ U64(STEM_MARK)
-    cell = lambda x: (x >> U64(64 - CELL_BITS)).astype(np.int64)
-    return cell(span_hashes(buffer, s, e)), cell(mix(stem)), words_per_text(starts, s)
+    stems = span_hashes(buffer, s, stem_ends(buffer, s, e)) ^ U64(STEM_MARK)
+    return span_hashes(buffer, s, e), mix(stems), words_per_text(starts, s)
+
 
+def counts_once(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of some texts and the number of texts that hold each."""
+    tokens, stems, per = token_keys(texts)
+    known, at, number = np.unique(tokens, return_index=True, return_inverse=True)
+    stem_known, stem_number = np.unique(stems[at], return_inverse=True)
+    n, m = max(1, len(known)), max(1, len(stem_known))
+    text, number = np.divmod(np.unique(np.repeat(np.arange(len(texts)), per) * n + number), n)
+    stem_number = np.unique(text * m + stem_number[number]) % m
+    return (np.concatenate((known, stem_known)),
+            np.concatenate((np.bincount(number, minlength=len(known)), np.bincount(stem_number, minlength=len(stem_known)))))
 
-def token_scores(scores: np.ndarray, cells: np.ndarray, stems: np.ndarray) -> np.ndarray:
-    own = scores[cells]
-    return np.where(own == np.float32(-DRIFT), scores[stems], own).astype(np.float64)
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    different, number = np.unique(np.concatenate(keys), return_inverse=True)
+    return different, np.bincount(number, weights=np.concatenate(counts), minlength=len(different)).astype(np.int64)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -94,12 +117,41 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class SegmentModel:
-    scores: np.ndarray  # per cell
+    keys: np.ndarray  # in order; all other keys have the score -DRIFT
+    scores: np.ndarray  # per key
     decay: float  # lambda
     constant: float = 1.0  # K
     slope: float = 0.0
     intercept: float = 0.0
 
+    def __post_init__(self):
+        self.seen = np.zeros(1 << SIEVE_BITS, bool)
+        self.seen[self.keys >> U64(64 - SIEVE_BITS)] = True
+
+    def key_scores(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -DRIFT)
+        maybe = np.flatnonzero(self.seen[keys >> U64(64 - SIEVE_BITS)])
+        at = np.searchsorted(self.keys, keys[maybe])
+        inside = at < len(self.keys)
+        maybe, at = maybe[inside], at[inside]
+        found = self.keys[at] == keys[maybe]
+        out[maybe[found]] = self.scores[at[found]]
+        return out
+
+    def token_scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Score of every token, and tokens per text."""
+        if len(texts) == 1:  # perhaps a very long one
+            scores = np.concatenate([self._piece_scores([piece])[0] for piece in pieces(texts[0], ALPHANUMERIC)])
+            return scores, np.array([len(scores)])
+        return self._piece_scores(texts)
+
+    def _piece_scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, stems, per = token_keys(texts)
+        scores = self.key_scores(tokens)
+        unknown = np.flatnonzero(scores == -DRIFT)
+        scores[unknown] = self.key_scores(stems[unknown])
+        return scores, per
+
     def evidence(self, segments: list[tuple[int, int, float]], tokens: int) -> tuple[float, list[tuple[int, int, float]]]:
         """Evidence of a text and its significant segments with their own evidence."""
         found = []
@@ -113,13 +165,15 @@ class SegmentModel:
         return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * np.log1p(evidence), -30, 30)))
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds of each cell from (all, toxic, clean) counts."""
+def log_odds(counts: np.ndarray, totals: np.ndarray | None = None, distinct: int = 0) -> np.ndarray:
+    """Shrunk log-odds of each key from (all, toxic, clean) counts; ``totals`` over all
+    keys and their number, where ``counts`` are those of some keys only."""
     everything, toxic, clean = counts.astype(np.float64)
-    weight = PRIOR * toxic.sum()
-    prior = weight * (everything + 0.5) / (everything.sum() + 0.5 * len(everything))
-    odds = lambda y: np.log((y + prior) / (y.sum() + weight - y - prior))
-    delta = odds(toxic) - odds(clean)
+    all_sum, toxic_sum, clean_sum = (counts.sum(axis=1) if totals is None else totals).astype(np.float64)
+    weight = PRIOR * toxic_sum
+    prior = weight * (everything + 0.5) / (all_sum + 0.5 * (distinct or len(everything)))
+    odds = lambda y, total: np.log((y + prior) / (total + weight - y - prior))
+    delta = odds(toxic, toxic_sum) - odds(clean, clean_sum)
     spread = 2 * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
     return np.sign(delta) * np.maximum(np.abs(delta) - spread, 0) - DRIFT
 
@@ -154,22 +208,42 @@ def logistic_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((3, 1 << CELL_BITS), np.int64)
-    for batch in source:
-        texts = [t or b"" for t in binary_column(batch.column(0)).to_pylist()]
-        toxic = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-        for lo, hi in blocks(texts):
-            cells, stems, per = token_cells(texts[lo:hi])
-            text = np.repeat(np.arange(hi - lo), per) << CELL_BITS
-            once = np.unique(np.concatenate((text | cells, text | stems)))
-            mark, once = toxic[lo:hi][once >> CELL_BITS], once & ((1 << CELL_BITS) - 1)
-            for k, own in enumerate((once, once[mark == 1], once[mark == 0])):
-                total[k] += np.bincount(own, minlength=1 << CELL_BITS)
-    yield from blobs.batches((r, 0, blobs.pack(part.ravel())) for r, part in enumerate(np.split(total, RANGES, axis=1)))
-
+    """(kind, key, n) from (text, kind): in how many texts of the kind a key occurs, summed
+    over a part of the task's texts that is bounded by the number of different keys."""
+    held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    size = 0
+
+    def passed_on(least: int) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        size = 0
+        for kind in list(held):
+            keys, counts = summed(*held[kind])
+            if len(keys) < least:
+                held[kind] = [keys], [counts]
+                size += len(keys)
+                continue
+            del held[kind]
+            for lo in range(0, len(keys), 1 << 17):
+                some = keys[lo:lo + (1 << 17)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(counts[lo:lo + (1 << 17)])], ["kind", "key", "n"])
 
-def _sum(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from blobs.batches((r, 0, blobs.pack(sum(blobs.unpack(b)[0] for _, b in held))) for r, held, _ in blobs.by_bucket(source))
+    for batch in source:
+        kinds = batch.column(1).to_numpy()
+        for kind in np.unique(kinds).tolist():
+            texts = [t or b"" for t in binary_column(batch.column(0)).filter(pa.array(kinds == kind)).to_pylist()]
+            for lo, hi in blocks(texts):
+                if hi - lo > 1:
+                    keys, counts = counts_once(texts[lo:hi])
+                else:  # perhaps a very long one: all its keys, once
+                    keys = np.unique(np.concatenate([counts_once([piece])[0] for piece in pieces(texts[lo], ALPHANUMERIC)]))
+                    counts = np.ones(len(keys), np.int64)
+                own = held.setdefault(kind, ([], []))
+                own[0].append(keys)
+                own[1].append(counts)
+                size += len(keys)
+                if size > HELD:
+                    yield from passed_on(HELD // 8)
+    yield from passed_on(0)
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, train: Column, sample: int) -> DataFrame:
@@ -178,33 +252,57 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, train: Colum
     return known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> SegmentModel:
+def bounded_sample(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, sample_bytes: int) -> DataFrame:
+    """(``id``, ``label``, ``text``): one row of each chosen id, within the bytes."""
+    texts = docs.select(F.col(id_col).cast("long").alias("__of"), F.col(text_col).alias("text"))
+    once = texts.join(F.broadcast(chosen), F.col("__of") == F.col("__id")).groupBy("__id").agg(
+        F.max("__label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    once = written(once.withColumnRenamed("__id", "id"), "sample")
+    # at most as many rows as ids were chosen
+    sizes = once.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("id"), "id").collect()
+    left, inside = sample_bytes, []
+    for row in sizes:
+        if row["size"] <= left:
+            left -= row["size"]
+            inside.append((row["id"],))
+    return once if len(inside) == len(sizes) else once.join(F.broadcast(docs.sparkSession.createDataFrame(inside, "id long")), "id", "left_semi")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        sample: int = 20_000, sample_bytes: int = 256 << 20) -> SegmentModel:
     """Learns the token scores from all texts and the labels of the sample."""
     spark = docs.sparkSession
     ship_package(spark)
     # at most ``sample`` ids and labels: the bound that allows the broadcast
     chosen = spark.createDataFrame(labelled_sample(labels, id_col, label_col, train, sample).collect(), "__id long, __label int")
-    texts = docs.select(F.col(id_col).cast("long").alias("__of"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("__of") == F.col("__id"), "left")
-    summed = blobs.dealt(texts.select("text", "__label").mapInArrow(_count, blobs.SCHEMA), _sum, blobs.SCHEMA)
-    counts = np.zeros((3, 1 << CELL_BITS), np.int64)  # RANGES rows of fixed size
-    for row in summed.collect():
-        size = (1 << CELL_BITS) // RANGES
-        counts[:, row["bucket"] * size:(row["bucket"] + 1) * size] = blobs.unpack(row["blob"])[0].reshape(3, size)
-    if not counts[1].any() or not counts[2].any():
-        labelled = [r["__label"] for r in chosen.collect()]
-        share = float(np.mean(labelled)) if labelled else 0.0
-        model = SegmentModel(np.full(1 << CELL_BITS, -DRIFT, np.float32), 1.0)
-        model.intercept = float(np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30))
-        return model
-    scores = log_odds(counts)
-    model = SegmentModel(scores.astype(np.float32), decay_rate(scores, counts[0]))
-
-    # the sample's texts again: the best segments of clean ones give K, all of them the curve
-    # (one of an id's rows, so that the sample's bound holds)
-    once = texts.where("__label IS NOT NULL").groupBy("__id").agg(F.max("__label").alias("__label"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    best = _scan(once.select(F.struct("text", "__label", "__id").alias("row")), "text", model, significant=False)
-    rows = best.select(F.col("row.__label").alias("y"), "row.__id", "n_tokens", F.transform("passages", lambda p: p["evidence"]).alias("scores")).collect()
-    rows.sort(key=lambda r: (r["__id"], r["n_tokens"], r["scores"]))  # the same order on every run
+    with passing(spark, keep=0):
+        learned = bounded_sample(docs, chosen, id_col, text_col, sample_bytes)
+        marked = learned.where("label IN (0, 1)").select("text", F.when(F.col("label") == 1, 1).otherwise(2).alias("kind"))
+        parts = docs.select(F.col(text_col).alias("text"), F.lit(0).alias("kind")).union(marked).mapInArrow(_count, "kind int, key long, n long")
+        of_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate(("everything", "toxic", "clean"))]
+        counts = written(parts.groupBy("key").agg(*of_kind), "token-counts")
+        whole = counts.agg(F.sum("everything"), F.sum("toxic"), F.sum("clean"), F.count("*")).first()
+        totals, distinct = np.array([x or 0 for x in whole[:3]], np.int64), whole[3]
+        if not totals[1] or not totals[2]:
+            labelled = [r["__label"] for r in chosen.collect()]
+            share = float(np.mean(labelled)) if labelled else 0.0
+            model = SegmentModel(np.zeros(0, U64), np.zeros(0), 1.0)
+            model.intercept = float(np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30))
+            return model
+        # the keys of the sample, whose text is bounded
+        sampled = counts.where((F.col("toxic") > 0) | (F.col("clean") > 0)).toArrow()
+        keys = sampled.column("key").to_numpy().view(U64)
+        order = np.argsort(keys)
+        own = np.stack([sampled.column(c).to_numpy()[order] for c in ("everything", "toxic", "clean")])
+        keys, scores = keys[order], log_odds(own, totals, distinct)
+        decay = decay_rate(np.append(scores, -DRIFT), np.append(own[0], totals[0] - own[0].sum()))
+        known = scores != -DRIFT
+        model = SegmentModel(keys[known], scores[known], decay)
+
+        # the sample's texts again: the best segments of clean ones give K, all of them the curve
+        best = _scan(learned.select(F.struct("text", "label", "id").alias("row")), "text", model, significant=False)
+        rows = best.select(F.col("row.label").alias("y"), "row.id", "n_tokens", F.transform("passages", lambda p: p["evidence"]).alias("scores")).collect()
+    rows.sort(key=lambda r: r["id"])  # the same order on every run
     extremes = [model.decay * max(r["scores"]) - np.log(r["n_tokens"]) for r in rows if r["y"] == 0 and r["scores"]]
     if extremes:
         model.constant = float(np.exp(np.mean(extremes) - np.euler_gamma))
@@ -225,8 +323,7 @@ def _scan(rows: DataFrame, text_col: str, model: SegmentModel, significant: bool
             texts = [t or b"" for t in binary_column(row.field(text_col)).to_pylist()]
             counts, evidence, passages = [], np.zeros(len(texts)), []
             for lo, hi in blocks(texts):
-                cells, stems, per = token_cells(texts[lo:hi])
-                scores = token_scores(model.scores, cells, stems)
+                scores, per = model.token_scores(texts[lo:hi])
                 counts.append(per)
                 ends = np.cumsum(per)
                 for text, a, b in zip(range(lo, hi), (ends - per).tolist(), ends.tolist()):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +13,9 @@ from helpers import docs_frame
 from pyspark.sql import functions as F
 
 from holdfast.llm.op1_passage_attention import N_FEATURES, WORDS, AttentionModel, encode, fit as fit_quality, query as quality_query, score_quality
-from holdfast.llm.op6_toxic_segments import decay_rate, fit as fit_toxicity, log_odds, maximal_segments, query as toxicity_query, remainder, score_toxicity
+from holdfast.llm.op6_toxic_segments import (
+    DRIFT, EXPECTED, PRIOR, counts_once, decay_rate, fit as fit_toxicity, log_odds, maximal_segments, query as toxicity_query, remainder, score_toxicity, token_keys)
+from holdfast.llm.textblocks import ALPHANUMERIC, NOT_SPACE, pieces
 
 
 def brute_segments(scores):
@@ -80,6 +85,74 @@ def test_toxicity_on_planted_passages(spark):
     assert again == {k: x.score for k, x in got.items()}
 
 
+def tokens_of(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text))
+
+
+def keys_of(text: str) -> set[tuple[str, str]]:
+    return {("token", t) for t in tokens_of(text)} | {("stem", t[:5]) for t in tokens_of(text)}
+
+
+def test_counts_and_pieces():
+    texts = ["Straße straßenbahn A-a a1", "", "éàüöñç éàüöñx éàüö z", "straßenbahnen " * 9, "日本語日本語 日本語日本人"]
+    want = Counter(k for t in texts for k in keys_of(t))
+    keys, counts = counts_once([t.encode() for t in texts])
+    assert len(keys) == len(want) == len(set(keys.tolist())) and sorted(counts.tolist()) == sorted(want.values())
+    alone = {k: int(v) for kind, t in want for v, k in [(token_keys([t.encode()])[kind == "stem"][0], (kind, t))]}
+    got = dict(zip(keys.tolist(), counts.tolist()))
+    assert {k: got[v] for k, v in alone.items()} == want
+    assert counts_once([b"", b" "])[0].size == 0
+    for text in (b"", b"abc", b"a" * 50, b"ab cd  efg " * 9, b" " * 40, b"a" * 30 + b" b " + b"c" * 30):
+        for size in (1, 7, 16):
+            cut = list(pieces(text, NOT_SPACE, size))
+            assert b"".join(cut) == text and [w for p in cut for w in p.split()] == text.split()
+    assert len(list(pieces(b"ab cd  efg " * 9, ALPHANUMERIC, 16))) > 5
+
+
+def test_toxicity_against_a_plain_model(spark):
+    """Scores of keys and of whole texts by dictionaries and plain sums."""
+    texts, labels = toxic_texts(120)
+    texts += ["beastlyish vile words", "Ünrühmlichste vile grotty", "word1 " * 400_000 + "vile grotty beastly vile", None]
+    docs = docs_frame(spark, texts)
+    model = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    of = lambda wanted: Counter(k for i, y in labels if y == wanted for k in keys_of(texts[i]))
+    everything, toxic, clean = Counter(k for t in texts for k in keys_of(t or "")), of(1), of(0)
+    weight, plain = PRIOR * toxic.total(), {}
+    for k in toxic | clean:
+        prior = weight * (everything[k] + 0.5) / (everything.total() + 0.5 * len(everything))
+        odds = [math.log((y[k] + prior) / (y.total() + weight - y[k] - prior)) for y in (toxic, clean)]
+        delta = odds[0] - odds[1]
+        spread = 2 * math.sqrt(1 / (toxic[k] + prior) + 1 / (clean[k] + prior))
+        plain[k] = math.copysign(max(abs(delta) - spread, 0), delta) - DRIFT
+    by_weight = Counter({plain.get(k, -DRIFT): 0 for k in everything})
+    for k, n in everything.items():
+        by_weight[plain.get(k, -DRIFT)] += n
+    assert sum(n * math.exp(model.decay * s) for s, n in by_weight.items()) == pytest.approx(everything.total())
+    for row in score_toxicity(docs, model).collect():
+        tokens = tokens_of(row.row.text or "")
+        scores = [plain.get(("token", t), -DRIFT) for t in tokens]
+        scores = [plain.get(("stem", t[:5]), -DRIFT) if s == -DRIFT else s for t, s in zip(tokens, scores)]
+        own = [(a, b, model.decay * s - math.log(model.constant * len(tokens))) for a, b, s in maximal_segments(np.array(scores))]
+        own = [x for x in own if x[2] > -math.log(EXPECTED)]
+        assert row.n_tokens == len(tokens) and [(p.start, p.end) for p in row.passages] == [x[:2] for x in own]
+        score = 1 / (1 + math.exp(-(model.intercept + model.slope * math.log1p(sum(x[2] for x in own)))))
+        assert row.score == pytest.approx(score, abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    texts, labels = toxic_texts(80)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = docs_frame(spark, texts)
+    whole = fit_toxicity(docs, marks, F.lit(True))
+    # a labelled text beyond the bound is counted, but not learnt from; repeated rows of an id are one
+    long = docs_frame(spark, texts + ["vile " * 300_000] + texts[:40], list(range(81)) + [3] * 40)
+    more = spark.createDataFrame([*labels, (80, 0)], "doc_id long, toxic int")
+    bounded = fit_toxicity(long, more, F.lit(True), sample_bytes=1_000_000)
+    assert len(bounded.keys) and bounded.token_scores([b"vile"])[0][0] > 0 and whole.token_scores([b"vile"])[0][0] > 0
+    nothing = fit_toxicity(docs, marks, F.lit(True), sample_bytes=0)
+    assert len(nothing.keys) == 0 and nothing.slope == 0
+
+
 def test_classifiers_without_labels(spark):
     docs = docs_frame(spark, ["a b", None, ""])
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
